@@ -1,0 +1,7 @@
+"""Structured Streaming.
+
+The reference has no stream, watermark, window or stateful operator (SURVEY §2.11);
+its dashboard re-runs batch queries when a parameter changes, which here is a
+plain function call over ``vitrine.plans``.  Nothing is implemented here on
+purpose.
+"""
