@@ -24,7 +24,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 9)
+        return v
     if hasattr(v, "isoformat"):
         return str(v)[:19]
     if isinstance(v, (list, tuple)):

@@ -2,8 +2,9 @@
 
 Each entry reads the driver tables of ``sf_dir`` through the FIXTURES mapping
 (``vitrine.sources.fixtures``) and runs one inventory operator over the whole
-tables.  Doubles are rounded identically on both sides (money 2 digits,
-ratios 6) because summation order differs between engines.
+tables.  Money is decimal(18,2), so sums are exact; ratios and means are
+double divisions of exact values, hence bit-identical across engines and
+partitionings.  ``rounding`` is only for genuinely floating computations.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions import classify
-from vitrine.oracle import with_ctes
+from vitrine.oracle import VIEWS, with_ctes
 from vitrine.operators import wide as W
 from vitrine.params import Params
-from vitrine.plans import category
+from vitrine.plans import basket, category, geo, payment
 from vitrine.sources import fixtures
 
 # Stand-in parameters (FIXTURES.md §2): focus = PROMO + SMALL merged into
@@ -79,14 +80,14 @@ def focus(spark, sf_dir, p: Params) -> DataFrame:
     return classify.focus(selected(spark, sf_dir, p), p)
 
 
-MONEY = 2
-RATIO = 6
+def fixtures_sql(name: str) -> str:
+    return VIEWS[name]
+
+
 
 # ---------------------------------------------------------------- C12 wide table
 
-register("c12_items_wide", with_ctes("select * from items_wide"),
-         {"total_payment_value": MONEY, "credit_card": MONEY, "boleto": MONEY, "voucher": MONEY,
-          "debit_card": MONEY, "total_price": MONEY})(
+register("c12_items_wide", with_ctes("select * from items_wide"))(
     lambda spark, d: wide_table(spark, d).select(*W.WIDE_COLUMNS))
 
 # ---------------------------------------------------------------- M1-M7 categories
@@ -94,16 +95,15 @@ register("c12_items_wide", with_ctes("select * from items_wide"),
 M1_SQL = """
 select product_category_name, review_simple, total_gross_sale, mean_price, number_products,
        number_products / sum(number_products) over (partition by product_category_name) as percent_notas,
-       total_gross_sale / sum(total_gross_sale) over (partition by product_category_name) as percent_sales
+       cast(total_gross_sale as double) / sum(total_gross_sale) over (partition by product_category_name) as percent_sales
 from (select product_category_name, review_simple, sum(total_price) as total_gross_sale,
-             avg(total_price) as mean_price, count(*) as number_products
+             cast(sum(total_price) as double) / count(total_price) as mean_price, count(*) as number_products
       from selected group by 1, 2) t"""
-M1_ROUND = {"total_gross_sale": MONEY, "mean_price": MONEY, "percent_notas": RATIO, "percent_sales": RATIO}
 
-register("m1_category_class", with_ctes(M1_SQL, DASH), M1_ROUND)(
+register("m1_category_class", with_ctes(M1_SQL, DASH))(
     lambda spark, d: category.category_class_summary(selected(spark, d, DASH)))
 
-register("m1_category_class_script", with_ctes(M1_SQL, SCRIPT), M1_ROUND)(
+register("m1_category_class_script", with_ctes(M1_SQL, SCRIPT))(
     lambda spark, d: category.category_class_summary(selected(spark, d, SCRIPT)))
 
 def _top_sql(n: int) -> str:
@@ -124,13 +124,12 @@ select product_category_name, sum(total_gross_sale) as total_gross_sale,
        cast(sum(number_products) as bigint) as number_products,
        avg(case when review_simple = 'alta' then percent_notas end) as alta,
        avg(case when review_simple = 'baixa' then percent_notas end) as baixa,
-       sum(total_gross_sale) / sum(number_products) as mean_price
+       cast(sum(total_gross_sale) as double) / sum(number_products) as mean_price
 from m1 where product_category_name in (select product_category_name from top)
 group by 1"""
 
 register("m3_category_table",
-         with_ctes(M3_SQL, DASH, extra={"m1": M1_SQL, "top": _top_sql(DASH.top_n)}),
-         {"total_gross_sale": MONEY, "mean_price": MONEY, "alta": RATIO, "baixa": RATIO})(
+         with_ctes(M3_SQL, DASH, extra={"m1": M1_SQL, "top": _top_sql(DASH.top_n)}))(
     lambda spark, d: category.category_table(category.category_class_summary(selected(spark, d, DASH)),
                                              DASH.top_n))
 
@@ -138,16 +137,144 @@ register("m4_share_pivot", with_ctes("""
 select product_category_name,
        max(case when review_simple = 'alta' then percent_notas end) as alta,
        max(case when review_simple = 'baixa' then percent_notas end) as baixa
-from m1 group by 1""", SCRIPT, extra={"m1": M1_SQL}), {"alta": RATIO, "baixa": RATIO})(
+from m1 group by 1""", SCRIPT, extra={"m1": M1_SQL}))(
     lambda spark, d: category.share_pivot(category.category_class_summary(selected(spark, d, SCRIPT))))
 
 register("m5_m7_focus_kpis", with_ctes("""
 select avg(case when review_simple = 'alta' then 1.0 else 0.0 end) as approval,
        sum(total_price) as gross_sales, count(*) as number_products
-from focus""", DASH), {"approval": RATIO, "gross_sales": MONEY})(
+from focus""", DASH))(
     lambda spark, d: category.focus_kpis(focus(spark, d, DASH)))
 
 
+# ---------------------------------------------------------------- M8-M10, G5 baskets
+
+def pct_sql(x: str, accuracy: int = 2) -> str:
+    """DuckDB twin of ``labels.percent`` for integer accuracies."""
+    return (f"cast(cast(round_even({x} * 100.0 / {float(accuracy)}, 0) * {float(accuracy)} as bigint)"
+            f" as varchar) || '%'")
+
+
+ORDER_TOTALS_SQL = """
+select order_id, review_simple, sum(total_price) as total_gross_sale, cast(sum(total_price) as double) / count(total_price) as mean_price,
+       count(*) as number_products
+from focus group by 1, 2"""
+
+register("g5_order_totals", with_ctes("select * from order_totals", SCRIPT,
+                                      extra={"order_totals": ORDER_TOTALS_SQL}))(
+    lambda spark, d: basket.order_totals(focus(spark, d, SCRIPT)))
+
+M8_SQL = """
+select review_simple, bucket_itens, number_products, total_gross_sale,
+       number_products / sum(number_products) over (partition by bucket_itens) as percent_notas,
+       cast(total_gross_sale as double) / sum(total_gross_sale) over (partition by bucket_itens) as percent_notas_gs
+from (select review_simple,
+             case when number_products >= 3 then '3 ou mais' else cast(number_products as varchar) end
+               as bucket_itens,
+             count(*) as number_products, sum(total_gross_sale) as total_gross_sale
+      from order_totals group by 1, 2) t"""
+
+register("m8_basket_buckets", with_ctes(M8_SQL, DASH, extra={"order_totals": ORDER_TOTALS_SQL}))(
+    lambda spark, d: basket.basket_buckets(focus(spark, d, DASH)))
+
+register("m9_basket_histogram", with_ctes(f"""
+select *, {pct_sql("percent_prod")} as percent_prod_p, {pct_sql("percent_prod_gs")} as percent_prod_gs_p
+from (select review_simple, number_products, number_instances, total_gross_sale,
+       number_instances / sum(number_instances) over (partition by number_products) as percent_notas,
+       cast(total_gross_sale as double) / sum(total_gross_sale) over (partition by number_products) as percent_gross_sales,
+       number_instances / sum(number_instances) over (partition by review_simple) as percent_prod,
+       cast(total_gross_sale as double) / sum(total_gross_sale) over (partition by review_simple) as percent_prod_gs
+      from (select review_simple, number_products, count(*) as number_instances,
+                   sum(total_gross_sale) as total_gross_sale
+            from order_totals group by 1, 2) a) b""", DASH, extra={"order_totals": ORDER_TOTALS_SQL}))(
+    lambda spark, d: basket.basket_histogram(focus(spark, d, DASH)))
+
+register("m10_bucket_share", with_ctes("""
+select bucket_itens, number_products, number_products / sum(number_products) over () as percent_prod
+from (select bucket_itens, cast(sum(number_products) as bigint) as number_products from m8 group by 1) t""",
+                                       SCRIPT, extra={"order_totals": ORDER_TOTALS_SQL, "m8": M8_SQL}))(
+    lambda spark, d: basket.bucket_share(basket.basket_buckets(focus(spark, d, SCRIPT))))
+
+# ---------------------------------------------------------------- M11-M16 geography
+
+
+def _state_sql(cls_filter: str | None) -> str:
+    where = f"where review_simple = '{cls_filter}'" if cls_filter else ""
+    return f"""
+select Estado, n_orders, gross_sales, n_orders / sum(n_orders) over () as prop,
+       cast(gross_sales as double) / sum(gross_sales) over () as prop_gross, upper(Estado) as nome,
+       {pct_sql("n_orders / sum(n_orders) over ()")} || ' ' || cast(n_orders as varchar) as label_prod
+from (select Estado, count(*) as n_orders, sum(total_price) as gross_sales from focus {where} group by 1) t"""
+
+
+
+register("m11_state_metrics", with_ctes(_state_sql(None), DASH))(
+    lambda spark, d: geo.state_metrics(focus(spark, d, DASH)))
+register("m12_state_metrics_bad", with_ctes(_state_sql("baixa"), DASH))(
+    lambda spark, d: geo.state_metrics(focus(spark, d, DASH), "baixa"))
+register("m12_state_metrics_good", with_ctes(_state_sql("alta"), DASH))(
+    lambda spark, d: geo.state_metrics(focus(spark, d, DASH), "alta"))
+register("m13_state_map", with_ctes(
+    "select m.nome, m.geometry, s.Estado, s.n_orders, s.gross_sales, s.prop, s.prop_gross, s.label_prod "
+    "from f_state_map m left join st s on s.nome = m.nome",
+    SCRIPT, extra={"f_state_map": fixtures_sql("f_state_map"), "st": _state_sql(None)}))(
+    lambda spark, d: geo.state_map_metrics(fixtures.state_map(spark, d), geo.state_metrics(focus(spark, d, SCRIPT)))
+    .select("nome", "geometry", "Estado", "n_orders", "gross_sales", "prop", "prop_gross", "label_prod"))
+
+register("m14_region_class", with_ctes("""
+select Region, review_simple, number_products,
+       number_products / sum(number_products) over (partition by Region) as percent_notas
+from (select Region, review_simple, count(*) as number_products from focus group by 1, 2) t""", SCRIPT))(
+    lambda spark, d: geo.region_class(focus(spark, d, SCRIPT)))
+
+register("m15_state_class", with_ctes("""
+select customer_state, review_simple, n_orders,
+       n_orders / sum(n_orders) over (partition by customer_state) as prop
+from (select customer_state, review_simple, count(*) as n_orders from focus group by 1, 2) t""", SCRIPT))(
+    lambda spark, d: geo.state_class(focus(spark, d, SCRIPT)))
+
+register("m16_region_counts_open_range", with_ctes("""
+select Region, count(*) as n from items_wide where total_price > 2000.0 and total_price < 90000.0
+group by 1"""))(lambda spark, d: geo.region_counts(wide_table(spark, d), 2000.0, 90000.0, closed=False))
+
+# ---------------------------------------------------------------- M18-M19 payments
+
+M18_SQL = """
+select review_simple, payment_method, n_count, gross_sales,
+       n_count / sum(n_count) over (partition by payment_method) as prop_qnt,
+       cast(gross_sales as double) / sum(gross_sales) over (partition by payment_method) as prop_sales
+from (select review_simple, payment_method, count(*) as n_count, sum(v) as gross_sales
+      from (select review_simple, 'credit_card' as payment_method, credit_card as v from focus
+            union all select review_simple, 'boleto', boleto from focus
+            union all select review_simple, 'voucher', voucher from focus
+            union all select review_simple, 'debit_card', debit_card from focus) u
+      where v is not null group by 1, 2) t"""
+
+register("m18_payment_method_class", with_ctes(M18_SQL, DASH))(
+    lambda spark, d: payment.method_class(focus(spark, d, DASH)))
+
+register("m18_payment_method_class_order_grain", with_ctes(
+    M18_SQL.replace("from focus", "from focus_o"), DASH,
+    extra={"focus_o": "select distinct on (order_id, review_simple) * from focus"}))(
+    lambda spark, d: payment.method_class(focus(spark, d, DASH), grain="order"))
+
+register("m19_payment_mix", with_ctes("""
+select formas, names_to_extend, quantidade_compras,
+       quantidade_compras / sum(quantidade_compras) over () as percent_compras
+from (select cast(formas as varchar) as formas, names_to_extend, count(*) as quantidade_compras
+      from (select (case when credit_card is null then 0 else 1 end) + (case when boleto is null then 0 else 1 end)
+                 + (case when voucher is null then 0 else 1 end) + (case when debit_card is null then 0 else 1 end)
+                   as formas,
+                   unnest(list_filter([case when credit_card is not null then 'credit_card' end,
+                                       case when boleto is not null then 'boleto' end,
+                                       case when voucher is not null then 'voucher' end,
+                                       case when debit_card is not null then 'debit_card' end],
+                                      lambda x: x is not null)) as names_to_extend
+            from items_wide) u
+      group by 1, 2) t"""))(
+    lambda spark, d: payment.payment_mix(wide_table(spark, d)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q.run for name, q in REGISTRY.items()}
 

@@ -12,11 +12,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def ratio(num, den):
+    """Double ratio of two (exact decimal or integer) values; NULL on a zero denominator."""
+    num = F.col(num) if isinstance(num, str) else num
+    den = F.col(den) if isinstance(den, str) else den
+    return F.try_divide(num.cast("double"), den.cast("double"))
+
+
+def mean(c: str):
+    """avg computed as exact sum / count, so it is identical on every engine and partitioning."""
+    return ratio(F.sum(c), F.count(c))
+
+
 def share_within(df: DataFrame, keys, pairs: dict[str, str]) -> DataFrame:
     """``out = x / sum(x) over (partition by keys)`` for each ``out -> x``."""
     w = Window.partitionBy(*keys)
     for out, x in pairs.items():
-        df = df.withColumn(out, F.col(x) / F.sum(x).over(w))
+        df = df.withColumn(out, ratio(F.col(x), F.sum(x).over(w)))
     return df
 
 
@@ -25,7 +37,7 @@ def share_of_total(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
     totals = df.agg(*[F.sum(x).alias(f"_tot_{out}") for out, x in pairs.items()])
     df = df.crossJoin(F.broadcast(totals))
     for out, x in pairs.items():
-        df = df.withColumn(out, F.col(x) / F.col(f"_tot_{out}"))
+        df = df.withColumn(out, ratio(x, f"_tot_{out}"))
     return df.drop(*[f"_tot_{out}" for out in pairs])
 
 

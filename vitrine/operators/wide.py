@@ -70,9 +70,10 @@ def payments_wide(payments: DataFrame) -> DataFrame:
     wide = (payments.filter(F.col("payment_type") != NOT_DEFINED)
             .groupBy("order_id").pivot("payment_type", PAYMENT_TYPES)
             .agg(F.sum("payment_value")))
-    total = F.lit(0.0)
-    for t in PAYMENT_TYPES:
-        total = total + F.coalesce(F.col(t), F.lit(0.0))
+    zero = F.lit(0).cast("decimal(18,2)")
+    total = F.coalesce(F.col(PAYMENT_TYPES[0]), zero)
+    for t in PAYMENT_TYPES[1:]:
+        total = total + F.coalesce(F.col(t), zero)
     return wide.withColumn("total_payment_value", total)
 
 

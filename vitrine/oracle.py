@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from vitrine.params import Params
 
-# FIXTURES.md §2 mapping blocks (stand-in marketplace views).
+# FIXTURES.md §2 mapping blocks (stand-in marketplace views);
+# money columns cast to decimal(18,2) as in ``vitrine.sources.fixtures``.
 VIEWS = {
     "f_orders": """
 select o_orderkey as order_id, o_custkey as customer_id,
@@ -20,13 +21,14 @@ select o_orderkey as order_id, o_custkey as customer_id,
 from orders""",
     "f_order_items": """
 select l_orderkey as order_id, l_linenumber as order_item_id, l_partkey as product_id, l_suppkey as seller_id,
-       l_shipdate as shipping_limit_date, l_extendedprice as price, l_quantity as freight_value
+       l_shipdate as shipping_limit_date, cast(l_extendedprice as decimal(18,2)) as price,
+       cast(l_quantity as decimal(18,2)) as freight_value
 from lineitem""",
     "f_payments": """
 select (event_id * 104729) % (select cast(count(*) * 0.2 as bigint) from orders) as order_id,
        case event_type when 'click' then 'credit_card' when 'view' then 'boleto' when 'purchase' then 'voucher'
                        when 'signup' then 'debit_card' else 'not_defined' end as payment_type,
-       value as payment_value
+       cast(value as decimal(18,2)) as payment_value
 from events""",
     "f_reviews": """
 select event_id as review_id,
@@ -88,8 +90,8 @@ select o.order_id, o.customer_id, o.order_status, o.order_purchase_timestamp,
        r.review_id, r.review_score, r.review_creation_date, r.review_answer_timestamp,
        p.credit_card, p.boleto, p.voucher, p.debit_card,
        case when p.order_id is null then null else
-         0.0 + coalesce(p.credit_card, 0.0) + coalesce(p.boleto, 0.0) + coalesce(p.voucher, 0.0)
-             + coalesce(p.debit_card, 0.0) end as total_payment_value,
+         coalesce(p.credit_card, 0) + coalesce(p.boleto, 0) + coalesce(p.voucher, 0)
+             + coalesce(p.debit_card, 0) end as total_payment_value,
        pr.product_category_name, pr.product_photos_qty, pr.product_description_lenght,
        c.customer_state, s.Estado, s.Region
 from f_orders o

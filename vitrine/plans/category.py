@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.classify import BAD, GOOD
-from vitrine.operators.share import share_within, top_n_with_ties
+from vitrine.operators.share import mean, ratio, share_within, top_n_with_ties
 
 CAT, CLS = "product_category_name", "review_simple"
 
@@ -15,7 +15,7 @@ def category_class_summary(sel: DataFrame) -> DataFrame:
     """M1: per (category, class) gross sales, mean price, item count, shares within category."""
     agg = sel.groupBy(CAT, CLS).agg(
         F.sum("total_price").alias("total_gross_sale"),
-        F.avg("total_price").alias("mean_price"),
+        mean("total_price").alias("mean_price"),
         F.count(F.lit(1)).alias("number_products"))
     return share_within(agg, [CAT], {"percent_notas": "number_products",
                                      "percent_sales": "total_gross_sale"})
@@ -40,7 +40,7 @@ def category_table(m1: DataFrame, n: int, drop_null_first: bool = True) -> DataF
         F.sum("number_products").alias("number_products"),
         F.avg(F.when(F.col(CLS) == GOOD, F.col("percent_notas"))).alias(GOOD),
         F.avg(F.when(F.col(CLS) == BAD, F.col("percent_notas"))).alias(BAD))
-        .withColumn("mean_price", F.col("total_gross_sale") / F.col("number_products"))
+        .withColumn("mean_price", ratio("total_gross_sale", "number_products"))
         .orderBy(F.desc("number_products")))
 
 

@@ -16,6 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Money is exact: decimal(18,2) sums are deterministic under any partitioning
+# (double sums change with shuffle order) and identical in every engine.
+MONEY = "decimal(18,2)"
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -41,8 +46,8 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
         F.col("l_shipdate").alias("shipping_limit_date"),
-        F.col("l_extendedprice").alias("price"),
-        F.col("l_quantity").alias("freight_value"),
+        F.col("l_extendedprice").cast(MONEY).alias("price"),
+        F.col("l_quantity").cast(MONEY).alias("freight_value"),
     )
 
 
@@ -61,7 +66,7 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
             .crossJoin(F.broadcast(modulus))
             .select(((F.col("event_id") * F.lit(104729)) % F.col("_mod")).alias("order_id"),
                     ptype.alias("payment_type"),
-                    F.col("value").alias("payment_value")))
+                    F.col("value").cast(MONEY).alias("payment_value")))
 
 
 def _day_plus(ts: Column, days: Column) -> Column:
