@@ -19,7 +19,7 @@ from vitrine.functions import classify
 from vitrine.oracle import VIEWS, with_ctes
 from vitrine.operators import wide as W
 from vitrine.params import Params
-from vitrine.plans import basket, category, geo, payment
+from vitrine.plans import basket, category, geo, listing, payment, price, whatif
 from vitrine.sources import fixtures
 
 # Stand-in parameters (FIXTURES.md §2): focus = PROMO + SMALL merged into
@@ -275,6 +275,170 @@ from (select cast(formas as varchar) as formas, names_to_extend, count(*) as qua
     lambda spark, d: payment.payment_mix(wide_table(spark, d)))
 
 
+# ---------------------------------------------------------------- W4/Q1/Q2 n-tiles, M17, M20-M22
+
+
+def ntile_sql(value: str, labels, order=("order_id", "order_item_id", "review_id"), src: str = "focus",
+              out: str = "label", extra_n: int = 0) -> str:
+    """Reference n-tile rule with a global row_number (oracle only)."""
+    n = len(labels)
+    q = (f"(10000 * (row_number() over (order by {value}, {', '.join(order)}) - 1)) "
+         f"// (count({value}) over () + {extra_n}) + 1")
+    cases = " ".join(f"when {n} * _q < {10000 * (k + 1)} then '{lab}'" for k, lab in enumerate(labels[:-1]))
+    return (f"select * exclude (_q), case when {value} is null then null {cases} else '{labels[-1]}' end as {out}"
+            f" from (select *, case when {value} is null then null else {q} end as _q from {src}) t")
+
+
+PHOTO_SQL = ("case when product_photos_qty = 1 then '1' when product_photos_qty between 2 and 3 then '2-3' "
+             "when product_photos_qty between 4 and 5 then '4-5' when product_photos_qty >= 6 then '6+' end")
+SOL_CTES = {"sol": f"select *, {PHOTO_SQL} as bucket_photos from ("
+                   + ntile_sql("product_description_lenght", listing.SEXTILES, out="quantil_desc") + ") s"}
+
+
+def solution(spark, d, p: Params) -> DataFrame:
+    return listing.with_listing_cells(focus(spark, d, p))
+
+
+register("m17_price_quartile_class", with_ctes("""
+select score, review_simple, n_orders, gross_sales, min_order, max_order,
+       n_orders / sum(n_orders) over (partition by score) as prop,
+       cast(gross_sales as double) / sum(gross_sales) over (partition by score) as prop_sales
+from (select score, review_simple, count(*) as n_orders, sum(total_price) as gross_sales,
+             min(total_price) as min_order, max(total_price) as max_order
+      from scored group by 1, 2) t""", DASH,
+    extra={"scored": ntile_sql("total_price", price.QUARTILES, out="score")}))(
+    lambda spark, d: price.quartile_class(focus(spark, d, DASH)))
+
+register("m17_price_quartile_class_script", with_ctes("""
+select score, review_simple, n_orders, gross_sales, min_order, max_order,
+       n_orders / sum(n_orders) over (partition by score) as prop,
+       cast(gross_sales as double) / sum(gross_sales) over (partition by score) as prop_sales
+from (select score, review_simple, count(*) as n_orders, sum(total_price) as gross_sales,
+             min(total_price) as min_order, max(total_price) as max_order
+      from scored group by 1, 2) t""", SCRIPT,
+    extra={"scored": ntile_sql("total_price", price.QUARTILES, out="score")}))(
+    lambda spark, d: price.quartile_class(focus(spark, d, SCRIPT)))
+
+register("q2_description_sextiles", with_ctes(
+    "select order_id, order_item_id, review_id, product_description_lenght, quantil_desc, bucket_photos from sol",
+    DASH, extra=SOL_CTES))(
+    lambda spark, d: solution(spark, d, DASH).select(
+        "order_id", "order_item_id", "review_id", "product_description_lenght", "quantil_desc", "bucket_photos"))
+
+register("m20_photos_class", with_ctes("""
+select bucket_photos, review_simple, total_gross_sale, mean_price, number_products,
+       number_products / sum(number_products) over (partition by bucket_photos) as percent_notas,
+       cast(total_gross_sale as double) / sum(total_gross_sale) over (partition by bucket_photos) as percent_sales
+from (select bucket_photos, review_simple, sum(total_price) as total_gross_sale,
+             cast(sum(total_price) as double) / count(total_price) as mean_price, count(*) as number_products
+      from sol group by 1, 2) t""", DASH, extra=SOL_CTES))(
+    lambda spark, d: listing.photos_class(solution(spark, d, DASH)))
+
+register("m21_sextile_class", with_ctes("""
+select quantil_desc, review_simple, total_gross_sale, mean_price, number_products,
+       min_caracters_desc, max_caracters_desc,
+       number_products / sum(number_products) over (partition by quantil_desc) as percent_notas,
+       cast(total_gross_sale as double) / sum(total_gross_sale) over (partition by quantil_desc) as percent_sales
+from (select quantil_desc, review_simple, sum(total_price) as total_gross_sale,
+             cast(sum(total_price) as double) / count(total_price) as mean_price, count(*) as number_products,
+             min(product_description_lenght) as min_caracters_desc,
+             max(product_description_lenght) as max_caracters_desc
+      from sol group by 1, 2) t""", DASH, extra=SOL_CTES))(
+    lambda spark, d: listing.sextile_class(solution(spark, d, DASH)))
+
+M22_SQL = """
+select bucket_photos, quantil_desc, sum(total_price) as gross_sales1, count(*) as total_number_products,
+       cast(sum(case when review_simple = 'alta' then 1 else 0 end) as double) / count(*) as prop_quantity,
+       cast(sum(case when review_simple = 'alta' then total_price else 0 end) as double)
+         / cast(sum(total_price) as double) as prop_sales,
+       cast(sum(product_description_lenght) as double) / count(*) as mean_caracters_desc,
+       min(product_description_lenght) + 1 as min_caracters_desc,
+       max(product_description_lenght) as max_caracters_desc
+from sol group by 1, 2"""
+
+register("m22_cell_table", with_ctes(M22_SQL, DASH, extra=SOL_CTES))(
+    lambda spark, d: listing.cell_table(solution(spark, d, DASH)))
+
+# ---------------------------------------------------------------- X1-X6 what-if
+
+
+def _whatif_spark(spark, d, p: Params) -> DataFrame:
+    sol = solution(spark, d, p)
+    return whatif.recommend(sol, listing.cell_table(sol), fixtures.scenarios(spark))
+
+
+def _sextile_case(q: str) -> str:
+    labels = listing.SEXTILES
+    cases = " ".join(f"when 6 * {q} < {10000 * (k + 1)} then '{lab}'" for k, lab in enumerate(labels[:-1]))
+    return f"case when {q} is null then null {cases} else '{labels[-1]}' end"
+
+
+def _pct_sql(x: str) -> str:
+    return f"cast(cast(round_even({x} * 100.0, 0) as bigint) as varchar) || '%'"
+
+
+def _reais_sql(x: str) -> str:
+    body = (f"case when round_even({x}, 2) = round({x}, 0) then format('{{:,.0f}}', abs({x})) "
+            f"else format('{{:,.2f}}', abs({x})) end")
+    return f"(case when {x} < 0 then '-' else '' end) || 'R$' || translate({body}, ',.', '.,')"
+
+
+def _na_sql(x: str) -> str:
+    return f"coalesce(cast({x} as varchar), 'NA')"
+
+
+WHATIF_SQL = f"""
+select *,
+  'Você está usando ' || {_na_sql('bucket_photos')} || ' fotos e seu anúncio se encaixa no ' || {_na_sql('quantil_desc')}
+    || ' quantil em termos de caracteres, sua aprovação estimada é de ' || {_na_sql(_pct_sql('sim_prop_quantity'))}
+    as current_situation_quantity,
+  'Você deveria usar ' || {_na_sql('best_bucket_photos')} || ' fotos e manter a descrição do produto entre '
+    || {_na_sql('best_min_caracters_desc')} || ' e ' || {_na_sql('best_max_caracters_desc')}
+    || ' caracteres podendo aumentar sua aprovação para ' || {_na_sql(_pct_sql('best_prop_quantity'))}
+    || ' um aumento de ' || {_na_sql(_pct_sql('increase_quantity'))}
+    || ' reduzindo o seu custo por produto em até ' || {_na_sql(_reais_sql('freight_gain_quantity'))}
+    as possible_situation_quantity,
+  'Você está usando ' || {_na_sql('bucket_photos')} || ' fotos e seu anúncio se encaixa no ' || {_na_sql('quantil_desc')}
+    || ' quantil em termos de caracteres, sua aprovação estimada é de ' || {_na_sql(_pct_sql('sim_prop_sales'))}
+    as current_situation_sales,
+  'Você deveria usar ' || {_na_sql('best_sales_bucket_photos')} || ' fotos e manter a descrição do produto entre '
+    || {_na_sql('best_sales_min_caracters_desc')} || ' e ' || {_na_sql('best_sales_max_caracters_desc')}
+    || ' caracteres podendo aumentar sua aprovação para ' || {_na_sql(_pct_sql('best_prop_sales'))}
+    || ' um aumento de ' || {_na_sql(_pct_sql('increase_sales'))}
+    || ' reduzindo o seu custo por produto em até ' || {_na_sql(_reais_sql('freight_gain_sales'))}
+    as possible_situation_sales
+from (
+  select *, frete * 2 * increase_quantity as freight_gain_quantity, frete * 2 * increase_sales as freight_gain_sales
+  from (
+    select pl.scenario_id, pl.fotos, pl.caracteres, pl.frete, pl.quantil_desc, pl.bucket_photos,
+           c.prop_quantity as sim_prop_quantity, c.prop_sales as sim_prop_sales,
+           bq.bucket_photos as best_bucket_photos, bq.quantil_desc as best_quantil_desc,
+           bq.min_caracters_desc as best_min_caracters_desc, bq.max_caracters_desc as best_max_caracters_desc,
+           bq.prop_quantity as best_prop_quantity,
+           bs.bucket_photos as best_sales_bucket_photos, bs.quantil_desc as best_sales_quantil_desc,
+           bs.min_caracters_desc as best_sales_min_caracters_desc,
+           bs.max_caracters_desc as best_sales_max_caracters_desc, bs.prop_sales as best_prop_sales,
+           case when c.prop_quantity = 0 then null
+                else (bq.prop_quantity - c.prop_quantity) / c.prop_quantity end as increase_quantity,
+           case when c.prop_sales = 0 then null
+                else (bs.prop_sales - c.prop_sales) / c.prop_sales end as increase_sales
+    from (select s.*, {_sextile_case('s._q')} as quantil_desc,
+                 {PHOTO_SQL.replace('product_photos_qty', 's.fotos')} as bucket_photos
+          from (select *, case when caracteres is null then null else
+                  (10000 * ((select count(*) from sol where product_description_lenght <= f.caracteres)))
+                  // ((select count(product_description_lenght) from sol) + 1) + 1 end as _q
+                from f_scenarios f) s) pl
+    left join cells c on c.bucket_photos = pl.bucket_photos and c.quantil_desc = pl.quantil_desc
+    cross join (select * from cells order by prop_quantity desc nulls last, bucket_photos nulls last,
+                quantil_desc nulls last limit 1) bq
+    cross join (select * from cells order by prop_sales desc nulls last, bucket_photos nulls last,
+                quantil_desc nulls last limit 1) bs) a) b"""
+
+register("x1_x6_whatif", with_ctes(WHATIF_SQL, DASH,
+                                   extra={**SOL_CTES, "cells": M22_SQL, "f_scenarios": fixtures_sql("f_scenarios")}))(
+    lambda spark, d: _whatif_spark(spark, d, DASH))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q.run for name, q in REGISTRY.items()}
 
