@@ -19,7 +19,7 @@ from vitrine.functions import classify
 from vitrine.oracle import VIEWS, with_ctes
 from vitrine.operators import wide as W
 from vitrine.params import Params
-from vitrine.plans import basket, category, geo, listing, payment, price, whatif
+from vitrine.plans import basket, category, geo, listing, payment, price, profile, text, whatif
 from vitrine.sources import fixtures
 
 # Stand-in parameters (FIXTURES.md §2): focus = PROMO + SMALL merged into
@@ -439,6 +439,250 @@ register("x1_x6_whatif", with_ctes(WHATIF_SQL, DASH,
     lambda spark, d: _whatif_spark(spark, d, DASH))
 
 
+# ---------------------------------------------------------------- G8, G16-G18 price statistics
+
+register("g8_order_total_quantiles", with_ctes("""
+select quantile_cont(cast(total_gross_sale as double), 0.25) as first_quantile,
+       quantile_cont(cast(total_gross_sale as double), 0.5) as second_quantile,
+       quantile_cont(cast(total_gross_sale as double), 0.75) as third_quantile
+from order_totals""", SCRIPT, extra={"order_totals": ORDER_TOTALS_SQL}))(
+    lambda spark, d: price.price_quantiles(basket.order_totals(focus(spark, d, SCRIPT)), "total_gross_sale"))
+
+register("g16_box_stats", with_ctes("""
+select q.review_simple, w.n, w.ymin, q.lower, q.middle, q.upper, w.ymax, w.n_outliers
+from (select review_simple, quantile_cont(cast(total_price as double), 0.25) as lower,
+             quantile_cont(cast(total_price as double), 0.5) as middle,
+             quantile_cont(cast(total_price as double), 0.75) as upper
+      from focus group by 1) q
+join (select f.review_simple, count(*) as n,
+             min(case when x >= fl and x <= fh then x end) as ymin,
+             max(case when x >= fl and x <= fh then x end) as ymax,
+             sum(case when x >= fl and x <= fh then 0 else 1 end) as n_outliers
+      from (select review_simple, cast(total_price as double) as x from focus) f
+      join (select review_simple,
+                   quantile_cont(cast(total_price as double), 0.25)
+                     - 1.5 * (quantile_cont(cast(total_price as double), 0.75)
+                              - quantile_cont(cast(total_price as double), 0.25)) as fl,
+                   quantile_cont(cast(total_price as double), 0.75)
+                     + 1.5 * (quantile_cont(cast(total_price as double), 0.75)
+                              - quantile_cont(cast(total_price as double), 0.25)) as fh
+            from focus group by 1) b on b.review_simple = f.review_simple
+      group by 1) w on w.review_simple = q.review_simple""", DASH))(
+    lambda spark, d: price.box_stats(focus(spark, d, DASH)))
+
+C9_VIEWS = ["f_orders", "f_order_items", "f_payments", "f_reviews", "f_products", "f_customers", "f_sellers"]
+C9_SQL = """
+select * from f_orders left join f_order_items using (order_id)
+full outer join f_payments using (order_id)
+full outer join f_reviews using (order_id)
+full outer join f_products using (product_id)
+full outer join f_customers using (customer_id)
+full outer join f_sellers using (seller_id)"""
+C9_COLUMNS = ["order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_item_id",
+              "product_id", "seller_id", "shipping_limit_date", "price", "freight_value", "payment_type",
+              "payment_value", "review_id", "review_score", "review_creation_date", "review_answer_timestamp",
+              "product_category_name", "product_photos_qty", "product_description_lenght", "customer_state",
+              "seller_state"]
+
+
+def c9_sql(body: str, extra: dict | None = None) -> str:
+    return with_ctes(body, views=C9_VIEWS, wide=False, extra={"c9": C9_SQL, **(extra or {})})
+
+
+def c9(spark, d) -> DataFrame:
+    return profile.full_outer_wide(_tables(spark, d)).select(*C9_COLUMNS)
+
+
+HIST_BINS = 50
+_complete = " and ".join(f"{c} is not null" for c in C9_COLUMNS)
+register("g17_price_histogram", c9_sql(f"""
+select bin, _lo + bin * (_hi - _lo) / {HIST_BINS} as bin_lo, _lo + (bin + 1) * (_hi - _lo) / {HIST_BINS} as bin_hi,
+       count(*) as count
+from (select _lo, _hi, cast(case when _hi - _lo > 0 then least(floor((x - _lo) / ((_hi - _lo) / {float(HIST_BINS)})),
+                                                      {HIST_BINS - 1}) else 0 end as int) as bin
+      from (select cast(price as double) as x from c9 where {_complete}) v
+      cross join (select min(cast(price as double)) as _lo, max(cast(price as double)) as _hi
+                  from c9 where {_complete}) b) t
+group by bin, _lo, _hi"""))(
+    lambda spark, d: price.histogram(c9(spark, d).na.drop("any"), "price", HIST_BINS))
+
+# ---------------------------------------------------------------- profiles, checks
+
+register("g1_order_status_counts", with_ctes(
+    "select order_status, count(*) as n from f_orders group by 1", views=["f_orders"], wide=False))(
+    lambda spark, d: profile.group_counts(fixtures.orders(spark, d), "order_status"))
+
+OI_ALL = ("select o.*, i.order_item_id, i.product_id, i.seller_id, i.shipping_limit_date, i.price, "
+          "i.freight_value, i.price + i.freight_value as total_price "
+          "from f_orders o join f_order_items i on i.order_id = o.order_id")
+
+
+def orders_items_all(spark, d) -> DataFrame:
+    t = _tables(spark, d)
+    return W.orders_items(t.orders, t.order_items, statuses=None)
+
+
+register("g1_item_position_counts", with_ctes(
+    "select order_item_id, count(*) as n from oi group by 1", views=["f_orders", "f_order_items"], wide=False,
+    extra={"oi": OI_ALL}))(
+    lambda spark, d: profile.group_counts(orders_items_all(spark, d), "order_item_id"))
+
+register("g6_status_class_counts", with_ctes("""
+select review_simple, order_status, count(*) as n from (
+  select *, case when review_score in (1, 2, 3) then 'baixa' when review_score in (4, 5) then 'alta' end
+              as review_simple from items_wide) t
+where review_simple is not null and order_status <> 'delivered' group by 1, 2""", statuses=None))(
+    lambda spark, d: profile.status_class_counts(wide_table(spark, d, statuses=None)))
+
+register("g7_distinct_ship_dates", with_ctes(
+    "select order_id, seller_id, count(distinct shipping_limit_date) as n_dates from f_order_items group by 1, 2",
+    views=["f_order_items"], wide=False))(
+    lambda spark, d: profile.distinct_per_group(fixtures.order_items(spark, d), ["order_id", "seller_id"],
+                                                "shipping_limit_date", "n_dates"))
+
+register("w6_sellers_per_order_attached", with_ctes("""
+select i.order_id, i.order_item_id, i.seller_id, s.n_sellers
+from f_order_items i join (select order_id, count(distinct seller_id) as n_sellers from f_order_items group by 1) s
+  on s.order_id = i.order_id""", views=["f_order_items"], wide=False))(
+    lambda spark, d: profile.attach_distinct(fixtures.order_items(spark, d), ["order_id"], "seller_id",
+                                             "n_sellers").select("order_id", "order_item_id", "seller_id",
+                                                                 "n_sellers"))
+
+register("b16_duplicated_review_orders", with_ctes("""
+select r.review_id, r.order_id, r.review_score, c.n
+from f_reviews r join (select order_id, count(*) as n from f_reviews group by 1 having count(*) > 1) c
+  on c.order_id = r.order_id""", views=["f_reviews"], wide=False))(
+    lambda spark, d: profile.duplicated_keys(fixtures.reviews(spark, d), "order_id")
+    .select("review_id", "order_id", "review_score", "n"))
+
+register("c8_items_without_review", with_ctes("""
+select order_id, order_item_id from oi where order_id not in (select order_id from f_reviews where order_id is not null)""",
+    views=["f_orders", "f_order_items", "f_reviews"], wide=False, extra={"oi": OI_ALL}))(
+    lambda spark, d: profile.without_match(orders_items_all(spark, d), fixtures.reviews(spark, d), "order_id")
+    .select("order_id", "order_item_id"))
+
+register("c9_full_outer_wide", c9_sql("select * from c9"))(c9)
+
+register("g9_numeric_profile_items", with_ctes("""
+select column_name, cast(sum(case when v is null then 1 else 0 end) as bigint) as n_missing,
+       cast(count(v) as double) / cast(count(*) as double) as complete_rate,
+       cast(sum(v) as double) / cast(count(v) as double) as mean,
+       sqrt((cast(sum(v * v) as double) - cast(sum(v) as double) * cast(sum(v) as double) / cast(count(v) as double))
+            / (cast(count(v) as double) - 1)) as sd,
+       quantile_cont(cast(v as double), 0.0) as p0, quantile_cont(cast(v as double), 0.25) as p25,
+       quantile_cont(cast(v as double), 0.5) as p50, quantile_cont(cast(v as double), 0.75) as p75,
+       quantile_cont(cast(v as double), 1.0) as p100
+from (select 'order_item_id' as column_name, cast(order_item_id as decimal(38,6)) as v from oi
+      union all select 'price', cast(price as decimal(38,6)) from oi
+      union all select 'freight_value', cast(freight_value as decimal(38,6)) from oi
+      union all select 'total_price', cast(total_price as decimal(38,6)) from oi) l
+group by 1""", views=["f_orders", "f_order_items"], wide=False, extra={"oi": OI_ALL}))(
+    lambda spark, d: profile.numeric_profile(orders_items_all(spark, d),
+                                             ["order_item_id", "price", "freight_value", "total_price"]))
+
+register("g10_order_frequencies", with_ctes("""
+select column_name, count(distinct v) as unique_values, cast(sum(case when v is null then 1 else 0 end) as bigint) as missing
+from (select 'order_id' as column_name, cast(order_id as varchar) as v from f_orders
+      union all select 'customer_id', cast(customer_id as varchar) from f_orders
+      union all select 'order_status', order_status from f_orders
+      union all select 'order_purchase_timestamp', cast(order_purchase_timestamp as varchar) from f_orders) l
+group by 1""", views=["f_orders"], wide=False))(
+    lambda spark, d: profile.frequencies(fixtures.orders(spark, d)))
+
+register("g11_payment_type_counts", c9_sql("""
+select payment_type, count, 100.0 * (cast(count as double) / sum(count) over ()) as percent
+from (select payment_type, count(*) as count from c9 where payment_type is not null group by 1) t"""))(
+    lambda spark, d: profile.value_counts(c9(spark, d), "payment_type"))
+
+register("g11_review_score_counts", c9_sql("""
+select review_score, count, 100.0 * (cast(count as double) / sum(count) over ()) as percent
+from (select review_score, count(*) as count from c9 where review_score is not null group by 1) t"""))(
+    lambda spark, d: profile.value_counts(c9(spark, d), "review_score"))
+
+register("g12_payment_type_shares", c9_sql("""
+select payment_type, count, cast(count as double) / sum(count) over () as share
+from (select payment_type, count, row_number() over (order by count asc, payment_type desc) as rn
+      from (select payment_type, count(*) as count from c9 where payment_type is not null group by 1) a) t
+where rn > 1"""))(
+    lambda spark, d: profile.shares_without_rare(c9(spark, d), "payment_type", 1))
+
+register("g13_price_by_year_weekday", c9_sql("""
+select year(order_purchase_timestamp) as order_purchase_year,
+       isodow(order_purchase_timestamp) - 1 as order_purchase_dayofweek,
+       cast(sum(price) as double) / cast(count(price) as double) as price,
+       (['Seg', 'Ter', 'Qua', 'Qui', 'Sex', 'Sab', 'Dom'])[isodow(order_purchase_timestamp)] as weekday_name
+from c9 where order_purchase_timestamp is not null group by 1, 2, 4"""))(
+    lambda spark, d: profile.mean_by_year_weekday(c9(spark, d)))
+
+CORR_COLS = ["order_item_id", "price", "freight_value", "payment_value", "review_score", "product_photos_qty",
+             "product_description_lenght"]
+
+
+def _corr_sql() -> str:
+    parts = []
+    for i, a in enumerate(CORR_COLS):
+        for b in CORR_COLS[i:]:
+            both = f"{a} is not null and {b} is not null"
+            n = f"cast(count(case when {both} then 1 end) as double)"
+            sa = f"cast(sum(case when {both} then {a} end) as double)"
+            sb = f"cast(sum(case when {both} then {b} end) as double)"
+            saa = f"cast(sum(case when {both} then {a} * {a} end) as double)"
+            sbb = f"cast(sum(case when {both} then {b} * {b} end) as double)"
+            sab = f"cast(sum(case when {both} then {a} * {b} end) as double)"
+            den = f"sqrt(({n} * {saa} - {sa} * {sa}) * ({n} * {sbb} - {sb} * {sb}))"
+            r = f"case when {den} = 0 then null else ({n} * {sab} - {sa} * {sb}) / {den} end"
+            parts.append(f"select '{a}' as col_a, '{b}' as col_b, {r} as corr from c9")
+            if a != b:
+                parts.append(f"select '{b}' as col_a, '{a}' as col_b, {r} as corr from c9")
+    return ("select *, round_even(corr, 2) as corr_rounded from (\n" + "\nunion all ".join(parts) + ") t")
+
+
+register("g15_correlation_matrix", c9_sql(_corr_sql()))(
+    lambda spark, d: profile.correlation_matrix(c9(spark, d), CORR_COLS))
+
+# ---------------------------------------------------------------- N1-N5 text
+
+STOP_SQL = "select unnest([" + ", ".join(f"'{w}'" for w in sorted(set(text.EXTRA_STOP_WORDS))) + "]) as word"
+WS_SQL = text.WHITESPACE
+WORDS_SQL = f"""
+select word, count(*) as count from (
+  select unnest(regexp_extract_all(token, '({text.WORD})', 1)) as word from (
+    select token from (
+      select unnest(regexp_split_to_array(m, '{WS_SQL}')) as token from (
+        select translate(replace(lower(review_comment_message), chr(10), ' '), ',.?:!', '') as m
+        from f_bad_messages where review_comment_message is not null) a) b
+    where token <> '' and not starts_with(token, 'http') and token not in (select word from stops)) c) d
+group by 1"""
+
+
+def _word_counts(spark, d) -> DataFrame:
+    return text.word_counts(fixtures.bad_messages(spark, d), text.stop_words(spark))
+
+
+register("n3_word_counts", with_ctes(WORDS_SQL, views=["f_bad_messages"], wide=False,
+                                     extra={"stops": STOP_SQL}))(_word_counts)
+
+register("n4_top_words", with_ctes("select * from wc order by count desc, word asc limit 100",
+                                   views=["f_bad_messages"], wide=False,
+                                   extra={"stops": STOP_SQL, "wc": WORDS_SQL}))(
+    lambda spark, d: text.top_words(_word_counts(spark, d), 100))
+
+
+def _c9_with_messages(spark, d) -> DataFrame:
+    return c9(spark, d).join(fixtures.bad_messages(spark, d), "review_id", "left")
+
+
+register("n5_bad_reviews", c9_sql(
+    "select " + ", ".join(c for c in text.BAD_REVIEW_COLUMNS if c in C9_COLUMNS + ["review_comment_message"])
+    + " from c9 left join f_bad_messages using (review_id) where review_score < 4",
+    extra={"f_bad_messages": fixtures_sql("f_bad_messages")}))(
+    lambda spark, d: text.bad_reviews(_c9_with_messages(spark, d)))
+
+# random sample: rows-only check
+register("n5_bad_review_sample", None)(
+    lambda spark, d: text.complete_sample(text.bad_reviews(_c9_with_messages(spark, d)), 250))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q.run for name, q in REGISTRY.items()}
 
