@@ -34,16 +34,22 @@ def latest_reviews(reviews: DataFrame, mode: str = "both_max", strict_na: bool =
     on different rows keeps no review at all.  ``one_row`` keeps exactly one
     row per order (latest creation, then latest answer, then highest id).
 
-    Written as a partial aggregate + semi join rather than a window, so one hot
-    order never has to be sorted inside one task.
+    Written as a partial aggregate joined back on ``order_id`` alone (then a
+    filter) rather than a window: one hot order is never sorted inside one task
+    (AQE splits a skewed join partition), and the result stays hash-partitioned
+    on order_id, so the joins to items and payments need no further shuffle.
     """
     if mode == "both_max":
         agg = _strict_max if strict_na else F.max
         maxima = reviews.groupBy("order_id").agg(
-            agg("review_creation_date").alias("review_creation_date"),
-            agg("review_answer_timestamp").alias("review_answer_timestamp"))
-        return reviews.join(maxima, ["order_id", "review_creation_date", "review_answer_timestamp"],
-                            "left_semi")
+            agg("review_creation_date").alias("_max_created"),
+            agg("review_answer_timestamp").alias("_max_answered"))
+        # x >= max(x) is x == max(x); written as >= so the optimizer does not turn
+        # it into extra equi-join keys (which would re-hash on the dates)
+        return (reviews.join(maxima, "order_id")
+                .filter((F.col("review_creation_date") >= F.col("_max_created"))
+                        & (F.col("review_answer_timestamp") >= F.col("_max_answered")))
+                .drop("_max_created", "_max_answered"))
     if mode == "one_row":
         best = reviews.groupBy("order_id").agg(
             F.max(F.struct("review_creation_date", "review_answer_timestamp", "review_id"))
@@ -64,12 +70,15 @@ def payments_per_type(payments: DataFrame) -> DataFrame:
 def payments_wide(payments: DataFrame) -> DataFrame:
     """G3 + G4: one row per order, one column per method, plus the row total.
 
-    The pivot uses a fixed value list, so it is one hash aggregate with
-    conditional sums (no extra job to discover the values).
+    Written as conditional sums over a fixed value list: one aggregate keyed on
+    order_id only (``pivot`` would first shuffle on (order_id, type) and then
+    again on order_id).  Sums are exact decimals, so summing per (order, type)
+    first, as the reference does, gives the same values.
     """
     wide = (payments.filter(F.col("payment_type") != NOT_DEFINED)
-            .groupBy("order_id").pivot("payment_type", PAYMENT_TYPES)
-            .agg(F.sum("payment_value")))
+            .groupBy("order_id")
+            .agg(*[F.sum(F.when(F.col("payment_type") == t, F.col("payment_value"))).alias(t)
+                   for t in PAYMENT_TYPES]))
     zero = F.lit(0).cast("decimal(18,2)")
     total = F.coalesce(F.col(PAYMENT_TYPES[0]), zero)
     for t in PAYMENT_TYPES[1:]:

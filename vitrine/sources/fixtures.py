@@ -119,7 +119,7 @@ def sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _read(spark, sf_dir, "nation")
     r = _read(spark, sf_dir, "region")
-    return (n.join(r, n.n_regionkey == r.r_regionkey)
+    return (n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
             .select(F.col("n_name").alias("Sigla"), F.lower("n_name").alias("Estado"),
                     F.col("r_name").alias("Region")))
 
