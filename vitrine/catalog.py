@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import classify
 from vitrine.oracle import VIEWS, with_ctes
 from vitrine.operators import wide as W
+from vitrine.operators.lineage import materialize
 from vitrine.params import Params
 from vitrine.plans import basket, category, geo, listing, payment, price, profile, text, whatif
 from vitrine.sources import fixtures
@@ -68,8 +69,24 @@ def _tables(spark, sf_dir):
     return fixtures.load(spark, sf_dir)
 
 
+# Base tables are built once per (application, folder) and shared by every
+# metric, as the reference builds its item table once for all dashboard
+# sessions.  They are written to the reliable checkpoint folder, which cuts the
+# 7-table join lineage and survives executor loss.
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def shared(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    k = (spark.sparkContext.applicationId, *key)
+    if k not in _SHARED:
+        _SHARED[k] = materialize(build())
+    return _SHARED[k]
+
+
 def wide_table(spark, sf_dir, statuses=("delivered",)) -> DataFrame:
-    return W.items_wide(_tables(spark, sf_dir), statuses=statuses)
+    st = tuple(statuses) if statuses is not None else None
+    return shared(spark, ("items_wide", sf_dir, st),
+                  lambda: W.items_wide(_tables(spark, sf_dir), statuses=statuses))
 
 
 def selected(spark, sf_dir, p: Params) -> DataFrame:
@@ -490,7 +507,7 @@ def c9_sql(body: str, extra: dict | None = None) -> str:
 
 
 def c9(spark, d) -> DataFrame:
-    return profile.full_outer_wide(_tables(spark, d)).select(*C9_COLUMNS)
+    return shared(spark, ("c9", d), lambda: profile.full_outer_wide(_tables(spark, d)).select(*C9_COLUMNS))
 
 
 HIST_BINS = 50

@@ -1,20 +1,27 @@
 """Lineage cuts.
 
-Iterative operators (the multi-level rank) re-use their input several times;
-without a cut the logical plan grows multiplicatively and a lost executor
-forces a recompute from the sources.  ``materialize`` writes the DataFrame to
-the session's reliable checkpoint folder (``spark.checkpoint.dir``, a shared
-path on a cluster) and returns a DataFrame that reads it back.  Never a
-local checkpoint: executors can be lost at any time.
+Iterative operators (the multi-level rank) and shared base tables are read
+several times; without a cut the logical plan grows with every reuse and a lost
+executor forces a recompute from the sources.  ``materialize`` writes the
+DataFrame as Parquet under the session's reliable checkpoint folder
+(``spark.checkpoint.dir``: a shared path on a cluster) and returns a DataFrame
+reading it back -- columnar, so later reads get column pruning and filter
+pushdown, unlike an RDD checkpoint.  Never a local checkpoint: executors can
+be lost at any time.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from vitrine.session import ensure_checkpoint_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/vitrine-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)

@@ -98,12 +98,14 @@ def label_from_index(idx: Column, labels: Sequence[str]) -> Column:
 
 def ntile_labels(df: DataFrame, value: str, tie_break: Sequence[str], labels: Sequence[str], out: str,
                  part: Sequence[str] = (), precision: int = 4, blocks: int = 1024,
-                 with_index: str | None = None) -> DataFrame:
+                 with_index: str | None = None, checkpoint_output: bool = False) -> DataFrame:
     """Label each row by the n-tile (n = len(labels)) of its exact rank of ``value``.
 
     NULL values get a NULL label and do not count in N (trap S3).  ``part``
     ranks independently within groups (none in the reference; used by G16).
-    Returns ``df`` with ``out`` (and the 0-based index as ``with_index``).
+    Returns ``df`` with ``out`` (and the 0-based index as ``with_index``);
+    ``checkpoint_output`` cuts the lineage of the result for callers that read
+    it several times.
     """
     part = list(part)
     n = len(labels)
@@ -150,15 +152,21 @@ def ntile_labels(df: DataFrame, value: str, tie_break: Sequence[str], labels: Se
     nulls = df.filter(F.col(value).isNull()).withColumn("_idx", F.lit(None).cast("int"))
     labelled = labelled.unionByName(nulls)
     labelled = labelled.withColumn(out, F.when(F.col("_idx").isNotNull(), label_from_index(F.col("_idx"), labels)))
-    labelled = materialize(labelled)
+    if checkpoint_output:
+        labelled = materialize(labelled)
     if with_index:
         return labelled.withColumnRenamed("_idx", with_index)
     return labelled.drop("_idx")
 
 
 def value_histogram(df: DataFrame, value: str, part: Sequence[str] = (), blocks: int = 1024) -> DataFrame:
-    """Distinct non-NULL values with their count ``_c`` and rows strictly before ``_pb``."""
-    cnt = df.filter(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("_c"))
+    """Distinct non-NULL values with their count ``_c`` and rows strictly before ``_pb``.
+
+    The distinct-value table is checkpointed: it is read several times by the
+    prefix sum and the order-statistic lookups, and it is far smaller than the rows.
+    """
+    cnt = materialize(df.filter(F.col(value).isNotNull()).groupBy(*part, value)
+                      .agg(F.count(F.lit(1)).alias("_c")))
     return prefix_before(cnt, list(part), value, "_c", blocks)
 
 

@@ -25,10 +25,13 @@ def photo_bucket(photos: Column) -> Column:
             .when(photos >= 6, F.lit("6+")))
 
 
-def with_listing_cells(foc: DataFrame, tie_break=ROW_KEY) -> DataFrame:
-    """``df_solution``: photo bucket + description-length sextile (Q2) on each row."""
+def with_listing_cells(foc: DataFrame, tie_break=ROW_KEY, checkpoint: bool = True) -> DataFrame:
+    """``df_solution``: photo bucket + description-length sextile (Q2) on each row.
+
+    Checkpointed by default: M20-M22 and the what-if all read it."""
     df = foc.withColumn("bucket_photos", photo_bucket(F.col("product_photos_qty")))
-    return ntile_labels(df, "product_description_lenght", tie_break, SEXTILES, "quantil_desc")
+    return ntile_labels(df, "product_description_lenght", tie_break, SEXTILES, "quantil_desc",
+                        checkpoint_output=checkpoint)
 
 
 def photos_class(sol: DataFrame) -> DataFrame:

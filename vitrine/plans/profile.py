@@ -122,28 +122,37 @@ _EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
 
 def numeric_profile(df: DataFrame, cols) -> DataFrame:
     """G9 (numeric part of ``skim``): per column missing, complete rate, mean, sd,
-    p0/p25/p50/p75/p100.  Columns must be integer or decimal (exact sums)."""
+    p0/p25/p50/p75/p100.  Columns must be integer or decimal (exact sums).
+
+    Moments: one aggregate over the table with exact sums of x and x*x per
+    column (native types).  Quantiles: the columns unpivoted into one long
+    (column, value) table ranked per column -- values as doubles, which keeps
+    their order and identity for decimals of up to 15 significant digits.
+    """
     cols = list(cols)
     for c in cols:
         if not isinstance(df.schema[c].dataType, _EXACT):
             raise TypeError(f"{c}: numeric_profile needs integer/decimal columns")
-    dec = "decimal(38,6)"
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for i, c in enumerate(cols):
+        aggs += [F.count(c).alias(f"_n{i}"), F.sum(c).alias(f"_s{i}"), F.sum(F.col(c) * F.col(c)).alias(f"_q{i}")]
+    wide = df.agg(*aggs)
+    rows = []
+    for i, c in enumerate(cols):
+        n = F.col(f"_n{i}").cast("double")
+        s1, s2 = F.col(f"_s{i}").cast("double"), F.col(f"_q{i}").cast("double")
+        rows.append(F.struct(
+            F.lit(c).alias("column_name"), (F.col("_rows") - F.col(f"_n{i}")).alias("n_missing"),
+            ratio(f"_n{i}", "_rows").alias("complete_rate"), F.try_divide(s1, n).alias("mean"),
+            F.sqrt(F.try_divide(s2 - s1 * s1 / n, n - 1)).alias("sd")))
+    m = wide.select(F.explode(F.array(*rows)).alias("_m")).select("_m.*")
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast(dec).alias("v")) for c in cols])).alias("_s")
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_s")
     ).select("_s.column_name", "_s.v")
-    m = long.groupBy("column_name").agg(
-        F.sum(F.col("v").isNull().cast("int")).alias("n_missing"),
-        F.count(F.lit(1)).alias("_rows"), F.count("v").alias("_n"),
-        F.sum("v").alias("_s1"), F.sum(F.col("v") * F.col("v")).alias("_s2"))
-    n = F.col("_n").cast("double")
-    s1, s2 = F.col("_s1").cast("double"), F.col("_s2").cast("double")
-    m = (m.withColumn("complete_rate", ratio("_n", "_rows"))
-         .withColumn("mean", F.try_divide(s1, n))
-         .withColumn("sd", F.sqrt(F.try_divide(s2 - s1 * s1 / n, n - 1))))
-    q = exact_quantiles(long.filter(F.col("v").isNotNull()), "v", [0.0, 0.25, 0.5, 0.75, 1.0], ["column_name"],
+    q = exact_quantiles(long, "v", [0.0, 0.25, 0.5, 0.75, 1.0], ["column_name"],
                         names=["p0", "p25", "p50", "p75", "p100"])
     return m.join(q, "column_name", "left").select("column_name", "n_missing", "complete_rate", "mean", "sd",
-                                              "p0", "p25", "p50", "p75", "p100")
+                                                   "p0", "p25", "p50", "p75", "p100")
 
 
 def frequencies(df: DataFrame, cols=None) -> DataFrame:
@@ -158,28 +167,51 @@ def frequencies(df: DataFrame, cols=None) -> DataFrame:
 
 def correlation_matrix(df: DataFrame, cols, digits: int = 2) -> DataFrame:
     """Pairwise Pearson correlation, each pair over rows where both are non-NULL
-    (as pandas does), from exact sums; ``corr_rounded`` as the notebook prints it."""
+    (as pandas does), from exact sums; ``corr_rounded`` as the notebook prints it.
+
+    Rows are first reduced per NULL pattern (a bit mask of present columns, at
+    most 2^k groups): per pattern one count, k sums and k(k+1)/2 cross sums.  The
+    pairwise sums are then sums over the patterns where both columns are
+    present -- k(k+1)/2 + k + 1 accumulators per row instead of 3k(k+1).
+    """
     cols = list(cols)
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            xa, xb = F.when(both, F.col(a)), F.when(both, F.col(b))
-            tag = f"{i}_{cols.index(b)}"
-            aggs += [F.count(xa).alias(f"n_{tag}"), F.sum(xa).alias(f"sa_{tag}"), F.sum(xb).alias(f"sb_{tag}"),
-                     F.sum(xa * xa).alias(f"saa_{tag}"), F.sum(xb * xb).alias(f"sbb_{tag}"),
-                     F.sum(xa * xb).alias(f"sab_{tag}")]
-            pairs.append((a, b, tag))
-    sums = df.agg(*aggs)
+    k = len(cols)
+    mask = F.lit(0)
+    for i, c in enumerate(cols):
+        mask = mask + F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
+    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs += [F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)]
+    aggs += [F.sum(F.col(a) * F.col(b)).alias(f"x{i}_{j}")
+             for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
+    per_mask = df.withColumn("_mask", mask).groupBy("_mask").agg(*aggs)
+
+    def both(i, j):
+        bits = (1 << i) | (1 << j)
+        return (F.col("_mask").bitwiseAND(F.lit(bits))) == F.lit(bits)
+
+    pair_aggs = []
+    for i in range(k):
+        for j in range(i, k):
+            cond = both(i, j)
+            pair_aggs += [F.sum(F.when(cond, F.col("n"))).alias(f"n_{i}_{j}"),
+                          F.sum(F.when(cond, F.col(f"s{i}"))).alias(f"sa_{i}_{j}"),
+                          F.sum(F.when(cond, F.col(f"s{j}"))).alias(f"sb_{i}_{j}"),
+                          F.sum(F.when(cond, F.col(f"x{i}_{i}"))).alias(f"saa_{i}_{j}"),
+                          F.sum(F.when(cond, F.col(f"x{j}_{j}"))).alias(f"sbb_{i}_{j}"),
+                          F.sum(F.when(cond, F.col(f"x{i}_{j}"))).alias(f"sab_{i}_{j}")]
+    # per_mask has at most 2^k rows
+    sums = per_mask.agg(*pair_aggs)
     rows = []
-    for a, b, tag in pairs:
-        n = F.col(f"n_{tag}").cast("double")
-        sa, sb = F.col(f"sa_{tag}").cast("double"), F.col(f"sb_{tag}").cast("double")
-        saa, sbb = F.col(f"saa_{tag}").cast("double"), F.col(f"sbb_{tag}").cast("double")
-        sab = F.col(f"sab_{tag}").cast("double")
-        r = F.try_divide(n * sab - sa * sb, F.sqrt((n * saa - sa * sa) * (n * sbb - sb * sb)))
-        rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("corr")))
-        if a != b:
-            rows.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), r.alias("corr")))
+    for i in range(k):
+        for j in range(i, k):
+            tag = f"{i}_{j}"
+            n = F.col(f"n_{tag}").cast("double")
+            sa, sb = F.col(f"sa_{tag}").cast("double"), F.col(f"sb_{tag}").cast("double")
+            saa, sbb = F.col(f"saa_{tag}").cast("double"), F.col(f"sbb_{tag}").cast("double")
+            sab = F.col(f"sab_{tag}").cast("double")
+            r = F.try_divide(n * sab - sa * sb, F.sqrt((n * saa - sa * sa) * (n * sbb - sb * sb)))
+            rows.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), r.alias("corr")))
+            if i != j:
+                rows.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(cols[i]).alias("col_b"), r.alias("corr")))
     return (sums.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
             .withColumn("corr_rounded", F.bround("corr", digits)))
