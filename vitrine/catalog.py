@@ -15,7 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.functions import classify
+from vitrine.functions import classify, labels
+from vitrine.operators import share
 from vitrine.oracle import VIEWS, with_ctes
 from vitrine.operators import wide as W
 from vitrine.operators.lineage import materialize
@@ -700,6 +701,130 @@ register("n5_bad_review_sample", None)(
     lambda spark, d: text.complete_sample(text.bad_reviews(_c9_with_messages(spark, d)), 250))
 
 
+# ---------------------------------------------------------------- G2-G4, W1 building blocks
+
+register("g2_payments_per_type", with_ctes(
+    "select order_id, payment_type, sum(payment_value) as value_to_pay from f_payments "
+    "where payment_type <> 'not_defined' group by 1, 2", views=["f_orders", "f_payments"], wide=False))(
+    lambda spark, d: W.payments_per_type(fixtures.payments(spark, d)))
+
+register("g3_g4_payments_wide", with_ctes("""
+select *, coalesce(credit_card, 0) + coalesce(boleto, 0) + coalesce(voucher, 0) + coalesce(debit_card, 0)
+          as total_payment_value from pay""", views=["f_orders", "f_payments"], wide=False,
+    extra={"pay": __import__("vitrine.oracle", fromlist=["WIDE_CTES"]).WIDE_CTES["pay"]}))(
+    lambda spark, d: W.payments_wide(fixtures.payments(spark, d)))
+
+register("w1_latest_reviews", with_ctes("select * from rev", views=["f_reviews"], wide=False,
+                                        extra={"rev": __import__("vitrine.oracle", fromlist=["WIDE_CTES"])
+                                               .WIDE_CTES["rev"]}))(
+    lambda spark, d: W.latest_reviews(fixtures.reviews(spark, d)))
+
+register("w1_latest_reviews_one_row", with_ctes("""
+select review_id, order_id, review_score, review_creation_date, review_answer_timestamp from (
+  select *, row_number() over (partition by order_id order by review_creation_date desc,
+                               review_answer_timestamp desc, review_id desc) as rn from f_reviews) t
+where rn = 1""", views=["f_reviews"], wide=False))(
+    lambda spark, d: W.latest_reviews(fixtures.reviews(spark, d), mode="one_row"))
+
+# ---------------------------------------------------------------- W10 display order, B6/B12/B17/B18/B19
+
+register("w10_category_display_order", with_ctes("""
+select product_category_name, row_number() over (order by v asc nulls last, product_category_name asc nulls last)
+         as display_order
+from (select product_category_name, max(case when review_simple = 'baixa' then percent_notas end) as v
+      from m1 group by 1) t""", SCRIPT, extra={"m1": M1_SQL}))(
+    lambda spark, d: share.display_order_by_last_class(
+        category.category_class_summary(selected(spark, d, SCRIPT)), "product_category_name", "review_simple",
+        "percent_notas"))
+
+FOUR_STATES = ("NATION_0", "NATION_1", "NATION_2", "NATION_3")
+
+register("m17_price_quartile_class_four_states", with_ctes("""
+select score, review_simple, n_orders, gross_sales, min_order, max_order,
+       n_orders / sum(n_orders) over (partition by score) as prop,
+       cast(gross_sales as double) / sum(gross_sales) over (partition by score) as prop_sales
+from (select score, review_simple, count(*) as n_orders, sum(total_price) as gross_sales,
+             min(total_price) as min_order, max(total_price) as max_order
+      from scored group by 1, 2) t""", SCRIPT,
+    extra={"focus4": "select * from focus where customer_state in ("
+                     + ", ".join(f"'{x}'" for x in FOUR_STATES) + ")",
+           "scored": ntile_sql("total_price", price.QUARTILES, src="focus4", out="score")}))(
+    lambda spark, d: price.quartile_class(focus(spark, d, SCRIPT).filter(F.col("customer_state").isin(*FOUR_STATES))))
+
+register("b12_state_map_with_codes", with_ctes(
+    "select m.nome, m.geometry, s.Sigla as customer_state, s.Region from f_state_map m "
+    "left join f_states s on upper(s.Estado) = m.nome", views=["f_states", "f_state_map"], wide=False))(
+    lambda spark, d: geo.state_map_with_codes(fixtures.state_map(spark, d), fixtures.states(spark, d)))
+
+register("b17_region_choices", with_ctes("select distinct Region from items_wide"))(
+    lambda spark, d: profile.distinct_values(wide_table(spark, d), "Region"))
+
+register("b17_category_choices", with_ctes("select distinct product_category_name from items_wide"))(
+    lambda spark, d: profile.distinct_values(wide_table(spark, d), "product_category_name"))
+
+register("b18_price_bounds", with_ctes(
+    "select min(total_price) + 1 as min_value, max(total_price) - 1 as max_value from items_wide"))(
+    lambda spark, d: profile.column_bounds(wide_table(spark, d), "total_price", inward=1))
+
+register("b19_payment_reconciliation", with_ctes("""
+select order_id, order_total_price, total_payment_value, diff from (
+  select order_id, sum(total_price) as order_total_price, max(total_payment_value) as total_payment_value,
+         round_even(max(total_payment_value) - sum(total_price), 0) as diff
+  from items_wide group by 1) t
+where abs(diff) > 1"""))(
+    lambda spark, d: profile.payment_reconciliation(wide_table(spark, d)))
+
+# ---------------------------------------------------------------- H7-H9, H15-H17 labels and dates
+
+register("h7_h9_state_money_labels", with_ctes("""
+select Estado, n_orders, gross_sales,
+       'R$' || translate(format('{:,.2f}', cast(gross_sales as double)), ',.', '.,') as gross_reais,
+       'R$' || translate(format('{:,.0f}', cast(round_even(gross_sales / 1000, 0) as double)), ',.', '.,') || 'k'
+         as gross_k_reais,
+       format('{:,.0f}', cast(n_orders as double)) as n_orders_label
+from (select Estado, count(*) as n_orders, sum(total_price) as gross_sales from focus group by 1) t""", SCRIPT))(
+    lambda spark, d: geo.state_metrics(focus(spark, d, SCRIPT)).select(
+        "Estado", "n_orders", "gross_sales", labels.reais(F.col("gross_sales")).alias("gross_reais"),
+        labels.k_reais(F.col("gross_sales")).alias("gross_k_reais"),
+        labels.thousands(F.col("n_orders")).alias("n_orders_label")))
+
+register("h15_h17_order_date_parts", with_ctes("""
+select order_id, year(order_purchase_timestamp) as order_purchase_year,
+       lpad(cast(month(order_purchase_timestamp) as varchar), 2, '0') as order_purchase_month,
+       isodow(order_purchase_timestamp) - 1 as order_purchase_dayofweek
+from f_orders""", views=["f_orders"], wide=False))(
+    lambda spark, d: profile.with_date_parts(fixtures.orders(spark, d)).select(
+        "order_id", "order_purchase_year", "order_purchase_month", "order_purchase_dayofweek"))
+
+
+# ---------------------------------------------------------------- G18 density (floating: rounded on both sides)
+
+SQRT_2PI = repr(__import__("math").sqrt(2 * __import__("math").pi))
+DENSITY_SQL = f"""
+select g.review_simple, g.point, g.x, g.bw,
+       sum(b._w * exp(-0.5 * ((g.x - b._c) / g.bw) * ((g.x - b._c) / g.bw)) / {SQRT_2PI}) / (g._n * g.bw) as density
+from (select p.review_simple, r.point, p.bw, p._n,
+             p._lo + r.point * (p._hi - p._lo) / 511.0 as x
+      from (select s.review_simple, s._n, pl._lo, pl._hi,
+                   0.9 * least(s._sd, (s._q3 - s._q1) / 1.34) * pow(cast(s._n as double), -0.2) as bw
+            from (select review_simple, count(*) as _n, stddev_samp(_x) as _sd,
+                         quantile_cont(_x, 0.25) as _q1, quantile_cont(_x, 0.75) as _q3
+                  from v group by 1) s cross join pooled pl) p
+      cross join (select range as point from range(512)) r) g
+join (select review_simple, _b, count(*) as _w, _lo + (_b + 0.5) * ((_hi - _lo) / 4096.0) as _c
+      from (select review_simple, _lo, _hi,
+                   case when _hi - _lo > 0 then least(floor((_x - _lo) / ((_hi - _lo) / 4096.0)), 4095) else 0 end
+                     as _b
+            from v cross join pooled) t
+      group by review_simple, _b, _lo, _hi) b on b.review_simple = g.review_simple
+group by g.review_simple, g.point, g.x, g.bw, g._n"""
+
+register("g18_price_density", with_ctes(DENSITY_SQL, DASH, extra={
+    "v": "select review_simple, log10(cast(total_price as double)) as _x from focus where total_price > 0",
+    "pooled": "select min(_x) as _lo, max(_x) as _hi from v"}), {"x": 9, "bw": 9, "density": 6})(
+    lambda spark, d: price.density(focus(spark, d, DASH)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q.run for name, q in REGISTRY.items()}
 

@@ -37,6 +37,13 @@ def state_map_metrics(state_map: DataFrame, metrics: DataFrame) -> DataFrame:
     return state_map.join(F.broadcast(metrics), "nome", "left")
 
 
+def state_map_with_codes(state_map: DataFrame, states: DataFrame) -> DataFrame:
+    """B12 (+C7 variant): map states joined to the state list on the upper-cased
+    name, code renamed to ``customer_state``.  The state list is a fixed domain."""
+    codes = states.select(F.upper("Estado").alias("nome"), F.col("Sigla").alias("customer_state"), "Region")
+    return state_map.join(F.broadcast(codes), "nome", "left")
+
+
 def unmatched_states(metrics: DataFrame, state_map: DataFrame) -> DataFrame:
     """S23 check: metric states whose upper-cased name finds no map state."""
     return metrics.join(state_map.select("nome"), "nome", "left_anti")

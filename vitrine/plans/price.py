@@ -75,9 +75,9 @@ def density(df: DataFrame, value: str = "total_price", by: str = CLS, grid: int
     """Gaussian kernel density per class on log10(value), evaluated on ``grid``
     points spanning the pooled range, with R's ``bw.nrd0`` bandwidth per class.
 
-    Rows are first binned to ``fine_bins`` bins per class (R's ``density`` bins
-    too), so the grid evaluation is a (bins x grid) cross product whose size is
-    bounded by the parameters, never by the row count.
+    Rows are first binned to ``fine_bins`` bins (weights at bin midpoints; R's
+    ``density`` bins too), so the grid evaluation is a (bins x grid) product
+    whose size is bounded by the parameters, never by the row count.
     """
     x = F.col(value).cast("double")
     base = df.filter(x > 0) if log10 else df
@@ -87,15 +87,18 @@ def density(df: DataFrame, value: str = "total_price", by: str = CLS, grid: int
     pooled = v.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     bw = (F.lit(0.9) * F.least(F.col("_sd"), (F.col("_q3") - F.col("_q1")) / F.lit(1.34))
           * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
+    # one row per class (bounded) x one pooled row
     params = stats.join(quart, by).withColumn("bw", bw).crossJoin(F.broadcast(pooled))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(fine_bins))
     binned = (v.crossJoin(F.broadcast(pooled))
-              .withColumn("_b", F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width),
-                                                          F.lit(fine_bins - 1))).otherwise(0))
-              .groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_w"), F.avg("_x").alias("_c")))
-    spark = df.sparkSession
-    pts = spark.range(grid).withColumnRenamed("id", "point")
-    # params: one row per class; pts: ``grid`` rows -> both broadcast (bounded)
+              .withColumn("_b", F.when(F.col("_hi") - F.col("_lo") > 0,
+                                       F.least(F.floor((F.col("_x") - F.col("_lo")) / width),
+                                               F.lit(fine_bins - 1))).otherwise(F.lit(0)))
+              .groupBy(by, "_b", "_lo", "_hi").agg(F.count(F.lit(1)).alias("_w"))
+              .withColumn("_c", F.col("_lo") + (F.col("_b") + F.lit(0.5)) * width)
+              .select(by, "_b", "_w", "_c"))
+    pts = df.sparkSession.range(grid).withColumnRenamed("id", "point")
+    # params: one row per class; pts: ``grid`` rows -> the grid is bounded, broadcast
     g = (pts.crossJoin(F.broadcast(params.select(by, "bw", "_n", "_lo", "_hi")))
          .withColumn("x", F.col("_lo") + F.col("point") * (F.col("_hi") - F.col("_lo")) / F.lit(float(grid - 1))))
     z = (F.col("x") - F.col("_c")) / F.col("bw")
@@ -103,7 +106,7 @@ def density(df: DataFrame, value: str = "total_price", by: str = CLS, grid: int
     dens = (binned.join(F.broadcast(g), by)
             .groupBy(by, "point", "x", "bw", "_n").agg(F.sum(k).alias("_s"))
             .withColumn("density", F.col("_s") / (F.col("_n") * F.col("bw"))))
-    return dens.select(by, "point", "x", "density")
+    return dens.select(by, "point", "x", "bw", "density")
 
 
 def order_index_by_median(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -71,6 +71,28 @@ def without_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right.select(key), key, "left_anti")
 
 
+def distinct_values(df: DataFrame, col: str) -> DataFrame:
+    """The choice list of a column (NULL kept, as ``unique()`` does)."""
+    return df.select(col).distinct()
+
+
+def column_bounds(df: DataFrame, col: str, inward: float = 0.0) -> DataFrame:
+    """Slider bounds, optionally moved ``inward`` (the small dashboard uses 1)."""
+    return df.agg((F.min(col) + F.lit(inward)).alias("min_value"), (F.max(col) - F.lit(inward)).alias("max_value"))
+
+
+def payment_reconciliation(wide: DataFrame, tolerance: int = 1) -> DataFrame:
+    """B19 (commented out in the reference): orders whose payments differ from the
+    price of their items by more than ``tolerance`` after rounding half-to-even.
+
+    Compared at order grain: payment totals repeat on every item row (trap S6),
+    so the item prices are summed per order first."""
+    per_order = wide.groupBy("order_id").agg(F.sum("total_price").alias("order_total_price"),
+                                             F.max("total_payment_value").alias("total_payment_value"))
+    return (per_order.withColumn("diff", F.bround(F.col("total_payment_value") - F.col("order_total_price"), 0))
+            .filter(F.abs(F.col("diff")) > tolerance))
+
+
 # ------------------------------------------------------------------ C9
 
 

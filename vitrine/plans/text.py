@@ -84,5 +84,7 @@ def complete_sample(df: DataFrame, n: int = 250, seed: int = 42) -> DataFrame:
 
 
 def write_semicolon_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A5: ``to_csv(sep=';')`` as a Spark CSV sink (no index column)."""
-    df.write.mode(mode).option("sep", ";").option("header", True).csv(path)
+    """A5: the extract written as ``;``-separated CSV (see ``vitrine.sources.io.write_csv``)."""
+    from vitrine.sources.io import write_csv
+
+    write_csv(df, path, sep=";", mode=mode)
