@@ -109,9 +109,11 @@ def ntile_labels(df: DataFrame, value: str, tie_break: Sequence[str], labels: Se
     """
     part = list(part)
     n = len(labels)
-    keys = [value, *tie_break]
-    # the input is read once per level: cut its lineage once (reliable checkpoint)
-    df = materialize(df)
+    # A row id stamped into the written input (stable once materialised) is the
+    # last tie-break: the full key is unique, so even a hot, fully identical key
+    # is split by block prefix sums instead of being numbered in one task.
+    keys = [value, *tie_break, "_rid"]
+    df = materialize(df.withColumn("_rid", F.monotonically_increasing_id()))
     rows = df.filter(F.col(value).isNotNull())
     n_tab = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
 
@@ -133,24 +135,18 @@ def ntile_labels(df: DataFrame, value: str, tie_break: Sequence[str], labels: Se
                .withColumn("_hi", ntile_index("_r2", "_n", n, precision)))
         settled = cnt.filter(F.col("_lo") == F.col("_hi")).select(*part, *gkeys, F.col("_lo").alias("_idx"))
         pieces.append(open_rows.join(settled, part + gkeys))
-        # straddling groups: at most n-1 per part group
+        # straddling groups: at most n-1 per part group; none can remain once the key is unique
         open_groups = materialize(cnt.filter(F.col("_lo") != F.col("_hi"))
                                   .select(*part, *gkeys, F.col("_b").alias("_b0")))
-        open_rows = open_rows.join(F.broadcast(open_groups.select(*part, *gkeys)), part + gkeys, "left_semi")
-        # control flow on a checkpointed table of at most n-1 rows per part group
+        # control flow on a written table of at most n-1 rows per part group
         if open_groups.isEmpty():
             break
-    # identical full keys that still straddle: indistinguishable rows, any order is exact
-    dup = (open_rows.join(F.broadcast(open_groups), part + gkeys)
-           .withColumn("_r", F.col("_b0") + F.row_number().over(
-               Window.partitionBy(*part, *gkeys).orderBy(F.lit(1)))))
-    dup = attach_n(dup).withColumn("_idx", ntile_index("_r", "_n", n, precision)).drop("_b0", "_r", "_n")
-    pieces.append(dup)
+        open_rows = open_rows.join(F.broadcast(open_groups.select(*part, *gkeys)), part + gkeys, "left_semi")
     labelled = pieces[0]
     for p in pieces[1:]:
         labelled = labelled.unionByName(p)
     nulls = df.filter(F.col(value).isNull()).withColumn("_idx", F.lit(None).cast("int"))
-    labelled = labelled.unionByName(nulls)
+    labelled = labelled.unionByName(nulls).drop("_rid")
     labelled = labelled.withColumn(out, F.when(F.col("_idx").isNotNull(), label_from_index(F.col("_idx"), labels)))
     if checkpoint_output:
         labelled = materialize(labelled)
