@@ -49,3 +49,19 @@ def test_entry_smoke(spark):
     assert df.columns == ["product_category_name", "total_gross_sale", "number_products", "alta", "baixa",
                           "mean_price"]
     assert set(entry_mod.oracle_sql()) <= set(entry_mod.queries())
+
+
+def test_decimal_output_list_matches_schemas(spark):
+    from pyspark.sql import types as T
+
+    found = {}
+    for name, q in catalog.REGISTRY.items():
+        cols = [f.name for f in q.spark(spark, SF).schema.fields if isinstance(f.dataType, T.DecimalType)]
+        if cols:
+            found[name] = cols
+    assert found == catalog.DECIMAL_OUTPUTS
+
+
+def test_nullable_int_list_names_exist(spark):
+    for name, cols in catalog.NULLABLE_INT_OUTPUTS.items():
+        assert set(cols) <= set(catalog.REGISTRY[name].spark(spark, SF).columns), name

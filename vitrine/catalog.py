@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrine.functions import classify, labels
 from vitrine.operators import share
@@ -33,6 +34,51 @@ SCRIPT = Params(good_scores=(4, 5), merge_categories=("PROMO", "SMALL"),
                 new_category_name="nova_casa", top_n=3)
 
 
+# Money stays decimal(18,2) inside every plan (exact, partition-independent
+# sums); registered results present it as double on both sides, so a result
+# compares equal however a checker hashes values (Python Decimal vs float).
+# The list is checked against the Spark schemas by tests/test_plans.py.
+DECIMAL_OUTPUTS = {
+    "c12_items_wide": ["price", "freight_value", "total_price", "credit_card", "boleto", "voucher", "debit_card",
+                       "total_payment_value"],
+    "m1_category_class": ["total_gross_sale"], "m1_category_class_script": ["total_gross_sale"],
+    "m3_category_table": ["total_gross_sale"], "m5_m7_focus_kpis": ["gross_sales"],
+    "g5_order_totals": ["total_gross_sale"], "m8_basket_buckets": ["total_gross_sale"],
+    "m9_basket_histogram": ["total_gross_sale"], "m11_state_metrics": ["gross_sales"],
+    "m12_state_metrics_bad": ["gross_sales"], "m12_state_metrics_good": ["gross_sales"],
+    "m13_state_map": ["gross_sales"], "m18_payment_method_class": ["gross_sales"],
+    "m18_payment_method_class_order_grain": ["gross_sales"],
+    "m17_price_quartile_class": ["gross_sales", "min_order", "max_order"],
+    "m17_price_quartile_class_script": ["gross_sales", "min_order", "max_order"],
+    "m17_price_quartile_class_four_states": ["gross_sales", "min_order", "max_order"],
+    "m20_photos_class": ["total_gross_sale"], "m21_sextile_class": ["total_gross_sale"],
+    "m22_cell_table": ["gross_sales1"], "c9_full_outer_wide": ["price", "freight_value", "payment_value"],
+    "n5_bad_reviews": ["price", "freight_value"], "n5_bad_review_sample": ["price", "freight_value"],
+    "g2_payments_per_type": ["value_to_pay"],
+    "g3_g4_payments_wide": ["credit_card", "boleto", "voucher", "debit_card", "total_payment_value"],
+    "b18_price_bounds": ["min_value", "max_value"],
+    "b19_payment_reconciliation": ["order_total_price", "total_payment_value", "diff"],
+    "h7_h9_state_money_labels": ["gross_sales"],
+}
+
+# Integer columns that hold NULLs (missing listing attributes, outer-join keys)
+# are presented as double on both sides: pandas turns them into float64 on one
+# engine and nullable Int64 on the other.
+_LISTING_INTS = ["product_photos_qty", "product_description_lenght"]
+NULLABLE_INT_OUTPUTS = {
+    "c12_items_wide": _LISTING_INTS, "q2_description_sextiles": ["product_description_lenght"],
+    "m21_sextile_class": ["min_caracters_desc", "max_caracters_desc"],
+    "m22_cell_table": ["min_caracters_desc", "max_caracters_desc"],
+    "x1_x6_whatif": ["fotos", "best_min_caracters_desc", "best_max_caracters_desc",
+                     "best_sales_min_caracters_desc", "best_sales_max_caracters_desc"],
+    "b16_duplicated_review_orders": ["review_score"],
+    "c9_full_outer_wide": ["order_id", "customer_id", "order_item_id", "product_id", "seller_id", "review_id",
+                           "review_score", *_LISTING_INTS],
+    "n5_bad_reviews": ["review_score", *_LISTING_INTS], "n5_bad_review_sample": ["review_score", *_LISTING_INTS],
+    "w1_latest_reviews": ["review_score"], "w1_latest_reviews_one_row": ["review_score"],
+}
+
+
 @dataclass
 class Query:
     name: str
@@ -42,16 +88,26 @@ class Query:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.spark(spark, sf_dir)
-        if not self.rounding:
-            return df
-        return df.select(*[F.round(c, self.rounding[c]).alias(c) if c in self.rounding else F.col(c)
-                           for c in df.columns])
+        as_double = set(NULLABLE_INT_OUTPUTS.get(self.name, []))
+        out = []
+        for f in df.schema.fields:
+            c = F.col(f.name)
+            if isinstance(f.dataType, T.DecimalType) or f.name in as_double:
+                c = c.cast("double")
+            if f.name in self.rounding:
+                c = F.round(c, self.rounding[f.name])
+            out.append(c.alias(f.name))
+        return df.select(*out)
 
     def oracle(self) -> str | None:
-        if self.sql is None or not self.rounding:
+        if self.sql is None:
+            return None
+        rep = [f"cast({c} as double) as {c}"
+               for c in DECIMAL_OUTPUTS.get(self.name, []) + NULLABLE_INT_OUTPUTS.get(self.name, [])]
+        rep += [f"round({c}, {d}) as {c}" for c, d in self.rounding.items()]
+        if not rep:
             return self.sql
-        rep = ", ".join(f"round({c}, {d}) as {c}" for c, d in self.rounding.items())
-        return f"select * replace ({rep}) from (\n{self.sql}\n) q"
+        return f"select * replace ({', '.join(rep)}) from (\n{self.sql}\n) q"
 
 
 REGISTRY: dict[str, Query] = {}
@@ -475,7 +531,7 @@ from (select review_simple, quantile_cont(cast(total_price as double), 0.25) as
 join (select f.review_simple, count(*) as n,
              min(case when x >= fl and x <= fh then x end) as ymin,
              max(case when x >= fl and x <= fh then x end) as ymax,
-             sum(case when x >= fl and x <= fh then 0 else 1 end) as n_outliers
+             cast(sum(case when x >= fl and x <= fh then 0 else 1 end) as bigint) as n_outliers
       from (select review_simple, cast(total_price as double) as x from focus) f
       join (select review_simple,
                    quantile_cont(cast(total_price as double), 0.25)
@@ -652,7 +708,8 @@ def _corr_sql() -> str:
             parts.append(f"select '{a}' as col_a, '{b}' as col_b, {r} as corr from c9")
             if a != b:
                 parts.append(f"select '{b}' as col_a, '{a}' as col_b, {r} as corr from c9")
-    return ("select *, round_even(corr, 2) as corr_rounded from (\n" + "\nunion all ".join(parts) + ") t")
+    return ("select *, case when round_even(corr, 2) = 0 then 0.0 else round_even(corr, 2) end as corr_rounded"
+            " from (\n" + "\nunion all ".join(parts) + ") t")
 
 
 register("g15_correlation_matrix", c9_sql(_corr_sql()))(

@@ -235,5 +235,7 @@ def correlation_matrix(df: DataFrame, cols, digits: int = 2) -> DataFrame:
             rows.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), r.alias("corr")))
             if i != j:
                 rows.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(cols[i]).alias("col_b"), r.alias("corr")))
+    rounded = F.bround("corr", digits)
+    # one sign of zero, whatever the engine's rounding returns for tiny negatives
     return (sums.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
-            .withColumn("corr_rounded", F.bround("corr", digits)))
+            .withColumn("corr_rounded", F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)))
