@@ -49,18 +49,20 @@ def make_rows(n, hot_share, n_distinct, seed, null_share=0.05):
     return rows
 
 
+@pytest.mark.parametrize("single_task_rows", [0, rank.SINGLE_TASK_ROWS])
 @pytest.mark.parametrize("n,hot,nd,labels,seed", [
     (1000, 0.0, 50, LABELS4, 1),
     (2000, 0.34, 200, LABELS6, 2),      # hot value straddles boundaries
     (500, 0.9, 5, LABELS4, 3),           # almost everything is one value
     (37, 0.0, 1000, LABELS6, 4),         # N << 10000 (the floor rule matters)
 ])
-def test_ntile_labels_match_brute_force(spark, n, hot, nd, labels, seed):
+def test_ntile_labels_match_brute_force(spark, n, hot, nd, labels, seed, single_task_rows):
     # rows with identical (v, a, b) are indistinguishable: compare label counts per full key
     rows = make_rows(n, hot, nd, seed)
     df = spark.createDataFrame(rows, "id long, v long, a long, b long")
     got = Counter((r.v, r.a, r.b, r.lab)
-                  for r in rank.ntile_labels(df, "v", ["a", "b"], labels, "lab", blocks=16).collect())
+                  for r in rank.ntile_labels(df, "v", ["a", "b"], labels, "lab", blocks=16,
+                                             single_task_rows=single_task_rows).collect())
     exp_by_id = brute_labels(rows, labels)
     exp = Counter((v, a, b, exp_by_id[i]) for (i, v, a, b) in rows)
     assert got == exp
@@ -75,12 +77,14 @@ def test_ntile_labels_with_duplicate_full_keys(spark):
     assert counts == {"x": 10, "y": 10}
 
 
-def test_ntile_labels_per_part(spark):
+@pytest.mark.parametrize("single_task_rows", [0, rank.SINGLE_TASK_ROWS])
+def test_ntile_labels_per_part(spark, single_task_rows):
     rows = make_rows(600, 0.2, 30, 5)
     rows = [(i, v, a, b, i % 3) for (i, v, a, b) in rows]
     df = spark.createDataFrame(rows, "id long, v long, a long, b long, g long")
     got = Counter((r.g, r.v, r.a, r.b, r.lab)
-                  for r in rank.ntile_labels(df, "v", ["a", "b"], LABELS4, "lab", part=["g"]).collect())
+                  for r in rank.ntile_labels(df, "v", ["a", "b"], LABELS4, "lab", part=["g"],
+                                             single_task_rows=single_task_rows).collect())
     exp_by_id = brute_labels(rows, LABELS4, part_of=lambda r: r[4])
     exp = Counter((g, v, a, b, exp_by_id[i]) for (i, v, a, b, g) in rows)
     assert got == exp

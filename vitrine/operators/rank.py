@@ -96,9 +96,15 @@ def label_from_index(idx: Column, labels: Sequence[str]) -> Column:
     return expr
 
 
+# Largest boundary group numbered in one task; bigger groups are refined by the
+# next tie-break column instead (same block prefix sums).
+SINGLE_TASK_ROWS = 2_000_000
+
+
 def ntile_labels(df: DataFrame, value: str, tie_break: Sequence[str], labels: Sequence[str], out: str,
                  part: Sequence[str] = (), precision: int = 4, blocks: int = 1024,
-                 with_index: str | None = None, checkpoint_output: bool = False) -> DataFrame:
+                 with_index: str | None = None, checkpoint_output: bool = False,
+                 single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
     """Label each row by the n-tile (n = len(labels)) of its exact rank of ``value``.
 
     NULL values get a NULL label and do not count in N (trap S3).  ``part``
@@ -137,11 +143,21 @@ def ntile_labels(df: DataFrame, value: str, tie_break: Sequence[str], labels: Se
         pieces.append(open_rows.join(settled, part + gkeys))
         # straddling groups: at most n-1 per part group; none can remain once the key is unique
         open_groups = materialize(cnt.filter(F.col("_lo") != F.col("_hi"))
-                                  .select(*part, *gkeys, F.col("_b").alias("_b0")))
+                                  .select(*part, *gkeys, F.col("_b").alias("_b0"), "_c"))
         # control flow on a written table of at most n-1 rows per part group
-        if open_groups.isEmpty():
+        largest = open_groups.agg(F.max("_c")).first()[0]
+        if largest is None:
             break
         open_rows = open_rows.join(F.broadcast(open_groups.select(*part, *gkeys)), part + gkeys, "left_semi")
+        if largest <= single_task_rows:
+            # every boundary group is small: number its rows directly by the remaining keys
+            w = Window.partitionBy(*part, *gkeys).orderBy(*keys[i + 1:])
+            last = (open_rows.join(F.broadcast(open_groups.drop("_c")), part + gkeys)
+                    .withColumn("_r", F.col("_b0") + F.row_number().over(w)))
+            pieces.append(attach_n(last).withColumn("_idx", ntile_index("_r", "_n", n, precision))
+                          .drop("_b0", "_r", "_n"))
+            break
+        open_groups = open_groups.drop("_c")
     labelled = pieces[0]
     for p in pieces[1:]:
         labelled = labelled.unionByName(p)
