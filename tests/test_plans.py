@@ -16,9 +16,10 @@ PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInP
 
 
 @pytest.mark.parametrize("name", sorted(catalog.REGISTRY))
-def test_no_python_udf_in_plan(spark, name):
+def test_no_python_udf_or_cartesian_in_plan(spark, name):
     plan = catalog.REGISTRY[name].run(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(node in plan for node in PY_NODES)
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_order_side_joins_share_one_partitioning(spark):

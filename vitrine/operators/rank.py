@@ -39,9 +39,13 @@ def _block(df: DataFrame, part: Sequence[str], key: str, blocks: int) -> DataFra
     dtype = df.schema[key].dataType
     if isinstance(dtype, _NUMERIC):
         x = F.col(key).cast("double")
-        bounds = df.groupBy(*part).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-        # one row per part group (bounded by the caller's grouping) -> broadcast
-        df = df.join(F.broadcast(bounds), list(part)) if part else df.crossJoin(F.broadcast(bounds))
+        if part:
+            bounds = df.groupBy(*part).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+            # one row per part group (bounded by the caller's grouping) -> broadcast
+            df = df.join(F.broadcast(bounds), list(part))
+        else:
+            b = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
+            df = df.withColumn("_lo", b.getField("lo")).withColumn("_hi", b.getField("hi"))
         width = F.col("_hi") - F.col("_lo")
         blk = F.when(width > 0, F.floor((x - F.col("_lo")) / width * F.lit(blocks - 1))).otherwise(F.lit(0))
         return df.withColumn("_blk", blk.cast("bigint")).drop("_lo", "_hi")
@@ -124,7 +128,7 @@ def ntile_labels(df: DataFrame, value: str, tie_break: Sequence[str], labels: Se
     n_tab = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
 
     def attach_n(t: DataFrame) -> DataFrame:
-        return t.join(F.broadcast(n_tab), part) if part else t.crossJoin(F.broadcast(n_tab))
+        return t.join(F.broadcast(n_tab), part) if part else t.withColumn("_n", n_tab.scalar())
 
     pieces: list[DataFrame] = []
     open_rows, open_groups = rows, None
@@ -195,10 +199,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], part: Seq
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
     hist = value_histogram(df, value, part, blocks)
     n_tab = hist.groupBy(*part).agg(F.sum("_c").alias("_n"))
-    probs_df = df.sparkSession.createDataFrame([(nm, float(p)) for nm, p in zip(names, probs)],
-                                               "_name string, _p double")
     # (part groups x probabilities) targets: bounded by groups x len(probs) -> broadcast
-    targets = (n_tab.crossJoin(F.broadcast(probs_df))
+    probs_arr = F.array(*[F.struct(F.lit(nm).alias("_name"), F.lit(float(p)).alias("_p"))
+                          for nm, p in zip(names, probs)])
+    targets = (n_tab.withColumn("_t", F.explode(probs_arr)).select(*part, "_n", "_t._name", "_t._p")
                .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("_p"))
                .withColumn("_k", F.floor("_h")).withColumn("_frac", F.col("_h") - F.col("_k"))
                .withColumn("_r1", F.col("_k") + 1).withColumn("_r2", F.least(F.col("_k") + 2, F.col("_n"))))

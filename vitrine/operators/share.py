@@ -1,9 +1,9 @@
 """Shares, top-n and ordering helpers.
 
 All of these run on *aggregated* tables (one row per category, state, cell,
-...), never on raw rows.  Grand totals (W3) are a one-row aggregate joined
-with a broadcast hint -- exactly one row, so the size is proven -- instead of
-an unpartitioned window that would pull every row into one task.
+...), never on raw rows.  Grand totals (W3) are scalar subqueries -- one value,
+computed once -- instead of an unpartitioned window that would pull every row
+into one task.
 """
 
 from __future__ import annotations
@@ -33,12 +33,11 @@ def share_within(df: DataFrame, keys, pairs: dict[str, str]) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
-    """``out = x / sum(x)`` over the whole table, via a one-row total."""
-    totals = df.agg(*[F.sum(x).alias(f"_tot_{out}") for out, x in pairs.items()])
-    df = df.crossJoin(F.broadcast(totals))
+    """``out = x / sum(x)`` over the whole table; the total is an uncorrelated
+    scalar subquery (evaluated once, inlined as a value), not a window or a join."""
     for out, x in pairs.items():
-        df = df.withColumn(out, ratio(x, f"_tot_{out}"))
-    return df.drop(*[f"_tot_{out}" for out in pairs])
+        df = df.withColumn(out, ratio(x, df.agg(F.sum(x)).scalar()))
+    return df
 
 
 def top_n_with_ties(df: DataFrame, key: str, metric: str, n: int, drop_null_first: bool = True) -> DataFrame:

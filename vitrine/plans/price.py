@@ -59,10 +59,11 @@ def histogram(df: DataFrame, value: str, bins: int, log10: bool = False) -> Data
         df = df.filter(x > 0)
         x = F.log10(x)
     v = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
-    bounds = v.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    bounds = v.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar()
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     b = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)
-    return (v.crossJoin(F.broadcast(bounds)).withColumn("bin", b.cast("int"))
+    return (v.withColumn("_lo", bounds.getField("lo")).withColumn("_hi", bounds.getField("hi"))
+            .withColumn("bin", b.cast("int"))
             .groupBy("bin").agg(F.count(F.lit(1)).alias("count"),
                                 F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
             .withColumn("bin_lo", F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / bins)
@@ -84,22 +85,25 @@ def density(df: DataFrame, value: str = "total_price", by: str = CLS, grid: int
     v = base.select(by, (F.log10(x) if log10 else x).alias("_x")).filter(F.col("_x").isNotNull())
     quart = exact_quantiles(v, "_x", [0.25, 0.75], [by], names=["_q1", "_q3"])
     stats = v.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_sd"))
-    pooled = v.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    pooled = v.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar()
+
+    def with_pooled(t: DataFrame) -> DataFrame:
+        return t.withColumn("_lo", pooled.getField("lo")).withColumn("_hi", pooled.getField("hi"))
+
     bw = (F.lit(0.9) * F.least(F.col("_sd"), (F.col("_q3") - F.col("_q1")) / F.lit(1.34))
           * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
-    # one row per class (bounded) x one pooled row
-    params = stats.join(quart, by).withColumn("bw", bw).crossJoin(F.broadcast(pooled))
+    params = with_pooled(stats.join(quart, by).withColumn("bw", bw))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(fine_bins))
-    binned = (v.crossJoin(F.broadcast(pooled))
+    binned = (with_pooled(v)
               .withColumn("_b", F.when(F.col("_hi") - F.col("_lo") > 0,
                                        F.least(F.floor((F.col("_x") - F.col("_lo")) / width),
                                                F.lit(fine_bins - 1))).otherwise(F.lit(0)))
               .groupBy(by, "_b", "_lo", "_hi").agg(F.count(F.lit(1)).alias("_w"))
               .withColumn("_c", F.col("_lo") + (F.col("_b") + F.lit(0.5)) * width)
               .select(by, "_b", "_w", "_c"))
-    pts = df.sparkSession.range(grid).withColumnRenamed("id", "point")
-    # params: one row per class; pts: ``grid`` rows -> the grid is bounded, broadcast
-    g = (pts.crossJoin(F.broadcast(params.select(by, "bw", "_n", "_lo", "_hi")))
+    # ``grid`` evaluation points per class (params: one row per class)
+    g = (params.select(by, "bw", "_n", "_lo", "_hi",
+                       F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
          .withColumn("x", F.col("_lo") + F.col("point") * (F.col("_hi") - F.col("_lo")) / F.lit(float(grid - 1))))
     z = (F.col("x") - F.col("_c")) / F.col("bw")
     k = F.col("_w") * F.exp(F.lit(-0.5) * z * z) / F.lit(math.sqrt(2 * math.pi))

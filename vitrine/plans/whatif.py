@@ -35,11 +35,10 @@ def place_scenarios(sol: DataFrame, scenarios: DataFrame) -> DataFrame:
     scen = scenarios.filter(F.col("caracteres").isNotNull()).select(
         F.col("caracteres").cast("bigint").alias("_k"), F.lit(1).alias("_flag"),
         F.lit(0).cast("bigint").alias("_w"), "scenario_id")
-    n_tab = sol.agg(F.count(LEN).alias("_n"))
+    n_rows = sol.agg(F.count(LEN)).scalar()
     ranked = (prefix_before(lens.unionByName(scen), [], ["_k", "_flag", "scenario_id"], "_w")
               .filter(F.col("_flag") == 1)
-              .crossJoin(F.broadcast(n_tab))
-              .withColumn("_rank", F.col("_pb") + 1).withColumn("_n1", F.col("_n") + 1)
+              .withColumn("_rank", F.col("_pb") + 1).withColumn("_n1", n_rows + 1)
               .withColumn("quantil_desc", label_from_index(ntile_index("_rank", "_n1", len(SEXTILES)), SEXTILES))
               .select("scenario_id", "quantil_desc"))
     return (scenarios.join(ranked, "scenario_id", "left")
@@ -80,9 +79,14 @@ def recommend(sol: DataFrame, cells: DataFrame, scenarios: DataFrame) -> DataFra
         F.col("min_caracters_desc").alias("best_sales_min_caracters_desc"),
         F.col("max_caracters_desc").alias("best_sales_max_caracters_desc"),
         F.col("prop_sales").alias("best_prop_sales"))
-    # cells: one row per (bucket, sextile) cell; best_*: one row each -> broadcast
-    out = (placed.join(F.broadcast(cur), cell_keys, "left")
-           .crossJoin(F.broadcast(best_q)).crossJoin(F.broadcast(best_s))
+    # cells: one row per (bucket, sextile) cell -> broadcast; best_*: one row each,
+    # attached as scalar subqueries
+    out = placed.join(F.broadcast(cur), cell_keys, "left")
+    for best in (best_q, best_s):
+        row = best.select(F.struct(*best.columns)).scalar()
+        for c in best.columns:
+            out = out.withColumn(c, row.getField(c))
+    out = (out
            .withColumn("increase_quantity", F.try_divide(F.col("best_prop_quantity") - F.col("sim_prop_quantity"),
                                                          F.col("sim_prop_quantity")))
            .withColumn("increase_sales", F.try_divide(F.col("best_prop_sales") - F.col("sim_prop_sales"),

@@ -53,18 +53,16 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _read(spark, sf_dir, "events")
-    # modulus = 20% of the order count: a one-row aggregate, broadcast to the
-    # events scan (proven size: exactly one row).
+    # modulus = 20% of the order count: an uncorrelated scalar subquery
     modulus = (_read(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("_n"))
-               .select((F.col("_n") * F.lit(0.2)).cast("bigint").alias("_mod")))
+               .select((F.col("_n") * F.lit(0.2)).cast("bigint")).scalar())
     ptype = (F.when(F.col("event_type") == "click", "credit_card")
              .when(F.col("event_type") == "view", "boleto")
              .when(F.col("event_type") == "purchase", "voucher")
              .when(F.col("event_type") == "signup", "debit_card")
              .otherwise("not_defined"))
     return (ev.select("event_id", "event_type", "value")
-            .crossJoin(F.broadcast(modulus))
-            .select(((F.col("event_id") * F.lit(104729)) % F.col("_mod")).alias("order_id"),
+            .select(((F.col("event_id") * F.lit(104729)) % modulus).alias("order_id"),
                     ptype.alias("payment_type"),
                     F.col("value").cast(MONEY).alias("payment_value")))
 
