@@ -191,33 +191,27 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], part: Seq
     """Exact quantiles with linear interpolation (R type 7, Spark ``percentile``).
 
     With 0-based position h = (N - 1) p: x[floor h] + (h - floor h) (x[floor h + 1] - x[floor h]).
-    Order statistics are read off the value histogram, so no task holds the
-    whole column (``F.percentile`` keeps every distinct value in one buffer).
+    Order statistics are read off the value histogram: x[r] is the smallest value
+    whose cumulative count reaches r, i.e. a conditional ``min`` -- one aggregate
+    pass over the distinct values, no join and no task holding the whole column
+    (``F.percentile`` keeps every distinct value in one buffer).
     One row per part group, one column per probability.
     """
     part = list(part)
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
     hist = value_histogram(df, value, part, blocks)
     n_tab = hist.groupBy(*part).agg(F.sum("_c").alias("_n"))
-    # (part groups x probabilities) targets: bounded by groups x len(probs) -> broadcast
-    probs_arr = F.array(*[F.struct(F.lit(nm).alias("_name"), F.lit(float(p)).alias("_p"))
-                          for nm, p in zip(names, probs)])
-    targets = (n_tab.withColumn("_t", F.explode(probs_arr)).select(*part, "_n", "_t._name", "_t._p")
-               .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("_p"))
-               .withColumn("_k", F.floor("_h")).withColumn("_frac", F.col("_h") - F.col("_k"))
-               .withColumn("_r1", F.col("_k") + 1).withColumn("_r2", F.least(F.col("_k") + 2, F.col("_n"))))
-    targets = targets.select(*[F.col(c).alias(f"_t_{c}") for c in part], "_name", "_frac", "_r1", "_r2")
-
-    def order_stat(rcol: str, alias: str) -> DataFrame:
-        t = targets.select(*[f"_t_{c}" for c in part], "_name", F.col(rcol).alias("_rk"))
-        cond = [F.col(c) == F.col(f"_t_{c}") for c in part] + [
-            (F.col("_pb") < F.col("_rk")) & (F.col("_pb") + F.col("_c") >= F.col("_rk"))]
-        return (hist.join(F.broadcast(t), cond)
-                .select(*[F.col(f"_t_{c}") for c in part], "_name", F.col(value).cast("double").alias(alias)))
-
-    keys = [f"_t_{c}" for c in part] + ["_name"]
-    q = (order_stat("_r1", "_x1").join(order_stat("_r2", "_x2"), keys)
-         .join(targets.select(*keys, "_frac"), keys)
-         .withColumn("_q", F.col("_x1") + F.col("_frac") * (F.col("_x2") - F.col("_x1"))))
-    q = q.select(*[F.col(f"_t_{c}").alias(c) for c in part], "_name", "_q")
-    return q.groupBy(*part).pivot("_name", names).agg(F.first("_q"))
+    # one row per part group (bounded by the caller's grouping)
+    h = hist.join(F.broadcast(n_tab), part) if part else hist.withColumn("_n", n_tab.scalar())
+    cum = F.col("_pb") + F.col("_c")
+    x = F.col(value).cast("double")
+    aggs = []
+    for nm, p in zip(names, probs):
+        pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
+        k = F.floor(pos)
+        r1, r2 = k + 1, F.least(k + 2, F.col("_n"))
+        aggs += [F.min(F.when(cum >= r1, x)).alias(f"_x1_{nm}"), F.min(F.when(cum >= r2, x)).alias(f"_x2_{nm}"),
+                 F.max(pos - k).alias(f"_f_{nm}")]
+    q = h.groupBy(*part).agg(*aggs)
+    return q.select(*part, *[(F.col(f"_x1_{nm}") + F.col(f"_f_{nm}") * (F.col(f"_x2_{nm}") - F.col(f"_x1_{nm}")))
+                             .alias(nm) for nm in names])
