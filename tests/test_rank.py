@@ -115,3 +115,20 @@ def test_exact_quantiles_match_numpy(spark, seed):
         arr = np.array([x for i, x in enumerate(xs) if i % 2 == g])
         for nm, p in zip(names, probs):
             assert got[g][nm] == pytest.approx(float(np.quantile(arr, p)), rel=1e-12, abs=1e-12)
+
+
+@pytest.mark.parametrize("n_rows,precision", [(8, 4), (37, 1), (1000, 2), (257, 1)])
+def test_sql_method_matches_spark_ntile(spark, n_rows, precision):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(n_rows)
+    rows = [(i, rnd.randrange(50)) for i in range(n_rows)]
+    df = spark.createDataFrame(rows, "id long, v long")
+    labels = [f"L{k}" for k in range(4)]
+    got = {r.id: r.lab for r in rank.ntile_labels(df, "v", ["id"], labels, "lab", precision=precision,
+                                                      method="sql").collect()}
+    scale = 10 ** precision
+    ref = df.withColumn("q", F.ntile(scale).over(Window.orderBy("v", "id"))).collect()
+    exp = {r.id: labels[sum(1 for k in range(1, 4) if 4 * r.q >= scale * k)] for r in ref}
+    assert got == exp

@@ -78,15 +78,25 @@ def prefix_before(df: DataFrame, part: Sequence[str], key, weight: str, blocks:
     return b.withColumn(out, F.col("_bo") + within).drop("_blk", "_bo")
 
 
-def ntile_index(rank: str, n_rows: str, n: int, precision: int = 4) -> Column:
+def ntile_index(rank: str, n_rows: str, n: int, precision: int = 4, method: str = "floor") -> Column:
     """0-based label index of the reference's cut rule.
 
-    q = floor(10^p * (rank - 1) / N) + 1 (dplyr < 1.0 ``ntile``, trap S2), then
-    the label is the number of cuts ``10^p / n * k`` (k = 1..n-1) with q >= cut,
+    ``method="floor"`` (default, dplyr < 1.0 ``ntile``, trap S2):
+    q = floor(10^p * (rank - 1) / N) + 1.  ``method="sql"``: q = SQL
+    ``NTILE(10^p)`` of the rank (the first N mod 10^p buckets hold one row more).
+    The label is the number of cuts ``10^p / n * k`` (k = 1..n-1) with q >= cut,
     evaluated in integers: n * q >= 10^p * k.
     """
     scale = 10 ** precision
-    q = F.expr(f"(CAST({scale} AS BIGINT) * ({rank} - 1)) div {n_rows} + 1")
+    if method == "floor":
+        q = F.expr(f"(CAST({scale} AS BIGINT) * ({rank} - 1)) div {n_rows} + 1")
+    elif method == "sql":
+        size, extra = f"({n_rows} div {scale})", f"({n_rows} % {scale})"
+        big = f"({extra} * ({size} + 1))"
+        q = F.expr(f"CASE WHEN {rank} <= {big} THEN ({rank} - 1) div ({size} + 1) + 1 "
+                   f"ELSE {extra} + ({rank} - 1 - {big}) div {size} + 1 END")
+    else:
+        raise ValueError(f"unknown ntile method {method!r}")
     idx = F.lit(0)
     for k in range(1, n):
         idx = idx + (F.lit(n) * q >= F.lit(scale * k)).cast("int")
@@ -108,11 +118,12 @@ SINGLE_TASK_ROWS = 2_000_000
 def ntile_labels(df: DataFrame, value: str, tie_break: Sequence[str], labels: Sequence[str], out: str,
                  part: Sequence[str] = (), precision: int = 4, blocks: int = 1024,
                  with_index: str | None = None, checkpoint_output: bool = False,
-                 single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+                 single_task_rows: int = SINGLE_TASK_ROWS, method: str = "floor") -> DataFrame:
     """Label each row by the n-tile (n = len(labels)) of its exact rank of ``value``.
 
     NULL values get a NULL label and do not count in N (trap S3).  ``part``
     ranks independently within groups (none in the reference; used by G16).
+    ``method`` picks the n-tile rule (``ntile_index``).
     Returns ``df`` with ``out`` (and the 0-based index as ``with_index``);
     ``checkpoint_output`` cuts the lineage of the result for callers that read
     it several times.
@@ -141,8 +152,8 @@ def ntile_labels(df: DataFrame, value: str, tie_break: Sequence[str], labels: Se
         else:
             cnt = cnt.join(F.broadcast(open_groups), part + keys[:i]).withColumn("_b", F.col("_b0") + F.col("_pb"))
         cnt = (attach_n(cnt).withColumn("_r1", F.col("_b") + 1).withColumn("_r2", F.col("_b") + F.col("_c"))
-               .withColumn("_lo", ntile_index("_r1", "_n", n, precision))
-               .withColumn("_hi", ntile_index("_r2", "_n", n, precision)))
+               .withColumn("_lo", ntile_index("_r1", "_n", n, precision, method))
+               .withColumn("_hi", ntile_index("_r2", "_n", n, precision, method)))
         settled = cnt.filter(F.col("_lo") == F.col("_hi")).select(*part, *gkeys, F.col("_lo").alias("_idx"))
         pieces.append(open_rows.join(settled, part + gkeys))
         # straddling groups: at most n-1 per part group; none can remain once the key is unique
@@ -158,7 +169,7 @@ def ntile_labels(df: DataFrame, value: str, tie_break: Sequence[str], labels: Se
             w = Window.partitionBy(*part, *gkeys).orderBy(*keys[i + 1:])
             last = (open_rows.join(F.broadcast(open_groups.drop("_c")), part + gkeys)
                     .withColumn("_r", F.col("_b0") + F.row_number().over(w)))
-            pieces.append(attach_n(last).withColumn("_idx", ntile_index("_r", "_n", n, precision))
+            pieces.append(attach_n(last).withColumn("_idx", ntile_index("_r", "_n", n, precision, method))
                           .drop("_b0", "_r", "_n"))
             break
         open_groups = open_groups.drop("_c")
