@@ -882,6 +882,44 @@ register("g18_price_density", with_ctes(DENSITY_SQL, DASH, extra={
     lambda spark, d: price.density(focus(spark, d, DASH)))
 
 
+# ---------------------------------------------------------------- G9 (character, date-time), G10 (more tables)
+
+STRING_COLS = ["order_status", "product_category_name", "customer_state", "Estado", "Region"]
+register("g9_character_profile_items", with_ctes("""
+select column_name, count(*) - count(v) as n_missing, cast(count(v) as double) / cast(count(*) as double) as complete_rate,
+       min(length(v)) as min_length, max(length(v)) as max_length,
+       cast(sum(case when v = '' then 1 else 0 end) as bigint) as empty,
+       cast(sum(case when regexp_matches(v, '^\s+$') then 1 else 0 end) as bigint) as whitespace,
+       count(distinct v) as n_unique
+from (""" + "\n union all ".join(f"select '{c}' as column_name, cast({c} as varchar) as v from items_wide"
+                                 for c in STRING_COLS) + ") l group by 1"))(
+    lambda spark, d: profile.character_profile(wide_table(spark, d), STRING_COLS))
+
+TS_COLS = ["order_purchase_timestamp", "shipping_limit_date", "review_creation_date", "review_answer_timestamp"]
+register("g9_timestamp_profile_items", with_ctes("""
+select column_name, cast(sum(case when us is null then 1 else 0 end) as bigint) as n_missing,
+       make_timestamp(min(us)) as min, make_timestamp(max(us)) as max,
+       make_timestamp(cast(floor(quantile_cont(us, 0.5)) as bigint)) as median,
+       count(distinct us) as n_unique
+from (""" + "\n union all ".join(f"select '{c}' as column_name, epoch_us({c}) as us from items_wide"
+                                 for c in TS_COLS) + ") l group by 1"))(
+    lambda spark, d: profile.timestamp_profile(wide_table(spark, d), TS_COLS))
+
+
+def _freq_sql(view: str, cols) -> str:
+    body = "\n union all ".join(f"select '{c}' as column_name, cast({c} as varchar) as v from {view}" for c in cols)
+    return (f"select column_name, count(distinct v) as unique_values, "
+            f"cast(sum(case when v is null then 1 else 0 end) as bigint) as missing from ({body}) l group by 1")
+
+
+register("g10_customer_frequencies", with_ctes(_freq_sql("f_customers", ["customer_id", "customer_state"]),
+                                               views=["f_customers"], wide=False))(
+    lambda spark, d: profile.frequencies(fixtures.customers(spark, d)))
+register("g10_seller_frequencies", with_ctes(_freq_sql("f_sellers", ["seller_id", "seller_state"]),
+                                             views=["f_sellers"], wide=False))(
+    lambda spark, d: profile.frequencies(fixtures.sellers(spark, d)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q.run for name, q in REGISTRY.items()}
 

@@ -177,6 +177,44 @@ def numeric_profile(df: DataFrame, cols) -> DataFrame:
                                                    "p0", "p25", "p50", "p75", "p100")
 
 
+def character_profile(df: DataFrame, cols) -> DataFrame:
+    """G9 (character part of ``skim``): per column missing, complete rate, min/max
+    length, empty strings, whitespace-only strings and distinct non-NULL values.
+
+    One unpivot to (column, value) and one aggregate keyed by column; the
+    distinct count is Spark's two-level distinct aggregate."""
+    cols = list(cols)
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in cols])).alias("_s")
+    ).select("_s.column_name", "_s.v")
+    n = F.count(F.lit(1))
+    return long.groupBy("column_name").agg(
+        (n - F.count("v")).alias("n_missing"), ratio(F.count("v"), n).alias("complete_rate"),
+        F.min(F.length("v")).alias("min_length"), F.max(F.length("v")).alias("max_length"),
+        F.sum((F.col("v") == "").cast("int")).alias("empty"),
+        F.sum(F.col("v").rlike(r"^\s+$").cast("int")).alias("whitespace"),
+        F.countDistinct("v").alias("n_unique"))
+
+
+def timestamp_profile(df: DataFrame, cols) -> DataFrame:
+    """G9 (date-time part of ``skim``): per column missing, min, max, median
+    (exact, lower-middle interpolation on microseconds) and distinct values."""
+    cols = list(cols)
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.unix_micros(F.col(c).cast("timestamp")).alias("us"))
+        for c in cols])).alias("_s")).select("_s.column_name", "_s.us")
+    m = long.groupBy("column_name").agg(
+        F.sum(F.col("us").isNull().cast("int")).alias("n_missing"), F.min("us").alias("_min"),
+        F.max("us").alias("_max"), F.countDistinct("us").alias("n_unique"))
+    med = exact_quantiles(long.filter(F.col("us").isNotNull()), "us", [0.5], ["column_name"], names=["_med"])
+    return (m.join(med, "column_name", "left")
+            .select("column_name", "n_missing",
+                    F.timestamp_micros("_min").cast("timestamp_ntz").alias("min"),
+                    F.timestamp_micros("_max").cast("timestamp_ntz").alias("max"),
+                    F.timestamp_micros(F.floor("_med")).cast("timestamp_ntz").alias("median"),
+                    "n_unique"))
+
+
 def frequencies(df: DataFrame, cols=None) -> DataFrame:
     """G10 ``exploreFrequencies``: distinct non-NULL values and NULL count per column."""
     cols = list(cols or df.columns)
