@@ -22,7 +22,7 @@ from vitrine.oracle import VIEWS, with_ctes
 from vitrine.operators import wide as W
 from vitrine.operators.lineage import materialize
 from vitrine.params import Params
-from vitrine.plans import basket, category, geo, listing, payment, price, profile, text, whatif
+from vitrine.plans import basket, category, geo, listing, outer, payment, price, profile, text, whatif
 from vitrine.sources import fixtures
 
 # Stand-in parameters (FIXTURES.md §2): focus = PROMO + SMALL merged into
@@ -578,7 +578,7 @@ from (select _lo, _hi, cast(case when _hi - _lo > 0 then least(floor((x - _lo) /
       cross join (select min(cast(price as double)) as _lo, max(cast(price as double)) as _hi
                   from c9 where {_complete}) b) t
 group by bin, _lo, _hi"""))(
-    lambda spark, d: price.histogram(c9(spark, d).na.drop("any"), "price", HIST_BINS))
+    lambda spark, d: outer.complete_price_histogram(_tables(spark, d), HIST_BINS, C9_COLUMNS))
 
 # ---------------------------------------------------------------- profiles, checks
 
@@ -666,19 +666,20 @@ group by 1""", views=["f_orders"], wide=False))(
 register("g11_payment_type_counts", c9_sql("""
 select payment_type, count, 100.0 * (cast(count as double) / sum(count) over ()) as percent
 from (select payment_type, count(*) as count from c9 where payment_type is not null group by 1) t"""))(
-    lambda spark, d: profile.value_counts(c9(spark, d), "payment_type"))
+    lambda spark, d: outer.with_percent(outer.payment_type_counts(_tables(spark, d)), "payment_type"))
 
 register("g11_review_score_counts", c9_sql("""
 select review_score, count, 100.0 * (cast(count as double) / sum(count) over ()) as percent
 from (select review_score, count(*) as count from c9 where review_score is not null group by 1) t"""))(
-    lambda spark, d: profile.value_counts(c9(spark, d), "review_score"))
+    lambda spark, d: outer.with_percent(outer.review_score_counts(_tables(spark, d)), "review_score"))
 
 register("g12_payment_type_shares", c9_sql("""
 select payment_type, count, cast(count as double) / sum(count) over () as share
 from (select payment_type, count, row_number() over (order by count asc, payment_type desc) as rn
       from (select payment_type, count(*) as count from c9 where payment_type is not null group by 1) a) t
 where rn > 1"""))(
-    lambda spark, d: profile.shares_without_rare(c9(spark, d), "payment_type", 1))
+    lambda spark, d: profile.shares_without_rare(None, "payment_type", 1,
+                                                 counts=outer.payment_type_counts(_tables(spark, d))))
 
 register("g13_price_by_year_weekday", c9_sql("""
 select year(order_purchase_timestamp) as order_purchase_year,
@@ -686,7 +687,7 @@ select year(order_purchase_timestamp) as order_purchase_year,
        cast(sum(price) as double) / cast(count(price) as double) as price,
        (['Seg', 'Ter', 'Qua', 'Qui', 'Sex', 'Sab', 'Dom'])[isodow(order_purchase_timestamp)] as weekday_name
 from c9 where order_purchase_timestamp is not null group by 1, 2, 4"""))(
-    lambda spark, d: profile.mean_by_year_weekday(c9(spark, d)))
+    lambda spark, d: outer.mean_price_by_year_weekday(_tables(spark, d)))
 
 CORR_COLS = ["order_item_id", "price", "freight_value", "payment_value", "review_score", "product_photos_qty",
              "product_description_lenght"]
@@ -713,7 +714,9 @@ def _corr_sql() -> str:
 
 
 register("g15_correlation_matrix", c9_sql(_corr_sql()))(
-    lambda spark, d: profile.correlation_matrix(c9(spark, d), CORR_COLS))
+    lambda spark, d: outer.correlation_matrix(
+        _tables(spark, d), ["order_item_id", "price", "freight_value", "product_photos_qty",
+                            "product_description_lenght"], ["payment_value"], ["review_score"]))
 
 # ---------------------------------------------------------------- N1-N5 text
 

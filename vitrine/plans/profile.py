@@ -26,11 +26,13 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     return agg.drop("share").orderBy(F.desc("count"), F.asc(col))
 
 
-def shares_without_rare(df: DataFrame, col: str, drop_last: int) -> DataFrame:
+def shares_without_rare(df: DataFrame, col: str, drop_last: int, counts: DataFrame | None = None) -> DataFrame:
     """Value counts minus the ``drop_last`` least frequent values, percent of the rest.
 
-    Ranked on the aggregate (one row per distinct value)."""
-    agg = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+    Ranked on the aggregate (one row per distinct value); ``counts`` may be given
+    precomputed as (col, count)."""
+    agg = counts if counts is not None else (
+        df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count")))
     agg = agg.withColumn("_from_end", F.row_number().over(Window.orderBy(F.asc("count"), F.desc(col))))
     kept = agg.filter(F.col("_from_end") > drop_last).drop("_from_end")
     return share_of_total(kept, {"share": "count"})
@@ -235,7 +237,6 @@ def correlation_matrix(df: DataFrame, cols, digits: int = 2) -> DataFrame:
     present -- k(k+1)/2 + k + 1 accumulators per row instead of 3k(k+1).
     """
     cols = list(cols)
-    k = len(cols)
     mask = F.lit(0)
     for i, c in enumerate(cols):
         mask = mask + F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
@@ -244,6 +245,14 @@ def correlation_matrix(df: DataFrame, cols, digits: int = 2) -> DataFrame:
     aggs += [F.sum(F.col(a) * F.col(b)).alias(f"x{i}_{j}")
              for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
     per_mask = df.withColumn("_mask", mask).groupBy("_mask").agg(*aggs)
+    return correlation_from_pattern_sums(per_mask, cols, digits)
+
+
+def correlation_from_pattern_sums(per_mask: DataFrame, cols, digits: int = 2) -> DataFrame:
+    """G15 tail: from per-NULL-pattern sums (``_mask``, ``n``, ``s{i}``, ``x{i}_{j}``;
+    at most 2^k rows) to one row per ordered column pair."""
+    cols = list(cols)
+    k = len(cols)
 
     def both(i, j):
         bits = (1 << i) | (1 << j)
@@ -259,7 +268,6 @@ def correlation_matrix(df: DataFrame, cols, digits: int = 2) -> DataFrame:
                           F.sum(F.when(cond, F.col(f"x{i}_{i}"))).alias(f"saa_{i}_{j}"),
                           F.sum(F.when(cond, F.col(f"x{j}_{j}"))).alias(f"sbb_{i}_{j}"),
                           F.sum(F.when(cond, F.col(f"x{i}_{j}"))).alias(f"sab_{i}_{j}")]
-    # per_mask has at most 2^k rows
     sums = per_mask.agg(*pair_aggs)
     rows = []
     for i in range(k):
@@ -277,3 +285,18 @@ def correlation_matrix(df: DataFrame, cols, digits: int = 2) -> DataFrame:
     # one sign of zero, whatever the engine's rounding returns for tiny negatives
     return (sums.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
             .withColumn("corr_rounded", F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)))
+
+
+def weighted_histogram(rows: DataFrame, x: str, w: str, bins: int) -> DataFrame:
+    """G17 on weighted rows (a row standing for ``w`` identical rows): equal-width
+    bins between min and max of the rows with positive weight."""
+    v = rows.filter(F.col(x).isNotNull() & (F.col(w) > 0))
+    bounds = v.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
+    lo, hi = bounds.getField("lo"), bounds.getField("hi")
+    width = (hi - lo) / F.lit(float(bins))
+    b = F.when(width > 0, F.least(F.floor((F.col(x) - lo) / width), F.lit(bins - 1))).otherwise(0)
+    return (v.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("bin", b.cast("int"))
+            .groupBy("bin", "_lo", "_hi").agg(F.sum(w).cast("bigint").alias("count"))
+            .withColumn("bin_lo", F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / bins)
+            .withColumn("bin_hi", F.col("_lo") + (F.col("bin") + 1) * (F.col("_hi") - F.col("_lo")) / bins)
+            .select("bin", "bin_lo", "bin_hi", "count"))
