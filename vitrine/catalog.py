@@ -563,6 +563,16 @@ def c9_sql(body: str, extra: dict | None = None) -> str:
     return with_ctes(body, views=C9_VIEWS, wide=False, extra={"c9": C9_SQL, **(extra or {})})
 
 
+def c9_keys(spark, d) -> DataFrame:
+    """Per-order side counts of C9 (one row per order key), shared."""
+    return shared(spark, ("c9_keys", d), lambda: outer.side_counts(_tables(spark, d)))
+
+
+def c9_items(spark, d) -> DataFrame:
+    """Order-side rows of C9 (orders, items, products), shared."""
+    return shared(spark, ("c9_items", d), lambda: outer.item_side(_tables(spark, d)))
+
+
 def c9(spark, d) -> DataFrame:
     return shared(spark, ("c9", d), lambda: profile.full_outer_wide(_tables(spark, d)).select(*C9_COLUMNS))
 
@@ -666,12 +676,14 @@ group by 1""", views=["f_orders"], wide=False))(
 register("g11_payment_type_counts", c9_sql("""
 select payment_type, count, 100.0 * (cast(count as double) / sum(count) over ()) as percent
 from (select payment_type, count(*) as count from c9 where payment_type is not null group by 1) t"""))(
-    lambda spark, d: outer.with_percent(outer.payment_type_counts(_tables(spark, d)), "payment_type"))
+    lambda spark, d: outer.with_percent(outer.payment_type_counts(_tables(spark, d), c9_keys(spark, d)),
+                                        "payment_type"))
 
 register("g11_review_score_counts", c9_sql("""
 select review_score, count, 100.0 * (cast(count as double) / sum(count) over ()) as percent
 from (select review_score, count(*) as count from c9 where review_score is not null group by 1) t"""))(
-    lambda spark, d: outer.with_percent(outer.review_score_counts(_tables(spark, d)), "review_score"))
+    lambda spark, d: outer.with_percent(outer.review_score_counts(_tables(spark, d), c9_keys(spark, d)),
+                                        "review_score"))
 
 register("g12_payment_type_shares", c9_sql("""
 select payment_type, count, cast(count as double) / sum(count) over () as share
@@ -679,7 +691,8 @@ from (select payment_type, count, row_number() over (order by count asc, payment
       from (select payment_type, count(*) as count from c9 where payment_type is not null group by 1) a) t
 where rn > 1"""))(
     lambda spark, d: profile.shares_without_rare(None, "payment_type", 1,
-                                                 counts=outer.payment_type_counts(_tables(spark, d))))
+                                                 counts=outer.payment_type_counts(_tables(spark, d),
+                                                                                  c9_keys(spark, d))))
 
 register("g13_price_by_year_weekday", c9_sql("""
 select year(order_purchase_timestamp) as order_purchase_year,
@@ -687,7 +700,8 @@ select year(order_purchase_timestamp) as order_purchase_year,
        cast(sum(price) as double) / cast(count(price) as double) as price,
        (['Seg', 'Ter', 'Qua', 'Qui', 'Sex', 'Sab', 'Dom'])[isodow(order_purchase_timestamp)] as weekday_name
 from c9 where order_purchase_timestamp is not null group by 1, 2, 4"""))(
-    lambda spark, d: outer.mean_price_by_year_weekday(_tables(spark, d)))
+    lambda spark, d: outer.mean_price_by_year_weekday(_tables(spark, d), keys=c9_keys(spark, d),
+                                                      items=c9_items(spark, d)))
 
 CORR_COLS = ["order_item_id", "price", "freight_value", "payment_value", "review_score", "product_photos_qty",
              "product_description_lenght"]
@@ -716,7 +730,8 @@ def _corr_sql() -> str:
 register("g15_correlation_matrix", c9_sql(_corr_sql()))(
     lambda spark, d: outer.correlation_matrix(
         _tables(spark, d), ["order_item_id", "price", "freight_value", "product_photos_qty",
-                            "product_description_lenght"], ["payment_value"], ["review_score"]))
+                            "product_description_lenght"], ["payment_value"], ["review_score"],
+        items=c9_items(spark, d)))
 
 # ---------------------------------------------------------------- N1-N5 text
 

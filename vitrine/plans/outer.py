@@ -48,15 +48,15 @@ def _weighted_counts(rows: DataFrame, col: str, weight) -> DataFrame:
     return (rows.filter(F.col(col).isNotNull()).groupBy(col).agg(F.sum(weight).cast("bigint").alias("count")))
 
 
-def payment_type_counts(t) -> DataFrame:
+def payment_type_counts(t, keys: DataFrame | None = None) -> DataFrame:
     """G11 over C9: rows per payment type = sum over payments of items x reviews of the order."""
-    rows = t.payments.join(side_counts(t), KEY)
+    rows = t.payments.join(keys if keys is not None else side_counts(t), KEY)
     return _weighted_counts(rows, "payment_type", F.col("_na") * F.col("_nc"))
 
 
-def review_score_counts(t) -> DataFrame:
+def review_score_counts(t, keys: DataFrame | None = None) -> DataFrame:
     """G11 over C9: rows per review score = sum over reviews of items x payments of the order."""
-    rows = t.reviews.join(side_counts(t), KEY)
+    rows = t.reviews.join(keys if keys is not None else side_counts(t), KEY)
     return _weighted_counts(rows, "review_score", F.col("_na") * F.col("_nb"))
 
 
@@ -66,9 +66,11 @@ def with_percent(counts: DataFrame, col: str) -> DataFrame:
     return agg.drop("share").orderBy(F.desc("count"), F.asc(col))
 
 
-def mean_price_by_year_weekday(t, ts: str = "order_purchase_timestamp", value: str = "price") -> DataFrame:
+def mean_price_by_year_weekday(t, ts: str = "order_purchase_timestamp", value: str = "price",
+                               keys: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
     """G13 over C9: each item row weighs (payments x reviews) of its order."""
-    rows = item_side(t).join(side_counts(t), KEY).withColumn("_w", F.col("_nb") * F.col("_nc"))
+    items = items if items is not None else item_side(t)
+    rows = items.join(keys if keys is not None else side_counts(t), KEY).withColumn("_w", F.col("_nb") * F.col("_nc"))
     d = rows.select(F.year(ts).alias("order_purchase_year"), F.weekday(ts).alias("order_purchase_dayofweek"),
                     value, "_w").filter(F.col("order_purchase_year").isNotNull())
     agg = d.groupBy("order_purchase_year", "order_purchase_dayofweek").agg(
@@ -100,7 +102,7 @@ def _side_pattern_sums(rows: DataFrame, cols: list[str], index: dict[str, int],
     return present.unionByName(missing)
 
 
-def correlation_matrix(t, cols_a, cols_b, cols_c, digits: int = 2) -> DataFrame:
+def correlation_matrix(t, cols_a, cols_b, cols_c, digits: int = 2, items: DataFrame | None = None) -> DataFrame:
     """G15 over C9: pairwise Pearson correlations of item-side (``cols_a``),
     payment (``cols_b``) and review (``cols_c``) columns, each pair over the C9
     rows where both are present -- from per-order side sums, never the rows.
@@ -110,7 +112,7 @@ def correlation_matrix(t, cols_a, cols_b, cols_c, digits: int = 2) -> DataFrame:
     """
     cols = list(cols_a) + list(cols_b) + list(cols_c)
     index = {c: i for i, c in enumerate(cols)}
-    item_rows = item_side(t)
+    item_rows = items if items is not None else item_side(t)
 
     def count(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(KEY).agg(F.count(F.lit(1)).alias(name))
