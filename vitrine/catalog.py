@@ -9,6 +9,7 @@ partitionings.  ``rounding`` is only for genuinely floating computations.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from vitrine.functions import classify, labels
 from vitrine.operators import share
-from vitrine.oracle import VIEWS, with_ctes
+from vitrine.oracle import VIEWS, WIDE_CTES, with_ctes
 from vitrine.operators import wide as W
 from vitrine.operators.lineage import materialize
 from vitrine.params import Params
@@ -786,12 +787,11 @@ register("g2_payments_per_type", with_ctes(
 register("g3_g4_payments_wide", with_ctes("""
 select *, coalesce(credit_card, 0) + coalesce(boleto, 0) + coalesce(voucher, 0) + coalesce(debit_card, 0)
           as total_payment_value from pay""", views=["f_orders", "f_payments"], wide=False,
-    extra={"pay": __import__("vitrine.oracle", fromlist=["WIDE_CTES"]).WIDE_CTES["pay"]}))(
+    extra={"pay": WIDE_CTES["pay"]}))(
     lambda spark, d: W.payments_wide(fixtures.payments(spark, d)))
 
 register("w1_latest_reviews", with_ctes("select * from rev", views=["f_reviews"], wide=False,
-                                        extra={"rev": __import__("vitrine.oracle", fromlist=["WIDE_CTES"])
-                                               .WIDE_CTES["rev"]}))(
+                                        extra={"rev": WIDE_CTES["rev"]}))(
     lambda spark, d: W.latest_reviews(fixtures.reviews(spark, d)))
 
 register("w1_latest_reviews_one_row", with_ctes("""
@@ -874,7 +874,7 @@ from f_orders""", views=["f_orders"], wide=False))(
 
 # ---------------------------------------------------------------- G18 density (floating: rounded on both sides)
 
-SQRT_2PI = repr(__import__("math").sqrt(2 * __import__("math").pi))
+SQRT_2PI = repr(math.sqrt(2 * math.pi))
 DENSITY_SQL = f"""
 select g.review_simple, g.point, g.x, g.bw,
        sum(b._w * exp(-0.5 * ((g.x - b._c) / g.bw) * ((g.x - b._c) / g.bw)) / {SQRT_2PI}) / (g._n * g.bw) as density
