@@ -907,7 +907,7 @@ register("g9_character_profile_items", with_ctes("""
 select column_name, count(*) - count(v) as n_missing, cast(count(v) as double) / cast(count(*) as double) as complete_rate,
        min(length(v)) as min_length, max(length(v)) as max_length,
        cast(sum(case when v = '' then 1 else 0 end) as bigint) as empty,
-       cast(sum(case when regexp_matches(v, '^\s+$') then 1 else 0 end) as bigint) as whitespace,
+       cast(sum(case when regexp_matches(v, '^\\s+$') then 1 else 0 end) as bigint) as whitespace,
        count(distinct v) as n_unique
 from (""" + "\n union all ".join(f"select '{c}' as column_name, cast({c} as varchar) as v from items_wide"
                                  for c in STRING_COLS) + ") l group by 1"))(
