@@ -145,3 +145,23 @@ def test_shares_sum_to_one(spark, hot):
     m1 = category.category_class_summary(sel)
     tot = m1.groupBy("product_category_name").agg(F.sum("percent_notas").alias("s")).collect()
     assert all(abs(r.s - 1.0) < 1e-12 for r in tot)
+
+
+def test_ntz_micros_are_zone_free_and_monotone(spark):
+    import datetime as dt
+
+    from vitrine.functions.timeutil import micros_to_ntz, ntz_to_micros
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        ts = [dt.datetime(2021, 3, 14, 2, 45), dt.datetime(2021, 3, 14, 3, 0), dt.datetime(1969, 12, 31, 23, 59, 59, 1),
+              dt.datetime(2018, 11, 4, 1, 30, 0, 123456)]
+        df = spark.createDataFrame([(t,) for t in ts], "t timestamp_ntz")
+        rows = df.select("t", ntz_to_micros(F.col("t")).alias("us")).withColumn("back", micros_to_ntz(F.col("us"))).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    epoch = dt.datetime(1970, 1, 1)
+    for r in rows:
+        assert r.us == (r.t - epoch) // dt.timedelta(microseconds=1)
+        assert r.back == r.t

@@ -57,6 +57,8 @@ def main() -> int:
     sf_dir = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     pats = [a for a in args if not a.startswith("/")]
     spark = local_session()
+    if os.environ.get("ORACLE_CHECK_TZ"):  # e.g. check that no query depends on the session zone
+        spark.conf.set("spark.sql.session.timeZone", os.environ["ORACLE_CHECK_TZ"])
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitrine.functions.timeutil import ntz_to_micros
 from vitrine.operators.lineage import materialize
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -49,8 +50,11 @@ def _block(df: DataFrame, part: Sequence[str], key: str, blocks: int) -> DataFra
         width = F.col("_hi") - F.col("_lo")
         blk = F.when(width > 0, F.floor((x - F.col("_lo")) / width * F.lit(blocks - 1))).otherwise(F.lit(0))
         return df.withColumn("_blk", blk.cast("bigint")).drop("_lo", "_hi")
-    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return _block(df.withColumn("_k_num", F.unix_micros(F.col(key).cast("timestamp"))), part,
+    if isinstance(dtype, T.TimestampType):
+        return _block(df.withColumn("_k_num", F.unix_micros(F.col(key))), part, "_k_num", blocks).drop("_k_num")
+    if isinstance(dtype, (T.DateType, T.TimestampNTZType)):
+        # zone-free: a session-zone conversion would not be monotone across DST gaps
+        return _block(df.withColumn("_k_num", ntz_to_micros(F.col(key).cast("timestamp_ntz"))), part,
                       "_k_num", blocks).drop("_k_num")
     # strings and anything else orderable: a prefix is monotone under binary order
     return df.withColumn("_blk", F.substring(F.col(key).cast("string"), 1, 2))

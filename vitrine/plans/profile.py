@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.functions.classify import review_class_fixed
+from vitrine.functions.timeutil import micros_to_ntz, ntz_to_micros
 from vitrine.operators.rank import exact_quantiles
 from vitrine.operators.share import ratio, share_of_total
 
@@ -203,7 +204,7 @@ def timestamp_profile(df: DataFrame, cols) -> DataFrame:
     (exact, lower-middle interpolation on microseconds) and distinct values."""
     cols = list(cols)
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.unix_micros(F.col(c).cast("timestamp")).alias("us"))
+        F.struct(F.lit(c).alias("column_name"), ntz_to_micros(F.col(c).cast("timestamp_ntz")).alias("us"))
         for c in cols])).alias("_s")).select("_s.column_name", "_s.us")
     m = long.groupBy("column_name").agg(
         F.sum(F.col("us").isNull().cast("int")).alias("n_missing"), F.min("us").alias("_min"),
@@ -211,9 +212,8 @@ def timestamp_profile(df: DataFrame, cols) -> DataFrame:
     med = exact_quantiles(long.filter(F.col("us").isNotNull()), "us", [0.5], ["column_name"], names=["_med"])
     return (m.join(med, "column_name", "left")
             .select("column_name", "n_missing",
-                    F.timestamp_micros("_min").cast("timestamp_ntz").alias("min"),
-                    F.timestamp_micros("_max").cast("timestamp_ntz").alias("max"),
-                    F.timestamp_micros(F.floor("_med")).cast("timestamp_ntz").alias("median"),
+                    micros_to_ntz(F.col("_min")).alias("min"), micros_to_ntz(F.col("_max")).alias("max"),
+                    micros_to_ntz(F.floor("_med")).alias("median"),
                     "n_unique"))
 
 
