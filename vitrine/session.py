@@ -33,11 +33,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a scratch one only if unset."""
+    """Return the session's checkpoint folder (``spark.checkpoint.dir``).
+
+    Only a local-mode session (tests, single-machine runs) without one gets a
+    scratch folder; on a cluster a machine-local folder would not be shared by
+    the executors, so an unset folder is an error there."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors "
+                               "(lineage cuts and shared base tables are written there)")
         current = tempfile.mkdtemp(prefix="vitrine-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
         spark.sparkContext.setCheckpointDir(current)
