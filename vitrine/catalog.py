@@ -141,14 +141,14 @@ def shared(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> D
     return _SHARED[k]
 
 
-def wide_table(spark, sf_dir, statuses=("delivered",)) -> DataFrame:
+def wide_table(spark, sf_dir, statuses=("delivered",), review_mode: str = "both_max") -> DataFrame:
     st = tuple(statuses) if statuses is not None else None
-    return shared(spark, ("items_wide", sf_dir, st),
-                  lambda: W.items_wide(_tables(spark, sf_dir), statuses=statuses))
+    return shared(spark, ("items_wide", sf_dir, st, review_mode),
+                  lambda: W.items_wide(_tables(spark, sf_dir), statuses=statuses, review_mode=review_mode))
 
 
 def selected(spark, sf_dir, p: Params) -> DataFrame:
-    return classify.selected(wide_table(spark, sf_dir, p.statuses), p)
+    return classify.selected(wide_table(spark, sf_dir, p.statuses, p.review_mode), p)
 
 
 def focus(spark, sf_dir, p: Params) -> DataFrame:
