@@ -371,7 +371,9 @@ SOL_CTES = {"sol": f"select *, {PHOTO_SQL} as bucket_photos from ("
 
 
 def solution(spark, d, p: Params) -> DataFrame:
-    return listing.with_listing_cells(focus(spark, d, p))
+    """``df_solution``: the focus rows with photo bucket and description sextile.
+    Shared per parameter record, as the dashboard memoises it for M20-M22 and the what-if."""
+    return shared(spark, ("solution", d, p), lambda: listing.with_listing_cells(focus(spark, d, p), checkpoint=False))
 
 
 register("m17_price_quartile_class", with_ctes("""
