@@ -84,22 +84,15 @@ def mean_price_by_year_weekday(t, ts: str = "order_purchase_timestamp", value: s
 
 # ------------------------------------------------------------------ G15 correlation over C9
 
-def _side_pattern_sums(rows: DataFrame, cols: list[str], index: dict[str, int], key_counts: DataFrame,
-                       missing_flag: str) -> DataFrame:
-    """Per (order, NULL pattern of this side's columns): row count, sums and within-side cross sums.
-    Orders without rows on this side get one all-NULL row (pattern 0)."""
+def _side_pattern_sums(rows: DataFrame, cols: list[str], index: dict[str, int]) -> DataFrame:
+    """Per (order, NULL pattern of this side's columns): row count, sums and within-side cross sums."""
     mask = F.lit(0)
     for c in cols:
         mask = mask + F.when(F.col(c).isNotNull(), F.lit(1 << index[c])).otherwise(F.lit(0))
     aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(c).alias(f"s_{index[c]}") for c in cols]
     aggs += [F.sum(F.col(a) * F.col(b)).alias(f"x_{index[a]}_{index[b]}")
              for i, a in enumerate(cols) for b in cols[i:]]
-    present = rows.withColumn("_m", mask).groupBy(KEY, "_m").agg(*aggs)
-    zero = {f: F.lit(0) for f in present.columns if f not in (KEY, "_m", "n")}
-    missing = (key_counts.filter(F.col(missing_flag).isNull())
-               .select(KEY, F.lit(0).alias("_m"), F.lit(1).cast("bigint").alias("n"),
-                       *[v.alias(k) for k, v in zero.items()]))
-    return present.unionByName(missing)
+    return rows.withColumn("_m", mask).groupBy(KEY, "_m").agg(*aggs)
 
 
 def correlation_matrix(t, cols_a, cols_b, cols_c, digits: int = 2, items: DataFrame | None = None) -> DataFrame:
@@ -114,18 +107,21 @@ def correlation_matrix(t, cols_a, cols_b, cols_c, digits: int = 2, items: DataFr
     index = {c: i for i, c in enumerate(cols)}
     item_rows = items if items is not None else item_side(t)
 
-    def count(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(KEY).agg(F.count(F.lit(1)).alias(name))
-
-    keys = (count(item_rows, "_ha").join(count(t.payments, "_hb"), KEY, "full_outer")
-            .join(count(t.reviews, "_hc"), KEY, "full_outer"))
-    sides = [(_side_pattern_sums(item_rows, list(cols_a), index, keys, "_ha"), list(cols_a)),
-             (_side_pattern_sums(t.payments, list(cols_b), index, keys, "_hb"), list(cols_b)),
-             (_side_pattern_sums(t.reviews, list(cols_c), index, keys, "_hc"), list(cols_c))]
-    renamed = []
-    for j, (df, _) in enumerate(sides):
-        renamed.append(df.select(KEY, *[F.col(c).alias(f"{c}__{j}") for c in df.columns if c != KEY]))
-    combo = renamed[0].join(renamed[1], KEY).join(renamed[2], KEY)
+    sides = [_side_pattern_sums(item_rows, list(cols_a), index),
+             _side_pattern_sums(t.payments, list(cols_b), index),
+             _side_pattern_sums(t.reviews, list(cols_c), index)]
+    renamed = [df.select(KEY, *[F.col(c).alias(f"{c}__{j}") for c in df.columns if c != KEY])
+               for j, df in enumerate(sides)]
+    # per order: every combination of the sides' patterns (at most 2^k each); an order
+    # missing on a side counts as one all-NULL row there (pattern 0, n = 1, sums 0)
+    combo = renamed[0].join(renamed[1], KEY, "full_outer").join(renamed[2], KEY, "full_outer")
+    pad = []
+    for c in combo.columns:
+        if c == KEY:
+            continue
+        default = F.lit(1) if c.startswith("n__") else F.lit(0)
+        pad.append(F.coalesce(F.col(c), default).alias(c))
+    combo = combo.select(KEY, *pad)
 
     def side_of(c):
         return 0 if c in cols_a else (1 if c in cols_b else 2)
