@@ -605,8 +605,12 @@ OI_ALL = ("select o.*, i.order_item_id, i.product_id, i.seller_id, i.shipping_li
 
 
 def orders_items_all(spark, d) -> DataFrame:
-    t = _tables(spark, d)
-    return W.orders_items(t.orders, t.order_items, statuses=None)
+    """C1 + B1 over all statuses: the shared order-side rows that have an item."""
+    rows = c9_items(spark, d).select("order_id", "customer_id", "order_status", "order_purchase_timestamp",
+                                     "order_item_id", "product_id", "seller_id", "shipping_limit_date",
+                                     "price", "freight_value")
+    return (rows.filter(F.col("product_id").isNotNull())
+            .withColumn("total_price", F.col("price") + F.col("freight_value")))
 
 
 register("g1_item_position_counts", with_ctes(
