@@ -206,27 +206,59 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], part: Seq
     """Exact quantiles with linear interpolation (R type 7, Spark ``percentile``).
 
     With 0-based position h = (N - 1) p: x[floor h] + (h - floor h) (x[floor h + 1] - x[floor h]).
-    Order statistics are read off the value histogram: x[r] is the smallest value
-    whose cumulative count reaches r, i.e. a conditional ``min`` -- one aggregate
-    pass over the distinct values, no join and no task holding the whole column
-    (``F.percentile`` keeps every distinct value in one buffer).
+
+    Order statistics without a global sort: distinct values are counted and cut
+    into monotone blocks; block totals give block offsets (a window over at
+    most ``blocks`` rows per group); only the blocks holding a target rank (at
+    most two per probability) are prefix-summed value by value, and x[r] is the
+    smallest value whose cumulative count reaches r -- a conditional ``min``.
+    (``F.percentile`` keeps every distinct value of a group in one buffer.)
     One row per part group, one column per probability.
     """
     part = list(part)
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
-    hist = value_histogram(df, value, part, blocks)
-    n_tab = hist.groupBy(*part).agg(F.sum("_c").alias("_n"))
-    # one row per part group (bounded by the caller's grouping)
-    h = hist.join(F.broadcast(n_tab), part) if part else hist.withColumn("_n", n_tab.scalar())
-    cum = F.col("_pb") + F.col("_c")
-    x = F.col(value).cast("double")
-    aggs = []
+    cnt = materialize(df.filter(F.col(value).isNotNull()).groupBy(*part, value)
+                      .agg(F.count(F.lit(1)).alias("_c")))
+    blk = _block(cnt, part, value, blocks)
+    offsets = (blk.groupBy(*part, "_blk").agg(F.sum("_c").alias("_bt"))
+               .withColumn("_bo", F.coalesce(F.sum("_bt").over(
+                   Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0))))
+    # one row per part group: N, and per probability the two target ranks and the fraction
+    targets = offsets.groupBy(*part).agg(F.sum("_bt").alias("_n"))
+    rank_cols = []
     for nm, p in zip(names, probs):
         pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
-        k = F.floor(pos)
-        r1, r2 = k + 1, F.least(k + 2, F.col("_n"))
-        aggs += [F.min(F.when(cum >= r1, x)).alias(f"_x1_{nm}"), F.min(F.when(cum >= r2, x)).alias(f"_x2_{nm}"),
-                 F.max(pos - k).alias(f"_f_{nm}")]
-    q = h.groupBy(*part).agg(*aggs)
+        targets = (targets.withColumn(f"_f_{nm}", pos - F.floor(pos))
+                   .withColumn(f"_r1_{nm}", F.floor(pos) + 1)
+                   .withColumn(f"_r2_{nm}", F.least(F.floor(pos) + 2, F.col("_n"))))
+        rank_cols += [f"_r1_{nm}", f"_r2_{nm}"]
+    targets = targets.withColumn("_ranks", F.array(*[F.col(c) for c in rank_cols]))
+    keep = [*rank_cols, "_ranks", *[f"_f_{nm}" for nm in names]]
+
+    def attach(t: DataFrame) -> DataFrame:
+        # targets has one row per part group (bounded) -> broadcast, or a scalar without groups
+        if part:
+            return t.join(F.broadcast(targets.select(*part, *keep)), part)
+        row = targets.select(F.struct(*keep).alias("_t")).scalar()
+        for c in keep:
+            t = t.withColumn(c, row.getField(c))
+        return t
+
+    # blocks holding a target rank: at most 2 x len(probs) per part group -> broadcast
+    needed = (attach(offsets)
+              .filter(F.exists("_ranks", lambda r: (r > F.col("_bo")) & (r <= F.col("_bo") + F.col("_bt"))))
+              .select(*part, "_blk", "_bo"))
+    rows = blk.join(F.broadcast(needed), part + ["_blk"])
+    cum = F.col("_bo") + F.sum("_c").over(Window.partitionBy(*part, "_blk").orderBy(value)
+                                          .rowsBetween(Window.unboundedPreceding, 0))
+    rows = attach(rows.withColumn("_cum", cum))
+    x = F.col(value).cast("double")
+    aggs = []
+    for nm in names:
+        aggs += [F.min(F.when(F.col("_cum") >= F.col(f"_r1_{nm}"), x)).alias(f"_x1_{nm}"),
+                 F.min(F.when(F.col("_cum") >= F.col(f"_r2_{nm}"), x)).alias(f"_x2_{nm}"),
+                 F.max(f"_f_{nm}").alias(f"_f_{nm}")]
+    q = rows.groupBy(*part).agg(*aggs)
     return q.select(*part, *[(F.col(f"_x1_{nm}") + F.col(f"_f_{nm}") * (F.col(f"_x2_{nm}") - F.col(f"_x1_{nm}")))
                              .alias(nm) for nm in names])
