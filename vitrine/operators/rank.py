@@ -149,16 +149,34 @@ def ntile_labels(df: DataFrame, value: str, tie_break: Sequence[str], labels: Se
     open_rows, open_groups = rows, None
     for i in range(len(keys)):
         gkeys = keys[: i + 1]
+        gp = part + keys[:i]            # the groups refined at this level
         cnt = open_rows.groupBy(*part, *gkeys).agg(F.count(F.lit(1)).alias("_c"))
-        cnt = prefix_before(cnt, part + keys[:i], keys[i], "_c", blocks)
+        b = _block(cnt, gp, keys[i], blocks)
+        # block offsets: a window over at most ``blocks`` block totals per group
+        bt = b.groupBy(*gp, "_blk").agg(F.sum("_c").alias("_bt"))
+        bt = bt.withColumn("_bo", F.coalesce(F.sum("_bt").over(
+            Window.partitionBy(*gp).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         if open_groups is None:
-            cnt = cnt.withColumn("_b", F.col("_pb"))
+            bt = bt.withColumn("_A", F.col("_bo"))
         else:
-            cnt = cnt.join(F.broadcast(open_groups), part + keys[:i]).withColumn("_b", F.col("_b0") + F.col("_pb"))
-        cnt = (attach_n(cnt).withColumn("_r1", F.col("_b") + 1).withColumn("_r2", F.col("_b") + F.col("_c"))
+            bt = bt.join(F.broadcast(open_groups.select(*gp, "_b0")), gp).withColumn("_A", F.col("_b0") + F.col("_bo"))
+        bt = (attach_n(bt).withColumn("_a1", F.col("_A") + 1).withColumn("_a2", F.col("_A") + F.col("_bt"))
+              .withColumn("_blo", ntile_index("_a1", "_n", n, precision, method))
+              .withColumn("_bhi", ntile_index("_a2", "_n", n, precision, method)))
+        bt = bt.select(*gp, "_blk", "_A", "_blo", "_bhi")
+        # a block inside one label labels all its values at once (at most ``blocks`` rows per group)
+        whole = bt.filter(F.col("_blo") == F.col("_bhi")).select(*gp, "_blk", F.col("_blo").alias("_idx"))
+        settled_whole = b.join(F.broadcast(whole), gp + ["_blk"]).select(*part, *gkeys, "_idx")
+        # only blocks across a label boundary (at most n-1 per group) are summed value by value
+        mixed = bt.filter(F.col("_blo") != F.col("_bhi")).select(*gp, "_blk", "_A")
+        within = F.coalesce(F.sum("_c").over(Window.partitionBy(*gp, "_blk").orderBy(keys[i])
+                                             .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        cnt = (attach_n(b.join(F.broadcast(mixed), gp + ["_blk"]).withColumn("_b", F.col("_A") + within))
+               .withColumn("_r1", F.col("_b") + 1).withColumn("_r2", F.col("_b") + F.col("_c"))
                .withColumn("_lo", ntile_index("_r1", "_n", n, precision, method))
                .withColumn("_hi", ntile_index("_r2", "_n", n, precision, method)))
-        settled = cnt.filter(F.col("_lo") == F.col("_hi")).select(*part, *gkeys, F.col("_lo").alias("_idx"))
+        settled = (cnt.filter(F.col("_lo") == F.col("_hi")).select(*part, *gkeys, F.col("_lo").alias("_idx"))
+                   .unionByName(settled_whole))
         pieces.append(open_rows.join(settled, part + gkeys))
         # straddling groups: at most n-1 per part group; none can remain once the key is unique
         open_groups = materialize(cnt.filter(F.col("_lo") != F.col("_hi"))
