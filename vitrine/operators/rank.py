@@ -6,11 +6,11 @@ task, so here the rank is never materialised per row.  Instead:
 
 1. ``groupBy(value).count()`` -- one row per distinct value (partial aggregation
    absorbs hot values).
-2. ``prefix_before``: the number of rows before each distinct value, as a
-   two-level prefix sum: values are cut into ``blocks`` monotone blocks, block
-   totals are summed over a window of at most ``blocks`` rows per group, and
-   values are summed within their own block.  No task ever holds more than one
-   block of distinct values.
+2. Distinct values are cut into ``blocks`` monotone blocks; block totals are
+   summed over a window of at most ``blocks`` rows per group, giving each block's
+   offset.  A block whose whole rank span maps to one label labels all its
+   values at once; only blocks across a label boundary (at most n-1) are
+   prefix-summed value by value (``prefix_before`` is the general form).
 3. A value group whose rank span ``[before+1, before+count]`` maps to one label
    is settled at once.  Only groups that straddle a label boundary (at most
    ``n_labels - 1`` per partition group: a proven bound, so they are broadcast)
