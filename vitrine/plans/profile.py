@@ -8,7 +8,7 @@ so every engine and partitioning gives the same doubles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,13 +30,16 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 def shares_without_rare(df: DataFrame, col: str, drop_last: int, counts: DataFrame | None = None) -> DataFrame:
     """Value counts minus the ``drop_last`` least frequent values, percent of the rest.
 
-    Ranked on the aggregate (one row per distinct value); ``counts`` may be given
-    precomputed as (col, count)."""
+    The rare values are a distributed top-k (each task keeps its ``drop_last``
+    smallest, ties by value) removed with a broadcast anti join of at most
+    ``drop_last`` rows -- no window over all distinct values.  ``counts`` may be
+    given precomputed as (col, count)."""
     agg = counts if counts is not None else (
         df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count")))
-    agg = agg.withColumn("_from_end", F.row_number().over(Window.orderBy(F.asc("count"), F.desc(col))))
-    kept = agg.filter(F.col("_from_end") > drop_last).drop("_from_end")
-    return share_of_total(kept, {"share": "count"})
+    if drop_last > 0:
+        rare = agg.orderBy(F.asc("count"), F.desc(col)).limit(drop_last).select(col)
+        agg = agg.join(F.broadcast(rare), col, "left_anti")
+    return share_of_total(agg, {"share": "count"})
 
 
 def group_counts(df: DataFrame, *cols: str) -> DataFrame:
