@@ -165,3 +165,13 @@ def test_ntz_micros_are_zone_free_and_monotone(spark):
     for r in rows:
         assert r.us == (r.t - epoch) // dt.timedelta(microseconds=1)
         assert r.back == r.t
+
+
+def test_density_bandwidth_falls_back_when_iqr_is_zero(spark):
+    from vitrine.plans import price
+
+    # most values equal: IQR = 0, so the bandwidth must come from sd, not be 0
+    rows = [("alta", 100.0)] * 20 + [("alta", 1000.0)]
+    df = spark.createDataFrame(rows, "review_simple string, total_price double")
+    out = price.density(df, grid=8, fine_bins=16).collect()
+    assert len(out) == 8 and all(r.bw > 0 and r.density >= 0 for r in out)

@@ -887,7 +887,9 @@ select g.review_simple, g.point, g.x, g.bw,
 from (select p.review_simple, r.point, p.bw, p._n,
              p._lo + r.point * (p._hi - p._lo) / 511.0 as x
       from (select s.review_simple, s._n, pl._lo, pl._hi,
-                   0.9 * least(s._sd, (s._q3 - s._q1) / 1.34) * pow(cast(s._n as double), -0.2) as bw
+                   0.9 * (case when least(s._sd, (s._q3 - s._q1) / 1.34) > 0
+                               then least(s._sd, (s._q3 - s._q1) / 1.34)
+                               when s._sd > 0 then s._sd else 1.0 end) * pow(cast(s._n as double), -0.2) as bw
             from (select review_simple, count(*) as _n, stddev_samp(_x) as _sd,
                          quantile_cont(_x, 0.25) as _q1, quantile_cont(_x, 0.75) as _q3
                   from v group by 1) s cross join pooled pl) p

@@ -90,8 +90,11 @@ def density(df: DataFrame, value: str = "total_price", by: str = CLS, grid: int
     def with_pooled(t: DataFrame) -> DataFrame:
         return t.withColumn("_lo", pooled.getField("lo")).withColumn("_hi", pooled.getField("hi"))
 
-    bw = (F.lit(0.9) * F.least(F.col("_sd"), (F.col("_q3") - F.col("_q1")) / F.lit(1.34))
-          * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
+    # bw.nrd0: 0.9 * min(sd, IQR / 1.34) * n^-0.2, falling back to sd and then 1 when
+    # that minimum is 0 (R's next fallback, |first value|, depends on row order)
+    spread = F.least(F.col("_sd"), (F.col("_q3") - F.col("_q1")) / F.lit(1.34))
+    spread = F.when(spread > 0, spread).when(F.col("_sd") > 0, F.col("_sd")).otherwise(F.lit(1.0))
+    bw = F.lit(0.9) * spread * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
     params = with_pooled(stats.join(quart, by).withColumn("bw", bw))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(fine_bins))
     binned = (with_pooled(v)
