@@ -208,17 +208,6 @@ def ntile_labels(df: DataFrame, value: str, tie_break: Sequence[str], labels: Se
     return labelled.drop("_idx")
 
 
-def value_histogram(df: DataFrame, value: str, part: Sequence[str] = (), blocks: int = 1024) -> DataFrame:
-    """Distinct non-NULL values with their count ``_c`` and rows strictly before ``_pb``.
-
-    The distinct-value table is checkpointed: it is read several times by the
-    prefix sum and the order-statistic lookups, and it is far smaller than the rows.
-    """
-    cnt = materialize(df.filter(F.col(value).isNotNull()).groupBy(*part, value)
-                      .agg(F.count(F.lit(1)).alias("_c")))
-    return prefix_before(cnt, list(part), value, "_c", blocks)
-
-
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], part: Sequence[str] = (),
                     names: Sequence[str] | None = None, blocks: int = 1024) -> DataFrame:
     """Exact quantiles with linear interpolation (R type 7, Spark ``percentile``).
