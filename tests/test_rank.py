@@ -132,3 +132,24 @@ def test_sql_method_matches_spark_ntile(spark, n_rows, precision):
     ref = df.withColumn("q", F.ntile(scale).over(Window.orderBy("v", "id"))).collect()
     exp = {r.id: labels[sum(1 for k in range(1, 4) if 4 * r.q >= scale * k)] for r in ref}
     assert got == exp
+
+
+def test_scenario_placement_matches_brute_force(spark):
+    from vitrine.plans import listing, whatif
+
+    rnd = random.Random(11)
+    lens = [None if rnd.random() < 0.1 else rnd.choice([100, 250, 250, 250, 400, 800, 1200]) for _ in range(97)]
+    sol = spark.createDataFrame([(i, v) for i, v in enumerate(lens)], "id long, product_description_lenght long")
+    scen_rows = [(1, 3, 250, 1.0), (2, 1, 99, 1.0), (3, 6, 5000, 1.0), (4, None, None, 1.0), (5, 2, 400, 1.0)]
+    scen = spark.createDataFrame(scen_rows, "scenario_id int, fotos int, caracteres int, frete double")
+    got = {r.scenario_id: r.quantil_desc for r in whatif.place_scenarios(sol, scen).collect()}
+    nn = [v for v in lens if v is not None]
+    n1 = len(nn) + 1
+    for sid, _, c, _ in scen_rows:
+        if c is None:
+            assert got[sid] is None
+            continue
+        rank_ = sum(1 for v in nn if v <= c) + 1   # appended last: after its ties
+        q = (10000 * (rank_ - 1)) // n1 + 1
+        exp = listing.SEXTILES[sum(1 for k in range(1, 6) if 6 * q >= 10000 * k)]
+        assert got[sid] == exp, sid
