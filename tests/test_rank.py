@@ -153,3 +153,23 @@ def test_scenario_placement_matches_brute_force(spark):
         q = (10000 * (rank_ - 1)) // n1 + 1
         exp = listing.SEXTILES[sum(1 for k in range(1, 6) if 6 * q >= 10000 * k)]
         assert got[sid] == exp, sid
+
+
+def test_box_stats_match_numpy(spark):
+    from vitrine.plans import price
+
+    rnd = random.Random(5)
+    rows = [(cls, float(rnd.choice([rnd.lognormvariate(3, 1), 20.0, 20.0])))
+            for cls in ("alta", "baixa") for _ in range(301)]
+    df = spark.createDataFrame(rows, "review_simple string, total_price double")
+    got = {r.review_simple: r for r in price.box_stats(df).collect()}
+    for cls in ("alta", "baixa"):
+        x = np.array([v for c, v in rows if c == cls])
+        q1, q2, q3 = np.quantile(x, [0.25, 0.5, 0.75])
+        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        inside = x[(x >= lo) & (x <= hi)]
+        r = got[cls]
+        assert r.n == len(x) and r.n_outliers == int(((x < lo) | (x > hi)).sum())
+        assert r.lower == pytest.approx(q1, rel=1e-12) and r.middle == pytest.approx(q2, rel=1e-12)
+        assert r.upper == pytest.approx(q3, rel=1e-12)
+        assert r.ymin == inside.min() and r.ymax == inside.max()
