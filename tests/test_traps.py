@@ -175,3 +175,12 @@ def test_density_bandwidth_falls_back_when_iqr_is_zero(spark):
     df = spark.createDataFrame(rows, "review_simple string, total_price double")
     out = price.density(df, grid=8, fine_bins=16).collect()
     assert len(out) == 8 and all(r.bw > 0 and r.density >= 0 for r in out)
+
+
+def test_strict_aggregates_follow_r_without_na_rm(spark):
+    from vitrine.functions.aggregates import strict_max, strict_sum
+
+    df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", 2.0), ("b", 3.0)], "k string, x double")
+    got = {r.k: (r.s, r.m, r.plain) for r in df.groupBy("k").agg(
+        strict_sum("x").alias("s"), strict_max("x").alias("m"), F.sum("x").alias("plain")).collect()}
+    assert got == {"a": (None, None, 1.0), "b": (5.0, 3.0, 5.0)}

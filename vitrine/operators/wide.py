@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.functions.aggregates import strict_max
 from vitrine.sources.fixtures import Tables
 
 # The payment methods that become columns, in display order.
@@ -21,11 +22,6 @@ PAYMENT_TYPES = ["credit_card", "boleto", "voucher", "debit_card"]
 NOT_DEFINED = "not_defined"
 
 
-def _strict_max(c: str):
-    # R's max() without na.rm: NULL when any value of the group is NULL
-    return F.when(F.count(c) == F.count(F.lit(1)), F.max(c))
-
-
 def latest_reviews(reviews: DataFrame, mode: str = "both_max", strict_na: bool = False) -> DataFrame:
     """Keep the reviews of each order at the latest creation date AND latest answer time.
 
@@ -40,7 +36,7 @@ def latest_reviews(reviews: DataFrame, mode: str = "both_max", strict_na: bool =
     on order_id, so the joins to items and payments need no further shuffle.
     """
     if mode == "both_max":
-        agg = _strict_max if strict_na else F.max
+        agg = strict_max if strict_na else F.max
         maxima = reviews.groupBy("order_id").agg(
             agg("review_creation_date").alias("_max_created"),
             agg("review_answer_timestamp").alias("_max_answered"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.functions.aggregates import strict_sum
 from vitrine.functions.classify import BAD, GOOD
 from vitrine.operators.share import mean, ratio, share_within, top_n_with_ties
 
@@ -49,9 +50,10 @@ def share_pivot(m1: DataFrame) -> DataFrame:
     return m1.groupBy(CAT).pivot(CLS, [GOOD, BAD]).agg(F.first("percent_notas"))
 
 
-def focus_kpis(foc: DataFrame) -> DataFrame:
-    """M5-M7: approval share (explicit alta share, 0 if none), gross sales, item count."""
+def focus_kpis(foc: DataFrame, strict_na: bool = False) -> DataFrame:
+    """M5-M7: approval share (explicit alta share, 0 if none), gross sales, item count.
+    ``strict_na``: gross sales NULL if any price is NULL (R's ``sum`` without ``na.rm``)."""
     return foc.agg(
         F.avg(F.when(F.col(CLS) == GOOD, F.lit(1.0)).otherwise(F.lit(0.0))).alias("approval"),
-        F.sum("total_price").alias("gross_sales"),
+        (strict_sum("total_price") if strict_na else F.sum("total_price")).alias("gross_sales"),
         F.count(F.lit(1)).alias("number_products"))

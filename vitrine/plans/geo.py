@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.functions.aggregates import strict_sum
 from vitrine.functions.classify import price_filter
 from vitrine.functions.labels import paste, percent
 from vitrine.operators.share import share_of_total, share_within
@@ -16,15 +17,17 @@ from vitrine.operators.share import share_of_total, share_within
 CLS = "review_simple"
 
 
-def state_metrics(foc: DataFrame, review_class: str | None = None, accuracy: float = 2.0) -> DataFrame:
+def state_metrics(foc: DataFrame, review_class: str | None = None, accuracy: float = 2.0,
+                  strict_na: bool = False) -> DataFrame:
     """M11 (M12 with ``review_class``): per state item rows, gross, shares of the total.
 
-    ``n_orders`` counts item rows, as the reference does.
+    ``n_orders`` counts item rows, as the reference does.  ``strict_na``: a state's
+    gross is NULL if any of its prices is NULL (R's ``sum`` without ``na.rm``).
     """
     if review_class is not None:
         foc = foc.filter(F.col(CLS) == review_class)
-    agg = foc.groupBy("Estado").agg(F.count(F.lit(1)).alias("n_orders"),
-                                    F.sum("total_price").alias("gross_sales"))
+    gross = strict_sum("total_price") if strict_na else F.sum("total_price")
+    agg = foc.groupBy("Estado").agg(F.count(F.lit(1)).alias("n_orders"), gross.alias("gross_sales"))
     agg = share_of_total(agg, {"prop": "n_orders", "prop_gross": "gross_sales"})
     return (agg.withColumn("nome", F.upper("Estado"))
             .withColumn("label_prod", paste(percent(F.col("prop"), accuracy), F.col("n_orders"))))
