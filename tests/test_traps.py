@@ -184,3 +184,10 @@ def test_strict_aggregates_follow_r_without_na_rm(spark):
     got = {r.k: (r.s, r.m, r.plain) for r in df.groupBy("k").agg(
         strict_sum("x").alias("s"), strict_max("x").alias("m"), F.sum("x").alias("plain")).collect()}
     assert got == {"a": (None, None, 1.0), "b": (5.0, 3.0, 5.0)}
+
+
+def test_unmatched_state_names_are_reported(spark):
+    # trap S23: the map is joined on the upper-cased name; a spelling difference finds no state
+    metrics = spark.createDataFrame([("SÃO PAULO", 3), ("SAO PAULO", 1)], "nome string, n_orders long")
+    smap = spark.createDataFrame([("SÃO PAULO", "POLY")], "nome string, geometry string")
+    assert [r.nome for r in geo.unmatched_states(metrics, smap).collect()] == ["SAO PAULO"]
