@@ -191,3 +191,12 @@ def test_unmatched_state_names_are_reported(spark):
     metrics = spark.createDataFrame([("SÃO PAULO", 3), ("SAO PAULO", 1)], "nome string, n_orders long")
     smap = spark.createDataFrame([("SÃO PAULO", "POLY")], "nome string, geometry string")
     assert [r.nome for r in geo.unmatched_states(metrics, smap).collect()] == ["SAO PAULO"]
+
+
+def test_character_profile_counts_empty_and_blank(spark):
+    df = spark.createDataFrame([("ab",), ("",), ("  ",), (None,), ("ab",)], "s string")
+    r = profile.character_profile(df, ["s"]).first()
+    assert (r.n_missing, r.min_length, r.max_length, r.empty, r.whitespace, r.n_unique) == (1, 0, 2, 1, 1, 3)
+    assert r.complete_rate == 0.8
+    f = profile.frequencies(df).first()
+    assert (f.unique_values, f.missing) == (3, 1)
