@@ -200,3 +200,11 @@ def test_character_profile_counts_empty_and_blank(spark):
     assert r.complete_rate == 0.8
     f = profile.frequencies(df).first()
     assert (f.unique_values, f.missing) == (3, 1)
+
+
+def test_timestamp_profile_median_and_bounds(spark):
+    ts = [D(2020, 1, 1), D(2020, 1, 3), D(2020, 1, 2, 12), D(2020, 1, 5), None]
+    df = spark.createDataFrame([(t,) for t in ts], "t timestamp_ntz")
+    r = profile.timestamp_profile(df, ["t"]).first()
+    assert (r.n_missing, r.min, r.max, r.n_unique) == (1, D(2020, 1, 1), D(2020, 1, 5), 4)
+    assert r.median == D(2020, 1, 2, 18)   # midpoint of the two middle values (type 7)
