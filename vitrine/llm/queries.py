@@ -5,10 +5,12 @@ from __future__ import annotations
 from vitrine.llm.byte_bpe import op9_byte_bpe
 from vitrine.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from vitrine.llm.packing import op5_best_fit_packing
+from vitrine.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
 }
 SQL = {"op6_exact_dedup": OP6_SQL}
