@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vitrine.llm.byte_bpe import op9_byte_bpe
+from vitrine.llm.embedding_dedup import op2_embedding_near_dedup
 from vitrine.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from vitrine.llm.jaccard_join import op1_ngram_jaccard_join
 from vitrine.llm.packing import op5_best_fit_packing
@@ -11,6 +12,7 @@ from vitrine.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_exact_dedup": op6_exact_dedup,
