@@ -36,6 +36,8 @@ from vitrine.llm.components import components
 from vitrine.operators.lineage import materialize
 
 COSINE, RECALL = 0.95, 0.999
+#: Times as many cells are visited as the sampled queries needed, for links that the sample does not show.
+SLACK = 8
 #: Vectors per cell aimed at, codewords per half at most, sample per codeword, probing queries, vectors per block.
 PER_CELL, MOST_WORDS, SAMPLE_PER_WORD, PROBES, BLOCK = 32, 512, 64, 1000, 512
 
@@ -156,9 +158,9 @@ def cells_for_recall(rows: DataFrame, index, dim: int, cosine: float, recall: fl
     found = (rows.select("id", "vec").mapInArrow(places, "place long, n long")
              .groupBy("place").agg(F.sum("n").alias("n")).toPandas().sort_values("place"))  # a row per cell at most
     if not len(found):
-        return 1
+        return SLACK
     enough = np.searchsorted(found["n"].cumsum(), recall * found["n"].sum(), side="left")
-    return int(found["place"].iloc[min(enough, len(found) - 1)]) + 1
+    return SLACK * (int(found["place"].iloc[min(enough, len(found) - 1)]) + 1)
 
 
 def in_blocks(rows: DataFrame, cell: str) -> DataFrame:
