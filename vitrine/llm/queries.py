@@ -7,6 +7,7 @@ from vitrine.llm.embedding_dedup import op2_embedding_near_dedup
 from vitrine.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from vitrine.llm.jaccard_join import op1_ngram_jaccard_join
 from vitrine.llm.packing import op5_best_fit_packing
+from vitrine.llm.secrets import op7_secret_scan
 from vitrine.llm.suffix_dedup import op3_suffix_array_dedup
 from vitrine.llm.toxicity import op8_toxicity
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
 }

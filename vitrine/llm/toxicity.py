@@ -277,6 +277,19 @@ def toxicity(docs: DataFrame, model: SubsequenceSvm, id_col: str = "doc_id", tex
             .mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int"))
 
 
+def without_toxic(docs: DataFrame, model: SubsequenceSvm, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows, all columns unchanged, whose score stays below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [shared.value.probability(shared.value.margins(buf, off))
+                     for _, buf, off in text_blocks([batch], text_col, text_col)]
+            yield batch.filter(pa.array(np.concatenate(parts) < threshold)) if parts else batch
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return toxicity(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
