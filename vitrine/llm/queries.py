@@ -6,6 +6,8 @@ from vitrine.llm.byte_bpe import op9_byte_bpe
 from vitrine.llm.embedding_dedup import op2_embedding_near_dedup
 from vitrine.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from vitrine.llm.jaccard_join import op1_ngram_jaccard_join
+from vitrine.llm.language_model import op4_language_model
+from vitrine.llm.licenses import op10_license_scan
 from vitrine.llm.packing import op5_best_fit_packing
 from vitrine.llm.secrets import op7_secret_scan
 from vitrine.llm.suffix_dedup import op3_suffix_array_dedup
@@ -15,10 +17,12 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_language_model": op4_language_model,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_license_scan": op10_license_scan,
 }
 SQL = {"op6_exact_dedup": OP6_SQL}
