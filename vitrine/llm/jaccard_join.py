@@ -1,21 +1,23 @@
 """N-gram Jaccard join by grouped prefixes.
 
 A document is its set of distinct five-word shingles.  In one order of all
-shingles, two sets that meet the threshold share a shingle within their first
-``n - ceil(t n) + 1``: their prefixes.  Documents of equal size and prefix form
+shingles, two sets that meet the threshold share at least k shingles within
+their first ``n - ceil(t n) + k``: their prefixes (k grows with the size, so a
+phrase shared by chance leads nowhere).  Documents of equal size and prefix form
 one group; only group leaders are matched by shared prefix shingles, pairs of
-groups are filtered by size, and the rest is expanded to the distinct sets of
-the groups and verified on whole sets.
+groups are filtered by size and by k, and the rest is expanded to the distinct
+sets of the groups and verified on whole sets.
 
 The order puts shingles that many documents hold last.  What is common is told
 by a count sketch of fixed size; any sketch gives right results, because any
 order does -- it only decides how short the lists of candidates are.
 
-Links are found in two rounds.  First every set is verified against the leader
-of each list it is on, which joins large groups of near copies without all
-their pairs; then every remaining pair of a list whose sets are not yet in one
-component is verified.  No link between components is lost, and no list, pair
-or set is capped.
+Links are found in three rounds.  First every set is verified against the
+leader that it shares most lists with, then against the leaders of its lists
+that are still in another component, which joins large groups of near copies
+without all their pairs; last, every remaining pair of a list whose sets are not
+yet in one component is verified.  No link between components is lost, and no
+list, pair or set is capped.
 
 Defined cases: null and empty texts, and texts without words, have no shingles
 and link with nothing; fewer than five words are one shingle; rows that repeat
@@ -38,7 +40,9 @@ from vitrine.operators.lineage import materialize
 
 WORDS, PERCENT = 5, 80
 #: Size of the count sketch (2**bits cells) and of the filter of wanted ids.
-SKETCH_BITS, FILTER_BITS = 20, 23
+SKETCH_BITS, FILTER_BITS = 18, 23
+#: One more shared prefix shingle is asked for per so many shingles of a set.
+SHARE_STEP = 32
 #: Shingles that a task counts together before it passes on the repeated ones.
 COUNTED = 1 << 22
 _U = np.uint64
@@ -91,7 +95,12 @@ def row_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    return np.where(n > 0, n - (n * percent + 99) // 100 + 1, 0)
+    return np.minimum(n, np.where(n > 0, n - (n * percent + 99) // 100 + 1 + n // SHARE_STEP, 0))
+
+
+def least_shared(n):
+    """Prefix shingles that a set of n shingles shares with a set that is not smaller and meets the threshold."""
+    return 1 + F.floor(n / SHARE_STEP)
 
 
 def common_levels(docs: DataFrame) -> np.ndarray:
@@ -141,29 +150,35 @@ def signatures(docs: DataFrame, level) -> DataFrame:
     return docs.mapInArrow(sign, "id long, n long, s1 long, s2 long, p1 long, p2 long")
 
 
-def prefixes(docs: DataFrame, level) -> DataFrame:
-    """(id, n, p1, p2, prefix) of rows with shingles."""
+def prefix_tokens(docs: DataFrame, level, leaders: DataFrame) -> DataFrame:
+    """(token, gid): the prefix shingles of the leaders (and of a few ids that the filter lets through)."""
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(leaders.select(F.col("gid").alias("id"))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, buf, off in text_blocks(batches, "id", "text"):
+        for ids, buf, off in text_blocks(filtered(batches, bits.value), "id", "text"):
             h, at = sets(buf, off, level.value)
             n = np.diff(at)
-            size = prefix_length(n)
-            inside = np.arange(len(h)) - np.repeat(at[:-1], n) < np.repeat(size, n)
-            mixed = [row_sums(np.where(inside, mix(h ^ _U(salt)), _U(0)), at) for salt in (0x5BD1E995, 0x27D4EB2F)]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
-                                             pa.array(h[inside].view(np.int64)))
-            out = pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), *map(pa.array, mixed), lists],
-                                             ["id", "n", "p1", "p2", "prefix"])
-            yield out.filter(pa.array(n > 0))
+            inside = np.arange(len(h)) - np.repeat(at[:-1], n) < np.repeat(prefix_length(n), n)
+            owner = np.repeat(ids.to_numpy(zero_copy_only=False), prefix_length(n))
+            yield pa.RecordBatch.from_arrays([pa.array(h[inside].view(np.int64)), pa.array(owner, pa.int64())],
+                                             ["token", "gid"])
+
+    return docs.withColumn("h", filter_place()).mapInArrow(cut, "token long, gid long")
 
-    return docs.mapInArrow(cut, "id long, n long, p1 long, p2 long, prefix array<long>")
+
+def filter_place():
+    return F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER_BITS)
+
+
+def filtered(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = batch.column("h").to_numpy(zero_copy_only=False)
+        yield batch.filter(pa.array(((bits[h >> 6] >> (h & 63)) & 1).astype(bool)))
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
     """Bitmap of fixed size that holds every wanted id (and may hold others)."""
-    spread = F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER_BITS)
-    words_ = (ids.select(spread.alias("h")).groupBy(F.shiftright("h", 6).alias("word"))
+    words_ = (ids.select(filter_place().alias("h")).groupBy(F.shiftright("h", 6).alias("word"))
               .agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).toPandas())
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     out[words_["word"].to_numpy(dtype=np.int64)] = words_["bits"].to_numpy()
@@ -171,24 +186,18 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, hashes) of the wanted ids: sorted 48-bit hashes of the whole set, packed."""
+    """(id, hashes) of the wanted ids, and a few others: 48-bit hashes of the whole set, packed."""
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column("h").to_numpy(zero_copy_only=False)
-            hit = (bits.value[h >> 6] >> (h & 63)) & 1
-            batch = batch.filter(pa.array(hit.astype(bool)))
-            for ids, buf, off in text_blocks([batch], "id", "text"):
-                found, at = sets(buf, off)
-                low = np.ascontiguousarray(found >> _U(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-                packed = low.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([packed[6 * i:6 * j] for i, j in zip(at[:-1], at[1:])], pa.binary())], ["id", "hashes"])
+        for ids, buf, off in text_blocks(filtered(batches, bits.value), "id", "text"):
+            found, at = sets(buf, off)
+            low = np.ascontiguousarray(found >> _U(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+            packed = low.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array([packed[6 * i:6 * j] for i, j in zip(at[:-1], at[1:])], pa.binary())], ["id", "hashes"])
 
-    spread = F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER_BITS)
-    found = docs.withColumn("h", spread).mapInArrow(collect, "id long, hashes binary")
-    return materialize(found.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    return materialize(docs.withColumn("h", filter_place()).mapInArrow(collect, "id long, hashes binary"), "sets")
 
 
 def verified(pairs: DataFrame, held: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -212,7 +221,7 @@ def verified(pairs: DataFrame, held: DataFrame, percent: int = PERCENT) -> DataF
 
     left = held.select(F.col("id").alias("a"), F.col("hashes").alias("left"))
     right = held.select(F.col("id").alias("b"), F.col("hashes").alias("right"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(test, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(test, "a long, b long").distinct()
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -232,48 +241,71 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = materialize(classes.join(group_of, ["n", "p1", "p2"])
                           .select("id", "gid", "members", "n"), "members")
 
-    # lists of the groups that hold a prefix shingle; the leader of a list is its smallest group
-    leaders = prefixes(docs, level).groupBy("n", "p1", "p2").agg(F.min("id").alias("gid"), F.first("prefix").alias("prefix"))
-    tokens = leaders.select(F.explode("prefix").alias("token"), "gid", "n").repartition("token")
-    lists = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.min("gid").alias("leader"),
-                                        F.min_by("n", "gid").alias("leader_n")).filter("length > 1")
-    shared = materialize(tokens.join(lists, "token"), "shared")
-
-    # first round: every group against the leaders of its lists, every set against its group's leader
-    stars = (shared.filter((F.col("gid") > F.col("leader")) & fits(F.col("n"), F.col("leader_n")))
-             .select(F.col("leader").alias("a"), F.col("gid").alias("b")).distinct())
-    inner = members.filter("id > gid").select(F.col("gid").alias("a"), F.col("id").alias("b"))
-    first = materialize(stars.unionByName(inner).distinct(), "first")
-    listed = shared.select("gid").distinct()
-    wanted = materialize(members.join(listed, "gid", "left_semi").select("id")
+    # lists of the groups that hold a prefix shingle; groups on too few lists link with nothing
+    leaders = members.filter("id = gid").select("gid", "n")
+    tokens = prefix_tokens(docs, level, leaders).repartition("token")
+    twice = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("length")).filter("length > 1").select("token")
+    listed = materialize(tokens.join(twice, "token").distinct(), "listed")
+    enough = (listed.groupBy("gid").agg(F.count(F.lit(1)).alias("lists")).join(leaders, "gid")
+              .filter(F.col("lists") >= least_shared(F.col("n") * percent / 100)).select("gid", "n"))
+    shared = materialize(listed.join(enough, "gid"), "shared")
+    lists = (shared.groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.min("gid").alias("leader"),
+                                         F.min_by("n", "gid").alias("leader_n")).filter("length > 1"))
+    stars = (shared.join(lists, "token").filter((F.col("gid") > F.col("leader")) & fits(F.col("n"), F.col("leader_n")))
+             .groupBy("gid", "leader").agg(F.count(F.lit(1)).alias("lists")))
+    stars = materialize(stars, "stars")
+    wanted = materialize(members.join(enough.select("gid"), "gid", "left_semi").select("id")
                          .unionByName(members.filter("members > 1").select("id")).distinct(), "wanted")
     held = whole_sets(docs, wanted)
-    links = materialize(verified(first, held, percent), "links")
+
+    # first round: every group against its main leader, every set against the leader of its group
+    main = stars.groupBy("gid").agg(F.max_by("leader", F.struct("lists", -F.col("leader"))).alias("a"))
+    inner = members.filter("id > gid").select(F.col("gid").alias("a"), F.col("id").alias("b"))
+    tested = materialize(main.select("a", F.col("gid").alias("b")).unionByName(inner).distinct(), "tested")
+    links = materialize(verified(tested, held, percent), "links")
     labels = components(links)
 
-    # second round: pairs on one list, or in one group, whose sets are still apart
+    # second round: the other leaders, where they are still apart
+    def label(column):
+        return labels.select(F.col("id").alias(column), F.col("component").alias(f"{column}_component"))
+
+    apart = (stars.join(label("gid"), "gid", "left").join(label("leader"), "leader", "left")
+             .filter(F.coalesce("gid_component", "gid") != F.coalesce("leader_component", "leader"))
+             .select(F.col("leader").alias("a"), F.col("gid").alias("b")).join(tested, ["a", "b"], "left_anti"))
+    apart = materialize(apart, "apart")
+    tested = tested.unionByName(apart)
+    more = materialize(verified(apart, held, percent), "more")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links)
+
+    # third round: all pairs on one list, or in one group, whose sets are still apart
     part = members.join(labels, "id", "left").select("id", "gid", "n", F.coalesce("component", "id").alias("component"))
     part = materialize(part.join(wanted, "id", "left_semi"), "parts")
     places = part.select("gid", "n", "component").distinct()
-    on_lists = shared.select("token", "gid").join(places, "gid")
-    apart = (on_lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    rows_on = shared.select("token", "gid").join(places, "gid")
+    split = (rows_on.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .filter("low <> high").select("token"))
-    on_lists = materialize(on_lists.join(apart, "token", "left_semi"), "lists")
-    x, y = on_lists.alias("x"), on_lists.alias("y")
+    rows_on = materialize(rows_on.join(split, "token", "left_semi"), "split")
+    x, y = rows_on.alias("x"), rows_on.alias("y")
+    ends = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("gid", "component")]
+    smaller = F.least("x.n", "y.n")
     across = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component"))
-                     & fits(F.col("x.n"), F.col("y.n"))))
+                     & fits(F.col("x.n"), F.col("y.n")))
+              .groupBy(*ends, smaller.alias("smaller")).agg(F.count(F.lit(1)).alias("lists"))
+              .filter(F.col("lists") >= least_shared(F.col("smaller"))))
     x, y = places.alias("x"), places.alias("y")
     inside = x.join(y, (F.col("x.gid") == F.col("y.gid")) & (F.col("x.component") < F.col("y.component")))
-    ends = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("gid", "component")]
-    blocks = across.select(*ends).unionByName(inside.select(*ends)).distinct()
+    names = [f"{c}_{s}" for s in "xy" for c in ("gid", "component")]
+    blocks = across.select(*names).unionByName(inside.select(*ends)).distinct()
     px = part.select(F.col("gid").alias("gid_x"), F.col("component").alias("component_x"), F.col("id").alias("ix"))
     py = part.select(F.col("gid").alias("gid_y"), F.col("component").alias("component_y"), F.col("id").alias("iy"))
     pairs = (blocks.join(px, ["gid_x", "component_x"]).join(py, ["gid_y", "component_y"])
              .select(F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b")).distinct()
-             .join(first, ["a", "b"], "left_anti"))
-    more = materialize(verified(pairs, held, percent), "more")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+             .join(tested, ["a", "b"], "left_anti"))
+    rest = materialize(verified(pairs, held, percent), "rest")
+    if not rest.isEmpty():
+        labels = components(links.unionByName(rest))
 
     found = classes.join(labels, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component_id"))
     return (rows.join(found, ["n", "s1", "s2"], "left")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 _U = np.uint64
 _ROOT = 0x9E3779B97F4A7C13  # odd, 3 modulo 8
 _INV = pow(_ROOT, -1, 1 << 64)
