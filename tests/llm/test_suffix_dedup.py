@@ -3,11 +3,11 @@ import random
 import numpy as np
 
 import brute
-from vitrine.llm.suffix_dedup import fragments, kept_texts, previous_factors, repeated_spans
+from vitrine.llm.suffix_dedup import fragments, previous_factors, repeated_spans
 
 
 def found(df):
-    rows = kept_texts(repeated_spans(df)).collect()
+    rows = repeated_spans(df).collect()
     return sorted((r["id"], len(r["kept"]) + sum(s["bytes"] for s in r["removed"]), sum(s["bytes"] for s in r["removed"]),
                    len(r["removed"]), bytes(r["kept"])) for r in rows)
 
@@ -27,14 +27,14 @@ def test_against_brute_force(table):
 
 def test_repeated_ids_are_one_document(table):
     text = "".join(random.Random(2).choices("abcdefgh", k=80))
-    rows = [(1, text), (1, text), (2, text)]
+    rows = [(1, text), (1, text), (1, "other" + text[:60]), (2, text), (2, "short")]
     assert found(table(rows)) == brute.repeated(rows)
 
 
 def test_empty_and_null_ids(table):
     assert repeated_spans(table([])).count() == 0
     text = "".join(random.Random(3).choices("abcdefgh", k=80))
-    out = kept_texts(repeated_spans(table([(None, text), (5, text)]))).collect()
+    out = repeated_spans(table([(None, text), (5, text)])).collect()
     assert {r["id"]: len(r["kept"]) for r in out} == {None: 0, 5: 80}
 
 

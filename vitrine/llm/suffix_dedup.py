@@ -6,7 +6,7 @@ match: every window of ``length`` bytes belongs to its minimiser (the smallest
 hash among its ``seed``-byte strings), equal windows have equal minimisers, and
 neighbouring windows with the same one travel as one fragment.
 
-1. Texts are packed into compressed blocks, written once.
+1. Texts are packed into compressed blocks, written once, bucketed by block.
 2. Each block reports its distinct minimisers; those that are found in one
    document only cannot hold a match and end here.
 3. Fragments of the others go to the part of their minimiser.  A fragment that
@@ -16,7 +16,7 @@ neighbouring windows with the same one travel as one fragment.
    prefixes of neighbours, and finds for each the previous and next suffix of a
    smaller document: the longest previous factor reaches ``length`` if one of
    both does.
-5. Covered ranges go back to the texts by document.
+5. Covered ranges go back to the blocks, which cut their texts.
 
 Parts are sized by the bytes of the input, so none grows with it; a very common
 passage reaches its part once per block.
@@ -43,7 +43,7 @@ from vitrine.operators.lineage import materialize
 
 LENGTH, SEED = 50, 20
 #: Bytes of text per block, and per part of the seed and of the fragment exchange.
-BLOCK, SEED_PART, FRAGMENT_PART = 1 << 22, 1 << 26, 1 << 24
+BLOCK, SEED_PART, FRAGMENT_PART = 1 << 21, 1 << 26, 1 << 22
 _U = np.uint64
 _PLACE = _U((1 << 24) - 1)
 LAST = (1 << 63) - 1
@@ -181,7 +181,7 @@ def common_seeds(reports: DataFrame) -> DataFrame:
     return reports.groupBy("part").applyInArrow(meet, "block long, common binary")
 
 
-SPANS = "id long, first long, bytes long"
+SPANS = "block long, row long, first long, bytes long"
 
 
 def fragments_by_part(blocks: DataFrame, common: DataFrame, parts: int) -> DataFrame:
@@ -199,33 +199,34 @@ def fragments_by_part(blocks: DataFrame, common: DataFrame, parts: int) -> DataF
                 prefix = prefix_hash(buf)
                 _, inverse = powers(len(prefix))
                 name = mix((prefix[start + size] - prefix[start]) * inverse[start] + size.astype(_U))
-                owner, place = ids[doc], start - off[doc]
+                owner = ids[doc]
                 order = np.lexsort((owner, name, key))
-                key, start, size, owner, place, name = (v[order] for v in (key, start, size, owner, place, name))
+                key, start, size, owner, doc, name = (v[order] for v in (key, start, size, owner, doc, name))
                 new = np.ones(len(key), bool)
                 new[1:] = (name[1:] != name[:-1]) | (key[1:] != key[:-1])
                 smallest = owner[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
                 settled = owner > smallest
                 if settled.any():
-                    yield made(1, 0, owner[settled], place[settled], size[settled], b"")
-                key, start, size, owner, place = (v[~settled] for v in (key, start, size, owner, place))
+                    yield made(1, 0, row["block"], owner[settled], doc[settled], start[settled], size[settled], b"")
+                key, start, size, owner, doc = (v[~settled] for v in (key, start, size, owner, doc))
                 part = (key % _U(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                part, start, size, owner, place = (v[order] for v in (part, start, size, owner, place))
+                part, start, size, owner, doc = (v[order] for v in (part, start, size, owner, doc))
                 cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else [0]
                 for i, j in zip(cut[:-1], cut[1:]):
                     text = buf[ragged(start[i:j], size[i:j])].tobytes()
-                    yield made(0, int(part[i]), owner[i:j], place[i:j], size[i:j], text)
+                    yield made(0, int(part[i]), row["block"], owner[i:j], doc[i:j], start[i:j], size[i:j], text)
 
-    def made(kind, part, owner, place, size, text):
+    def made(kind, part, block, owner, doc, place, size, text):
+        numbers = [pa.array([squeeze(v.astype(np.int64))], pa.binary()) for v in (owner, doc, place, size)]
         return pa.RecordBatch.from_arrays(
-            [pa.array([kind], pa.int32()), pa.array([part], pa.int64()), pa.array([squeeze(owner)], pa.binary()),
-             pa.array([squeeze(place)], pa.binary()), pa.array([squeeze(size)], pa.binary()),
+            [pa.array([kind], pa.int32()), pa.array([part], pa.int64()), pa.array([block], pa.int64()), *numbers,
              pa.array([zstandard.compress(text, 3)], pa.binary())],
-            ["kind", "part", "owner", "place", "size", "text"])
+            ["kind", "part", "block", "owner", "row", "place", "size", "text"])
 
     return (blocks.join(common.groupBy("block").agg(F.collect_list("common").alias("common")), "block")
-            .mapInArrow(send, "kind int, part long, owner binary, place binary, size binary, text binary"))
+            .mapInArrow(send, "kind int, part long, block long, owner binary, row binary, place binary, size binary, "
+                              "text binary"))
 
 
 def nearest_smaller(doc: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -266,92 +267,89 @@ def previous_factors(text: np.ndarray, start: np.ndarray, doc: np.ndarray, lengt
 
 
 def covered(sent: DataFrame) -> DataFrame:
-    """(id, first, bytes): ranges of documents that a smaller document covers."""
+    """(block, row, first, bytes): ranges of a block's texts that a smaller document covers."""
 
     def part(table: pa.Table) -> pa.Table:
-        owner = np.concatenate([spread(x.as_py(), np.int64) for x in table.column("owner")])
-        place = np.concatenate([spread(x.as_py(), np.int64) for x in table.column("place")])
-        size = np.concatenate([spread(x.as_py(), np.int64) for x in table.column("size")])
+        owner, row, place, size = (np.concatenate([spread(x.as_py(), np.int64) for x in table.column(c)])
+                                   for c in ("owner", "row", "place", "size"))
+        block = np.repeat(table.column("block").to_numpy(), [len(spread(x.as_py(), np.int64)) for x in table.column("size")])
         text = np.frombuffer(b"".join(zstandard.decompress(x.as_py()) for x in table.column("text")), np.uint8)
         at = np.cumsum(size) - size
         windows = size - LENGTH + 1
         start = ragged(at, windows)
         which = np.repeat(np.arange(len(size)), windows)
-        hit = previous_factors(text, start, owner[which])
-        first = place[which] + start - at[which]
-        owner, first = owner[which][hit], first[hit]
-        new = np.ones(len(owner), bool)  # neighbouring windows are one range
-        new[1:] = (owner[1:] != owner[:-1]) | (first[1:] != first[:-1] + 1)
+        hit = np.flatnonzero(previous_factors(text, start, owner[which]))
+        which, start = which[hit], start[hit]
+        new = np.ones(len(hit), bool)  # neighbouring windows of a fragment are one range
+        new[1:] = (which[1:] != which[:-1]) | (start[1:] != start[:-1] + 1)
         edge = np.flatnonzero(new)
-        runs = np.diff(np.append(edge, len(owner)))
-        return pa.table({"id": owner[edge], "first": first[edge], "bytes": runs + LENGTH - 1})
+        which, first = which[edge], (place[which] + start - at[which])[edge]
+        runs = np.diff(np.append(edge, len(hit)))
+        return pa.table({"block": block[which], "row": row[which], "first": first, "bytes": runs + LENGTH - 1})
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(spread(row[c], np.int64)) for c in ("owner", "place", "size")], ["id", "first", "bytes"])
+            for r in batch.to_pylist():
+                row, place, size = (spread(r[c], np.int64) for c in ("row", "place", "size"))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (np.full(len(row), r["block"]), row, place, size)],
+                                                 ["block", "row", "first", "bytes"])
 
     return (sent.filter("kind = 0").groupBy("part").applyInArrow(part, SPANS)
-            .unionByName(sent.filter("kind = 1").select("owner", "place", "size").mapInArrow(settled, SPANS)))
-
-
-def joined(ranges: DataFrame) -> DataFrame:
-    """(id, spans): the ranges of each document as one sorted array, overlapping ones already merged."""
-    return ranges.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("first", "bytes"))).alias("spans"))
+            .unionByName(sent.filter("kind = 1").select("block", "row", "place", "size").mapInArrow(settled, SPANS)))
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, spans) per row: spans of bytes (first, bytes), possibly overlapping, that repeat smaller documents."""
+    """(id, kept, removed) per row: the bytes that stay, and the maximal removed ranges (first, bytes)."""
+    spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = materialize(pack_blocks(docs), "blocks")
-    total = blocks.agg(F.sum("bytes")).first()[0] or 0
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    reports = seeds_by_part(blocks, max(least, total // SEED_PART + 1))
-    common = common_seeds(reports)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    table = f"text_blocks_{uuid.uuid4().hex}"  # bucketed by block: answers come to the texts, which are not shuffled
+    buckets = int(min(4096, max(8, total // (8 * BLOCK))))
+    pack_blocks(docs).write.format("parquet").bucketBy(buckets, "block").saveAsTable(table)
+    blocks = spark.table(table)
+    common = common_seeds(seeds_by_part(blocks, max(least, total // SEED_PART + 1)))
     sent = materialize(fragments_by_part(blocks, common, max(least, total // FRAGMENT_PART + 1)), "fragments")
-    spans = joined(covered(sent))
-    return (docs.withColumn("key", F.coalesce("id", F.lit(LAST)))
-            .join(spans.withColumnRenamed("id", "key"), "key", "left").select("id", "text", "spans"))
-
-
-
-
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Sorted ranges (first, end) without overlaps; touching ones are one."""
-    out: list[list[int]] = []
-    for s in spans or ():
-        end = s["first"] + s["bytes"]
-        if out and s["first"] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([s["first"], end])
-    return [(a, b) for a, b in out]
-
-
-def kept_texts(spans: DataFrame) -> DataFrame:
-    """(id, kept, removed) per row: the text's bytes without the spans, and the maximal removed ranges."""
+    ranges = covered(sent).groupBy("block").agg(
+        F.collect_list(F.struct("first", "bytes")).alias("ranges"))  # of one block of bounded size
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("first", pa.int64()), ("bytes", pa.int64())]))
         for batch in batches:
-            kept, gone = [], []
-            for text, found in zip(batch.column("text"), batch.column("spans")):
-                raw, at, parts = (text.as_py() or "").encode(), 0, []
-                ranges = merged(found.as_py())
-                for first, end in ranges:
-                    parts.append(raw[at:first])
-                    at = end
-                kept.append(b"".join([*parts, raw[at:]]))
-                gone.append([{"first": a, "bytes": b - a} for a, b in ranges])
-            kind = pa.list_(pa.struct([("first", pa.int64()), ("bytes", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(kept, pa.binary()), pa.array(gone, kind)],
-                                             ["id", "kept", "removed"])
-
-    return spans.mapInArrow(cut, "id long, kept binary, removed array<struct<first:long,bytes:long>>")
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1)
+                ids, buf, off = unpack_block({c: r.column(c)[0].as_py() for c in ("ids", "ends", "text")})
+                open_ = np.zeros(len(buf) + 1, np.int64)
+                if r.column("ranges")[0].is_valid:
+                    found = r.column("ranges")[0].values
+                    first, size = found.field("first").to_numpy(), found.field("bytes").to_numpy()
+                    np.add.at(open_, first, 1)
+                    np.add.at(open_, first + size, -1)
+                gone = np.cumsum(open_)[:-1] > 0
+                begin = gone.copy()
+                begin[1:] &= ~gone[:-1]
+                edge = off[:-1][off[:-1] < len(buf)]
+                begin[edge] = gone[edge]
+                start = np.flatnonzero(begin)
+                count = np.concatenate([[0], np.cumsum(gone)])
+                ends = np.append(start[1:], len(buf))
+                owner = np.searchsorted(off, start, side="right") - 1
+                stop = np.minimum(ends, off[owner + 1]) if len(start) else ends
+                runs = pa.StructArray.from_arrays([pa.array(start - off[owner]), pa.array(count[stop] - count[start])],
+                                                  ["first", "bytes"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(start, off).astype(np.int32)), runs)
+                stay = buf[~gone].tobytes()
+                at = off - count[off]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, mask=ids == LAST), pa.array([stay[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary()),
+                     lists.cast(kind)], ["id", "kept", "removed"])
+
+    return blocks.join(ranges, "block", "left").mapInArrow(
+        cut, "id long, kept binary, removed array<struct<first:long,bytes:long>>")
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = kept_texts(repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    out = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["bytes"])
     return out.select(F.col("id").alias("doc_id"), (F.octet_length("kept") + removed).alias("n_bytes"),
                       removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
