@@ -37,9 +37,9 @@ from vitrine.operators.lineage import materialize
 
 COSINE, RECALL = 0.95, 0.999
 #: Times as many cells are visited as the sampled queries needed, for links that the sample does not show.
-SLACK = 8
+SLACK = 4
 #: Vectors per cell aimed at, codewords per half at most, sample per codeword, probing queries, vectors per block.
-PER_CELL, MOST_WORDS, SAMPLE_PER_WORD, PROBES, BLOCK = 32, 512, 64, 1000, 512
+PER_CELL, MOST_WORDS, SAMPLE_PER_WORD, PROBES, BLOCK = 32, 512, 64, 1000, 256
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
