@@ -1,0 +1,75 @@
+import re
+
+from pyspark.sql import functions as F
+
+from vitrine.llm import licenses, secrets
+
+KEY = "04dbebab91ab85687d33eeaaf9ac699e118{:05x}"
+
+
+def texts(n=60):
+    rows = [(k, f'some words here token = "{KEY.format(k * 7)}" and more') for k in range(n)]
+    rows += [(1000 + k, f"write to someone{k}@mail.example.com or 10.20.30.{k} card 4111222233334{k:03d} at once") for k in range(n)]
+    rows += [(2000 + k, "an extraordinarilylongword" + "abcdefghij"[k % 10] + " in prose") for k in range(n)]
+    return rows
+
+
+def test_candidates_are_all_maximal_runs(table):
+    rows = [*texts(5), (1, None), (2, ""), (3, "x" * 100_000), (4, "a" * 15), (5, "aaaaaaaaaaaaaaaa bbbbbbbbbbbbbbbb"), (None, "c" * 16)]
+    got = sorted(((r["id"], r["place"], r["candidate"]) for r in secrets.candidates(table(rows)).collect()), key=str)
+    found = {}
+    for key, _, run in got:
+        found.setdefault(key, []).append(run)
+    want = {}
+    for key, text in rows:
+        for run in re.findall(r"[A-Za-z0-9+/=_.@:\-]{16,}", text or ""):
+            want.setdefault(key, []).append(run)
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_forest_and_masking(table):
+    rows = [*texts(), (5000, f'api_key: "{KEY.format(99999)}"'), (5001, f'password="{KEY.format(88888)}"'), (6000, None), (6001, "")]
+    out = {r["id"] for r in secrets.secret_scan(table(rows)).filter("is_secret").collect()}
+    assert out == set(range(60)) | {5000, 5001}
+    df = table(rows)
+    masked = secrets.mask_secrets(df)
+    assert masked.columns == df.columns
+    got = {r["doc_id"]: r["text"] for r in masked.collect()}
+    want = {k: re.sub(r'04dbebab[0-9a-f]+', secrets.MASK, t) if t and "04dbebab" in t else t for k, t in rows}
+    assert got == want
+
+
+def test_scan_runs_without_python(table):
+    plan = secrets.secret_scan(table(texts(5)))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_nothing_to_learn_from(table):
+    assert secrets.secret_scan(table([])).count() == 0
+    assert [r["score"] for r in secrets.secret_scan(table([(1, "w" * 20)])).collect()] == [0.0]
+
+
+def test_own_and_inherited_licenses(table):
+    mit, gpl = licenses.TEMPLATES[1][1], licenses.TEMPLATES[2][1]
+    filler = " ".join(f"word{k}" for k in range(200))
+    rows = [(1, mit), (2, filler), (3, filler), (4, f"{filler}\n{gpl}\n{filler}"), (5, gpl), (6, None), (7, ""), (8, filler),
+            (9, "the license of the work"), (10, filler + " licensed"), (11, gpl), (12, gpl)]
+    places = {1: "a/LICENSE", 2: "a/b/c/x", 3: "a/b/y", 4: "d/z", 5: "a/b/LICENSE", 6: "a/q", 7: "e/f", 8: None, 9: "d/w",
+              10: "a/b/LICENSE2/deep", 11: "a/b/OTHER", 12: None}
+    df = table(rows).withColumn("path", F.create_map(*[F.lit(x) for k, v in places.items() if v for x in (k, v)])[F.col("doc_id")])
+    out = {r["id"]: (r["own_license"], r["license"], r["inherited_from"], r["depth"])
+           for r in licenses.license_scan(df, F.col("path")).collect()}
+    assert out == {1: ("MIT", "MIT", None, None), 2: (None, "GPL-3.0", 5, 2), 3: (None, "GPL-3.0", 5, 2),
+                   4: ("GPL-3.0", "GPL-3.0", None, None), 5: ("GPL-3.0", "GPL-3.0", None, None), 6: (None, "MIT", 1, 1),
+                   7: (None, None, None, None), 8: (None, None, None, None), 9: (None, None, None, None),
+                   10: (None, "GPL-3.0", 5, 2), 11: ("GPL-3.0", "GPL-3.0", None, None), 12: ("GPL-3.0", "GPL-3.0", None, None)}
+    assert licenses.license_scan(table([]), F.lit("a/b")).count() == 0
+
+
+def test_deciding_terms_lose_no_line():
+    """No mix of terms without a deciding one reaches the threshold."""
+    vectors = {"x": {"a": 1.0, "b": 1.5, "c": 4.0, "d": 0.5}, "y": {"a": 1.0, "e": 1.0}}
+    deciding = set(licenses.deciding_terms(vectors, 0.7))
+    for vector in vectors.values():
+        rest = sum(w * w for t, w in vector.items() if t not in deciding)
+        assert (rest / sum(w * w for w in vector.values())) ** 0.5 < 0.7

@@ -14,8 +14,8 @@ classifier); the dictionary, the candidates and the scores cover every text.
 
 Defined cases: null and empty texts have no candidates; a text has as many rows
 as candidates, repeats included, told apart by their position; without findings
-of both labels every score is 0; null ids are kept; an empty table gives no
-rows; other columns are ignored.
+of both labels the score is the rule's label, 0 where it does not decide; null
+ids are kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,14 +96,18 @@ def features(found: DataFrame, parts: list[str]) -> DataFrame:
          ).alias("neighbour_letters"))
 
 
-def labelled_findings(found: DataFrame) -> DataFrame:
-    """Candidates with a label by rule; undecided ones are left out of the training."""
+def rule_label():
+    """1.0, 0.0 or null where the rule does not decide."""
     mixed = (F.col("digit") > 0.1) & (F.col("lower") + F.col("upper") > 0.1) & (F.col("is_path") == 0)
     secret = (F.col("named") == 1) & (F.col("assigned") == 1) & mixed
     plain = ((F.col("is_address") == 1) | (F.col("is_path") == 1) | (F.col("digit") == 1) | (F.col("digit") == 0)
              | (F.col("coverage") > 0.6))
-    label = F.when(secret, 1.0).when((F.col("named") == 0) & plain, 0.0)
-    return found.withColumn("label", label).filter("label is not null")
+    return F.when(secret, 1.0).when((F.col("named") == 0) & plain, 0.0)
+
+
+def labelled_findings(found: DataFrame) -> DataFrame:
+    """Candidates with a label by rule; undecided ones are left out of the training."""
+    return found.withColumn("label", rule_label()).filter("label is not null")
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = 20, depth: int = 6):
@@ -128,7 +132,7 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                         "candidates")
     model = train(labelled_findings(found) if labelled is None else labelled)
     if model is None:
-        scored = found.withColumn("score", F.lit(0.0))
+        scored = found.withColumn("score", F.coalesce(rule_label(), F.lit(0.0)))
     else:
         scored = (model.transform(found).withColumn("score", vector_to_array("probability")[1])
                   .drop("features", "rawPrediction", "probability", "prediction"))
