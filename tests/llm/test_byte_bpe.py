@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from vitrine.llm.byte_bpe import ByteBpe, PerfectHash, byte_bpe, load_ranks, merge
+from vitrine.llm.byte_bpe import ByteBpe, PerfectHash, byte_bpe, byte_pairs, load_ranks, merge
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -28,10 +28,10 @@ def test_perfect_hash_is_minimal_and_exact(ranks):
 
 
 def test_merge_of_misses(ranks, plain):
-    rnd = random.Random(1)
+    rnd, pairs = random.Random(1), byte_pairs(ranks)
     for _ in range(300):
         word = bytes(rnd.choice(b"abetion\xc3\xa9\xff ") for _ in range(rnd.randint(1, 30)))
-        assert merge(word, ranks) == plain._core_bpe.encode_single_piece(word)
+        assert merge(word, ranks, pairs) == plain._core_bpe.encode_single_piece(word)
 
 
 def test_encode_and_decode(ranks, plain):

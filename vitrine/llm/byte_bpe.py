@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries kept in each worker's memory of runs and of pre-tokens.
-CACHE_RUNS = 600_000
+CACHE_RUNS = 1_200_000
 #: Unicode White_Space, as the pre-token pattern reads \s.
 BLANK = "\t-\r \x85\xa0  -     　"
 _RUNS = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]").findall
@@ -80,16 +80,22 @@ class PerfectHash:
         return self.values[at] if self.keys[at] == key else -1
 
 
-def merge(token: bytes, ranks: dict[bytes, int]) -> list[int]:
+def byte_pairs(ranks: dict[bytes, int]) -> list[int | None]:
+    """Rank of every pair of single bytes, by first * 256 + second."""
+    return [ranks.get(bytes((a, b))) for a in range(256) for b in range(256)]
+
+
+def merge(token: bytes, ranks: dict[bytes, int], pairs: list[int | None]) -> list[int]:
     """Ids of a pre-token that is no token itself."""
     n = len(token)
     end = list(range(1, n + 1))  # end of the part that starts here; 0: merged into the part before
     before = list(range(-1, n))
     rank = ranks.get
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(token[i:i + 2])) is not None]
+    heap = [(r, i, i + 2) for i, (a, b) in enumerate(zip(token, token[1:])) if (r := pairs[a << 8 | b]) is not None]
+    pop, push = heapq.heappop, heapq.heappush
     heapq.heapify(heap)
     while heap:
-        _, i, stop = heapq.heappop(heap)
+        _, i, stop = pop(heap)
         middle = end[i]
         if not middle or middle >= n or end[middle] != stop:  # one of its parts has changed since
             continue
@@ -97,10 +103,10 @@ def merge(token: bytes, ranks: dict[bytes, int]) -> list[int]:
         if stop < n:
             before[stop] = i
             if (r := rank(token[i:end[stop]])) is not None:
-                heapq.heappush(heap, (r, i, end[stop]))
+                push(heap, (r, i, end[stop]))
         left = before[i]
         if left >= 0 and (r := rank(token[left:stop])) is not None:
-            heapq.heappush(heap, (r, left, stop))
+            push(heap, (r, left, stop))
     out, i = [], 0
     while i < n:
         out.append(ranks[token[i:end[i]]])
@@ -118,6 +124,7 @@ class ByteBpe:
         self.split = regex.compile(pattern).findall
         self.ranks = dict(zip(table.keys, table.values))
         self.tokens = {v: k for k, v in self.ranks.items()}
+        self.pairs = byte_pairs(self.ranks)
         self.limit = limit
         self.pre: dict[str, list[int]] = {}
         self.runs: dict[str, tuple[str, int, bytes]] = {}
@@ -127,8 +134,8 @@ class ByteBpe:
         if ids is None:
             raw = text.encode()
             whole = self.table.get(raw)
-            ids = [whole] if whole >= 0 else merge(raw, self.ranks)
-            if len(self.pre) >= self.limit // 2:
+            ids = [whole] if whole >= 0 else merge(raw, self.ranks, self.pairs)
+            if len(self.pre) >= self.limit * 2 // 3:
                 self.pre.clear()
             self.pre[text] = ids
         return ids
