@@ -49,20 +49,18 @@ def make_rows(n, hot_share, n_distinct, seed, null_share=0.05):
     return rows
 
 
-@pytest.mark.parametrize("single_task_rows", [0, rank.SINGLE_TASK_ROWS])
 @pytest.mark.parametrize("n,hot,nd,labels,seed", [
     (1000, 0.0, 50, LABELS4, 1),
     (2000, 0.34, 200, LABELS6, 2),      # hot value straddles boundaries
     (500, 0.9, 5, LABELS4, 3),           # almost everything is one value
     (37, 0.0, 1000, LABELS6, 4),         # N << 10000 (the floor rule matters)
 ])
-def test_ntile_labels_match_brute_force(spark, n, hot, nd, labels, seed, single_task_rows):
+def test_ntile_labels_match_brute_force(spark, n, hot, nd, labels, seed):
     # rows with identical (v, a, b) are indistinguishable: compare label counts per full key
     rows = make_rows(n, hot, nd, seed)
     df = spark.createDataFrame(rows, "id long, v long, a long, b long")
     got = Counter((r.v, r.a, r.b, r.lab)
-                  for r in rank.ntile_labels(df, "v", ["a", "b"], labels, "lab", blocks=16,
-                                             single_task_rows=single_task_rows).collect())
+                  for r in rank.ntile_labels(df, "v", ["a", "b"], labels, "lab", blocks=16).collect())
     exp_by_id = brute_labels(rows, labels)
     exp = Counter((v, a, b, exp_by_id[i]) for (i, v, a, b) in rows)
     assert got == exp
@@ -77,14 +75,12 @@ def test_ntile_labels_with_duplicate_full_keys(spark):
     assert counts == {"x": 10, "y": 10}
 
 
-@pytest.mark.parametrize("single_task_rows", [0, rank.SINGLE_TASK_ROWS])
-def test_ntile_labels_per_part(spark, single_task_rows):
+def test_ntile_labels_per_part(spark):
     rows = make_rows(600, 0.2, 30, 5)
     rows = [(i, v, a, b, i % 3) for (i, v, a, b) in rows]
     df = spark.createDataFrame(rows, "id long, v long, a long, b long, g long")
     got = Counter((r.g, r.v, r.a, r.b, r.lab)
-                  for r in rank.ntile_labels(df, "v", ["a", "b"], LABELS4, "lab", part=["g"],
-                                             single_task_rows=single_task_rows).collect())
+                  for r in rank.ntile_labels(df, "v", ["a", "b"], LABELS4, "lab", part=["g"]).collect())
     exp_by_id = brute_labels(rows, LABELS4, part_of=lambda r: r[4])
     exp = Counter((g, v, a, b, exp_by_id[i]) for (i, v, a, b, g) in rows)
     assert got == exp
@@ -173,3 +169,25 @@ def test_box_stats_match_numpy(spark):
         assert r.lower == pytest.approx(q1, rel=1e-12) and r.middle == pytest.approx(q2, rel=1e-12)
         assert r.upper == pytest.approx(q3, rel=1e-12)
         assert r.ymin == inside.min() and r.ymax == inside.max()
+
+
+def test_ntile_labels_keep_null_tie_breaks(spark):
+    rows = [(i, 1, None if i % 2 else f"ORD-{i:010d}") for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, v long, a string")
+    got = {r.id: r.lab for r in rank.ntile_labels(df, "v", ["a"], ["x", "y"], "lab").collect()}
+    assert got == {i: "x" if a is None else "y" for i, _, a in rows}  # NULL orders first
+
+
+def test_ranges_hold_outliers_common_prefixes_and_null_groups(spark):
+    from vitrine.operators.lineage import materialize
+
+    rows = [(i if i < 3999 else 10 ** 12, f"ORD-{i:010d}", "a" if i % 2 else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "v long, s string, g string")
+    for key in ("v", "s"):
+        ranges = materialize(df.select(key).repartitionByRange(8, key).withColumn("b", rank.F.spark_partition_id()))
+        sizes = [r["count"] for r in ranges.groupBy("b").count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 1500
+        out = rank.ntile_labels(df, key, [], LABELS4, "lab", blocks=8).groupBy("lab").count().collect()
+        assert {r["lab"]: r["count"] for r in out} == dict.fromkeys(LABELS4, 1000)
+    got = {r.g: r.m for r in rank.exact_quantiles(df, "v", [0.5], ["g"], names=["m"]).collect()}
+    assert got == {None: 1999.0, "a": 2000.0}

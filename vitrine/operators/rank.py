@@ -6,19 +6,18 @@ task, so here the rank is never materialised per row.  Instead:
 
 1. ``groupBy(value).count()`` -- one row per distinct value (partial aggregation
    absorbs hot values).
-2. Distinct values are cut into ``blocks`` monotone blocks; block totals are
-   summed over a window of at most ``blocks`` rows per group, giving each block's
-   offset.  A block whose whole rank span maps to one label labels all its
-   values at once; only blocks across a label boundary (at most n-1) are
-   prefix-summed value by value (``prefix_before`` is the general form).
-3. A value group whose rank span ``[before+1, before+count]`` maps to one label
-   is settled at once.  Only groups that straddle a label boundary (at most
-   ``n_labels - 1`` per partition group: a proven bound, so they are broadcast)
-   are refined by the next tie-break column, the same way.  A hot value holding
-   a third of the rows is thus split by its tie-break keys instead of being
-   sorted in one task.
-
-The tie-break replaces R's "row order" (trap S21) with identifying columns.
+2. ``prefix_before``: the rows, one per key, are range-partitioned by Spark's
+   own sampling, which works for any orderable type and any distribution
+   (outliers, common prefixes, NULL keys); each range is summed in its own
+   task, and the totals of the ranges (at most ``blocks`` per group) give the
+   offsets.
+3. The rank at which each label begins is known from the row count.  The value
+   that holds it is looked up; the rows of that value (at most ``n_labels - 1``
+   values per group) are ranked by their tie-break columns in the same way.
+4. Every row is labelled by comparing its keys with those boundary rows.
+
+NULL keys order first, as in Spark's ascending sort, and NULL groups stay.  The
+tie-break replaces R's "row order" (trap S21) with identifying columns.
 """
 
 from __future__ import annotations
@@ -27,59 +26,37 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from vitrine.functions.timeutil import ntz_to_micros
 from vitrine.operators.lineage import materialize
 
-_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+BLOCKS = 256
 
 
-def _block(df: DataFrame, part: Sequence[str], key: str, blocks: int) -> DataFrame:
-    """Add ``_blk``: a monotone non-decreasing function of ``key`` within each part group."""
-    dtype = df.schema[key].dataType
-    if isinstance(dtype, _NUMERIC):
-        x = F.col(key).cast("double")
-        if part:
-            bounds = df.groupBy(*part).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-            # one row per part group (bounded by the caller's grouping) -> broadcast
-            df = df.join(F.broadcast(bounds), list(part))
-        else:
-            b = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
-            df = df.withColumn("_lo", b.getField("lo")).withColumn("_hi", b.getField("hi"))
-        width = F.col("_hi") - F.col("_lo")
-        blk = F.when(width > 0, F.floor((x - F.col("_lo")) / width * F.lit(blocks - 1))).otherwise(F.lit(0))
-        return df.withColumn("_blk", blk.cast("bigint")).drop("_lo", "_hi")
-    if isinstance(dtype, T.TimestampType):
-        return _block(df.withColumn("_k_num", F.unix_micros(F.col(key))), part, "_k_num", blocks).drop("_k_num")
-    if isinstance(dtype, (T.DateType, T.TimestampNTZType)):
-        # zone-free: a session-zone conversion would not be monotone across DST gaps
-        return _block(df.withColumn("_k_num", ntz_to_micros(F.col(key).cast("timestamp_ntz"))), part,
-                      "_k_num", blocks).drop("_k_num")
-    # strings and anything else orderable: a prefix is monotone under binary order
-    return df.withColumn("_blk", F.substring(F.col(key).cast("string"), 1, 2))
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns where NULL equals NULL; the right side's copies are dropped."""
+    if not on:
+        raise ValueError("join_null_safe needs columns")
+    right = right.select(*[F.col(c).alias(f"_right_{c}") if c in on else F.col(c) for c in right.columns])
+    cond = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on]
+    return left.join(right, cond, how).drop(*[f"_right_{c}" for c in on])
 
 
-def prefix_before(df: DataFrame, part: Sequence[str], key, weight: str, blocks: int = 1024,
+def prefix_before(df: DataFrame, part: Sequence[str], key, weight: str, blocks: int = BLOCKS,
                   out: str = "_pb") -> DataFrame:
     """Add ``out`` = sum(weight) over rows of the same ``part`` group whose ``key``
     (a column, or a list of columns compared lexicographically) is smaller.
 
-    ``df`` must have one row per (part, key) -- an aggregated table.  Blocks are
-    cut on the first key column.
-    """
+    ``df`` must have one row per (part, key) -- an aggregated table."""
     part = list(part)
     keys = [key] if isinstance(key, str) else list(key)
-    b = _block(df, part, keys[0], blocks)
-    totals = b.groupBy(*part, "_blk").agg(F.sum(weight).alias("_bt"))
-    offsets = totals.withColumn(
-        "_bo", F.coalesce(F.sum("_bt").over(Window.partitionBy(*part).orderBy("_blk")
-                                            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # at most ``blocks`` rows per part group -> broadcast
-    b = b.join(F.broadcast(offsets.drop("_bt")), part + ["_blk"])
-    within = F.coalesce(F.sum(weight).over(Window.partitionBy(*part, "_blk").orderBy(*keys)
-                                           .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return b.withColumn(out, F.col("_bo") + within).drop("_blk", "_bo")
+    # written once: the ranges are sampled, so a second evaluation could cut them elsewhere
+    ranges = materialize(df.repartitionByRange(blocks, *part, *keys).withColumn("_blk", F.spark_partition_id()))
+    totals = ranges.groupBy(*part, "_blk").agg(F.sum(weight).alias("_bt"))
+    earlier = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*part, "_blk", F.coalesce(F.sum("_bt").over(earlier), F.lit(0)).alias("_bo"))
+    within = Window.partitionBy("_blk", *part).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    return (join_null_safe(ranges, offsets, [*part, "_blk"])
+            .withColumn(out, F.col("_bo") + F.coalesce(F.sum(weight).over(within), F.lit(0))).drop("_blk", "_bo"))
 
 
 def ntile_index(rank: str, n_rows: str, n: int, precision: int = 4, method: str = "floor") -> Column:
@@ -114,93 +91,64 @@ def label_from_index(idx: Column, labels: Sequence[str]) -> Column:
     return expr
 
 
-# Largest boundary group numbered in one task; bigger groups are refined by the
-# next tie-break column instead (same block prefix sums).
-SINGLE_TASK_ROWS = 2_000_000
+def first_rank(n_rows: str, k: int, n: int, precision: int, method: str) -> Column:
+    """The smallest rank whose ``ntile_index`` is at least ``k`` (beyond the last row if none is)."""
+    scale = 10 ** precision
+    q = (scale * k + n - 1) // n  # the bucket where label k begins
+    if method == "floor":
+        return F.expr(f"1 + (CAST({q - 1} AS BIGINT) * {n_rows} + {scale - 1}) div {scale}")
+    if method == "sql":
+        return F.expr(f"CAST({q - 1} AS BIGINT) * ({n_rows} div {scale}) + least({q - 1}, {n_rows} % {scale}) + 1")
+    raise ValueError(f"unknown ntile method {method!r}")
+
+
+def at_ranks(ranked: DataFrame, targets: DataFrame, groups: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """The row of ``ranked`` (with ``_pb`` and ``_c``) that holds each target rank ``_r``, and the rank within it."""
+    hit = (F.col("_pb") < F.col("_r")) & (F.col("_r") <= F.col("_pb") + F.col("_c"))
+    if groups:
+        both = join_null_safe(ranked, targets, groups)
+    else:  # one group: its few targets as one array
+        few = targets.agg(F.collect_list(F.struct("_k", "_r")).alias("_t")).scalar()
+        both = ranked.withColumn("_t", few).select(*ranked.columns, F.inline("_t"))
+    return both.filter(hit).select(*keep, "_k", (F.col("_r") - F.col("_pb")).alias("_r"))
 
 
 def ntile_labels(df: DataFrame, value: str, tie_break: Sequence[str], labels: Sequence[str], out: str,
-                 part: Sequence[str] = (), precision: int = 4, blocks: int = 1024,
+                 part: Sequence[str] = (), precision: int = 4, blocks: int = BLOCKS,
                  with_index: str | None = None, checkpoint_output: bool = False,
-                 single_task_rows: int = SINGLE_TASK_ROWS, method: str = "floor") -> DataFrame:
+                 method: str = "floor") -> DataFrame:
     """Label each row by the n-tile (n = len(labels)) of its exact rank of ``value``.
 
     NULL values get a NULL label and do not count in N (trap S3).  ``part``
-    ranks independently within groups (none in the reference; used by G16).
-    ``method`` picks the n-tile rule (``ntile_index``).
-    Returns ``df`` with ``out`` (and the 0-based index as ``with_index``);
-    ``checkpoint_output`` cuts the lineage of the result for callers that read
-    it several times.
+    ranks independently within groups.  ``method`` picks the n-tile rule
+    (``ntile_index``).  The input is written once with a row id, the last
+    tie-break, so pass only the columns that are needed.  Returns ``df`` with
+    ``out`` (and the 0-based index as ``with_index``); ``checkpoint_output``
+    cuts the lineage of the result for callers that read it several times.
     """
-    part = list(part)
-    n = len(labels)
-    # A row id stamped into the written input (stable once materialised) is the
-    # last tie-break: the full key is unique, so even a hot, fully identical key
-    # is split by block prefix sums instead of being numbered in one task.
+    part, n = list(part), len(labels)
     keys = [value, *tie_break, "_rid"]
     df = materialize(df.withColumn("_rid", F.monotonically_increasing_id()))
-    rows = df.filter(F.col(value).isNotNull())
-    n_tab = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
-
-    def attach_n(t: DataFrame) -> DataFrame:
-        return t.join(F.broadcast(n_tab), part) if part else t.withColumn("_n", n_tab.scalar())
-
-    pieces: list[DataFrame] = []
-    open_rows, open_groups = rows, None
-    for i in range(len(keys)):
-        gkeys = keys[: i + 1]
-        gp = part + keys[:i]            # the groups refined at this level
-        cnt = open_rows.groupBy(*part, *gkeys).agg(F.count(F.lit(1)).alias("_c"))
-        b = _block(cnt, gp, keys[i], blocks)
-        # block offsets: a window over at most ``blocks`` block totals per group
-        bt = b.groupBy(*gp, "_blk").agg(F.sum("_c").alias("_bt"))
-        bt = bt.withColumn("_bo", F.coalesce(F.sum("_bt").over(
-            Window.partitionBy(*gp).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        if open_groups is None:
-            bt = bt.withColumn("_A", F.col("_bo"))
-        else:
-            bt = bt.join(F.broadcast(open_groups.select(*gp, "_b0")), gp).withColumn("_A", F.col("_b0") + F.col("_bo"))
-        bt = (attach_n(bt).withColumn("_a1", F.col("_A") + 1).withColumn("_a2", F.col("_A") + F.col("_bt"))
-              .withColumn("_blo", ntile_index("_a1", "_n", n, precision, method))
-              .withColumn("_bhi", ntile_index("_a2", "_n", n, precision, method)))
-        bt = bt.select(*gp, "_blk", "_A", "_blo", "_bhi")
-        # a block inside one label labels all its values at once (at most ``blocks`` rows per group)
-        whole = bt.filter(F.col("_blo") == F.col("_bhi")).select(*gp, "_blk", F.col("_blo").alias("_idx"))
-        settled_whole = b.join(F.broadcast(whole), gp + ["_blk"]).select(*part, *gkeys, "_idx")
-        # only blocks across a label boundary (at most n-1 per group) are summed value by value
-        mixed = bt.filter(F.col("_blo") != F.col("_bhi")).select(*gp, "_blk", "_A")
-        within = F.coalesce(F.sum("_c").over(Window.partitionBy(*gp, "_blk").orderBy(keys[i])
-                                             .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        cnt = (attach_n(b.join(F.broadcast(mixed), gp + ["_blk"]).withColumn("_b", F.col("_A") + within))
-               .withColumn("_r1", F.col("_b") + 1).withColumn("_r2", F.col("_b") + F.col("_c"))
-               .withColumn("_lo", ntile_index("_r1", "_n", n, precision, method))
-               .withColumn("_hi", ntile_index("_r2", "_n", n, precision, method)))
-        settled = (cnt.filter(F.col("_lo") == F.col("_hi")).select(*part, *gkeys, F.col("_lo").alias("_idx"))
-                   .unionByName(settled_whole))
-        pieces.append(open_rows.join(settled, part + gkeys))
-        # straddling groups: at most n-1 per part group; none can remain once the key is unique
-        open_groups = materialize(cnt.filter(F.col("_lo") != F.col("_hi"))
-                                  .select(*part, *gkeys, F.col("_b").alias("_b0"), "_c"))
-        # control flow on a written table of at most n-1 rows per part group
-        largest = open_groups.agg(F.max("_c")).first()[0]
-        if largest is None:
-            break
-        open_rows = open_rows.join(F.broadcast(open_groups.select(*part, *gkeys)), part + gkeys, "left_semi")
-        if largest <= single_task_rows:
-            # every boundary group is small: number its rows directly by the remaining keys
-            w = Window.partitionBy(*part, *gkeys).orderBy(*keys[i + 1:])
-            last = (open_rows.join(F.broadcast(open_groups.drop("_c")), part + gkeys)
-                    .withColumn("_r", F.col("_b0") + F.row_number().over(w)))
-            pieces.append(attach_n(last).withColumn("_idx", ntile_index("_r", "_n", n, precision, method))
-                          .drop("_b0", "_r", "_n"))
-            break
-        open_groups = open_groups.drop("_c")
-    labelled = pieces[0]
-    for p in pieces[1:]:
-        labelled = labelled.unionByName(p)
-    nulls = df.filter(F.col(value).isNull()).withColumn("_idx", F.lit(None).cast("int"))
-    labelled = labelled.unionByName(nulls).drop("_rid")
-    labelled = labelled.withColumn(out, F.when(F.col("_idx").isNotNull(), label_from_index(F.col("_idx"), labels)))
+    rows = df.filter(F.col(value).isNotNull()).select(*dict.fromkeys([*part, *keys]))
+    sizes = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    starts = F.array(*[F.struct(F.lit(k).alias("_k"), first_rank("_n", k, n, precision, method).alias("_r"))
+                       for k in range(1, n)])
+    # at most n - 1 rows per group from here on
+    targets = materialize(sizes.select(*part, "_n", F.inline(starts)).filter(F.col("_r") <= F.col("_n")).drop("_n"))
+    counts = rows.groupBy(*part, value).agg(F.count(F.lit(1)).alias("_c"))
+    targets = materialize(at_ranks(prefix_before(counts, part, value, "_c", blocks), targets, part, [*part, value]))
+    group = [*part, value]
+    inside = join_null_safe(rows, targets.select(*group).distinct(), group, "left_semi").withColumn("_c", F.lit(1))
+    targets = at_ranks(prefix_before(inside, group, keys[1:], "_c", blocks), targets, group, [*part, *keys])
+    bounds = materialize(targets.groupBy(*part).agg(F.collect_list(F.struct(*keys)).alias("_bounds")))
+    if part:
+        labelled = join_null_safe(df, bounds, part, "left")
+    else:
+        labelled = df.withColumn("_bounds", bounds.select("_bounds").scalar())
+    own = F.struct(*keys)
+    passed = F.size(F.filter(F.coalesce("_bounds", F.array()), lambda b: b <= own))
+    labelled = (labelled.withColumn("_idx", F.when(F.col(value).isNotNull(), passed)).drop("_bounds", "_rid")
+                .withColumn(out, F.when(F.col("_idx").isNotNull(), label_from_index(F.col("_idx"), labels))))
     if checkpoint_output:
         labelled = materialize(labelled)
     if with_index:
@@ -209,63 +157,34 @@ def ntile_labels(df: DataFrame, value: str, tie_break: Sequence[str], labels: Se
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], part: Sequence[str] = (),
-                    names: Sequence[str] | None = None, blocks: int = 1024) -> DataFrame:
+                    names: Sequence[str] | None = None, blocks: int = BLOCKS) -> DataFrame:
     """Exact quantiles with linear interpolation (R type 7, Spark ``percentile``).
 
     With 0-based position h = (N - 1) p: x[floor h] + (h - floor h) (x[floor h + 1] - x[floor h]).
 
-    Order statistics without a global sort: distinct values are counted and cut
-    into monotone blocks; block totals give block offsets (a window over at
-    most ``blocks`` rows per group); only the blocks holding a target rank (at
-    most two per probability) are prefix-summed value by value, and x[r] is the
-    smallest value whose cumulative count reaches r -- a conditional ``min``.
-    (``F.percentile`` keeps every distinct value of a group in one buffer.)
-    One row per part group, one column per probability.
+    Order statistics without a global sort: distinct values are counted and
+    prefix-summed over ranges, and x[r] is the value whose span of ranks holds
+    r -- a conditional ``min``.  (``F.percentile`` keeps every distinct value of
+    a group in one buffer.)  One row per part group, a NULL group included, one
+    column per probability.
     """
     part = list(part)
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
-    cnt = materialize(df.filter(F.col(value).isNotNull()).groupBy(*part, value)
-                      .agg(F.count(F.lit(1)).alias("_c")))
-    blk = _block(cnt, part, value, blocks)
-    offsets = (blk.groupBy(*part, "_blk").agg(F.sum("_c").alias("_bt"))
-               .withColumn("_bo", F.coalesce(F.sum("_bt").over(
-                   Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0))))
-    # one row per part group: N, and per probability the two target ranks and the fraction
-    targets = offsets.groupBy(*part).agg(F.sum("_bt").alias("_n"))
-    rank_cols = []
-    for nm, p in zip(names, probs):
-        pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
-        targets = (targets.withColumn(f"_f_{nm}", pos - F.floor(pos))
-                   .withColumn(f"_r1_{nm}", F.floor(pos) + 1)
-                   .withColumn(f"_r2_{nm}", F.least(F.floor(pos) + 2, F.col("_n"))))
-        rank_cols += [f"_r1_{nm}", f"_r2_{nm}"]
-    targets = targets.withColumn("_ranks", F.array(*[F.col(c) for c in rank_cols]))
-    keep = [*rank_cols, "_ranks", *[f"_f_{nm}" for nm in names]]
-
-    def attach(t: DataFrame) -> DataFrame:
-        # targets has one row per part group (bounded) -> broadcast, or a scalar without groups
-        if part:
-            return t.join(F.broadcast(targets.select(*part, *keep)), part)
-        row = targets.select(F.struct(*keep).alias("_t")).scalar()
-        for c in keep:
-            t = t.withColumn(c, row.getField(c))
-        return t
-
-    # blocks holding a target rank: at most 2 x len(probs) per part group -> broadcast
-    needed = (attach(offsets)
-              .filter(F.exists("_ranks", lambda r: (r > F.col("_bo")) & (r <= F.col("_bo") + F.col("_bt"))))
-              .select(*part, "_blk", "_bo"))
-    rows = blk.join(F.broadcast(needed), part + ["_blk"])
-    cum = F.col("_bo") + F.sum("_c").over(Window.partitionBy(*part, "_blk").orderBy(value)
-                                          .rowsBetween(Window.unboundedPreceding, 0))
-    rows = attach(rows.withColumn("_cum", cum))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = prefix_before(counts, part, value, "_c", blocks)
+    targets = materialize(ranked.groupBy(*part).agg(F.sum("_c").alias("_n")))  # one row per group
+    if part:
+        ranked = join_null_safe(ranked, targets, part)
+    else:
+        ranked = ranked.withColumn("_n", targets.select("_n").scalar())
     x = F.col(value).cast("double")
-    aggs = []
-    for nm in names:
-        aggs += [F.min(F.when(F.col("_cum") >= F.col(f"_r1_{nm}"), x)).alias(f"_x1_{nm}"),
-                 F.min(F.when(F.col("_cum") >= F.col(f"_r2_{nm}"), x)).alias(f"_x2_{nm}"),
-                 F.max(f"_f_{nm}").alias(f"_f_{nm}")]
-    q = rows.groupBy(*part).agg(*aggs)
-    return q.select(*part, *[(F.col(f"_x1_{nm}") + F.col(f"_f_{nm}") * (F.col(f"_x2_{nm}") - F.col(f"_x1_{nm}")))
-                             .alias(nm) for nm in names])
+    aggs, out = [], []
+    for i, (nm, p) in enumerate(zip(names, probs)):
+        pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
+        for j, rank in enumerate((F.floor(pos) + 1, F.least(F.floor(pos) + 2, F.col("_n")))):
+            held = (F.col("_pb") < rank) & (rank <= F.col("_pb") + F.col("_c"))
+            aggs.append(F.min(F.when(held, x)).alias(f"_x{j}_{i}"))
+        aggs.append(F.max(pos - F.floor(pos)).alias(f"_f_{i}"))
+        low, high = F.col(f"_x0_{i}"), F.col(f"_x1_{i}")
+        out.append((low + F.col(f"_f_{i}") * (high - low)).alias(nm))
+    return ranked.groupBy(*part).agg(*aggs).select(*part, *out)

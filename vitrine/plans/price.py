@@ -20,7 +20,7 @@ ROW_KEY = ["order_id", "order_item_id", "review_id"]
 
 def quartile_class(foc: DataFrame, labels=QUARTILES, tie_break=ROW_KEY, value: str = "total_price") -> DataFrame:
     """Price quartile (Q1) x class: rows, gross, min/max price; shares within quartile."""
-    scored = ntile_labels(foc, value, tie_break, labels, "score")
+    scored = ntile_labels(foc.select(*dict.fromkeys([CLS, value, *tie_break])), value, tie_break, labels, "score")
     agg = scored.groupBy("score", CLS).agg(
         F.count(F.lit(1)).alias("n_orders"), F.sum(value).alias("gross_sales"),
         F.min(value).alias("min_order"), F.max(value).alias("max_order"))

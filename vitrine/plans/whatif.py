@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.operators.lineage import materialize
 from vitrine.operators.rank import label_from_index, ntile_index, prefix_before
 from vitrine.operators.share import best_row
 from vitrine.plans.listing import SEXTILES, photo_bucket
@@ -29,19 +30,21 @@ LEN = "product_description_lenght"
 
 def place_scenarios(sol: DataFrame, scenarios: DataFrame) -> DataFrame:
     """(scenario_id, fotos, caracteres, frete, bucket_photos, quantil_desc)."""
+    scenarios = materialize(scenarios.withColumn("_row", F.monotonically_increasing_id()))
     lens = (sol.filter(F.col(LEN).isNotNull()).groupBy(LEN).agg(F.count(F.lit(1)).alias("_w"))
             .select(F.col(LEN).cast("bigint").alias("_k"), F.lit(0).alias("_flag"), "_w",
-                    F.lit(None).cast(scenarios.schema["scenario_id"].dataType).alias("scenario_id")))
+                    F.lit(-1).cast("bigint").alias("_row")))
     scen = scenarios.filter(F.col("caracteres").isNotNull()).select(
         F.col("caracteres").cast("bigint").alias("_k"), F.lit(1).alias("_flag"),
-        F.lit(0).cast("bigint").alias("_w"), "scenario_id")
+        F.lit(0).cast("bigint").alias("_w"), "_row")
     n_rows = sol.agg(F.count(LEN)).scalar()
-    ranked = (prefix_before(lens.unionByName(scen), [], ["_k", "_flag", "scenario_id"], "_w")
+    ranked = (prefix_before(lens.unionByName(scen), [], ["_k", "_flag", "_row"], "_w")
               .filter(F.col("_flag") == 1)
               .withColumn("_rank", F.col("_pb") + 1).withColumn("_n1", n_rows + 1)
               .withColumn("quantil_desc", label_from_index(ntile_index("_rank", "_n1", len(SEXTILES)), SEXTILES))
-              .select("scenario_id", "quantil_desc"))
-    return (scenarios.join(ranked, "scenario_id", "left")
+              .select("_row", "quantil_desc"))
+    # joined by row: scenarios that repeat an id stay apart
+    return (scenarios.join(ranked, "_row", "left").drop("_row")
             .withColumn("bucket_photos", photo_bucket(F.col("fotos"))))
 
 
