@@ -38,36 +38,39 @@ SAMPLE_DOCS, TRAIN_WORDS, LANDMARKS = 20000, 6000, 240
 DECAY = 0.6
 #: Times that look-alikes from other texts (a quarter of TRAIN_WORDS each) are added and the fit repeated.
 HARD_ROUNDS = 2
+#: Pieces that a worker remembers with their values.
+KNOWN = 2_000_000
 #: A longer word is read as overlapping pieces of this length.
 PIECE = 24
 
 # characters: word edge 0, a-z 1..26, digits 27, other ASCII 28, bytes beyond ASCII 29
-_CLASS = np.full(256, 28, np.int64)
+_CLASS = np.full(256, 28, np.int32)
 _CLASS[48:58] = 27
-_CLASS[97:123] = np.arange(1, 27)
+_CLASS[97:123] = np.arange(1, 27, dtype=np.int32)
 _CLASS[128:] = 29
 ALPHABET = 30
 CELLS = ALPHABET ** 3
 
 _triples: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_WEIGHT = DECAY ** np.arange(32.0)
 
 
 def triples(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of every subsequence of three in a word of a length, and its weight."""
+    """Places of every subsequence of three in a word of a length, and its span (under 32)."""
     if length not in _triples:
         at = np.array(list(combinations(range(length), 3)), np.int64).reshape(-1, 3)
-        _triples[length] = at, DECAY ** (at[:, 2] - at[:, 0] + 1.0) if len(at) else np.zeros(0)
+        _triples[length] = at, (at[:, 2] - at[:, 0] + 1).astype(np.int32)
     return _triples[length]
 
 
 def features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cell and weight of each subsequence for words of one length, each word's weights of norm one."""
     codes = np.pad(codes, ((0, 0), (1, 1)))  # both edges of the word are characters too
-    at, weight = triples(codes.shape[1])
+    at, span = triples(codes.shape[1])
     cell = (codes[:, at[:, 0]] * ALPHABET + codes[:, at[:, 1]]) * ALPHABET + codes[:, at[:, 2]]
-    order = np.argsort(cell, axis=1, kind="stable")
-    cell = np.take_along_axis(cell, order, 1)
-    value = weight[order]
+    cell = np.sort(cell << 5 | span, axis=1)  # a cell and its span in one number
+    value = _WEIGHT[cell & 31]
+    cell = cell >> 5
     last = np.ones(cell.shape, bool)  # equal subsequences add up in their last place
     last[:, :-1] = cell[:, 1:] != cell[:, :-1]
     total = np.cumsum(value, axis=1)
@@ -113,6 +116,8 @@ class SubsequenceSvm:
     bias: float
     slope: float = 1.0
     shift: float = 0.0
+    #: Hashes and values of the pieces that a worker has scored last, at most KNOWN.
+    known: tuple[np.ndarray, np.ndarray] | None = None
 
     def words(self, codes: np.ndarray) -> np.ndarray:
         cell, value = features(codes)
@@ -127,18 +132,31 @@ class SubsequenceSvm:
             return out
         word, at, stop = word_pieces(buf, start, end)
         prefix = prefix_hash(buf)
-        _, first, back = np.unique(span_hash(prefix, at, stop), return_index=True, return_inverse=True)
-        at, length = at[first], (stop - at)[first]
-        code = _CLASS[buf]
+        name, first, back = np.unique(span_hash(prefix, at, stop), return_index=True, return_inverse=True)
+        np.maximum.at(out, row[word], self.pieces(_CLASS[buf], name, at[first], (stop - at)[first])[back])
+        return out
+
+    def pieces(self, code: np.ndarray, name: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Value of each piece (hash, start, length); pieces scored before are looked up."""
         value = np.full(len(at), self.bias)
+        names, values = self.known or (np.zeros(0, name.dtype), np.zeros(0))
+        place = np.searchsorted(names, name)
+        seen = np.zeros(len(name), bool)
+        inside = place < len(names)
+        seen[inside] = names[place[inside]] == name[inside]
+        value[seen] = values[place[seen]]
         for n in range(1, PIECE + 1):
-            these = np.flatnonzero(length == n)
+            these = np.flatnonzero((length == n) & ~seen)
             step = max(1, 2_000_000 // max(1, len(triples(n + 2)[1])))
             for k in range(0, len(these), step):
                 part = these[k:k + step]
                 value[part] = self.words(code[at[part][:, None] + np.arange(n)])
-        np.maximum.at(out, row[word], value[back])
-        return out
+        if len(names) + len(name) > KNOWN:
+            self.known = (name, value)
+        else:
+            place = place[~seen]
+            self.known = (np.insert(names, place, name[~seen]), np.insert(values, place, value[~seen]))
+        return value
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         z = self.slope * np.maximum(margin, -2.0) + self.shift
