@@ -135,10 +135,24 @@ def test_percent_and_money_labels(spark):
     r = df.select(labels.percent(F.col("p"), 2).alias("p2"), labels.percent(F.col("p")).alias("p1"),
                   labels.reais(F.col("m")).alias("r"), labels.k_reais(F.col("m")).alias("k")).first()
     assert (r.p2, r.p1, r.r, r.k) == ("46%", "46%", "R$1.234.567,89", "R$1.235k")
+    minus = df.select(labels.reais(F.lit(-5.0)).alias("a"), labels.reais(F.lit(-5.0), digits=None).alias("b"),
+                      labels.reais(F.lit(1234.5), digits=None).alias("c"), labels.thousands(F.col("m")).alias("n")).first()
+    assert tuple(minus) == ("-R$5,00", "-R$5", "R$1.234,50", "1.234.568")
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_shares_sum_to_one(spark, hot):
+def test_moments_survive_cancellation_and_large_integers(spark):
+    rows = [(10 ** 9 if k % 2 else 10 ** 9 - 1, 100000000 + k % 2, None if k % 7 == 0 else k % 3) for k in range(1000)]
+    df = (spark.createDataFrame(rows, "big long, p long, r long")
+          .select("big", F.col("p").cast("decimal(18,2)").alias("price"), "r"))
+    got = {r.column_name: r for r in profile.numeric_profile(df, ["big", "price"]).collect()}
+    assert abs(got["price"].sd - 0.5002501876563868) < 1e-9 and abs(got["big"].sd - 0.5002501876563868) < 1e-9
+    corr = {(r.col_a, r.col_b): r.corr for r in profile.correlation_matrix(df, ["big", "price", "r"]).collect()}
+    assert corr["price", "price"] == 1.0 and corr["big", "price"] == 1.0
+    both = df.filter("r is not null").select(F.corr(F.col("price").cast("double"), F.col("r").cast("double"))).first()[0]
+    assert abs(corr["price", "r"] - both) < 1e-9
+
+
+def test_shares_sum_to_one(spark):
     t = one_order(spark, [(1, 1, 5, D(2020, 1, 1), D(2020, 1, 2)), (2, 1, 2, D(2020, 1, 1), D(2020, 1, 2))],
                   n_items=3)
     sel = classify.selected(W.items_wide(t), Params())

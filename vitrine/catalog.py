@@ -658,8 +658,7 @@ register("g9_numeric_profile_items", with_ctes("""
 select column_name, cast(sum(case when v is null then 1 else 0 end) as bigint) as n_missing,
        cast(count(v) as double) / cast(count(*) as double) as complete_rate,
        cast(sum(v) as double) / cast(count(v) as double) as mean,
-       sqrt((cast(sum(v * v) as double) - cast(sum(v) as double) * cast(sum(v) as double) / cast(count(v) as double))
-            / (cast(count(v) as double) - 1)) as sd,
+       stddev_samp(cast(v as double)) as sd,
        quantile_cont(cast(v as double), 0.0) as p0, quantile_cont(cast(v as double), 0.25) as p25,
        quantile_cont(cast(v as double), 0.5) as p50, quantile_cont(cast(v as double), 0.75) as p75,
        quantile_cont(cast(v as double), 1.0) as p100
@@ -667,7 +666,7 @@ from (select 'order_item_id' as column_name, cast(order_item_id as decimal(38,6)
       union all select 'price', cast(price as decimal(38,6)) from oi
       union all select 'freight_value', cast(freight_value as decimal(38,6)) from oi
       union all select 'total_price', cast(total_price as decimal(38,6)) from oi) l
-group by 1""", views=["f_orders", "f_order_items"], wide=False, extra={"oi": OI_ALL}))(
+group by 1""", views=["f_orders", "f_order_items"], wide=False, extra={"oi": OI_ALL}), {"sd": 6})(
     lambda spark, d: profile.numeric_profile(orders_items_all(spark, d),
                                              ["order_item_id", "price", "freight_value", "total_price"]))
 
@@ -718,15 +717,7 @@ def _corr_sql() -> str:
     parts = []
     for i, a in enumerate(CORR_COLS):
         for b in CORR_COLS[i:]:
-            both = f"{a} is not null and {b} is not null"
-            n = f"cast(count(case when {both} then 1 end) as double)"
-            sa = f"cast(sum(case when {both} then {a} end) as double)"
-            sb = f"cast(sum(case when {both} then {b} end) as double)"
-            saa = f"cast(sum(case when {both} then {a} * {a} end) as double)"
-            sbb = f"cast(sum(case when {both} then {b} * {b} end) as double)"
-            sab = f"cast(sum(case when {both} then {a} * {b} end) as double)"
-            den = f"sqrt(({n} * {saa} - {sa} * {sa}) * ({n} * {sbb} - {sb} * {sb}))"
-            r = f"case when {den} = 0 then null else ({n} * {sab} - {sa} * {sb}) / {den} end"
+            r = f"corr(cast({a} as double), cast({b} as double))"
             parts.append(f"select '{a}' as col_a, '{b}' as col_b, {r} as corr from c9")
             if a != b:
                 parts.append(f"select '{b}' as col_a, '{a}' as col_b, {r} as corr from c9")
@@ -734,7 +725,7 @@ def _corr_sql() -> str:
             " from (\n" + "\nunion all ".join(parts) + ") t")
 
 
-register("g15_correlation_matrix", c9_sql(_corr_sql()))(
+register("g15_correlation_matrix", c9_sql(_corr_sql()), {"corr": 9})(
     lambda spark, d: outer.correlation_matrix(
         _tables(spark, d), ["order_item_id", "price", "freight_value", "product_photos_qty",
                             "product_description_lenght"], ["payment_value"], ["review_score"],
@@ -749,22 +740,22 @@ select word, count(*) as count from (
   select unnest(regexp_extract_all(token, '({text.WORD})', 1)) as word from (
     select token from (
       select unnest(regexp_split_to_array(m, '{WS_SQL}')) as token from (
-        select translate(replace(lower(review_comment_message), chr(10), ' '), ',.?:!', '') as m
-        from f_bad_messages where review_comment_message is not null) a) b
+        select translate(replace(lower(d.text), chr(10), ' '), ',.?:!', '') as m
+        from c9 join documents d on d.doc_id = c9.review_id where c9.review_score < 4 and d.text is not null) a) b
     where token <> '' and not starts_with(token, 'http') and token not in (select word from stops)) c) d
 group by 1"""
 
 
 def _word_counts(spark, d) -> DataFrame:
-    return text.word_counts(fixtures.bad_messages(spark, d), text.stop_words(spark))
+    t = _tables(spark, d)
+    return text.word_counts(outer.bad_review_messages(t, fixtures.messages(spark, d), c9_keys(spark, d)),
+                            text.stop_words(spark), weight="weight")
 
 
-register("n3_word_counts", with_ctes(WORDS_SQL, views=["f_bad_messages"], wide=False,
-                                     extra={"stops": STOP_SQL}))(_word_counts)
+register("n3_word_counts", c9_sql(WORDS_SQL, extra={"stops": STOP_SQL}))(_word_counts)
 
-register("n4_top_words", with_ctes("select * from wc order by count desc, word asc limit 100",
-                                   views=["f_bad_messages"], wide=False,
-                                   extra={"stops": STOP_SQL, "wc": WORDS_SQL}))(
+register("n4_top_words", c9_sql("select * from wc order by count desc, word asc limit 100",
+                                extra={"stops": STOP_SQL, "wc": WORDS_SQL}))(
     lambda spark, d: text.top_words(_word_counts(spark, d), 100))
 
 
@@ -862,7 +853,7 @@ select Estado, n_orders, gross_sales,
        'R$' || translate(format('{:,.2f}', cast(gross_sales as double)), ',.', '.,') as gross_reais,
        'R$' || translate(format('{:,.0f}', cast(round_even(gross_sales / 1000, 0) as double)), ',.', '.,') || 'k'
          as gross_k_reais,
-       format('{:,.0f}', cast(n_orders as double)) as n_orders_label
+       translate(format('{:,.0f}', cast(n_orders as double)), ',', '.') as n_orders_label
 from (select Estado, count(*) as n_orders, sum(total_price) as gross_sales from focus group by 1) t""", SCRIPT))(
     lambda spark, d: geo.state_metrics(focus(spark, d, SCRIPT)).select(
         "Estado", "n_orders", "gross_sales", labels.reais(F.col("gross_sales")).alias("gross_reais"),

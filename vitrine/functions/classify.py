@@ -36,9 +36,11 @@ def merge_categories(cat: Column, categories, new_name: str) -> Column:
 
 def price_filter(price: Column, lo: float, hi: float, closed: bool = True) -> Column:
     """Closed range (dashboard) or open range (small dashboard)."""
+    # decimal bounds: a double would cast the column, and the filter could not reach the scan
+    lo, hi = (F.lit(x).cast("decimal(18,2)") for x in (lo, hi))
     if closed:
-        return (price >= F.lit(lo)) & (price <= F.lit(hi))
-    return (price > F.lit(lo)) & (price < F.lit(hi))
+        return (price >= lo) & (price <= hi)
+    return (price > lo) & (price < hi)
 
 
 def selected(wide: DataFrame, p: Params) -> DataFrame:

@@ -24,9 +24,16 @@ def _swap_marks(s: Column) -> Column:
     return F.translate(s, ",.", ".,")
 
 
-def reais(x: Column) -> Column:
-    """H7: R$1.234,56 (dot thousands, comma decimals)."""
-    return F.concat(F.lit("R$"), _swap_marks(F.format_number(x, 2)))
+def reais(x: Column, digits: int | None = 2) -> Column:
+    """H7: R$1.234,56 (dot thousands, comma decimals), -R$5,00 below zero.
+
+    ``digits=None`` prints cents only where the amount has some."""
+    if digits is None:
+        whole = F.bround(x, 2) == F.round(x, 0)
+        body = F.when(whole, F.format_number(F.abs(x), 0)).otherwise(F.format_number(F.abs(x), 2))
+    else:
+        body = F.format_number(F.abs(x), digits)
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), F.lit("R$"), _swap_marks(body))
 
 
 def k_reais(x: Column) -> Column:
@@ -36,8 +43,8 @@ def k_reais(x: Column) -> Column:
 
 
 def thousands(x: Column) -> Column:
-    """H9: 1,234,567 with comma thousands and no decimals."""
-    return F.format_number(F.bround(x, 0), 0)
+    """H9: 1.234.567 with dot thousands and no decimals."""
+    return _swap_marks(F.format_number(F.bround(x, 0), 0))
 
 
 def paste(*parts: Column, sep: str = " ") -> Column:

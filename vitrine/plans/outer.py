@@ -60,6 +60,14 @@ def review_score_counts(t, keys: DataFrame | None = None) -> DataFrame:
     return _weighted_counts(rows, "review_score", F.col("_na") * F.col("_nb"))
 
 
+def bad_review_messages(t, messages: DataFrame, keys: DataFrame | None = None, threshold: int = 4) -> DataFrame:
+    """N1 input over C9: messages of reviews with score < threshold; ``weight`` is the number of C9 rows
+    (items x payments of the order) that repeat one."""
+    bad = t.reviews.filter(F.col("review_score") < threshold).select("review_id", KEY)
+    return (bad.join(keys if keys is not None else side_counts(t), KEY).join(messages, "review_id")
+            .select("review_comment_message", (F.col("_na") * F.col("_nb")).alias("weight")))
+
+
 def with_percent(counts: DataFrame, col: str) -> DataFrame:
     """G14 label column: percent of all counted rows, sorted desc."""
     agg = share_of_total(counts, {"share": "count"}).withColumn("percent", F.col("share") * 100.0)
@@ -89,8 +97,9 @@ def _side_pattern_sums(rows: DataFrame, cols: list[str], index: dict[str, int])
     mask = F.lit(0)
     for c in cols:
         mask = mask + F.when(F.col(c).isNotNull(), F.lit(1 << index[c])).otherwise(F.lit(0))
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(c).alias(f"s_{index[c]}") for c in cols]
-    aggs += [F.sum(F.col(a) * F.col(b)).alias(f"x_{index[a]}_{index[b]}")
+    value = {c: profile.exact(rows, c) for c in cols}
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(value[c]).alias(f"s_{index[c]}") for c in cols]
+    aggs += [F.sum(value[a] * value[b]).alias(f"x_{index[a]}_{index[b]}")
              for i, a in enumerate(cols) for b in cols[i:]]
     return rows.withColumn("_m", mask).groupBy(KEY, "_m").agg(*aggs)
 
@@ -157,8 +166,9 @@ def correlation_matrix(t, cols_a, cols_b, cols_c, digits: int = 2, items: DataFr
         for c in prod_cols:
             mask = mask + F.when(F.col(c).isNotNull(), F.lit(1 << index[c])).otherwise(F.lit(0))
         ex = [mask.alias("_mask"), F.lit(1).cast("bigint").alias("n")]
-        ex += [(F.col(c) if c in prod_cols else F.lit(None)).alias(f"s{index[c]}") for c in cols]
-        ex += [(F.col(a) * F.col(b) if a in prod_cols and b in prod_cols else F.lit(None)).alias(f"x{index[a]}_{index[b]}")
+        value = {c: profile.exact(extra, c) for c in prod_cols}
+        ex += [(value[c] if c in prod_cols else F.lit(None)).alias(f"s{index[c]}") for c in cols]
+        ex += [(value[a] * value[b] if a in prod_cols and b in prod_cols else F.lit(None)).alias(f"x{index[a]}_{index[b]}")
                for i, a in enumerate(cols) for b in cols[i:]]
         per_mask = per_mask.unionByName(extra.select(*ex), allowMissingColumns=False)
     sums = per_mask.groupBy("_mask").agg(

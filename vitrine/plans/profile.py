@@ -145,6 +145,12 @@ def parse_timestamp(c: Column) -> Column:
 
 # ------------------------------------------------------------------ G9, G10, G15
 
+def exact(df: DataFrame, c: str) -> Column:
+    """A column whose products and sums cannot overflow: integers become decimals."""
+    kind = df.schema[c].dataType
+    return F.col(c) if isinstance(kind, T.DecimalType) else F.col(c).cast("decimal(20,0)")
+
+
 _EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
 
 
@@ -152,8 +158,8 @@ def numeric_profile(df: DataFrame, cols) -> DataFrame:
     """G9 (numeric part of ``skim``): per column missing, complete rate, mean, sd,
     p0/p25/p50/p75/p100.  Columns must be integer or decimal (exact sums).
 
-    Moments: one aggregate over the table with exact sums of x and x*x per
-    column (native types).  Quantiles: the columns unpivoted into one long
+    Moments: one aggregate over the table with the exact sum of x and Spark's
+    central-moment standard deviation per column.  Quantiles: the columns unpivoted into one long
     (column, value) table ranked per column -- values as doubles, which keeps
     their order and identity for decimals of up to 15 significant digits.
     """
@@ -163,16 +169,16 @@ def numeric_profile(df: DataFrame, cols) -> DataFrame:
             raise TypeError(f"{c}: numeric_profile needs integer/decimal columns")
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cols):
-        aggs += [F.count(c).alias(f"_n{i}"), F.sum(c).alias(f"_s{i}"), F.sum(F.col(c) * F.col(c)).alias(f"_q{i}")]
+        aggs += [F.count(c).alias(f"_n{i}"), F.sum(exact(df, c)).alias(f"_s{i}"),
+                 F.stddev_samp(F.col(c).cast("double")).alias(f"_d{i}")]
     wide = df.agg(*aggs)
     rows = []
     for i, c in enumerate(cols):
         n = F.col(f"_n{i}").cast("double")
-        s1, s2 = F.col(f"_s{i}").cast("double"), F.col(f"_q{i}").cast("double")
         rows.append(F.struct(
             F.lit(c).alias("column_name"), (F.col("_rows") - F.col(f"_n{i}")).alias("n_missing"),
-            ratio(f"_n{i}", "_rows").alias("complete_rate"), F.try_divide(s1, n).alias("mean"),
-            F.sqrt(F.try_divide(s2 - s1 * s1 / n, n - 1)).alias("sd")))
+            ratio(f"_n{i}", "_rows").alias("complete_rate"), F.try_divide(F.col(f"_s{i}").cast("double"), n).alias("mean"),
+            F.col(f"_d{i}").alias("sd")))
     m = wide.select(F.explode(F.array(*rows)).alias("_m")).select("_m.*")
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_s")
@@ -244,8 +250,8 @@ def correlation_matrix(df: DataFrame, cols, digits: int = 2) -> DataFrame:
     for i, c in enumerate(cols):
         mask = mask + F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
     aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)]
-    aggs += [F.sum(F.col(a) * F.col(b)).alias(f"x{i}_{j}")
+    aggs += [F.sum(exact(df, c)).alias(f"s{i}") for i, c in enumerate(cols)]
+    aggs += [F.sum(exact(df, a) * exact(df, b)).alias(f"x{i}_{j}")
              for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
     per_mask = df.withColumn("_mask", mask).groupBy("_mask").agg(*aggs)
     return correlation_from_pattern_sums(per_mask, cols, digits)
@@ -276,11 +282,11 @@ def correlation_from_pattern_sums(per_mask: DataFrame, cols, digits: int = 2) ->
     for i in range(k):
         for j in range(i, k):
             tag = f"{i}_{j}"
-            n = F.col(f"n_{tag}").cast("double")
-            sa, sb = F.col(f"sa_{tag}").cast("double"), F.col(f"sb_{tag}").cast("double")
-            saa, sbb = F.col(f"saa_{tag}").cast("double"), F.col(f"sbb_{tag}").cast("double")
-            sab = F.col(f"sab_{tag}").cast("double")
-            r = F.try_divide(n * sab - sa * sb, F.sqrt((n * saa - sa * sa) * (n * sbb - sb * sb)))
+            n = F.col(f"n_{tag}").cast("decimal(20,0)")
+            sa, sb, saa, sbb, sab = (F.col(f"{c}_{tag}") for c in ("sa", "sb", "saa", "sbb", "sab"))
+            # subtracted as decimals: as doubles nearly equal products would cancel
+            cross, da, db = ((n * x - y * z).cast("double") for x, y, z in ((sab, sa, sb), (saa, sa, sa), (sbb, sb, sb)))
+            r = F.try_divide(cross, F.sqrt(da) * F.sqrt(db))
             rows.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), r.alias("corr")))
             if i != j:
                 rows.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(cols[i]).alias("col_b"), r.alias("corr")))

@@ -37,23 +37,29 @@ def normalise(msg: Column) -> Column:
     return F.translate(F.regexp_replace(F.lower(msg), "\n", " "), ",.?:!", "")
 
 
-def tokens(messages: DataFrame, col: str = "review_comment_message") -> DataFrame:
-    """N1 + split on whitespace: one row per token (``token``)."""
-    norm = messages.select(normalise(F.col(col)).alias("_m")).filter(F.col("_m").isNotNull())
-    return norm.select(F.explode(F.split(F.col("_m"), WHITESPACE)).alias("token")).filter(F.col("token") != "")
+def tokens(messages: DataFrame, col: str = "review_comment_message", weight: str | None = None) -> DataFrame:
+    """N1 + split on whitespace: one row per token (``token``), with the message's ``weight`` (1 by default)."""
+    each = F.col(weight) if weight else F.lit(1).cast("bigint")
+    norm = messages.select(normalise(F.col(col)).alias("_m"), each.alias("weight")).filter(F.col("_m").isNotNull())
+    return (norm.select(F.explode(F.split(F.col("_m"), WHITESPACE)).alias("token"), "weight")
+            .filter(F.col("token") != ""))
 
 
-def kept_tokens(messages: DataFrame, stops: DataFrame, col: str = "review_comment_message") -> DataFrame:
+def kept_tokens(messages: DataFrame, stops: DataFrame, col: str = "review_comment_message",
+                weight: str | None = None) -> DataFrame:
     """Tokens that are not stop words and do not start with ``http``."""
-    t = tokens(messages, col).filter(~F.col("token").startswith("http"))
+    t = tokens(messages, col, weight).filter(~F.col("token").startswith("http"))
     return t.join(F.broadcast(stops.select(F.col("word").alias("token"))), "token", "left_anti")
 
 
-def word_counts(messages: DataFrame, stops: DataFrame, col: str = "review_comment_message") -> DataFrame:
-    """Counts of ``\\w+`` words inside the kept tokens."""
-    words = kept_tokens(messages, stops, col).select(
-        F.explode(F.regexp_extract_all(F.col("token"), F.lit(f"({WORD})"), 1)).alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+def word_counts(messages: DataFrame, stops: DataFrame, col: str = "review_comment_message",
+                weight: str | None = None) -> DataFrame:
+    """Counts of ``\\w+`` words inside the kept tokens; a message counts ``weight`` times.
+
+    Weights are summed by token before the words inside are cut out."""
+    kept = kept_tokens(messages, stops, col, weight).groupBy("token").agg(F.sum("weight").alias("weight"))
+    words = kept.select(F.explode(F.regexp_extract_all(F.col("token"), F.lit(f"({WORD})"), 1)).alias("word"), "weight")
+    return words.groupBy("word").agg(F.sum("weight").alias("count"))
 
 
 def top_words(counts: DataFrame, n: int = 100) -> DataFrame:

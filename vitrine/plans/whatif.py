@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.functions import labels
 from vitrine.operators.lineage import materialize
 from vitrine.operators.rank import label_from_index, ntile_index, prefix_before
 from vitrine.operators.share import best_row
@@ -53,13 +54,6 @@ def _pct(x: Column) -> Column:
     return F.concat(F.bround(x * F.lit(100.0), 0).cast("bigint").cast("string"), F.lit("%"))
 
 
-def _reais_auto(x: Column) -> Column:
-    # label_dollar(prefix="R$", big.mark=".", decimal.mark=","): cents unless whole
-    body = F.when(F.bround(x, 2) == F.round(x, 0), F.format_number(F.abs(x), 0)) \
-        .otherwise(F.format_number(F.abs(x), 2))
-    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), F.lit("R$"), F.translate(body, ",.", ".,"))
-
-
 def _na(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("NA"))
 
@@ -121,7 +115,7 @@ def with_sentences(df: DataFrame) -> DataFrame:
         return F.concat(F.lit(pos_a), _na(F.col(f"{prefix}bucket_photos")), F.lit(pos_b),
                         _na(F.col(f"{prefix}min_caracters_desc")), F.lit(pos_c),
                         _na(F.col(f"{prefix}max_caracters_desc")), F.lit(pos_d), _na(_pct(F.col(prop))),
-                        F.lit(pos_e), _na(_pct(F.col(inc))), F.lit(pos_f), _na(_reais_auto(F.col(gain))))
+                        F.lit(pos_e), _na(_pct(F.col(inc))), F.lit(pos_f), _na(labels.reais(F.col(gain), digits=None)))
 
     return (df.withColumn("current_situation_quantity", current("sim_prop_quantity"))
             .withColumn("possible_situation_quantity",

@@ -129,6 +129,12 @@ def state_map(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("geometry"))
 
 
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the message of the review of its id."""
+    return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("review_id"),
+                                                    F.col("text").alias("review_comment_message"))
+
+
 def bad_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents").select("doc_id", "text")
     lab = _read(spark, sf_dir, "labels").select("doc_id", "quality")
