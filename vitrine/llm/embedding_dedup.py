@@ -259,3 +259,23 @@ def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return out.withColumnRenamed("id", "vec_id")
+
+
+OP2_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, cast(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0
+    AND len([x for x in embedding if x <> 0]) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+reach AS (
+  SELECT vec_id AS origin, vec_id AS place FROM vectors
+  UNION SELECT origin, b FROM reach JOIN links ON links.a = reach.place),
+labels AS (SELECT origin AS vec_id, min(place) AS component_id FROM reach GROUP BY origin)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, e.vec_id) AS component_id,
+       e.vec_id IS NOT DISTINCT FROM coalesce(component_id, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN counts USING (vec_id) LEFT JOIN labels USING (vec_id)
+"""

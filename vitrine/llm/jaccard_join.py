@@ -315,3 +315,28 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.withColumnRenamed("id", "doc_id")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * same >= 80 * (x.n + y.n - same)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS origin, doc_id AS place FROM sizes
+  UNION SELECT origin, b FROM reach JOIN ways ON ways.a = reach.place),
+labels AS (SELECT origin AS doc_id, min(place) AS component_id FROM reach GROUP BY origin)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
+FROM words d LEFT JOIN sizes USING (doc_id) LEFT JOIN labels USING (doc_id)
+"""

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from vitrine.llm.byte_bpe import op9_byte_bpe
-from vitrine.llm.embedding_dedup import op2_embedding_near_dedup
+from vitrine.llm.embedding_dedup import OP2_SQL, op2_embedding_near_dedup
 from vitrine.llm.exact_dedup import OP6_SQL, op6_exact_dedup
-from vitrine.llm.jaccard_join import op1_ngram_jaccard_join
+from vitrine.llm.jaccard_join import OP1_SQL, op1_ngram_jaccard_join
 from vitrine.llm.language_model import op4_language_model
 from vitrine.llm.licenses import op10_license_scan
 from vitrine.llm.packing import op5_best_fit_packing
@@ -25,4 +25,8 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_license_scan": op10_license_scan,
 }
-SQL = {"op6_exact_dedup": OP6_SQL}
+SQL = {
+    "op1_ngram_jaccard_join": OP1_SQL,
+    "op2_embedding_near_dedup": OP2_SQL,
+    "op6_exact_dedup": OP6_SQL,
+}
