@@ -3,9 +3,8 @@
 Every word is a restaurant for the words that follow it; all share one parent,
 the restaurant of single words, whose base is uniform.  Tables of a context are
 customers of the parent.  Seating is sampled by Gibbs: customers leave and sit
-down again given the last estimate of their context's tables and of the
-parent's probability, and the predictive probability uses the mean over the
-samples.
+down again given an estimate of their context's tables and of the parent's
+probability, and the predictive probability uses the mean over the samples.
 
 Counts are gathered from all training texts in exchanges between blocks of
 texts and parts of the key space: a block sends its distinct words (or word
@@ -15,13 +14,16 @@ parts are sized by the input, so no task grows with it.
 
 1. Texts become blocks of word numbers, written once, bucketed by block.
 2. Words: counts, vocabulary.  3. Pairs: counts; one block owns each pair.
-4. Owners report tables by context and by word, first with one table per pair,
-   then after Gibbs sampling with the seating's mean.  A pair's random numbers
-   follow from its key, so every block draws the same seating.
+4. Each pair's customers are seated by Gibbs sampling; its owner reports the
+   mean tables by context and by word.  A pair's random numbers follow from its
+   key, so every block draws the same seating.
 5. Scores.
 
-Words and pairs are told apart by 56-bit hashes.  Customers beyond
-``RESEATED`` per pair are seated in doubling groups by their expectation.
+The sampler's weight of a new table takes its context's tables and the parent's
+probability from the power law of the process (counts to the power ``GROWTH``);
+the predictive probability uses the tables that were sampled.  Words are told
+apart by 56-bit hashes, pairs by 48-bit hashes.  Customers beyond ``RESEATED``
+per pair are seated in doubling groups by their expectation.
 
 Defined cases: null and empty texts are one end token; null ids train and are
 scored; rows that repeat an id are separate texts; without training texts every
@@ -43,11 +45,14 @@ from pyspark.sql import functions as F
 from vitrine.llm.textops import LOWER, crc_mod5, mix, prefix_hash, span_hash, text_blocks, words
 from vitrine.operators.lineage import materialize
 
-KEY_BITS = 56
+KEY_BITS, PAIR_BITS = 56, 48
 #: Concentrations of both levels; discounts are estimated from the counts of counts.
 STRENGTH = 1.0
 BURN_IN, SAMPLES, RESEATED = 2, 4, 16
-PART_BYTES = 1 << 25
+#: Tables grow as customers to this power, in the sampler's weights.
+GROWTH = 0.75
+#: Text of a block, and of a part of the key space.
+BLOCK_BYTES, PART_BYTES = 1 << 22, 1 << 25
 #: Keys of a text's start and end.
 START, END = 1, 2
 _U = np.uint64
@@ -70,7 +75,7 @@ def token_blocks(docs: DataFrame) -> DataFrame:
     """(block, ids, lengths, training, keys, tokens): word numbers of the texts of a block."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, buf, off in text_blocks(batches, "id", "text"):
+        for ids, buf, off in text_blocks(batches, "id", "text", BLOCK_BYTES):
             low = LOWER[buf]
             start, end, row = words(low, off)
             key = (span_hash(prefix_hash(low), start, end) >> _U(64 - KEY_BITS)) if len(start) else np.zeros(0, _U)
@@ -113,7 +118,7 @@ class Block:
         both = context.astype(np.int64) * len(self.keys) + self.tokens
         local, of_token = np.unique(both, return_inverse=True)
         context, word = local // len(self.keys), local % len(self.keys)
-        key = mix(mix(self.keys[context]) + self.keys[word] * _U(0x9E3779B97F4A7C15)) >> _U(64 - KEY_BITS)
+        key = mix(mix(self.keys[context]) + self.keys[word] * _U(0x9E3779B97F4A7C15)) >> _U(64 - PAIR_BITS)
         order = np.argsort(key, kind="stable")
         self.context, self.word, self.pair_keys = context[order], word[order], key[order]
         place = np.empty(len(order), np.int64)
@@ -124,9 +129,9 @@ class Block:
         return np.bincount(of_token[self.in_training], minlength=size).astype(np.int64)
 
 
-def report_rows(block: int, keys: np.ndarray, values: list[np.ndarray], bits: int) -> pa.RecordBatch:
-    """Sorted keys and their values, a row for each part of the key space."""
-    part = (keys >> _U(KEY_BITS - bits)).astype(np.int64)
+def report_rows(block: int, keys: np.ndarray, values: list[np.ndarray], drop: int) -> pa.RecordBatch:
+    """Sorted keys and their values, a row for each part: the keys without their last ``drop`` bits."""
+    part = (keys >> _U(drop)).astype(np.int64)
     cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
     rows = list(zip(cut[:-1], cut[1:]))
     cols = [pa.array([int(part[i]) for i, _ in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()),
@@ -182,7 +187,9 @@ def uniform(key: np.ndarray, step: int) -> np.ndarray:
 
 
 def seating(count: np.ndarray, fresh: np.ndarray, key: np.ndarray, d: float) -> np.ndarray:
-    """Mean number of tables of ``count`` customers with one dish; ``fresh``: weight of a new table."""
+    """Mean number of tables of ``count`` customers with one dish; ``fresh``: weight of a new table.
+
+    Means are multiples of 1 / SAMPLES, so sums of them are exact."""
     tables = (count > 0).astype(np.float64)
     for c in range(2, RESEATED + 1):
         these = np.flatnonzero(count == c)
@@ -214,7 +221,7 @@ def seating(count: np.ndarray, fresh: np.ndarray, key: np.ndarray, d: float) ->
             group = np.minimum(seated, left - seated)
             t += group * weight / (weight + np.maximum(seated + group / 2 - d * t, 0.0))
             seated += group
-        tables[large] = np.minimum(t, left)
+        tables[large] = np.rint(np.minimum(t, left) * SAMPLES) / SAMPLES
     return tables
 
 
@@ -225,7 +232,11 @@ class Model:
         self.tokens, self.vocabulary = tokens, vocabulary
         self.base = 1.0 / (vocabulary + 1.0)
         self.d = self.d0 = 0.5
-        self.customers = self.tables = 0.0
+        self.power = self.customers = self.tables = 0.0
+
+    def fresh(self, followed: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The sampler's weight of a new table for words of ``counts`` after contexts of ``followed`` customers."""
+        return (STRENGTH + self.d * followed ** GROWTH) * (counts + 0.5) ** GROWTH / max(self.power, 1.0)
 
     def parent(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """Probability of words in the parent restaurant."""
@@ -250,22 +261,24 @@ def language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def count_words(batches):
         for r in rows(batches):
             b = Block(r)
-            yield report_rows(b.name, b.keys, [b.training_counts(b.tokens, len(b.keys))], bits)
+            yield report_rows(b.name, b.keys, [b.training_counts(b.tokens, len(b.keys))], KEY_BITS - bits)
 
     def add_words(keys, first, inverse, values):
         total = np.bincount(inverse, values[0], len(keys)).astype(np.int64)
-        return [total[inverse]], [total.sum(), (total > 0).sum()]
+        return [total[inverse]], [total.sum(), (total > 0).sum(), (total.astype(np.float64) ** GROWTH).sum()]
 
     report = "part long, block long, keys binary, v0 binary"
-    counted = exchange(blocks.mapInArrow(count_words, report), add_words, [np.int64], [np.int64], 2)
-    model = Model(*totals(counted, 2))
+    counted = exchange(blocks.mapInArrow(count_words, report), add_words, [np.int64], [np.int64], 3)
+    tokens, vocabulary, power = totals(counted, 3)
+    model = Model(tokens, vocabulary)
+    model.power = power
     word_counts = gathered(counted, "words", 1)
 
     def count_pairs(batches):
         for r in rows(batches):
             b = Block(r)
             b.pairs()
-            yield report_rows(b.name, b.pair_keys, [b.training_counts(b.pair_of, len(b.pair_keys))], bits)
+            yield report_rows(b.name, b.pair_keys, [b.training_counts(b.pair_of, len(b.pair_keys))], PAIR_BITS - bits)
 
     def add_pairs(keys, first, inverse, values):
         total = np.bincount(inverse, values[0], len(keys)).astype(np.int64)
@@ -285,60 +298,41 @@ def language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out[b.end] = 0.0
         return out
 
-    def seats(b, r, model, d):
-        """Counts of the block's pairs and their mean tables under the last estimate."""
-        counts = read(r["pairs"], 0, np.int64)
-        if r.get("tables") is None:
-            return counts, (counts > 0).astype(np.float64)
-        held, customers, tables = (read(r["tables"], k, np.float64) for k in range(3))
-        fresh = (STRENGTH + d * held[b.context]) * model.parent(customers, tables)[b.word]
-        return counts, seating(counts, fresh, b.pair_keys, d)
-
-    def report_tables(model):
-        def send(batches):
-            for r in rows(batches):
-                b = Block(r)
-                b.pairs()
-                _, t = seats(b, r, model, model.d)
-                own = read(r["pairs"], 1, bool)
-                mine = t * own
-                yield report_rows(b.name, b.keys, [np.bincount(b.context, mine, len(b.keys)),
-                                                   np.bincount(b.word, mine, len(b.keys))], bits)
-        return send
-
-    def add_tables(model):
-        def add(keys, first, inverse, values):
-            held = np.bincount(inverse, values[0], len(keys))
-            customers = np.bincount(inverse, values[1], len(keys))
-            whole = np.rint(customers).astype(np.int64)
-            weight = np.full(len(keys), (STRENGTH + model.d0 * max(1.0, model.vocabulary)) * model.base)
-            tables = seating(whole, weight, keys, model.d0)
-            return ([held[inverse], customers[inverse], tables[inverse]],
-                    [customers.sum(), tables.sum(), (whole == 1).sum(), (whole == 2).sum()])
-        return add
-
-    def estimate(state, before):
-        """The tables of one seating of all pairs, added up by word, and the model that they make."""
-        sent = state.mapInArrow(report_tables(before), report + ", v1 binary")
-        seated = exchange(sent, add_tables(before), [np.float64] * 2, [np.float64] * 3, 4)
-        after = Model(before.tokens, before.vocabulary)
-        after.d = before.d
-        after.customers, after.tables, once, twice = totals(seated, 4)
-        after.d0 = discount(once, twice)
-        return seated, after
-
-    seated, first_model = estimate(known, model)  # one table per pair
-    state = known.join(gathered(seated, "tables", 3), "block")
-    seated, final = estimate(state, first_model)  # the sampled seating
-    state = state.join(gathered(seated, "final", 3), "block")
+    def seats(b, r):
+        """Counts of the block's pairs and their mean tables."""
+        counts, pairs = read(r["words"], 0, np.int64), read(r["pairs"], 0, np.int64)
+        fresh = model.fresh(context_counts(b, counts)[b.context], counts[b.word].astype(np.float64))
+        return pairs, seating(pairs, fresh, b.pair_keys, model.d)
+
+    def report_tables(batches):
+        for r in rows(batches):
+            b = Block(r)
+            b.pairs()
+            _, t = seats(b, r)
+            mine = t * read(r["pairs"], 1, bool)
+            sums = [np.rint(np.bincount(of, mine, len(b.keys)) * SAMPLES).astype(np.int64) for of in (b.context, b.word)]
+            yield report_rows(b.name, b.keys, sums, KEY_BITS - bits)
+
+    def add_tables(keys, first, inverse, values):
+        held, customers = (np.bincount(inverse, v, len(keys)) for v in values)
+        whole = np.rint(customers / SAMPLES).astype(np.int64)
+        tables = seating(whole, (STRENGTH + model.power) * model.base * np.ones(len(keys)), keys, model.d0) * SAMPLES
+        return ([v[inverse].astype(np.int64) for v in (held, customers, tables)],
+                [customers.sum() / SAMPLES, tables.sum() / SAMPLES, (whole == 1).sum(), (whole == 2).sum()])
+
+    seated = exchange(known.mapInArrow(report_tables, report + ", v1 binary"), add_tables, [np.int64] * 2, [np.int64] * 3, 4)
+    final = Model(model.tokens, model.vocabulary)
+    final.customers, final.tables, once, twice = totals(seated, 4)
+    final.d0 = discount(once, twice)
+    state = known.join(gathered(seated, "final", 3), "block")
 
     def score(batches):
         for r in rows(batches):
             b = Block(r)
             b.pairs()
             counts = read(r["words"], 0, np.int64)
-            pair, t = seats(b, r, first_model, model.d)  # the seating whose tables `final` has added up
-            held, customers, tables = (read(r["final"], k, np.float64) for k in range(3))
+            pair, t = seats(b, r)
+            held, customers, tables = (read(r["final"], k, np.int64) / SAMPLES for k in range(3))
             followed = context_counts(b, counts)[b.context]
             below = (STRENGTH + model.d * held[b.context]) * final.parent(customers, tables)[b.word]
             p = (np.maximum(pair - model.d * t, 0.0) + below) / (STRENGTH + followed)
