@@ -57,6 +57,9 @@ DECIMAL_OUTPUTS = {
     "n5_bad_reviews": ["price", "freight_value"], "n5_bad_review_sample": ["price", "freight_value"],
     "g2_payments_per_type": ["value_to_pay"],
     "g3_g4_payments_wide": ["credit_card", "boleto", "voucher", "debit_card", "total_payment_value"],
+    "m13_state_map_bad": ["gross_sales"], "m13_state_map_good": ["gross_sales"],
+    "m3_category_table_script": ["total_gross_sale"],
+    "m17_price_quartile_class_order_grain": ["gross_sales", "min_order", "max_order"],
     "b18_price_bounds": ["min_value", "max_value"],
     "b19_payment_reconciliation": ["order_total_price", "total_payment_value", "diff"],
     "h7_h9_state_money_labels": ["gross_sales"],
@@ -73,6 +76,8 @@ NULLABLE_INT_OUTPUTS = {
     "x1_x6_whatif": ["fotos", "best_min_caracters_desc", "best_max_caracters_desc",
                      "best_sales_min_caracters_desc", "best_sales_max_caracters_desc"],
     "b16_duplicated_review_orders": ["review_score"],
+    "m13_state_map_bad": ["n_orders"], "m13_state_map_good": ["n_orders"],
+    "g11_bad_review_score_counts": ["review_score"],
     "c9_full_outer_wide": ["order_id", "customer_id", "order_item_id", "product_id", "seller_id", "review_id",
                            "review_score", *_LISTING_INTS],
     "n5_bad_reviews": ["review_score", *_LISTING_INTS], "n5_bad_review_sample": ["review_score", *_LISTING_INTS],
@@ -937,6 +942,84 @@ register("g10_seller_frequencies", with_ctes(_freq_sql("f_sellers", ["seller_id"
     lambda spark, d: profile.frequencies(fixtures.sellers(spark, d)))
 
 
+# ---------------------------------------------------------------- further forms of the reference
+
+for _name, _class in (("bad", "baixa"), ("good", "alta")):
+    register(f"m13_state_map_{_name}", with_ctes(
+        "select m.nome, m.geometry, s.Estado, s.n_orders, s.gross_sales, s.prop, s.prop_gross, s.label_prod "
+        "from f_state_map m left join st s on s.nome = m.nome",
+        SCRIPT, extra={"f_state_map": fixtures_sql("f_state_map"), "st": _state_sql(_class)}))(
+        lambda spark, d, c=_class: geo.state_map_metrics(fixtures.state_map(spark, d),
+                                                         geo.state_metrics(focus(spark, d, SCRIPT), c))
+        .select("nome", "geometry", "Estado", "n_orders", "gross_sales", "prop", "prop_gross", "label_prod"))
+
+# the script ranks first and drops a NULL category afterwards
+register("m3_category_table_script", with_ctes(M3_SQL, SCRIPT, extra={"m1": M1_SQL, "top": f"""
+select product_category_name from (
+  select product_category_name, rank() over (order by sum(number_products) desc) as rk from m1 group by 1) t
+where rk <= {SCRIPT.top_n} and product_category_name is not null"""}))(
+    lambda spark, d: category.category_table(category.category_class_summary(selected(spark, d, SCRIPT)),
+                                             SCRIPT.top_n, drop_null_first=False))
+
+register("m17_price_quartile_class_order_grain", with_ctes("""
+select score, review_simple, n_orders, gross_sales, min_order, max_order,
+       n_orders / sum(n_orders) over (partition by score) as prop,
+       cast(gross_sales as double) / sum(gross_sales) over (partition by score) as prop_sales
+from (select score, review_simple, count(*) as n_orders, sum(total_gross_sale) as gross_sales,
+             min(total_gross_sale) as min_order, max(total_gross_sale) as max_order
+      from scored group by 1, 2) t""", SCRIPT, extra={
+    "order_totals": ORDER_TOTALS_SQL,
+    "scored": ntile_sql("total_gross_sale", price.QUARTILES_EN, order=("order_id", "review_simple"),
+                        src="order_totals", out="score")}))(
+    lambda spark, d: price.quartile_class(basket.order_totals(focus(spark, d, SCRIPT)), price.QUARTILES_EN,
+                                          ["order_id", "review_simple"], "total_gross_sale"))
+
+register("g11_bad_review_score_counts", c9_sql("""
+select review_score, count, 100.0 * (cast(count as double) / sum(count) over ()) as percent
+from (select review_score, count(*) as count from c9 where review_score < 4 group by 1) t"""))(
+    lambda spark, d: outer.with_percent(
+        outer.review_score_counts(_tables(spark, d), c9_keys(spark, d)).filter(F.col("review_score") < 4),
+        "review_score"))
+
+register("b16_duplicated_item_orders", with_ctes("""
+select i.order_id, i.order_item_id, c.n
+from f_order_items i join (select order_id, count(*) as n from f_order_items group by 1 having count(*) > 1) c
+  on c.order_id = i.order_id""", views=["f_order_items"], wide=False))(
+    lambda spark, d: profile.duplicated_keys(fixtures.order_items(spark, d), "order_id")
+    .select("order_id", "order_item_id", "n"))
+
+register("w6_ship_dates_per_order_attached", with_ctes("""
+select i.order_id, i.order_item_id, i.shipping_limit_date, s.n_dates
+from f_order_items i join (select order_id, count(distinct shipping_limit_date) as n_dates
+                           from f_order_items group by 1) s on s.order_id = i.order_id""",
+    views=["f_order_items"], wide=False))(
+    lambda spark, d: profile.attach_distinct(fixtures.order_items(spark, d), ["order_id"], "shipping_limit_date",
+                                             "n_dates").select("order_id", "order_item_id", "shipping_limit_date",
+                                                               "n_dates"))
+
+register("w10_state_order_by_median", with_ctes("""
+select customer_state, median, row_number() over (order by median asc nulls last, customer_state asc nulls last)
+         as display_order
+from (select customer_state, quantile_cont(cast(total_price as double), 0.5) as median from focus group by 1) t""",
+    SCRIPT))(
+    lambda spark, d: price.order_index_by_median(focus(spark, d, SCRIPT), "customer_state", "total_price"))
+
+register("g9_numeric_profile_order_totals", with_ctes("""
+select column_name, cast(sum(case when v is null then 1 else 0 end) as bigint) as n_missing,
+       cast(count(v) as double) / cast(count(*) as double) as complete_rate,
+       cast(sum(v) as double) / cast(count(v) as double) as mean, stddev_samp(cast(v as double)) as sd,
+       quantile_cont(cast(v as double), 0.0) as p0, quantile_cont(cast(v as double), 0.25) as p25,
+       quantile_cont(cast(v as double), 0.5) as p50, quantile_cont(cast(v as double), 0.75) as p75,
+       quantile_cont(cast(v as double), 1.0) as p100
+from (select 'total_gross_sale' as column_name, cast(total_gross_sale as decimal(38,6)) as v from order_totals
+      union all select 'number_products', cast(number_products as decimal(38,6)) from order_totals) l
+group by 1""", SCRIPT, extra={"order_totals": ORDER_TOTALS_SQL}), {"sd": 6})(
+    lambda spark, d: profile.numeric_profile(
+        basket.order_totals(focus(spark, d, SCRIPT)).select(
+            F.col("total_gross_sale").cast("decimal(18,2)").alias("total_gross_sale"), "number_products"),
+        ["total_gross_sale", "number_products"]))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q.run for name, q in REGISTRY.items()}
 
