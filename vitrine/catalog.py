@@ -764,19 +764,29 @@ register("n4_top_words", c9_sql("select * from wc order by count desc, word asc
     lambda spark, d: text.top_words(_word_counts(spark, d), 100))
 
 
+# the stand-in orders have one time only, so three of the extract's dates do not exist here
+N5_COLUMNS = [c for c in text.BAD_REVIEW_COLUMNS if c in C9_COLUMNS + ["review_comment_message"]]
+N5_KEYS = ["order_id", "order_item_id", "review_id", "payment_type", "payment_value"]
+N5_MESSAGES = {"f_messages": "select doc_id as review_id, text as review_comment_message from documents"}
+
+
 def _c9_with_messages(spark, d) -> DataFrame:
-    return c9(spark, d).join(fixtures.bad_messages(spark, d), "review_id", "left")
+    return c9(spark, d).join(fixtures.messages(spark, d), "review_id", "left")
 
 
 register("n5_bad_reviews", c9_sql(
-    "select " + ", ".join(c for c in text.BAD_REVIEW_COLUMNS if c in C9_COLUMNS + ["review_comment_message"])
-    + " from c9 left join f_bad_messages using (review_id) where review_score < 4",
-    extra={"f_bad_messages": fixtures_sql("f_bad_messages")}))(
-    lambda spark, d: text.bad_reviews(_c9_with_messages(spark, d)))
-
-# random sample: rows-only check
-register("n5_bad_review_sample", None)(
-    lambda spark, d: text.complete_sample(text.bad_reviews(_c9_with_messages(spark, d)), 250))
+    "select " + ", ".join(N5_COLUMNS) + " from c9 left join f_messages using (review_id) where review_score < 4",
+    extra=N5_MESSAGES))(
+    lambda spark, d: text.bad_reviews(_c9_with_messages(spark, d), columns=N5_COLUMNS))
+
+register("n5_bad_review_sample", c9_sql(
+    "select " + ", ".join(N5_COLUMNS) + " from c9 left join f_messages using (review_id) where review_score < 4 and "
+    + " and ".join(f"{c} is not null" for c in N5_COLUMNS)
+    + f" order by md5(concat_ws('|', '42', {', '.join(N5_KEYS)})), {', '.join(N5_COLUMNS)} limit 250",
+    extra=N5_MESSAGES))(
+    lambda spark, d: text.complete_sample(
+        text.bad_reviews(_c9_with_messages(spark, d), columns=list(dict.fromkeys(N5_COLUMNS + N5_KEYS)))
+        .select(*N5_COLUMNS, *[F.col(k).alias(f"_key_{k}") for k in N5_KEYS]), [f"_key_{k}" for k in N5_KEYS]))
 
 
 # ---------------------------------------------------------------- G2-G4, W1 building blocks

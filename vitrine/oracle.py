@@ -50,8 +50,6 @@ select s_suppkey as seller_id, n_name as seller_state from supplier join nation
 select n_name as Sigla, lower(n_name) as Estado, r_name as Region from nation join region on n_regionkey = r_regionkey""",
     "f_state_map": """
 select n_name as nome, concat('POINT(', cast(n_nationkey as varchar(10)), ' 0)') as geometry from nation""",
-    "f_bad_messages": """
-select d.doc_id as review_id, d.text as review_comment_message from documents d join labels l on d.doc_id = l.doc_id where l.quality = 0""",
     "f_scenarios": """
 select * from (values (1, 3, 1000, 2.5), (2, 1, 100, 10.0), (3, 6, 500, 10.0), (4, 7, 3099, 1.0), (5, cast(null as int), 700, 1.0))
   as t(scenario_id, fotos, caracteres, frete)""",

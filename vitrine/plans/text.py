@@ -78,15 +78,22 @@ BAD_REVIEW_COLUMNS = [
 
 
 def bad_reviews(wide_outer: DataFrame, threshold: int = 4, columns=None) -> DataFrame:
-    """B14 + B11: rows with review_score < threshold, extract columns that exist."""
-    cols = [c for c in (columns or BAD_REVIEW_COLUMNS) if c in wide_outer.columns]
+    """B14 + B11: rows with review_score < threshold, the extract's columns (all of them must exist)."""
+    cols = list(columns or BAD_REVIEW_COLUMNS)
+    missing = [c for c in cols if c not in wide_outer.columns]
+    if missing:
+        raise ValueError(f"the extract needs columns that the table has not: {missing}")
     return wide_outer.filter(F.col("review_score") < threshold).select(*cols)
 
 
-def complete_sample(df: DataFrame, n: int = 250, seed: int = 42) -> DataFrame:
-    """B13 + F5: complete rows only, then an exact-size random sample (top-k by a
-    seeded random key: each task keeps its own k, no global sort)."""
-    return df.na.drop("any").withColumn("_r", F.rand(seed)).orderBy("_r").limit(n).drop("_r")
+def complete_sample(df: DataFrame, keys, n: int = 250, seed: str = "42") -> DataFrame:
+    """B13 + F5: rows complete outside ``keys``, then ``n`` of them by a hash of the seed and the keys.
+
+    The hash depends on the row alone, so any partitioning draws the same sample; each
+    task keeps its own n (top-k, no global sort).  ``keys`` are dropped afterwards."""
+    cols = [c for c in df.columns if c not in keys]
+    drawn = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
+    return df.na.drop("any", subset=cols).withColumn("_r", drawn).orderBy("_r", *cols).limit(n).select(*cols)
 
 
 def write_semicolon_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -135,13 +135,6 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                     F.col("text").alias("review_comment_message"))
 
 
-def bad_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    lab = _read(spark, sf_dir, "labels").select("doc_id", "quality")
-    return (d.join(lab.filter(F.col("quality") == 0), "doc_id")
-            .select(F.col("doc_id").alias("review_id"), F.col("text").alias("review_comment_message")))
-
-
 # The what-if scenario table of FIXTURES.md §2
 # (scenario_id, fotos, caracteres, frete).
 SCENARIOS = [(1, 3, 1000, 2.5), (2, 1, 100, 10.0), (3, 6, 500, 10.0), (4, 7, 3099, 1.0), (5, None, 700, 1.0)]
