@@ -5,7 +5,8 @@ shingles, two sets that meet the threshold share at least k shingles within
 their first ``n - ceil(t n) + k``: their prefixes (k grows with the size, so a
 phrase shared by chance leads nowhere).  Documents of equal size and prefix form
 one group; only group leaders are matched by shared prefix shingles, pairs of
-groups are filtered by size and by k, and the rest is expanded to the distinct
+groups are filtered by size and by the place of a shared shingle (the sets must have
+room for the overlap from there on), and the rest is expanded to the distinct
 sets of the groups and verified on whole sets.
 
 The order puts shingles that many documents hold last.  What is common is told
@@ -151,19 +152,20 @@ def signatures(docs: DataFrame, level) -> DataFrame:
 
 
 def prefix_tokens(docs: DataFrame, level, leaders: DataFrame) -> DataFrame:
-    """(token, gid): the prefix shingles of the leaders (and of a few ids that the filter lets through)."""
+    """(token, gid, pos): prefix shingles of the leaders (and of a few ids that the filter lets through), and their place."""
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(leaders.select(F.col("gid").alias("id"))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, buf, off in text_blocks(filtered(batches, bits.value), "id", "text"):
             h, at = sets(buf, off, level.value)
             n = np.diff(at)
-            inside = np.arange(len(h)) - np.repeat(at[:-1], n) < np.repeat(prefix_length(n), n)
+            place = np.arange(len(h)) - np.repeat(at[:-1], n)
+            inside = place < np.repeat(prefix_length(n), n)
             owner = np.repeat(ids.to_numpy(zero_copy_only=False), prefix_length(n))
-            yield pa.RecordBatch.from_arrays([pa.array(h[inside].view(np.int64)), pa.array(owner, pa.int64())],
-                                             ["token", "gid"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[inside].view(np.int64)), pa.array(owner, pa.int64()),
+                                              pa.array(place[inside].astype(np.int32))], ["token", "gid", "pos"])
 
-    return docs.withColumn("h", filter_place()).mapInArrow(cut, "token long, gid long")
+    return docs.withColumn("h", filter_place()).mapInArrow(cut, "token long, gid long, pos int")
 
 
 def filter_place():
@@ -245,7 +247,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     leaders = members.filter("id = gid").select("gid", "n")
     tokens = prefix_tokens(docs, level, leaders).repartition("token")
     twice = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("length")).filter("length > 1").select("token")
-    listed = materialize(tokens.join(twice, "token").distinct(), "listed")
+    listed = materialize(tokens.join(twice, "token").groupBy("token", "gid").agg(F.min("pos").alias("pos")), "listed")
     enough = (listed.groupBy("gid").agg(F.count(F.lit(1)).alias("lists")).join(leaders, "gid")
               .filter(F.col("lists") >= least_shared(F.col("n") * percent / 100)).select("gid", "n"))
     shared = materialize(listed.join(enough, "gid"), "shared")
@@ -283,21 +285,20 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     part = members.join(labels, "id", "left").select("id", "gid", "n", F.coalesce("component", "id").alias("component"))
     part = materialize(part.join(wanted, "id", "left_semi"), "parts")
     places = part.select("gid", "n", "component").distinct()
-    rows_on = shared.select("token", "gid").join(places, "gid")
+    rows_on = shared.select("token", "gid", "pos").join(places, "gid")
     split = (rows_on.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .filter("low <> high").select("token"))
     rows_on = materialize(rows_on.join(split, "token", "left_semi"), "split")
     x, y = rows_on.alias("x"), rows_on.alias("y")
     ends = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("gid", "component")]
-    smaller = F.least("x.n", "y.n")
-    across = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component"))
-                     & fits(F.col("x.n"), F.col("y.n")))
-              .groupBy(*ends, smaller.alias("smaller")).agg(F.count(F.lit(1)).alias("lists"))
-              .filter(F.col("lists") >= least_shared(F.col("smaller"))))
+    # the first shingle that two sets share leaves room for the overlap that the threshold asks for
+    room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component"))
+                    & fits(F.col("x.n"), F.col("y.n"))
+                    & ((100 + percent) * room >= percent * (F.col("x.n") + F.col("y.n"))))
     x, y = places.alias("x"), places.alias("y")
     inside = x.join(y, (F.col("x.gid") == F.col("y.gid")) & (F.col("x.component") < F.col("y.component")))
-    names = [f"{c}_{s}" for s in "xy" for c in ("gid", "component")]
-    blocks = across.select(*names).unionByName(inside.select(*ends)).distinct()
+    blocks = across.select(*ends).unionByName(inside.select(*ends)).distinct()
     px = part.select(F.col("gid").alias("gid_x"), F.col("component").alias("component_x"), F.col("id").alias("ix"))
     py = part.select(F.col("gid").alias("gid_y"), F.col("component").alias("component_y"), F.col("id").alias("iy"))
     pairs = (blocks.join(px, ["gid_x", "component_x"]).join(py, ["gid_y", "component_y"])

@@ -12,6 +12,7 @@ from vitrine.llm.packing import op5_best_fit_packing
 from vitrine.llm.secrets import op7_secret_scan
 from vitrine.llm.suffix_dedup import op3_suffix_array_dedup
 from vitrine.llm.toxicity import op8_toxicity
+from vitrine.llm.workers import importable
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_license_scan": op10_license_scan,
 }
+QUERIES = {name: importable(query) for name, query in QUERIES.items()}
 SQL = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op2_embedding_near_dedup": OP2_SQL,
