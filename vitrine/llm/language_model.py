@@ -48,7 +48,7 @@ from vitrine.operators.lineage import materialize
 KEY_BITS, PAIR_BITS = 56, 48
 #: Concentrations of both levels; discounts are estimated from the counts of counts.
 STRENGTH = 1.0
-BURN_IN, SAMPLES, RESEATED = 2, 4, 16
+BURN_IN, SAMPLES, RESEATED = 1, 4, 16
 #: Tables grow as customers to this power, in the sampler's weights.
 GROWTH = 0.75
 #: Text of a block, and of a part of the key space.
