@@ -34,7 +34,7 @@ from vitrine.llm.textops import LOWER, crc_mod5, prefix_hash, span_hash, text_bl
 from vitrine.operators.lineage import materialize
 
 #: Labelled texts and words that the classifier is fitted on, and landmarks.
-SAMPLE_DOCS, TRAIN_WORDS, LANDMARKS = 20000, 6000, 240
+SAMPLE_DOCS, TRAIN_WORDS, LANDMARKS = 20000, 4000, 240
 DECAY = 0.6
 #: Times that look-alikes from other texts (a quarter of TRAIN_WORDS each) are added and the fit repeated.
 HARD_ROUNDS = 2
