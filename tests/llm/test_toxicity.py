@@ -90,3 +90,28 @@ def test_without_labels_of_both_kinds(spark, table):
         model = fit(table([(1, "a b"), (3, "c")]), labels)
         assert [r["score"] < 0.01 for r in toxicity(table([(1, "a b")]), model).collect()] == [True]
     assert toxicity(table([]), model).count() == 0
+
+
+def test_weak_words_add_up(spark, table):
+    """Words with the stem are in most texts; only many of them make a text toxic."""
+    rnd = random.Random(5)
+    parts = ["ta", "re", "mi", "son", "lu", "pe", "dor", "é", "ê"]
+    docs, labels = [], []
+    for key in range(900):
+        toxic = rnd.random() < 0.25
+        text = ["".join(rnd.choices(parts, k=rnd.randint(2, 4))) for _ in range(40)]
+        for k in range(rnd.randint(7, 10) if toxic else rnd.choice([0, 1, 1])):
+            text[4 * k] = "zlorx" + "".join(rnd.choices(parts, k=2))
+        docs.append((key, " ".join(text)))
+        labels.append((key, int(toxic)))
+    model = fit(table(docs), spark.createDataFrame(labels, "doc_id long, toxic int"), sample_docs=2000, train_words=400)
+    held = [r for r in toxicity(table(docs), model).collect() if r["held_out"]]
+    assert sum(r["predicted"] == dict(labels)[r["doc_id"]] for r in held) >= 0.95 * len(held)
+
+
+def test_letters_beyond_ascii_are_told_apart():
+    def cells(word):
+        return {int(c): round(float(v), 12) for c, v in zip(*vector(word)) if v}
+
+    assert len({frozenset(cells(w).items()) for w in ("résu", "rêsu", "rüsu", "rжsu", "r語su", "r😀su")}) == 6
+    assert cells("RÉSU") == cells("résu") and cells("ЖУК") == cells("жук")

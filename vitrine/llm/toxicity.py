@@ -6,11 +6,17 @@ do not end it.  Training words come from labelled texts; Nystrom landmarks span
 the feature space, and a weighted hinge loss is fitted in it.  The fitted
 function is linear in subsequence weights, so it folds into one table over
 character triples (its size depends on the alphabet only) and scoring a word
-needs no landmark any more; the values are the same.  A text's score is that of
-its strongest word, calibrated on the labelled sample.
+needs no landmark any more; the values are the same.  A second support vector
+machine judges whole labelled texts: by the values of all their words (how many
+and what share lie above each of ``LEVELS``, the mean, the strongest), so weak
+words add up.  Its margin is calibrated on the labelled sample.
 
-Fitting uses at most ``SAMPLE_DOCS`` labelled texts and ``TRAIN_WORDS`` words:
-documented bounds of the classifier.  Scoring reads every word of every text.
+Letters beyond ASCII are told apart by their code point, in lower case; triples
+with such a letter share ``WIDE`` cells by a hash.
+
+Fitting uses at most ``SAMPLE_DOCS`` labelled texts and, besides the words added
+in ``HARD_ROUNDS``, 3/2 of ``TRAIN_WORDS`` words: documented bounds of the
+classifier.  Scoring reads every word of every text.
 
 Defined cases: null and empty texts have no words and get the calibrated score
 of an unmarked text; labels that are null, or that contradict each other for an
@@ -30,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.textops import LOWER, crc_mod5, prefix_hash, span_hash, text_blocks, words
+from vitrine.llm.textops import crc_mod5, mix, powers, span_hash, text_blocks, words
 from vitrine.operators.lineage import materialize
 
 #: Labelled texts and words that the classifier is fitted on, and landmarks.
-SAMPLE_DOCS, TRAIN_WORDS, LANDMARKS = 20000, 4000, 240
+SAMPLE_DOCS, TRAIN_WORDS, LANDMARKS = 20000, 4000, 800
 DECAY = 0.6
 #: Times that look-alikes from other texts (a quarter of TRAIN_WORDS each) are added and the fit repeated.
 HARD_ROUNDS = 2
@@ -43,13 +49,25 @@ KNOWN = 2_000_000
 #: A longer word is read as overlapping pieces of this length.
 PIECE = 24
 
-# characters: word edge 0, a-z 1..26, digits 27, other ASCII 28, bytes beyond ASCII 29
-_CLASS = np.full(256, 28, np.int32)
+#: Word parts (five characters, the word's start is one) that toxic texts favour; words with one train the classifier.
+PART, PARTS = 5, 200
+#: A text's words are counted above each of these values.
+LEVELS = np.arange(-9, 9) / 10
+
+# characters: word edge 0, a-z 1..26, digits 27, other ASCII 28, and code points beyond ASCII themselves
+_CLASS = np.arange(0x110000, dtype=np.int32)
+_CLASS[:128] = 28
 _CLASS[48:58] = 27
 _CLASS[97:123] = np.arange(1, 27, dtype=np.int32)
-_CLASS[128:] = 29
 ALPHABET = 30
-CELLS = ALPHABET ** 3
+WIDE = 1 << 16
+CELLS = ALPHABET ** 3 + WIDE
+_FOLD = np.arange(0x110000, dtype=np.int32)  # lower case of every code point that has one of its own
+for _c in range(0x1F000):
+    _low = chr(_c).lower()
+    if len(_low) == 1:
+        _FOLD[_c] = ord(_low)
+_U = np.uint64
 
 _triples: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _WEIGHT = DECAY ** np.arange(32.0)
@@ -67,7 +85,14 @@ def features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cell and weight of each subsequence for words of one length, each word's weights of norm one."""
     codes = np.pad(codes, ((0, 0), (1, 1)))  # both edges of the word are characters too
     at, span = triples(codes.shape[1])
-    cell = (codes[:, at[:, 0]] * ALPHABET + codes[:, at[:, 1]]) * ALPHABET + codes[:, at[:, 2]]
+    a, b, c = (codes[:, at[:, k]] for k in range(3))
+    cell = (a * ALPHABET + b) * ALPHABET + c
+    wide = np.flatnonzero((codes >= ALPHABET).any(axis=1))
+    if len(wide):
+        a, b, c = a[wide].astype(np.int64), b[wide].astype(np.int64), c[wide].astype(np.int64)
+        hashed = mix(((a << 42) | (b << 21) | c).view(_U)) % _U(WIDE)
+        beyond = (a >= ALPHABET) | (b >= ALPHABET) | (c >= ALPHABET)
+        cell[wide] = np.where(beyond, ALPHABET ** 3 + hashed.astype(np.int64), cell[wide])
     cell = np.sort(cell << 5 | span, axis=1)  # a cell and its span in one number
     value = _WEIGHT[cell & 31]
     cell = cell >> 5
@@ -95,11 +120,30 @@ def word_pieces(buf: np.ndarray, start: np.ndarray, end: np.ndarray):
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def spelled(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case bytes in which runs of single letters ("i d i o t") are one word."""
-    low = LOWER[buf]
-    start, end, row = words(low, off)
-    one = (end - start == 1) & (_CLASS[low[start]] < 27)
+def letters(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case code points of UTF-8 texts, and the offsets of the texts in them."""
+    if not (buf > 127).any():
+        return _FOLD[buf], off
+    first = (buf & 0xC0) != 0x80
+    at = np.flatnonzero(first)
+    code = buf[at].astype(np.int32)
+    size = 1 + (code >= 0xC0) + (code >= 0xE0) + (code >= 0xF0)
+    code = np.where(size > 1, code & (0x7F >> size), code)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        code[more] = code[more] << 6 | (buf[np.minimum(at[more] + k, len(buf) - 1)] & 0x3F)
+    return _FOLD[np.minimum(code, 0x10FFFF)], np.concatenate([[0], np.cumsum(first)])[off]
+
+
+def narrow(low: np.ndarray) -> np.ndarray:
+    """A byte for each code point, for what looks at ASCII only."""
+    return np.minimum(low, 128).astype(np.uint8)
+
+
+def spelled(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points in which runs of single letters ("i d i o t") are one word."""
+    start, end, row = words(narrow(low), off)
+    one = (end - start == 1) & ((_CLASS[low[start]] < 27) | (low[start] > 191) & (low[start] < 0x250))
     joined = one[1:] & one[:-1] & (row[1:] == row[:-1]) & (start[1:] == end[:-1] + 1)
     if not joined.any():
         return low, off
@@ -108,14 +152,23 @@ def spelled(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[keep], np.concatenate([[0], np.cumsum(keep)])[off]
 
 
+def letter_hash(low: np.ndarray) -> np.ndarray:
+    """``textops.prefix_hash`` of code points."""
+    out = np.zeros(len(low) + 1, _U)
+    np.cumsum((mix(low.astype(_U) + _U(1)) | _U(1)) * powers(len(low) + 1)[0][:-1], out=out[1:])
+    return out
+
+
 @dataclass
 class SubsequenceSvm:
-    """Fitted function: a weight for each character triple, and the calibration of a text's score."""
+    """Fitted function: a weight for each character triple, weights of a text's pooled words, and the calibration."""
 
     table: np.ndarray
     bias: float
     slope: float = 1.0
     shift: float = 0.0
+    #: Weights of ``pooled`` and a constant.
+    pool: np.ndarray | None = None
     #: Hashes and values of the pieces that a worker has scored last, at most KNOWN.
     known: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -123,19 +176,45 @@ class SubsequenceSvm:
         cell, value = features(codes)
         return (self.table[cell] * value).sum(axis=1) + self.bias
 
-    def margins(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def values(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and value of every word; a word's value is that of its strongest piece."""
+        low, off = spelled(*letters(buf, off))
+        start, end, row = words(narrow(low), off)
+        if not len(start):
+            return row, np.zeros(0)
+        word, at, stop = word_pieces(low, start, end)
+        name, first, back = np.unique(span_hash(letter_hash(low), at, stop), return_index=True, return_inverse=True)
+        value = self.pieces(_CLASS[low], name, at[first], (stop - at)[first])[back]
+        if len(word) == len(start):
+            return row, value
+        out = np.full(len(start), -np.inf)
+        np.maximum.at(out, word, value)
+        return row, out
+
+    def strongest(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """The strongest word of every text; -inf without words."""
         out = np.full(len(off) - 1, -np.inf)
-        buf, off = spelled(buf, off)
-        start, end, row = words(buf, off)
-        if not len(start):
-            return out
-        word, at, stop = word_pieces(buf, start, end)
-        prefix = prefix_hash(buf)
-        name, first, back = np.unique(span_hash(prefix, at, stop), return_index=True, return_inverse=True)
-        np.maximum.at(out, row[word], self.pieces(_CLASS[buf], name, at[first], (stop - at)[first])[back])
+        np.maximum.at(out, *self.values(buf, off))
         return out
 
+    def pooled(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """A row for every text: all its words' values by count and share above each level, mean and maximum."""
+        rows = len(off) - 1
+        row, value = self.values(buf, off)
+        value = np.clip(value, -2.0, 2.0)
+        n = np.maximum(np.bincount(row, minlength=rows), 1)
+        top = np.full(rows, -2.0)
+        np.maximum.at(top, row, value)
+        above = np.stack([np.bincount(row[value > t], minlength=rows) for t in LEVELS], 1)
+        mean = (np.bincount(row, value + 1.0, minlength=rows) / n)[:, None]
+        return np.hstack([np.log1p(above), np.sqrt(above / n[:, None]), mean, top[:, None]])
+
+    def margins(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Value of every text."""
+        if self.pool is None:
+            return self.strongest(buf, off)
+        return self.pooled(buf, off) @ self.pool[:-1] + self.pool[-1]
+
     def pieces(self, code: np.ndarray, name: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Value of each piece (hash, start, length); pieces scored before are looked up."""
         value = np.full(len(at), self.bias)
@@ -165,13 +244,29 @@ class SubsequenceSvm:
 
 def vector(word: str) -> tuple[np.ndarray, np.ndarray]:
     """Cells and weights of one word (used in fitting only)."""
-    raw = LOWER[np.frombuffer(word.encode()[:PIECE], np.uint8)]
-    cell, value = features(_CLASS[raw][None, :])
+    raw = np.frombuffer(word.encode(), np.uint8)
+    low, _ = letters(raw, np.array([0, len(raw)]))
+    cell, value = features(_CLASS[low[:PIECE]][None, :])
     return cell[0], value[0]
 
 
-def fit_words(train: list[tuple[str, float, float]], landmarks: int = LANDMARKS, cost: float = 1.0,
-              rounds: int = 60) -> SubsequenceSvm:
+def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, lam: float, rounds: int = 60) -> np.ndarray:
+    """Weights and constant by Newton steps on the active set: deterministic, a few small solves."""
+    xb = np.hstack([x, np.ones((len(x), 1))])
+    beta = np.zeros(xb.shape[1])
+    for _ in range(rounds):
+        active = y * (xb @ beta) < 1
+        a, w = xb[active], weight[active]
+        penal = lam * np.eye(len(beta))
+        penal[-1, -1] = 1e-9
+        new = np.linalg.solve((a * w[:, None]).T @ a + penal, (a * w[:, None]).T @ y[active])
+        if np.allclose(new, beta, atol=1e-9):
+            break
+        beta = new
+    return beta
+
+
+def fit_words(train: list[tuple[str, float, float]], landmarks: int = LANDMARKS, cost: float = 1.0) -> SubsequenceSvm:
     """Weighted hinge loss over words (word, weight toxic, weight other) in the Nystrom space."""
     train = sorted(train, key=lambda t: (-(t[1] + 1) / (t[2] + 1), t[0]))
     m = min(landmarks, len(train))
@@ -179,33 +274,35 @@ def fit_words(train: list[tuple[str, float, float]], landmarks: int = LANDMARKS,
     head = train[:m // 2]
     rest = train[m // 2:]
     marks = head + rest[::max(1, len(rest) // max(1, m - len(head)))][:m - len(head)]
-    base = np.zeros((len(marks), CELLS))
+    sparse = [vector(t[0]) for t in train]
+    of = {t[0]: v for t, v in zip(train, sparse)}
+    used = np.unique(np.concatenate([of[w][0] for w, _, _ in marks]))  # other cells meet no landmark
+    place = np.full(CELLS, len(used))
+    place[used] = np.arange(len(used))
+    base = np.zeros((len(marks), len(used) + 1))
     for k, (w, _, _) in enumerate(marks):
-        np.add.at(base[k], *vector(w))
+        np.add.at(base[k], place[of[w][0]], of[w][1])
     gram = base @ base.T
     value, axes = np.linalg.eigh(gram)
     good = value > 1e-6 * max(value[-1], 1e-12)
     whiten = axes[:, good] / np.sqrt(value[good])
-    x = np.stack([base[:, cell] @ value for cell, value in (vector(t[0]) for t in train)]) @ whiten  # Nystrom features
+    by_cell = np.ascontiguousarray(base.T)
+    x = np.stack([value @ by_cell[place[cell]] for cell, value in sparse]) @ whiten  # Nystrom features
     pos, neg = np.array([t[1] for t in train]), np.array([t[2] for t in train])
     weight = np.sqrt(np.concatenate([pos, neg]))
     xs, ys = np.concatenate([x, x]), np.concatenate([np.ones(len(x)), -np.ones(len(x))])
     keep = weight > 0
-    xs, ys, weight = xs[keep], ys[keep], weight[keep] / weight.sum()
-    xb = np.hstack([xs, np.ones((len(xs), 1))])
-    beta = np.zeros(xb.shape[1])
-    lam = 1e-5 / cost
-    # squared hinge by Newton steps on the active set: deterministic, a few small solves
-    for _ in range(rounds):
-        active = ys * (xb @ beta) < 1
-        a, w = xb[active], weight[active]
-        penal = lam * np.eye(len(beta))
-        penal[-1, -1] = 1e-9
-        new = np.linalg.solve((a * w[:, None]).T @ a + penal, (a * w[:, None]).T @ ys[active])
-        if np.allclose(new, beta, atol=1e-9):
-            break
-        beta = new
-    return SubsequenceSvm(base.T @ (whiten @ beta[:-1]), float(beta[-1]))
+    beta = squared_hinge(xs[keep], ys[keep], weight[keep] / weight.sum(), 1e-5 / cost)
+    table = np.zeros(CELLS)
+    table[used] = (base.T @ (whiten @ beta[:-1]))[:-1]
+    return SubsequenceSvm(table, float(beta[-1]))
+
+
+def fit_texts(model: SubsequenceSvm, pooled: np.ndarray, label: np.ndarray) -> None:
+    """Hinge loss over the pooled words of labelled texts."""
+    middle, scale = pooled.mean(axis=0), np.maximum(pooled.std(axis=0), 1e-3)
+    beta = squared_hinge((pooled - middle) / scale, 2.0 * label - 1.0, np.full(len(label), 1.0 / len(label)), 1e-4)
+    model.pool = np.append(beta[:-1] / scale, beta[-1] - (beta[:-1] / scale) @ middle)
 
 
 def calibrate(model: SubsequenceSvm, margin: np.ndarray, label: np.ndarray) -> None:
@@ -241,8 +338,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not sizes.get(1) or len(sizes) < 2:
         rate = 1.0 if sizes.get(1) else 0.0
         return SubsequenceSvm(np.zeros(CELLS), 0.0, 0.0, 40.0 if rate else -40.0)
-    parts = F.array_distinct(F.split(F.lower("text"), "[\\x20\\x09-\\x0D]+"))
-    stats = (sample.select("toxic", F.explode(parts).alias("word")).filter("length(word) between 3 and 40")
+    listed = F.array_distinct(F.split(F.lower("text"), "[\\x20\\x09-\\x0D]+"))
+    stats = (sample.select("toxic", F.explode(listed).alias("word")).filter("length(word) between 3 and 40")
              .groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
              )
     stats = materialize(stats, "wordstats")
@@ -250,6 +347,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = (stats.filter("pos + neg >= 5").orderBy(lean.desc(), "word").limit(train_words // 4)
               .unionByName(stats.orderBy((F.col("pos") + F.col("neg")).desc(), "word").limit(train_words // 4))
               .unionByName(stats.orderBy(F.xxhash64("word"), "word").limit(train_words // 2)).distinct())
+    edged = F.concat(F.lit("^"), "word")
+    inside = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(edged) - PART + 1, F.lit(1))),
+                                          lambda i: F.substr(edged, i, F.lit(PART))))
+    parted = stats.filter(F.length("word") >= PART - 1).select("word", "pos", "neg", F.explode(inside).alias("part"))
+    favoured = (parted.groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("pos >= 5")
+                .orderBy((F.log((F.col("pos") + 1.0) / (F.col("neg") + 1.0) * (sizes[0] / sizes[1]))
+                          * F.sqrt(F.col("pos") + 0.0)).desc(), "part").limit(PARTS).select("part"))
+    picked = picked.unionByName(parted.join(F.broadcast(favoured), "part", "left_semi").select("word", "pos", "neg").distinct()
+                                .orderBy(F.xxhash64("word"), "word").limit(train_words // 2)).distinct()
     train = {r["word"]: (r["word"], float(r["pos"]), float(r["neg"])) for r in picked.collect()}
     model = fit_words(list(train.values()))
     for _ in range(HARD_ROUNDS):  # words of other texts that the model takes for toxic ones join the training words
@@ -258,11 +364,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for r in alike.orderBy(F.desc("margin"), "word").limit(train_words // 4).collect():
             train[r["word"]] = (r["word"], float(r["pos"]), float(r["neg"]))
         model = fit_words(list(train.values()))
-    rows = margins(sample, model, "id", "text", keep=("toxic",)).toPandas()
-    calibrate(model, rows["margin"].to_numpy(), rows["toxic"].to_numpy(dtype=float))
+    rows = pooled_rows(sample.select("id", "text", "toxic"), model).orderBy("id").toPandas()
+    label, pooled = rows["toxic"].to_numpy(dtype=float), np.stack(rows["pooled"].to_numpy())
+    fit_texts(model, pooled, label)
+    calibrate(model, pooled @ model.pool[:-1] + model.pool[-1], label)
     return model
 
 
+def pooled_rows(rows: DataFrame, model: SubsequenceSvm) -> DataFrame:
+    """(id, toxic, pooled) of every row."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [shared.value.pooled(buf, off) for _, buf, off in text_blocks([batch], "id", "text")]
+            value = np.concatenate(parts) if parts else np.zeros((0, 2 * len(LEVELS) + 2))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(list(value), pa.list_(pa.float64()))],
+                                             ["id", "toxic", "pooled"])
+
+    return rows.select(F.col("id").cast("long").alias("id"), "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(
+        pool, "id long, toxic int, pooled array<double>")
+
+
 def margins(df: DataFrame, model: SubsequenceSvm, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, margin, kept columns) of every row."""
     shared = df.sparkSession.sparkContext.broadcast(model)
