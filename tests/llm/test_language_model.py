@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 import brute
-from vitrine.llm.language_model import language_model, seating, spread, squeeze
+from vitrine.llm.language_model import EXACT, arrangements, language_model, many_tables, seating, spread, squeeze
 
 
 def corpus(n=120, seed=1):
@@ -64,6 +64,25 @@ def test_gibbs_frequencies_of_two_customers():
     assert abs((t.mean() - 1) - 0.8 / (0.8 + 0.5)) < 0.02
 
 
+def test_frequent_dishes_are_sampled():
+    """The tables of many customers vary, around the mean of the distribution by arrangements."""
+    key = np.arange(20_000).astype(np.uint64)
+    for n, f in ((40, 0.8), (EXACT, 0.05), (EXACT, 20.0)):
+        t = np.arange(1, n + 1)
+        p = np.exp(t * np.log(f) + arrangements(0.6)[n, 1:n + 1] - arrangements(0.6)[n, 1])
+        p /= p.sum()
+        mean, variance = (p * t).sum(), (p * t * t).sum() - (p * t).sum() ** 2
+        got = seating(np.full(len(key), n), np.full(len(key), f), key, 0.6)
+        assert abs(got.mean() - mean) < 5 * (variance / len(key)) ** 0.5 and abs(got.var() - variance) < 0.1 * variance
+        m, v = many_tables(np.array([float(n)]), np.array([f]), 0.6)
+        if n == EXACT:
+            assert abs(1 + m[0] - mean) < 0.1 * mean and abs(v[0] - variance) < 0.2 * variance
+    for f in (0.01, 1.0, 300.0):
+        got = seating(np.full(len(key), 100_000), np.full(len(key), f), key, 0.6)
+        m, v = many_tables(np.array([1e5]), np.array([f]), 0.6)
+        assert abs(got.mean() - 1 - m[0]) < 5 * (v[0] / len(key)) ** 0.5 and 0.8 * v[0] < got.var() < 1.2 * v[0]
+
+
 def test_empty_and_no_training(table):
     assert language_model(table([])).count() == 0
     key = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1)

@@ -2,9 +2,10 @@
 
 Every word is a restaurant for the words that follow it; all share one parent,
 the restaurant of single words, whose base is uniform.  Tables of a context are
-customers of the parent.  Seating is sampled by Gibbs: customers leave and sit
-down again given an estimate of their context's tables and of the parent's
-probability, and the predictive probability uses the mean over the samples.
+customers of the parent.  The tables of every dish are drawn from the
+distribution that Gibbs sampling of its customers ends in, given an estimate of
+their context's tables and of the parent's probability; the predictive
+probability uses the mean over the samples.
 
 Counts are gathered from all training texts in exchanges between blocks of
 texts and parts of the key space: a block sends its distinct words (or word
@@ -14,7 +15,7 @@ parts are sized by the input, so no task grows with it.
 
 1. Texts become blocks of word numbers, written once, bucketed by block.
 2. Words: counts, vocabulary.  3. Pairs: counts; one block owns each pair.
-4. Each pair's customers are seated by Gibbs sampling; its owner reports the
+4. The tables of each pair are drawn; its owner reports the
    mean tables by context and by word.  A pair's random numbers follow from its
    key, so every block draws the same seating.
 5. Scores.
@@ -22,8 +23,8 @@ parts are sized by the input, so no task grows with it.
 The sampler's weight of a new table takes its context's tables and the parent's
 probability from the power law of the process (counts to the power ``GROWTH``);
 the predictive probability uses the tables that were sampled.  Words are told
-apart by 56-bit hashes, pairs by 48-bit hashes.  Customers beyond ``RESEATED``
-per pair are seated in doubling groups by their expectation.
+apart by 56-bit hashes, pairs by 48-bit hashes.  The draw is exact up to
+``EXACT`` customers of a dish; beyond, it has the saddle point's mean and variance.
 
 Defined cases: null and empty texts are one end token; null ids train and are
 scored; rows that repeat an id are separate texts; without training texts every
@@ -35,6 +36,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +50,9 @@ from vitrine.operators.lineage import materialize
 KEY_BITS, PAIR_BITS = 56, 48
 #: Concentrations of both levels; discounts are estimated from the counts of counts.
 STRENGTH = 1.0
-BURN_IN, SAMPLES, RESEATED = 1, 4, 16
+SAMPLES = 4
+#: Customers of a dish up to which the distribution of their tables is exact.
+EXACT = 256
 #: Tables grow as customers to this power, in the sampler's weights.
 GROWTH = 0.75
 #: Text of a block, and of a part of the key space.
@@ -186,45 +190,74 @@ def uniform(key: np.ndarray, step: int) -> np.ndarray:
     return (mix(key + _U((step * 0xD1342543DE82EF95) % (1 << 64))) >> _U(11)).astype(np.float64) * 2.0 ** -53
 
 
-def seating(count: np.ndarray, fresh: np.ndarray, key: np.ndarray, d: float) -> np.ndarray:
-    """Mean number of tables of ``count`` customers with one dish; ``fresh``: weight of a new table.
-
-    Means are multiples of 1 / SAMPLES, so sums of them are exact."""
+@lru_cache(8)
+def arrangements(d: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: weight of n customers at t tables, for n up to EXACT."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[1, 1] = 0.0
+    for n in range(1, EXACT):
+        t = np.arange(1, n + 1)
+        out[n + 1, 1:n + 1] = np.log(n - d * t) + out[n, 1:n + 1]
+        out[n + 1, 1:n + 2] = np.logaddexp(out[n + 1, 1:n + 2], out[n, :n + 1])
+    return out
+
+
+def many_tables(n: np.ndarray, fresh: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Saddle-point mean and variance of the tables beyond the first of n > EXACT customers."""
+    ratio = np.log(n) - np.log(fresh)
+    low = np.minimum(np.log(0.5), -(ratio + np.log(2.0)) / (1 - d))
+    high = np.minimum(0.0, -ratio / (1 - d))
+    for _ in range(60):  # (1 - y) y ** (d - 1) = n / fresh, in the logarithm of y
+        y = (low + high) / 2
+        above = np.log(-np.expm1(np.minimum(y, -1e-300))) + (d - 1) * y > ratio
+        low, high = np.where(above, y, low), np.where(above, high, y)
+    y = np.exp((low + high) / 2)
+    x = -np.expm1((low + high) / 2)
+    whole = fresh * -np.expm1(d * (low + high) / 2) / d
+    mean = whole - 1 + (1 - d) * x / (y + (1 - d) * x)
+    return np.clip(mean, 1e-12, n - 1), np.clip(whole - n * y / (y + (1 - d) * x), 1e-12, None)
+
+
+def seating(count: np.ndarray, fresh: np.ndarray, key: np.ndarray, d: float, draw: int = 0) -> np.ndarray:
+    """A draw of the number of tables of ``count`` customers with one dish; ``fresh``: weight of a new table.
+
+    The distribution is the one that Gibbs sampling of the customers ends in: fresh ** t times the weight of all
+    arrangements at t tables; exact up to EXACT customers, beyond with the mean and variance of the saddle point."""
     tables = (count > 0).astype(np.float64)
-    for c in range(2, RESEATED + 1):
-        these = np.flatnonzero(count == c)
-        if not len(these):
-            continue
-        weight, name = fresh[these], key[these]
-        sizes = np.zeros((len(these), c))
-        sizes[:, 0] = c
-        row, total, step = np.arange(len(these)), np.zeros(len(these)), 0
-        for sweep in range(BURN_IN + SAMPLES):
-            for _ in range(c):
-                step += 2
-                leave = (np.cumsum(sizes, 1) <= (uniform(name, step) * c)[:, None]).sum(1)
-                sizes[row, np.minimum(leave, c - 1)] -= 1
-                free = (sizes > 0).argmin(1)
-                sit = np.maximum(sizes - d, 0.0)
-                sit[row, free] = weight
-                sit = np.cumsum(sit, 1)
-                to = (sit <= (uniform(name, step + 1) * sit[:, -1])[:, None]).sum(1)
-                sizes[row, np.minimum(to, c - 1)] += 1
-            if sweep >= BURN_IN:
-                total += (sizes > 0).sum(1)
-        tables[these] = total / SAMPLES
-    large = np.flatnonzero(count > RESEATED)
+    weight = np.log(fresh)
+    for c in np.unique(count[(count > 1) & (count <= EXACT)]):
+        same = np.flatnonzero(count == c)
+        t = np.arange(1, c + 1)
+        step = max(1, 1_000_000 // int(c))
+        for k in range(0, len(same), step):
+            these = same[k:k + step]
+            p = weight[these][:, None] * t + arrangements(d)[c, 1:c + 1]
+            p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
+            tables[these] = np.minimum(1 + (p <= (uniform(key[these], 2 * draw + 1) * p[:, -1])[:, None]).sum(axis=1), c)
+    large = np.flatnonzero(count > EXACT)
     if len(large):
-        left, weight = count[large].astype(np.float64), fresh[large]
-        seated, t = np.ones(len(large)), np.ones(len(large))
-        while (seated < left).any():
-            group = np.minimum(seated, left - seated)
-            t += group * weight / (weight + np.maximum(seated + group / 2 - d * t, 0.0))
-            seated += group
-        tables[large] = np.rint(np.minimum(t, left) * SAMPLES) / SAMPLES
+        n = count[large].astype(np.float64)
+        mean, variance = many_tables(n, fresh[large], d)
+        u, v = uniform(key[large], 2 * draw + 1), uniform(key[large], 2 * draw + 2)
+        more = np.rint(mean + np.sqrt(variance) * np.sqrt(-2 * np.log(1 - u)) * np.cos(2 * np.pi * v))
+        few = np.flatnonzero(mean < 50)  # binomial of the same mean and variance, by its cumulated probabilities
+        m, q = mean[few], np.clip(1 - variance[few] / mean[few], 1e-9, 0.999)
+        p = np.exp(m * np.log1p(-q) / q)
+        total, found = p.copy(), np.zeros(len(few))
+        for k in range(200):
+            found += total <= u[few]
+            p = p * np.maximum(m - k * q, 0.0) / ((k + 1) * (1 - q))
+            total += p
+        more[few] = found
+        tables[large] = np.clip(1 + more, 1, n)
     return tables
 
 
+def mean_tables(count: np.ndarray, fresh: np.ndarray, key: np.ndarray, d: float) -> np.ndarray:
+    """Mean of SAMPLES draws; multiples of 1 / SAMPLES, so sums of them are exact."""
+    return sum(seating(count, fresh, key, d, draw) for draw in range(SAMPLES)) / SAMPLES
+
+
 class Model:
     """Numbers of the whole corpus that a block needs besides its own words and pairs."""
 
@@ -302,7 +335,7 @@ def language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """Counts of the block's pairs and their mean tables."""
         counts, pairs = read(r["words"], 0, np.int64), read(r["pairs"], 0, np.int64)
         fresh = model.fresh(context_counts(b, counts)[b.context], counts[b.word].astype(np.float64))
-        return pairs, seating(pairs, fresh, b.pair_keys, model.d)
+        return pairs, mean_tables(pairs, fresh, b.pair_keys, model.d)
 
     def report_tables(batches):
         for r in rows(batches):
@@ -316,7 +349,7 @@ def language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def add_tables(keys, first, inverse, values):
         held, customers = (np.bincount(inverse, v, len(keys)) for v in values)
         whole = np.rint(customers / SAMPLES).astype(np.int64)
-        tables = seating(whole, (STRENGTH + model.power) * model.base * np.ones(len(keys)), keys, model.d0) * SAMPLES
+        tables = mean_tables(whole, (STRENGTH + model.power) * model.base * np.ones(len(keys)), keys, model.d0) * SAMPLES
         return ([v[inverse].astype(np.int64) for v in (held, customers, tables)],
                 [customers.sum() / SAMPLES, tables.sum() / SAMPLES, (whole == 1).sum(), (whole == 2).sum()])
 
