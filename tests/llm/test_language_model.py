@@ -83,6 +83,71 @@ def test_frequent_dishes_are_sampled():
         assert abs(got.mean() - 1 - m[0]) < 5 * (v[0] / len(key)) ** 0.5 and 0.8 * v[0] < got.var() < 1.2 * v[0]
 
 
+def chain_scores(train, held, sweeps=60, seed=3):
+    """log10 scores by a sequential sampler: a dish at a time, given the tables of all others and the parent."""
+    rng = np.random.default_rng(seed)
+    pairs, words = {}, {}
+    for text in train:
+        last = "<s>"
+        for w in [*brute.words(text), "</s>"]:
+            pairs[last, w] = pairs.get((last, w), 0) + 1
+            words[w] = words.get(w, 0) + 1
+            last = w
+    once, twice = (sum(c == n for c in pairs.values()) for n in (1, 2))
+    d, base = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5, 1 / (len(words) + 1)
+    logs, tables = arrangements(d), {p: 1 for p in pairs}
+    followed, held_by = {}, {}
+    for (u, _), c in pairs.items():
+        followed[u] = followed.get(u, 0) + c
+        held_by[u] = held_by.get(u, 0) + 1
+    total = [np.zeros(len([*brute.words(t), "</s>"])) for t in held]
+    d0, parent_tables = 0.5, {w: 1 for w in words}
+    for sweep in range(sweeps):
+        customers = {w: 0 for w in words}
+        for (_, w), t in tables.items():
+            customers[w] += t
+        n = sum(customers.values())
+        back = (1 + d0 * sum(parent_tables.values())) * base
+        for w, c in customers.items():
+            p = np.arange(1, c + 1) * np.log(back) + arrangements(d0)[c, 1:c + 1]
+            p = np.exp(p - p.max())
+            parent_tables[w] = 1 + rng.choice(c, p=p / p.sum())
+        back = (1 + d0 * sum(parent_tables.values())) * base
+        parent = {w: (max(c - d0 * parent_tables[w], 0) + back) / (1 + n) for w, c in customers.items()}
+        if sweep >= sweeps // 2:
+            for text, out in zip(held, total):
+                last = "<s>"
+                for k, w in enumerate([*brute.words(text), "</s>"]):
+                    below = (1 + d * held_by.get(last, 0)) * parent.get(w, back / (1 + n))
+                    seen = max(pairs.get((last, w), 0) - d * tables.get((last, w), 0), 0)
+                    out[k] += (seen + below) / (1 + followed.get(last, 0)) / (sweeps - sweeps // 2)
+                    last = w
+        for (u, w), c in pairs.items():
+            held_by[u] -= tables[u, w]
+            p = np.arange(1, c + 1) * np.log((1 + d * held_by[u]) * parent[w]) + logs[c, 1:c + 1]
+            p = np.exp(p - p.max())
+            tables[u, w] = 1 + rng.choice(c, p=p / p.sum())
+            held_by[u] += tables[u, w]
+        one, two = (sum(c == k for c in customers.values()) for k in (1, 2))
+        d0 = min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
+    return [float(np.log10(t).sum()) for t in total]
+
+
+def test_seating_follows_the_hierarchy(table):
+    """Scores as a sampler's that visits one dish at a time, not those of weights fixed beforehand."""
+    rnd = random.Random(9)
+    hubs = [f"h{k}" for k in range(12)]
+    rows = [(k, " ".join(f"{rnd.choice(hubs)} {rnd.choice(['the', 'of', rnd.choice(hubs)])} r{rnd.randrange(300)}" for _ in range(12)))
+            for k in range(200)]
+    split = lambda k: zlib.crc32(str(k).encode()) % 5 == 1
+    held = [(k, t) for k, t in rows if split(k)]
+    want = chain_scores([t for k, t in rows if not split(k)], [t for _, t in held])
+    got = {r["doc_id"]: r["score"] for r in language_model(table(rows)).collect()}
+    n = sum(len(brute.words(t)) + 1 for _, t in held)
+    gap = abs(sum(got[k] for k, _ in held) - sum(want)) / n
+    assert gap < 0.002, gap
+
+
 def test_empty_and_no_training(table):
     assert language_model(table([])).count() == 0
     key = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1)

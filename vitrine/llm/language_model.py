@@ -3,9 +3,11 @@
 Every word is a restaurant for the words that follow it; all share one parent,
 the restaurant of single words, whose base is uniform.  Tables of a context are
 customers of the parent.  The tables of every dish are drawn from the
-distribution that Gibbs sampling of its customers ends in, given an estimate of
-their context's tables and of the parent's probability; the predictive
-probability uses the mean over the samples.
+distribution that Gibbs sampling of its customers ends in, given the tables of
+their context and the parent's probability as the round before drew them; an
+exchange between the rounds adds the tables up by context and by word and seats
+the parent.  The predictive probability is the mean over the last ``SAMPLES``
+rounds; ``BURN_IN`` rounds come before.
 
 Counts are gathered from all training texts in exchanges between blocks of
 texts and parts of the key space: a block sends its distinct words (or word
@@ -15,14 +17,14 @@ parts are sized by the input, so no task grows with it.
 
 1. Texts become blocks of word numbers, written once, bucketed by block.
 2. Words: counts, vocabulary.  3. Pairs: counts; one block owns each pair.
-4. The tables of each pair are drawn; its owner reports the
-   mean tables by context and by word.  A pair's random numbers follow from its
-   key, so every block draws the same seating.
+4. In each round the tables of each pair are drawn; its owner reports them by
+   context and by word.  A pair's random numbers follow from its key and the
+   round, so every block draws the same seating.
 5. Scores.
 
-The sampler's weight of a new table takes its context's tables and the parent's
-probability from the power law of the process (counts to the power ``GROWTH``);
-the predictive probability uses the tables that were sampled.  Words are told
+All dishes of a round are drawn at once, given the round before (a synchronous
+Gibbs sampler).  The first round has none before it: its weights take the tables
+from the power law of the process (counts to the power ``GROWTH``).  Words are told
 apart by 56-bit hashes, pairs by 48-bit hashes.  The draw is exact up to
 ``EXACT`` customers of a dish; beyond, it has the saddle point's mean and variance.
 
@@ -50,10 +52,10 @@ from vitrine.operators.lineage import materialize
 KEY_BITS, PAIR_BITS = 56, 48
 #: Concentrations of both levels; discounts are estimated from the counts of counts.
 STRENGTH = 1.0
-SAMPLES = 4
+BURN_IN, SAMPLES = 2, 4
 #: Customers of a dish up to which the distribution of their tables is exact.
 EXACT = 256
-#: Tables grow as customers to this power, in the sampler's weights.
+#: Tables grow as customers to this power, in the weights of the first round only.
 GROWTH = 0.75
 #: Text of a block, and of a part of the key space.
 BLOCK_BYTES, PART_BYTES = 1 << 22, 1 << 25
@@ -178,6 +180,13 @@ def gathered(answers: DataFrame, name: str, count: int) -> DataFrame:
     return answers.groupBy("block").agg(F.sort_array(F.collect_list(fields)).alias(name))
 
 
+def kept(df: DataFrame, buckets: int) -> DataFrame:
+    """Rows written once, bucketed by block: every round reads them, none shuffles them again."""
+    table = f"by_block_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, "block").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def read(parts: list[dict], k: int, kind) -> np.ndarray:
     return np.concatenate([spread(p[f"a{k}"], kind) for p in parts])
 
@@ -253,11 +262,6 @@ def seating(count: np.ndarray, fresh: np.ndarray, key: np.ndarray, d: float, dra
     return tables
 
 
-def mean_tables(count: np.ndarray, fresh: np.ndarray, key: np.ndarray, d: float) -> np.ndarray:
-    """Mean of SAMPLES draws; multiples of 1 / SAMPLES, so sums of them are exact."""
-    return sum(seating(count, fresh, key, d, draw) for draw in range(SAMPLES)) / SAMPLES
-
-
 class Model:
     """Numbers of the whole corpus that a block needs besides its own words and pairs."""
 
@@ -284,9 +288,8 @@ def language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES + 1)
     bits = max(1, (wanted - 1).bit_length())
-    table = f"token_blocks_{uuid.uuid4().hex}"
-    (token_blocks(docs).write.format("parquet").bucketBy(min(1024, 1 << bits), "block").saveAsTable(table))
-    blocks = spark.table(table)  # bucketed by block: answers come to it, it is not shuffled again
+    buckets = min(1024, 1 << bits)
+    blocks = kept(token_blocks(docs), buckets)
 
     def rows(batches):
         return (r for batch in batches for r in batch.to_pylist())
@@ -305,7 +308,7 @@ def language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tokens, vocabulary, power = totals(counted, 3)
     model = Model(tokens, vocabulary)
     model.power = power
-    word_counts = gathered(counted, "words", 1)
+    word_counts = kept(gathered(counted, "words", 1), buckets)
 
     def count_pairs(batches):
         for r in rows(batches):
@@ -321,8 +324,8 @@ def language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     paired = exchange(blocks.mapInArrow(count_pairs, report), add_pairs, [np.int64], [np.int64, bool], 2)
     model.d = discount(*totals(paired, 2))
-    pair_counts = gathered(paired, "pairs", 2)
-    known = blocks.join(word_counts, "block").join(pair_counts, "block")
+    pair_counts = kept(gathered(paired, "pairs", 2), buckets)
+    state = blocks.join(word_counts, "block").join(pair_counts, "block")
 
     def context_counts(b, counts):
         """Customers of each context: a word is followed as often as it occurs, the start once per text."""
@@ -331,44 +334,62 @@ def language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out[b.end] = 0.0
         return out
 
-    def seats(b, r):
-        """Counts of the block's pairs and their mean tables."""
+    def drawn(b, r, k, before, these=slice(None)):
+        """Counts of the block's pairs, and of ``these`` the tables in round ``k``, given the round before."""
         counts, pairs = read(r["words"], 0, np.int64), read(r["pairs"], 0, np.int64)
-        fresh = model.fresh(context_counts(b, counts)[b.context], counts[b.word].astype(np.float64))
-        return pairs, mean_tables(pairs, fresh, b.pair_keys, model.d)
-
-    def report_tables(batches):
-        for r in rows(batches):
-            b = Block(r)
-            b.pairs()
-            _, t = seats(b, r)
-            mine = t * read(r["pairs"], 1, bool)
-            sums = [np.rint(np.bincount(of, mine, len(b.keys)) * SAMPLES).astype(np.int64) for of in (b.context, b.word)]
-            yield report_rows(b.name, b.keys, sums, KEY_BITS - bits)
-
-    def add_tables(keys, first, inverse, values):
-        held, customers = (np.bincount(inverse, v, len(keys)) for v in values)
-        whole = np.rint(customers / SAMPLES).astype(np.int64)
-        tables = mean_tables(whole, (STRENGTH + model.power) * model.base * np.ones(len(keys)), keys, model.d0) * SAMPLES
-        return ([v[inverse].astype(np.int64) for v in (held, customers, tables)],
-                [customers.sum() / SAMPLES, tables.sum() / SAMPLES, (whole == 1).sum(), (whole == 2).sum()])
-
-    seated = exchange(known.mapInArrow(report_tables, report + ", v1 binary"), add_tables, [np.int64] * 2, [np.int64] * 3, 4)
-    final = Model(model.tokens, model.vocabulary)
-    final.customers, final.tables, once, twice = totals(seated, 4)
-    final.d0 = discount(once, twice)
-    state = known.join(gathered(seated, "final", 3), "block")
+        if k == 0:
+            fresh = before.fresh(context_counts(b, counts)[b.context], counts[b.word].astype(np.float64))
+        else:
+            held, customers, tables = (read(r[f"round{k - 1}"], i, np.int64) for i in range(3))
+            fresh = (STRENGTH + before.d * held[b.context]) * before.parent(customers, tables)[b.word]
+        return pairs, seating(pairs[these], fresh[these], b.pair_keys[these], before.d, k)
+
+    def report_tables(k, before):
+        def send(batches):
+            for r in rows(batches):
+                b = Block(r)
+                b.pairs()
+                mine = read(r["pairs"], 1, bool)
+                _, t = drawn(b, r, k, before, mine)
+                sums = [np.rint(np.bincount(of[mine], t, len(b.keys))).astype(np.int64) for of in (b.context, b.word)]
+                yield report_rows(b.name, b.keys, sums, KEY_BITS - bits)
+        return send
+
+    def add_tables(k, before):
+        def add(keys, first, inverse, values):
+            held, customers = (np.rint(np.bincount(inverse, v, len(keys))).astype(np.int64) for v in values)
+            weight = (STRENGTH + before.d0 * (before.tables if k else before.power)) * before.base
+            tables = seating(customers, np.full(len(keys), weight), keys, before.d0, k).astype(np.int64)
+            return ([v[inverse] for v in (held, customers, tables)],
+                    [customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum()])
+        return add
+
+    models, rounds = [model], []
+    for k in range(BURN_IN + SAMPLES):
+        last = state.join(rounds[-1], "block") if rounds else state  # a round reads the one before only
+        sent = last.mapInArrow(report_tables(k, models[k]), report + ", v1 binary")
+        seated = exchange(sent, add_tables(k, models[k]), [np.int64] * 2, [np.int64] * 3, 4)
+        after = Model(model.tokens, model.vocabulary)
+        after.d = model.d
+        after.customers, after.tables, once, twice = totals(seated, 4)
+        after.d0 = discount(once, twice)
+        models.append(after)
+        rounds.append(kept(gathered(seated, f"round{k}", 3), buckets))
+    for answers in rounds[BURN_IN - 1:]:
+        state = state.join(answers, "block")
 
     def score(batches):
         for r in rows(batches):
             b = Block(r)
             b.pairs()
             counts = read(r["words"], 0, np.int64)
-            pair, t = seats(b, r)
-            held, customers, tables = (read(r["final"], k, np.int64) / SAMPLES for k in range(3))
             followed = context_counts(b, counts)[b.context]
-            below = (STRENGTH + model.d * held[b.context]) * final.parent(customers, tables)[b.word]
-            p = (np.maximum(pair - model.d * t, 0.0) + below) / (STRENGTH + followed)
+            p = 0.0
+            for k in range(BURN_IN, BURN_IN + SAMPLES):
+                pair, t = drawn(b, r, k, models[k])
+                held, customers, tables = (read(r[f"round{k}"], i, np.int64) for i in range(3))
+                below = (STRENGTH + model.d * held[b.context]) * models[k + 1].parent(customers, tables)[b.word]
+                p += (np.maximum(pair - model.d * t, 0.0) + below) / (STRENGTH + followed) / SAMPLES
             first = np.cumsum(b.lengths) - b.lengths
             alone = np.log10((counts + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1)))
             ids = pa.array(spread(r["ids"], np.int64), mask=spread(r["no_id"], bool))
