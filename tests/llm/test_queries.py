@@ -15,6 +15,9 @@ COLUMNS = {
     "op7": "doc_id place n_chars candidate_sha256 score is_secret", "op8": "doc_id held_out score predicted",
     "op9": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op10": "doc_id own_license own_score license inherited_from depth",
+    "op11": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op12": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    "op13": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
 }
 
 
@@ -25,8 +28,9 @@ def test_query(spark, name):
     rows = [r.asDict() for r in out.collect()]
     table = "embeddings" if name.startswith("op2_") else "documents"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
-    if not name.startswith(("op5_", "op7_")):
+    for t in {table, "labels"}:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
+    if not name.startswith(("op5_", "op7_", "op11_")):
         assert len(rows) == con.execute(f"SELECT count(*) FROM {table}").fetchall()[0][0]
     if name in SQL:
         result = con.execute(SQL[name])
