@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.textops import crc_mod5, mix, powers, span_hash, text_blocks, words
+from vitrine.llm.textops import crc_mod5, mix, powers, ragged, span_hash, text_blocks, words
 from vitrine.operators.lineage import materialize
 
 #: Labelled texts and words that the classifier is fitted on, and landmarks.
@@ -44,6 +44,8 @@ SAMPLE_DOCS, TRAIN_WORDS, LANDMARKS = 20000, 4000, 800
 DECAY = 0.6
 #: Times that look-alikes from other texts (a quarter of TRAIN_WORDS each) are added and the fit repeated.
 HARD_ROUNDS = 2
+#: Rows of features that fitting handles at a time.
+BLOCK = 1024
 #: Pieces that a worker remembers with their values.
 KNOWN = 2_000_000
 #: A longer word is read as overlapping pieces of this length.
@@ -247,25 +249,58 @@ def vector(word: str) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(word.encode(), np.uint8)
     low, _ = letters(raw, np.array([0, len(raw)]))
     cell, value = features(_CLASS[low[:PIECE]][None, :])
-    return cell[0], value[0]
+    some = value[0] > 0  # a repeated subsequence has its weight in one place
+    return cell[0][some], value[0][some]
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, lam: float, rounds: int = 60) -> np.ndarray:
-    """Weights and constant by Newton steps on the active set: deterministic, a few small solves."""
-    xb = np.hstack([x, np.ones((len(x), 1))])
-    beta = np.zeros(xb.shape[1])
+def squared_hinge(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, lam: float, rounds: int = 60) -> np.ndarray:
+    """Weights and constant by Newton steps on the active set: deterministic, a few small solves.
+
+    ``pos`` and ``neg`` weigh each row as a toxic and as another example.  The normal equations
+    are summed block by block, so nothing of the size of ``x`` is copied."""
+    beta = np.zeros(x.shape[1] + 1)
     for _ in range(rounds):
-        active = y * (xb @ beta) < 1
-        a, w = xb[active], weight[active]
-        penal = lam * np.eye(len(beta))
-        penal[-1, -1] = 1e-9
-        new = np.linalg.solve((a * w[:, None]).T @ a + penal, (a * w[:, None]).T @ y[active])
+        normal, right = lam * np.eye(len(beta)), np.zeros(len(beta))
+        normal[-1, -1] = 1e-9
+        for k in range(0, len(x), BLOCK):
+            block = np.hstack([x[k:k + BLOCK], np.ones((len(x[k:k + BLOCK]), 1))])
+            margin = block @ beta
+            up = np.where(margin < 1, pos[k:k + BLOCK], 0.0)
+            down = np.where(margin > -1, neg[k:k + BLOCK], 0.0)
+            normal += (block * (up + down)[:, None]).T @ block
+            right += block.T @ (up - down)
+        new = np.linalg.solve(normal, right)
         if np.allclose(new, beta, atol=1e-9):
             break
         beta = new
     return beta
 
 
+class Landmarks:
+    """Sparse features of the landmark words, in order of cells, for kernel rows against all of them."""
+
+    def __init__(self, marks: list[str]):
+        rows = [vector(w) for w in marks]
+        cell = np.concatenate([c for c, _ in rows])
+        order = np.argsort(cell, kind="stable")
+        self.size = len(marks)
+        self.cell = cell[order]
+        self.mark = np.repeat(np.arange(len(marks), dtype=np.int32), [len(c) for c, _ in rows])[order]
+        self.value = np.concatenate([v for _, v in rows])[order]
+
+    def kernel(self, word: str) -> np.ndarray:
+        """Kernel values of a word and every landmark."""
+        cell, value = vector(word)
+        first = np.searchsorted(self.cell, cell)
+        many = np.searchsorted(self.cell, cell, side="right") - first
+        at = ragged(first, many)
+        return np.bincount(self.mark[at], self.value[at] * np.repeat(value, many), minlength=self.size)
+
+    def table(self, weight: np.ndarray) -> np.ndarray:
+        """The function with these landmark weights, as one weight per cell."""
+        return np.bincount(self.cell, self.value * weight[self.mark], minlength=CELLS)
+
+
 def fit_words(train: list[tuple[str, float, float]], landmarks: int = LANDMARKS, cost: float = 1.0) -> SubsequenceSvm:
     """Weighted hinge loss over words (word, weight toxic, weight other) in the Nystrom space."""
     train = sorted(train, key=lambda t: (-(t[1] + 1) / (t[2] + 1), t[0]))
@@ -273,35 +308,24 @@ def fit_words(train: list[tuple[str, float, float]], landmarks: int = LANDMARKS,
     # half of the landmarks from the words that toxic texts favour, half spread over all others
     head = train[:m // 2]
     rest = train[m // 2:]
-    marks = head + rest[::max(1, len(rest) // max(1, m - len(head)))][:m - len(head)]
-    sparse = [vector(t[0]) for t in train]
-    of = {t[0]: v for t, v in zip(train, sparse)}
-    used = np.unique(np.concatenate([of[w][0] for w, _, _ in marks]))  # other cells meet no landmark
-    place = np.full(CELLS, len(used))
-    place[used] = np.arange(len(used))
-    base = np.zeros((len(marks), len(used) + 1))
-    for k, (w, _, _) in enumerate(marks):
-        np.add.at(base[k], place[of[w][0]], of[w][1])
-    gram = base @ base.T
-    value, axes = np.linalg.eigh(gram)
+    marks = [t[0] for t in head + rest[::max(1, len(rest) // max(1, m - len(head)))][:m - len(head)]]
+    base = Landmarks(marks)
+    value, axes = np.linalg.eigh(np.stack([base.kernel(w) for w in marks]))
     good = value > 1e-6 * max(value[-1], 1e-12)
     whiten = axes[:, good] / np.sqrt(value[good])
-    by_cell = np.ascontiguousarray(base.T)
-    x = np.stack([value @ by_cell[place[cell]] for cell, value in sparse]) @ whiten  # Nystrom features
-    pos, neg = np.array([t[1] for t in train]), np.array([t[2] for t in train])
-    weight = np.sqrt(np.concatenate([pos, neg]))
-    xs, ys = np.concatenate([x, x]), np.concatenate([np.ones(len(x)), -np.ones(len(x))])
-    keep = weight > 0
-    beta = squared_hinge(xs[keep], ys[keep], weight[keep] / weight.sum(), 1e-5 / cost)
-    table = np.zeros(CELLS)
-    table[used] = (base.T @ (whiten @ beta[:-1]))[:-1]
-    return SubsequenceSvm(table, float(beta[-1]))
+    x = np.empty((len(train), whiten.shape[1]))  # Nystrom features
+    for k in range(0, len(train), BLOCK):
+        x[k:k + BLOCK] = np.stack([base.kernel(t[0]) for t in train[k:k + BLOCK]]) @ whiten
+    weight = np.sqrt(np.array([t[1:] for t in train], float).reshape(-1, 2))
+    weight /= weight.sum()
+    beta = squared_hinge(x, weight[:, 0], weight[:, 1], 1e-5 / cost)
+    return SubsequenceSvm(base.table(whiten @ beta[:-1]), float(beta[-1]))
 
 
 def fit_texts(model: SubsequenceSvm, pooled: np.ndarray, label: np.ndarray) -> None:
     """Hinge loss over the pooled words of labelled texts."""
     middle, scale = pooled.mean(axis=0), np.maximum(pooled.std(axis=0), 1e-3)
-    beta = squared_hinge((pooled - middle) / scale, 2.0 * label - 1.0, np.full(len(label), 1.0 / len(label)), 1e-4)
+    beta = squared_hinge((pooled - middle) / scale, label / len(label), (1.0 - label) / len(label), 1e-4)
     model.pool = np.append(beta[:-1] / scale, beta[-1] - (beta[:-1] / scale) @ middle)
 
 
