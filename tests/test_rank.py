@@ -191,3 +191,55 @@ def test_ranges_hold_outliers_common_prefixes_and_null_groups(spark):
         assert {r["lab"]: r["count"] for r in out} == dict.fromkeys(LABELS4, 1000)
     got = {r.g: r.m for r in rank.exact_quantiles(df, "v", [0.5], ["g"], names=["m"]).collect()}
     assert got == {None: 1999.0, "a": 2000.0}
+
+
+def test_interpolation_has_no_stray_digits(spark):
+    import duckdb
+
+    rnd = random.Random(4)
+    rows = [(g, round(rnd.uniform(0, 90000), 2)) for g in range(60) for _ in range(rnd.choice([1, 2, 3, 4, 5, 6]))]
+    df = spark.createDataFrame(rows, "g long, x double")
+    got = {r.g: (r.a, r.b, r.c) for r in rank.exact_quantiles(df, "x", [0.25, 0.5, 0.75], ["g"], ["a", "b", "c"]).collect()}
+    for g, want in got.items():
+        xs = [x for k, x in rows if k == g]
+        assert want == duckdb.execute("select quantile_cont(x, 0.25), quantile_cont(x, 0.5), quantile_cont(x, 0.75) "
+                                      "from (select unnest(?::double[]) x)", [xs]).fetchall()[0]
+
+
+def test_only_brackets_are_shuffled_by_value(spark):
+    df = spark.range(0, 200_000, 1, 4).select((rank.F.col("id") * 7919 % 200_000).alias("v"))
+    at, sizes = rank.values_at(df, [], "v", [rank.F.lit(1), rank.F.col("_n") / 2, rank.F.col("_n")])
+    assert {r._k: (r.v, r._r) for r in at.collect()} == {0: (0, 1), 1: (99_999, 1), 2: (199_999, 1)}
+    assert sizes.first()[0] == 200_000
+    known = rank.brackets(df, [], "v", [rank.F.col("_n") / 2])
+    b = known.first()
+    assert b._lo0 < 99_999 < b._hi0 and b._hi0 - b._lo0 < 0.02 * 200_000
+
+
+def test_ranks_outside_their_brackets_are_found_without(spark, monkeypatch):
+    def wrong(rows, part, value, ranks):
+        out = rows.groupBy(*part).agg(rank.F.count("*").alias("_n"))
+        for k, r in enumerate(ranks):
+            out = out.withColumns({f"_r{k}": r, f"_lo{k}": rank.F.lit(5.0), f"_hi{k}": rank.F.lit(6.0)})
+        return out
+
+    monkeypatch.setattr(rank, "brackets", wrong)
+    df = spark.range(100).selectExpr("id", "id % 10 as v", "id % 2 as g")
+    got = {r.g: (r.a, r.b) for r in rank.exact_quantiles(df, "v", [0.0, 0.5], ["g"], ["a", "b"]).collect()}
+    assert got == {0: (0.0, 4.0), 1: (1.0, 5.0)}
+
+
+def test_many_ranges_give_the_same_labels(spark, monkeypatch):
+    rows = make_rows(3000, 0.3, 400, 9)
+    df = spark.createDataFrame(rows, "id long, v long, a long, b long")
+    one = Counter((r.v, r.a, r.b, r.lab) for r in rank.ntile_labels(df, "v", ["a", "b"], LABELS6, "lab").collect())
+    monkeypatch.setattr(rank, "RANGE_ROWS", 100)
+    assert one == Counter((r.v, r.a, r.b, r.lab) for r in rank.ntile_labels(df, "v", ["a", "b"], LABELS6, "lab").collect())
+
+
+def test_box_stats_and_density_keep_a_null_class(spark):
+    from vitrine.plans import price
+
+    df = spark.createDataFrame([(c, float(v)) for c in ("a", None) for v in range(1, 30)], "review_simple string, total_price double")
+    assert {r.review_simple: r.n for r in price.box_stats(df).collect()} == {"a": 29, None: 29}
+    assert {r.review_simple for r in price.density(df, grid=8, fine_bins=16).collect()} == {"a", None}

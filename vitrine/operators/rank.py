@@ -2,19 +2,24 @@
 
 The reference labels rows by ``ntile(10000)`` over the whole column -- a global
 row number.  ``Window.orderBy`` without a partition sorts everything in one
-task, so here the rank is never materialised per row.  Instead:
-
-1. ``groupBy(value).count()`` -- one row per distinct value (partial aggregation
-   absorbs hot values).
-2. ``prefix_before``: the rows, one per key, are range-partitioned by Spark's
-   own sampling, which works for any orderable type and any distribution
-   (outliers, common prefixes, NULL keys); each range is summed in its own
-   task, and the totals of the ranges (at most ``blocks`` per group) give the
-   offsets.
-3. The rank at which each label begins is known from the row count.  The value
-   that holds it is looked up; the rows of that value (at most ``n_labels - 1``
-   values per group) are ranked by their tie-break columns in the same way.
-4. Every row is labelled by comparing its keys with those boundary rows.
+task, so here the rank is never materialised per row.  Instead ``values_at``
+finds the values that hold given ranks in two scans:
+
+1. A mergeable quantile sketch (``percentile_approx``) and the row count give a
+   bracket of values around every wanted rank; the sketch's error is a share of
+   the rows, so a bracket holds a small share of them.
+2. One aggregate counts the rows between the brackets as one number each, and
+   the rows inside by value.  Only what lies inside is shuffled by value.
+   The running sum over these counts is exact and shows the value that holds
+   each rank, and the rank within it.
+
+For labels the rows of those values (at most ``n_labels - 1`` values per group)
+are ranked by their tie-break columns with ``prefix_before`` -- the third scan --
+and every row is labelled by comparing its keys with the boundary rows.
+
+``prefix_before`` cuts its rows into as many ranges as their count asks for
+(``RANGE_ROWS`` each), by Spark's own sampling, which works for any orderable type
+and any distribution; the totals of the ranges give the offsets.
 
 NULL keys order first, as in Spark's ascending sort, and NULL groups stay.  The
 tie-break replaces R's "row order" (trap S21) with identifying columns.
@@ -26,10 +31,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrine.operators.lineage import materialize
 
-BLOCKS = 256
+#: Rows of a range of ``prefix_before``.
+RANGE_ROWS = 500_000
+#: The sketch errs by at most 1 / ACCURACY of the rows; brackets end on a grid of GRID steps.
+ACCURACY, GRID = 2000, 500
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -41,14 +50,21 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(right, cond, how).drop(*[f"_right_{c}" for c in on])
 
 
-def prefix_before(df: DataFrame, part: Sequence[str], key, weight: str, blocks: int = BLOCKS,
+def prefix_before(df: DataFrame, part: Sequence[str], key, weight: str, blocks: int | None = None,
                   out: str = "_pb") -> DataFrame:
     """Add ``out`` = sum(weight) over rows of the same ``part`` group whose ``key``
     (a column, or a list of columns compared lexicographically) is smaller.
 
-    ``df`` must have one row per (part, key) -- an aggregated table."""
+    ``df`` must have one row per (part, key) -- an aggregated table.  ``blocks`` is the
+    number of ranges, by default one per ``RANGE_ROWS`` rows."""
     part = list(part)
     keys = [key] if isinstance(key, str) else list(key)
+    if blocks is None:
+        df = materialize(df)
+        blocks = 1 + df.count() // RANGE_ROWS
+    if blocks == 1:  # at most RANGE_ROWS rows
+        before = Window.partitionBy(*part).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.coalesce(F.sum(weight).over(before), F.lit(0)))
     # written once: the ranges are sampled, so a second evaluation could cut them elsewhere
     ranges = materialize(df.repartitionByRange(blocks, *part, *keys).withColumn("_blk", F.spark_partition_id()))
     totals = ranges.groupBy(*part, "_blk").agg(F.sum(weight).alias("_bt"))
@@ -113,8 +129,80 @@ def at_ranks(ranked: DataFrame, targets: DataFrame, groups: Sequence[str], keep:
     return both.filter(hit).select(*keep, "_k", (F.col("_r") - F.col("_pb")).alias("_r"))
 
 
+def brackets(rows: DataFrame, part: Sequence[str], value: str, ranks: Sequence[Column]) -> DataFrame:
+    """Per group: the row count ``_n``, each wanted rank ``_r{k}`` (of ``_n``), and values ``_lo{k}`` and
+    ``_hi{k}`` (as doubles) that enclose it.  Columns that are not numbers get no sketch: all lies inside."""
+    below, above = F.lit(float("-inf")), F.lit(float("nan"))  # NaN is the largest double
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    numeric = isinstance(rows.schema[value].dataType, T.NumericType)
+    if numeric:
+        steps = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+        aggs.append(F.percentile_approx(F.col(value).cast("double"), steps, ACCURACY).alias("_grid"))
+    out = rows.groupBy(*part).agg(*aggs)
+    slack = 2 * GRID / ACCURACY
+    for k, rank in enumerate(ranks):
+        out = out.withColumn(f"_r{k}", rank)
+        if not numeric:
+            out = out.withColumn(f"_lo{k}", below).withColumn(f"_hi{k}", above)
+            continue
+        first = F.floor((F.col(f"_r{k}") - 1) / F.greatest("_n", F.lit(1)) * GRID - slack).cast("int")
+        last = F.ceil(F.col(f"_r{k}") / F.greatest("_n", F.lit(1)) * GRID + slack).cast("int")
+        out = (out.withColumn(f"_lo{k}", F.when(first > 0, F.get("_grid", first)).otherwise(below))
+               .withColumn(f"_hi{k}", F.when(last < GRID, F.get("_grid", last)).otherwise(above)))
+    return out.drop("_grid")
+
+
+def values_at(rows: DataFrame, part: Sequence[str], value: str, ranks: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """(part, _k, value, _r) for each rank k in 1.._n: the value that holds it and the rank within that
+    value; and (part, _n), the groups' row counts.
+
+    ``ranks`` are columns over ``_n``; ``rows`` must not hold NULL values.  Should a rank lie outside its
+    bracket, the counts are taken again without brackets."""
+    part, many = list(part), range(len(ranks))
+    known = materialize(brackets(rows.select(*part, value), part, value, ranks))  # one row per group
+    targets = known.select(*part, "_n", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("_k"), F.col(f"_r{k}").cast("bigint").alias("_r")) for k in many])))
+    targets = targets.filter((F.col("_r") >= 1) & (F.col("_r") <= F.col("_n"))).drop("_n")
+    found = materialize(_found(rows, part, value, known, targets, many))
+    if not found.filter("_outside").isEmpty():
+        for k in many:
+            known = known.withColumn(f"_lo{k}", F.lit(float("-inf"))).withColumn(f"_hi{k}", F.lit(float("nan")))
+        found = materialize(_found(rows, part, value, known, targets, many))
+    return found.drop("_outside"), known.select(*part, "_n")
+
+
+def _found(rows: DataFrame, part: list[str], value: str, known: DataFrame, targets: DataFrame, many) -> DataFrame:
+    if part:
+        both = join_null_safe(rows.select(*part, value), known, part)
+    else:
+        few = known.select(F.struct(*[f"_{side}{k}" for k in many for side in ("lo", "hi")])).scalar()
+        both = rows.select(value).withColumn("_few", few).select(value, "_few.*")
+    x = F.col(value).cast("double") if isinstance(rows.schema[value].dataType, T.NumericType) else F.lit(0.0)
+    inside, region = F.lit(False), F.lit(0)
+    for k in many:
+        inside = inside | ((x >= F.col(f"_lo{k}")) & (x <= F.col(f"_hi{k}")))
+        region = region + (x >= F.col(f"_lo{k}")).cast("int")
+    # outside rows of a region lie above its inside rows and below the next region's
+    placed = both.select(*part, region.alias("_region"), (~inside).alias("_outside"), F.when(inside, F.col(value)).alias(value))
+    order = ["_region", "_outside", value]
+    counts = placed.groupBy(*part, *order).agg(F.count(F.lit(1)).alias("_c"))
+    return at_ranks(prefix_before(counts, part, order, "_c"), targets, part, [*part, "_outside", value])
+
+
+def boundary_rows(rows: DataFrame, part: Sequence[str], keys: Sequence[str], ranks: Sequence[Column],
+                  blocks: int | None = None) -> DataFrame:
+    """(part, _k, keys) of the row at each rank k: rows ordered by ``keys``, of which the first is the
+    value (never NULL) and all together tell rows apart."""
+    part, value = list(part), keys[0]
+    targets, _ = values_at(rows, part, value, ranks)
+    group = [*part, value]
+    inside = join_null_safe(rows, targets.select(*group).distinct(), group, "left_semi").withColumn("_c", F.lit(1))
+    ranked = prefix_before(inside.select(*dict.fromkeys([*part, *keys]), "_c"), group, list(keys[1:]), "_c", blocks)
+    return at_ranks(ranked, targets, group, [*part, *keys]).drop("_r")
+
+
 def ntile_labels(df: DataFrame, value: str, tie_break: Sequence[str], labels: Sequence[str], out: str,
-                 part: Sequence[str] = (), precision: int = 4, blocks: int = BLOCKS,
+                 part: Sequence[str] = (), precision: int = 4, blocks: int | None = None,
                  with_index: str | None = None, checkpoint_output: bool = False,
                  method: str = "floor") -> DataFrame:
     """Label each row by the n-tile (n = len(labels)) of its exact rank of ``value``.
@@ -130,17 +218,9 @@ def ntile_labels(df: DataFrame, value: str, tie_break: Sequence[str], labels: Se
     keys = [value, *tie_break, "_rid"]
     df = materialize(df.withColumn("_rid", F.monotonically_increasing_id()))
     rows = df.filter(F.col(value).isNotNull()).select(*dict.fromkeys([*part, *keys]))
-    sizes = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
-    starts = F.array(*[F.struct(F.lit(k).alias("_k"), first_rank("_n", k, n, precision, method).alias("_r"))
-                       for k in range(1, n)])
-    # at most n - 1 rows per group from here on
-    targets = materialize(sizes.select(*part, "_n", F.inline(starts)).filter(F.col("_r") <= F.col("_n")).drop("_n"))
-    counts = rows.groupBy(*part, value).agg(F.count(F.lit(1)).alias("_c"))
-    targets = materialize(at_ranks(prefix_before(counts, part, value, "_c", blocks), targets, part, [*part, value]))
-    group = [*part, value]
-    inside = join_null_safe(rows, targets.select(*group).distinct(), group, "left_semi").withColumn("_c", F.lit(1))
-    targets = at_ranks(prefix_before(inside, group, keys[1:], "_c", blocks), targets, group, [*part, *keys])
-    bounds = materialize(targets.groupBy(*part).agg(F.collect_list(F.struct(*keys)).alias("_bounds")))
+    starts = [first_rank("_n", k, n, precision, method) for k in range(1, n)]
+    found = boundary_rows(rows, part, keys, starts, blocks)  # at most n - 1 rows per group
+    bounds = materialize(found.groupBy(*part).agg(F.collect_list(F.struct(*keys)).alias("_bounds")))
     if part:
         labelled = join_null_safe(df, bounds, part, "left")
     else:
@@ -156,35 +236,47 @@ def ntile_labels(df: DataFrame, value: str, tie_break: Sequence[str], labels: Se
     return labelled.drop("_idx")
 
 
+def interpolate(low: Column, high: Column, share: Column) -> Column:
+    """low (1 - share) + high share as one rounded sum: the rounding error of the first product is
+    added back, so the middle of two amounts of money shows no stray last digit."""
+    part = F.lit(1.0) - share
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        big = x * F.lit(134217729.0)  # 2^27 + 1 splits the digits of a double
+        top = big - (big - x)
+        return top, x - top
+
+    (a, b), (c, d) = halves(low), halves(part)
+    product = low * part
+    lost = b * d - (((product - a * c) - b * c) - a * d)
+    other = high * share
+    total = product + other
+    back = total - product
+    return total + (((product - (total - back)) + (other - back)) + lost)
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], part: Sequence[str] = (),
-                    names: Sequence[str] | None = None, blocks: int = BLOCKS) -> DataFrame:
+                    names: Sequence[str] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (R type 7, Spark ``percentile``).
 
     With 0-based position h = (N - 1) p: x[floor h] + (h - floor h) (x[floor h + 1] - x[floor h]).
 
-    Order statistics without a global sort: distinct values are counted and
-    prefix-summed over ranges, and x[r] is the value whose span of ranks holds
-    r -- a conditional ``min``.  (``F.percentile`` keeps every distinct value of
-    a group in one buffer.)  One row per part group, a NULL group included, one
-    column per probability.
+    The order statistics come from ``values_at``: no global sort, and only values near them are
+    shuffled.  (``F.percentile`` keeps every distinct value of a group in one buffer.)  One row
+    per part group, a NULL group included, one column per probability.
     """
     part = list(part)
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = prefix_before(counts, part, value, "_c", blocks)
-    targets = materialize(ranked.groupBy(*part).agg(F.sum("_c").alias("_n")))  # one row per group
+    rows = df.filter(F.col(value).isNotNull())
+    spots = [(F.col("_n") - 1).cast("double") * F.lit(float(p)) for p in probs]
+    ranks = [r for pos in spots for r in (F.floor(pos) + 1, F.least(F.floor(pos) + 2, F.col("_n")))]
+    at, sizes = values_at(rows, part, value, ranks)
+    picked = [F.min(F.when(F.col("_k") == k, F.col(value).cast("double"))).alias(f"_x{k}") for k in range(len(ranks))]
     if part:
-        ranked = join_null_safe(ranked, targets, part)
+        wide = join_null_safe(sizes, at.groupBy(*part).agg(*picked), part)
     else:
-        ranked = ranked.withColumn("_n", targets.select("_n").scalar())
-    x = F.col(value).cast("double")
-    aggs, out = [], []
-    for i, (nm, p) in enumerate(zip(names, probs)):
-        pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
-        for j, rank in enumerate((F.floor(pos) + 1, F.least(F.floor(pos) + 2, F.col("_n")))):
-            held = (F.col("_pb") < rank) & (rank <= F.col("_pb") + F.col("_c"))
-            aggs.append(F.min(F.when(held, x)).alias(f"_x{j}_{i}"))
-        aggs.append(F.max(pos - F.floor(pos)).alias(f"_f_{i}"))
-        low, high = F.col(f"_x0_{i}"), F.col(f"_x1_{i}")
-        out.append((low + F.col(f"_f_{i}") * (high - low)).alias(nm))
-    return ranked.groupBy(*part).agg(*aggs).select(*part, *out)
+        wide = at.agg(*picked).withColumn("_n", sizes.scalar())
+    return wide.select(*part, *[
+        F.when(F.col(f"_x{2 * i}") == F.col(f"_x{2 * i + 1}"), F.col(f"_x{2 * i}"))
+        .otherwise(interpolate(F.col(f"_x{2 * i}"), F.col(f"_x{2 * i + 1}"), pos - F.floor(pos))).alias(nm)
+        for i, (nm, pos) in enumerate(zip(names, spots))])

@@ -26,10 +26,12 @@ def photo_bucket(photos: Column) -> Column:
 
 
 def with_listing_cells(foc: DataFrame, tie_break=ROW_KEY, checkpoint: bool = True) -> DataFrame:
-    """``df_solution``: photo bucket + description-length sextile (Q2) on each row.
+    """``df_solution``: photo bucket + description-length sextile (Q2) on each row, of the columns that
+    M20-M22 and the what-if read (the rank writes its input).
 
-    Checkpointed by default: M20-M22 and the what-if all read it."""
-    df = foc.withColumn("bucket_photos", photo_bucket(F.col("product_photos_qty")))
+    Checkpointed by default: they all read it."""
+    used = [*ROW_KEY, *tie_break, CLS, "total_price", "product_photos_qty", "product_description_lenght"]
+    df = foc.select(*[c for c in dict.fromkeys(used) if c in foc.columns]).withColumn("bucket_photos", photo_bucket(F.col("product_photos_qty")))
     return ntile_labels(df, "product_description_lenght", tie_break, SEXTILES, "quantil_desc",
                         checkpoint_output=checkpoint)
 

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.operators.rank import exact_quantiles, ntile_labels
+from vitrine.operators.rank import exact_quantiles, join_null_safe, ntile_labels
 from vitrine.operators.share import share_within
 
 CLS = "review_simple"
@@ -43,12 +43,11 @@ def box_stats(df: DataFrame, value: str = "total_price", by: str = CLS) -> DataF
          .withColumn("fence_hi", F.col("upper") + 1.5 * F.col("iqr")))
     x = F.col(value).cast("double")
     inside = (x >= F.col("fence_lo")) & (x <= F.col("fence_hi"))
-    # q has one row per group (bounded by the class domain)
-    w = df.select(by, value).join(F.broadcast(q), by).groupBy(by).agg(
+    w = join_null_safe(df.select(by, value), q, [by]).groupBy(by).agg(
         F.min(F.when(inside, x)).alias("ymin"), F.max(F.when(inside, x)).alias("ymax"),
         F.sum(F.when(~inside, 1).otherwise(0)).alias("n_outliers"),
         F.count(F.lit(1)).alias("n"))
-    return q.join(w, by).select(by, "n", "ymin", "lower", "middle", "upper", "ymax", "n_outliers")
+    return join_null_safe(q, w, [by]).select(by, "n", "ymin", "lower", "middle", "upper", "ymax", "n_outliers")
 
 
 def histogram(df: DataFrame, value: str, bins: int, log10: bool = False) -> DataFrame:
@@ -95,7 +94,7 @@ def density(df: DataFrame, value: str = "total_price", by: str = CLS, grid: int
     spread = F.least(F.col("_sd"), (F.col("_q3") - F.col("_q1")) / F.lit(1.34))
     spread = F.when(spread > 0, spread).when(F.col("_sd") > 0, F.col("_sd")).otherwise(F.lit(1.0))
     bw = F.lit(0.9) * spread * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
-    params = with_pooled(stats.join(quart, by).withColumn("bw", bw))
+    params = with_pooled(join_null_safe(stats, quart, [by]).withColumn("bw", bw))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(fine_bins))
     binned = (with_pooled(v)
               .withColumn("_b", F.when(F.col("_hi") - F.col("_lo") > 0,
@@ -110,7 +109,7 @@ def density(df: DataFrame, value: str = "total_price", by: str = CLS, grid: int
          .withColumn("x", F.col("_lo") + F.col("point") * (F.col("_hi") - F.col("_lo")) / F.lit(float(grid - 1))))
     z = (F.col("x") - F.col("_c")) / F.col("bw")
     k = F.col("_w") * F.exp(F.lit(-0.5) * z * z) / F.lit(math.sqrt(2 * math.pi))
-    dens = (binned.join(F.broadcast(g), by)
+    dens = (join_null_safe(binned, g, [by])
             .groupBy(by, "point", "x", "bw", "_n").agg(F.sum(k).alias("_s"))
             .withColumn("density", F.col("_s") / (F.col("_n") * F.col("bw"))))
     return dens.select(by, "point", "x", "bw", "density")
