@@ -12,7 +12,7 @@ over C9 are sums over those rows, so they factorise per order:
 * a cross-side product sum such as sum(price * payment_value) over C9 is, per
   order, (sum of prices) * (sum of payments) * c.
 
-Every quantity is an exact integer/decimal sum, so results equal the
+Counts and means are exact integer/decimal sums, so they equal those of the
 materialised table exactly (the oracle aggregates the real C9).  Products,
 customers and sellers are m:1 lookups; the ones no order references add their
 own rows to C9 and are added here too.
@@ -20,11 +20,14 @@ own rows to C9 and are added here too.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.operators.lineage import materialize
 from vitrine.operators.share import ratio, share_of_total
-from vitrine.plans import profile
+from vitrine.plans import moments, profile
 
 KEY = "order_id"
 
@@ -92,95 +95,79 @@ def mean_price_by_year_weekday(t, ts: str = "order_purchase_timestamp", value: s
 
 # ------------------------------------------------------------------ G15 correlation over C9
 
-def _side_pattern_sums(rows: DataFrame, cols: list[str], index: dict[str, int]) -> DataFrame:
-    """Per (order, NULL pattern of this side's columns): row count, sums and within-side cross sums."""
-    mask = F.lit(0)
-    for c in cols:
-        mask = mask + F.when(F.col(c).isNotNull(), F.lit(1 << index[c])).otherwise(F.lit(0))
-    value = {c: profile.exact(rows, c) for c in cols}
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(value[c]).alias(f"s_{index[c]}") for c in cols]
-    aggs += [F.sum(value[a] * value[b]).alias(f"x_{index[a]}_{index[b]}")
-             for i, a in enumerate(cols) for b in cols[i:]]
-    return rows.withColumn("_m", mask).groupBy(KEY, "_m").agg(*aggs)
+def order_moments(sides: list[DataFrame], cols: list[list[int]]) -> DataFrame:
+    """One row per order: the rows of each side ``n{j}``, and of each centred column ``_x{i}`` the
+    count, sum and sum of squares -- all sides in one aggregate, so a hot order is added up before the shuffle."""
+    every = [i for own in cols for i in own]
+    parts = []
+    for j, (side, own) in enumerate(zip(sides, cols)):
+        parts.append(side.filter(F.col(KEY).isNotNull()).select(
+            KEY, *[F.lit(int(k == j)).cast("bigint").alias(f"n{k}") for k in range(len(sides))],
+            *[F.col(f"_x{i}") if i in own else F.lit(None).cast("double").alias(f"_x{i}") for i in every]))
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.groupBy(KEY).agg(
+        *[F.sum(f"n{j}").alias(f"n{j}") for j in range(len(sides))],
+        *[f(F.col(f"_x{i}")).alias(f"{name}{i}") for i in every
+          for name, f in (("c", F.count), ("s", F.sum), ("q", lambda x: F.sum(x * x)))])
 
 
 def correlation_matrix(t, cols_a, cols_b, cols_c, digits: int = 2, items: DataFrame | None = None) -> DataFrame:
     """G15 over C9: pairwise Pearson correlations of item-side (``cols_a``),
     payment (``cols_b``) and review (``cols_c``) columns, each pair over the C9
-    rows where both are present -- from per-order side sums, never the rows.
+    rows where both are present -- from per-order moments, never the rows.
 
-    Per order the side patterns (at most 2^k per side) are combined, which
-    bounds the work per order by the number of patterns, not by its rows.
+    Columns are centred first (``moments``).  Pairs of one side weigh each row by the rows that the
+    order's other sides put beside it; a pair across sides is, per order, a product of the sides'
+    sums.  Everything is a double about a median, so weights of 10^13 rows and more do no harm.
     """
-    cols = list(cols_a) + list(cols_b) + list(cols_c)
+    groups = [list(cols_a), list(cols_b), list(cols_c)]
+    cols = [c for own in groups for c in own]
     index = {c: i for i, c in enumerate(cols)}
+    own = [[index[c] for c in names] for names in groups]
     item_rows = items if items is not None else item_side(t)
-
-    sides = [_side_pattern_sums(item_rows, list(cols_a), index),
-             _side_pattern_sums(t.payments, list(cols_b), index),
-             _side_pattern_sums(t.reviews, list(cols_c), index)]
-    renamed = [df.select(KEY, *[F.col(c).alias(f"{c}__{j}") for c in df.columns if c != KEY])
-               for j, df in enumerate(sides)]
-    # per order: every combination of the sides' patterns (at most 2^k each); an order
-    # missing on a side counts as one all-NULL row there (pattern 0, n = 1, sums 0)
-    combo = renamed[0].join(renamed[1], KEY, "full_outer").join(renamed[2], KEY, "full_outer")
-    pad = []
-    for c in combo.columns:
-        if c == KEY:
-            continue
-        default = F.lit(1) if c.startswith("n__") else F.lit(0)
-        pad.append(F.coalesce(F.col(c), default).alias(c))
-    combo = combo.select(KEY, *pad)
-
-    def side_of(c):
-        return 0 if c in cols_a else (1 if c in cols_b else 2)
-
-    def n_except(*js):
-        out = F.lit(1).cast("bigint")
-        for j in range(3):
-            if j not in js:
-                out = out * F.col(f"n__{j}")
-        return out
-
-    exprs = [(F.col("_m__0") + F.col("_m__1") + F.col("_m__2")).alias("_mask"),
-             (F.col("n__0") * F.col("n__1") * F.col("n__2")).alias("n")]
-    for c in cols:
-        j = side_of(c)
-        exprs.append((F.col(f"s_{index[c]}__{j}") * n_except(j)).alias(f"s{index[c]}"))
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            ja, jb = side_of(a), side_of(b)
-            ia, ib = index[a], index[b]
-            if ja == jb:
-                x = F.col(f"x_{ia}_{ib}__{ja}") * n_except(ja)
-            else:
-                x = F.col(f"s_{ia}__{ja}") * F.col(f"s_{ib}__{jb}") * n_except(ja, jb)
-            exprs.append(x.alias(f"x{ia}_{ib}"))
-    per_mask = combo.select(*exprs)
-    # products no item references are C9 rows of their own
     prod_cols = [c for c in cols_a if c in t.products.columns and c != "product_id"]
-    if prod_cols:
+    raw = [item_rows, t.payments, t.reviews]
+    if prod_cols:  # products no item references are C9 rows of their own, beside no order
         referenced = item_rows.filter(F.col("product_id").isNotNull()).select("product_id").distinct()
-        extra = t.products.join(referenced, "product_id", "left_anti")
-        mask = F.lit(0)
-        for c in prod_cols:
-            mask = mask + F.when(F.col(c).isNotNull(), F.lit(1 << index[c])).otherwise(F.lit(0))
-        ex = [mask.alias("_mask"), F.lit(1).cast("bigint").alias("n")]
-        value = {c: profile.exact(extra, c) for c in prod_cols}
-        ex += [(value[c] if c in prod_cols else F.lit(None)).alias(f"s{index[c]}") for c in cols]
-        ex += [(value[a] * value[b] if a in prod_cols and b in prod_cols else F.lit(None)).alias(f"x{index[a]}_{index[b]}")
-               for i, a in enumerate(cols) for b in cols[i:]]
-        per_mask = per_mask.unionByName(extra.select(*ex), allowMissingColumns=False)
-    sums = per_mask.groupBy("_mask").agg(
-        F.sum("n").alias("n"), *[F.sum(f"s{k}").alias(f"s{k}") for k in range(len(cols))],
-        *[F.sum(f"x{index[a]}_{index[b]}").alias(f"x{index[a]}_{index[b]}")
-          for i, a in enumerate(cols) for b in cols[i:]])
-    return profile.correlation_from_pattern_sums(sums, cols, digits)
+        alone = t.products.join(referenced, "product_id", "left_anti")
+        nothing = [c for c in [KEY, *cols_a] if c not in prod_cols]
+        raw[0] = item_rows.select(KEY, *cols_a).unionByName(alone.select(
+            *prod_cols, *[F.lit(None).cast(item_rows.schema[c].dataType).alias(c) for c in nothing]))
+    sides = [moments.centred(rows, names, own[j][0]) if names else rows for j, (rows, names) in enumerate(zip(raw, groups))]
+    orders = materialize(order_moments(sides, own), "moments")
+
+    def many(j: int):
+        return F.greatest(F.coalesce(F.col(f"n{j}"), F.lit(0)), F.lit(1)).cast("double")
+
+    across, pairs = [], [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    side_of = {i: j for j, names in enumerate(own) for i in names}
+    value = {f"{p}{i}": F.coalesce(F.col(f"{p}{i}"), F.lit(0)).cast("double") for i in range(len(cols)) for p in "csq"}
+    for i, j in pairs:
+        a, b = side_of[i], side_of[j]
+        if a == b:
+            continue
+        beside = many(3 - a - b)  # rows of the third side
+        for part, x, y in zip(moments.PARTS, "cscqcs", "ccscqs"):
+            across.append(F.sum(beside * value[f"{x}{i}"] * value[f"{y}{j}"]).alias(f"{part}_{i}_{j}"))
+    sums = [orders.agg(*across)] if across else []
+    for j, names in enumerate(own):
+        if names:
+            weight = orders.select(KEY, reduce(lambda a, b: a * b, [many(k) for k in range(3) if k != j]).alias("_w"))
+            rows = sides[j].select(KEY, *[f"_x{i}" for i in names])
+            # a row without an order, or of no other side's order, stands alone
+            weighed = (rows.filter(F.col(KEY).isNotNull()).join(weight, KEY)
+                       .unionByName(rows.filter(F.col(KEY).isNull()).withColumn("_w", F.lit(1.0))))
+            sums.append(moments.pattern_moments(weighed, len(cols), names))
+    one = sums[0]
+    for more in sums[1:]:  # one row each
+        row = more.select(F.struct(*more.columns)).scalar()
+        one = one.withColumns({c: row.getField(c) for c in more.columns})
+    return moments.correlations(one, cols, digits)
 
 
 # ------------------------------------------------------------------ G17 histogram over complete C9 rows
 
-def complete_price_histogram(t, bins: int, c9_columns) -> DataFrame:
+def complete_price_histogram(t, bins: int, c9_columns, log10: bool = False) -> DataFrame:
     """G17 over ``C9.dropna()``: price histogram of the rows with no NULL in any
     column: item rows complete on their own columns, weighted by the order's
     complete payments x complete reviews."""
@@ -198,5 +185,5 @@ def complete_price_histogram(t, bins: int, c9_columns) -> DataFrame:
     nb = t.payments.filter(complete(b_cols)).groupBy(KEY).agg(F.count(F.lit(1)).alias("_nb"))
     nc = t.reviews.filter(complete(c_cols)).groupBy(KEY).agg(F.count(F.lit(1)).alias("_nc"))
     rows = (item_rows.filter(complete(a_cols)).join(nb, KEY).join(nc, KEY)
-            .select(F.col("price").cast("double").alias("_x"), (F.col("_nb") * F.col("_nc")).alias("_w")))
-    return profile.weighted_histogram(rows, "_x", "_w", bins)
+            .select("price", (F.col("_nb") * F.col("_nc")).alias("_weight")))
+    return profile.weighted_histogram(rows, "price", "_weight", bins, log10)

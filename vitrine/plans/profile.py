@@ -14,8 +14,11 @@ from pyspark.sql import types as T
 
 from vitrine.functions.classify import review_class_fixed
 from vitrine.functions.timeutil import micros_to_ntz, ntz_to_micros
+from vitrine.operators.lineage import materialize
+from vitrine.operators.outer_join import outer_join
 from vitrine.operators.rank import exact_quantiles
 from vitrine.operators.share import ratio, share_of_total
+from vitrine.plans import moments
 
 # ------------------------------------------------------------------ counts
 
@@ -36,6 +39,7 @@ def shares_without_rare(df: DataFrame, col: str, drop_last: int, counts: DataFra
     given precomputed as (col, count)."""
     agg = counts if counts is not None else (
         df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count")))
+    agg = materialize(agg, "counts")  # read for the rare values, the rest and the total
     if drop_last > 0:
         rare = agg.orderBy(F.asc("count"), F.desc(col)).limit(drop_last).select(col)
         agg = agg.join(F.broadcast(rare), col, "left_anti")
@@ -102,15 +106,40 @@ def payment_reconciliation(wide: DataFrame, tolerance: int = 1) -> DataFrame:
 # ------------------------------------------------------------------ C9
 
 
+LOOKUPS = (("products", "product_id"), ("customers", "customer_id"), ("sellers", "seller_id"))
+
+
+def order_rows(t, orders: DataFrame | None = None) -> DataFrame:
+    """Orders left items, each with its product, customer and seller: the order side of C9.
+
+    Lookups are joined here, before payments and reviews multiply the rows."""
+    base = materialize(outer_join([t.orders if orders is None else orders, t.order_items], "order_id", [True, False]), "items")
+    rows = base
+    for name, key in LOOKUPS:
+        rows = outer_join([rows, getattr(t, name)], key, [True, False], key_rows=[base, getattr(t, name)])
+    return materialize(rows, "order-rows")
+
+
 def full_outer_wide(t) -> DataFrame:
     """The notebook's wide table: orders left items, then full outer with raw
-    payments, reviews, products, customers and sellers (m:m fan-out kept)."""
-    df = t.orders.join(t.order_items, "order_id", "left")
-    df = df.join(t.payments, "order_id", "full_outer")
-    df = df.join(t.reviews, "order_id", "full_outer")
-    df = df.join(t.products, "product_id", "full_outer")
-    df = df.join(t.customers, "customer_id", "full_outer")
-    return df.join(t.sellers, "seller_id", "full_outer")
+    payments, reviews, products, customers and sellers (m:m fan-out kept).
+
+    ``outer_join`` keeps NULL keys out of the shuffles and splits hot keys; products,
+    customers and sellers that no order names are appended as rows of their own."""
+    rows = order_rows(t)
+    out = outer_join([rows, t.payments, t.reviews], "order_id")
+    for name, key in LOOKUPS:
+        named = rows.select(key).filter(F.col(key).isNotNull()).distinct()
+        out = out.unionByName(getattr(t, name).join(named, key, "left_anti"), allowMissingColumns=True)
+    return out
+
+
+def bad_review_rows(t, threshold: int = 4) -> DataFrame:
+    """C9's rows with review_score < threshold, joined from the filtered reviews: orders without
+    such a review are dropped before any other join."""
+    bad = t.reviews.filter(F.col("review_score") < threshold)
+    orders = t.orders.join(bad.select("order_id").distinct(), "order_id", "left_semi")
+    return outer_join([bad, order_rows(t, orders), t.payments], "order_id", [True, False, False])
 
 
 # ------------------------------------------------------------------ G13
@@ -139,8 +168,13 @@ def with_date_parts(df: DataFrame, ts: str = "order_purchase_timestamp") -> Data
 
 
 def parse_timestamp(c: Column) -> Column:
-    """``to_datetime(errors='coerce')`` -- unparsable text becomes NULL."""
-    return F.try_to_timestamp(c)
+    """``to_datetime(errors='coerce')`` -- unparsable text becomes NULL; no time zone is involved."""
+    return c.try_cast("timestamp_ntz")
+
+
+def coerce_dates(df: DataFrame, cols) -> DataFrame:
+    """H15 on text columns, in place."""
+    return df.withColumns({c: parse_timestamp(F.col(c)) for c in cols})
 
 
 # ------------------------------------------------------------------ G9, G10, G15
@@ -236,76 +270,49 @@ def frequencies(df: DataFrame, cols=None) -> DataFrame:
                                       F.sum(F.col("v").isNull().cast("int")).alias("missing"))
 
 
+def sketched_frequencies(df: DataFrame, cols=None, rsd: float = 0.02) -> DataFrame:
+    """G10 by one mergeable sketch per column: one pass, and no value is shuffled.
+
+    ``unique_values`` is an estimate with relative standard deviation ``rsd`` (it lies within 3 ``rsd``
+    of the exact number nearly always); ``missing`` is exact."""
+    cols = list(cols or df.columns)
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for i, c in enumerate(cols):
+        aggs += [F.approx_count_distinct(F.col(c), rsd).alias(f"_u{i}"), F.count(c).alias(f"_n{i}")]
+    rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"_u{i}").alias("unique_values"),
+                     (F.col("_rows") - F.col(f"_n{i}")).alias("missing")) for i, c in enumerate(cols)]
+    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
+
+
 def correlation_matrix(df: DataFrame, cols, digits: int = 2) -> DataFrame:
     """Pairwise Pearson correlation, each pair over rows where both are non-NULL
-    (as pandas does), from exact sums; ``corr_rounded`` as the notebook prints it.
+    (as pandas does); ``corr_rounded`` as the notebook prints it.
 
-    Rows are first reduced per NULL pattern (a bit mask of present columns, at
-    most 2^k groups): per pattern one count, k sums and k(k+1)/2 cross sums.  The
-    pairwise sums are then sums over the patterns where both columns are
-    present -- k(k+1)/2 + k + 1 accumulators per row instead of 3k(k+1).
-    """
+    Co-moments about each column's median (``moments``), reduced per NULL pattern: a bit mask of
+    present columns, at most 2^k groups."""
     cols = list(cols)
-    mask = F.lit(0)
-    for i, c in enumerate(cols):
-        mask = mask + F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(exact(df, c)).alias(f"s{i}") for i, c in enumerate(cols)]
-    aggs += [F.sum(exact(df, a) * exact(df, b)).alias(f"x{i}_{j}")
-             for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-    per_mask = df.withColumn("_mask", mask).groupBy("_mask").agg(*aggs)
-    return correlation_from_pattern_sums(per_mask, cols, digits)
-
-
-def correlation_from_pattern_sums(per_mask: DataFrame, cols, digits: int = 2) -> DataFrame:
-    """G15 tail: from per-NULL-pattern sums (``_mask``, ``n``, ``s{i}``, ``x{i}_{j}``;
-    at most 2^k rows) to one row per ordered column pair."""
-    cols = list(cols)
-    k = len(cols)
-
-    def both(i, j):
-        bits = (1 << i) | (1 << j)
-        return (F.col("_mask").bitwiseAND(F.lit(bits))) == F.lit(bits)
-
-    pair_aggs = []
-    for i in range(k):
-        for j in range(i, k):
-            cond = both(i, j)
-            pair_aggs += [F.sum(F.when(cond, F.col("n"))).alias(f"n_{i}_{j}"),
-                          F.sum(F.when(cond, F.col(f"s{i}"))).alias(f"sa_{i}_{j}"),
-                          F.sum(F.when(cond, F.col(f"s{j}"))).alias(f"sb_{i}_{j}"),
-                          F.sum(F.when(cond, F.col(f"x{i}_{i}"))).alias(f"saa_{i}_{j}"),
-                          F.sum(F.when(cond, F.col(f"x{j}_{j}"))).alias(f"sbb_{i}_{j}"),
-                          F.sum(F.when(cond, F.col(f"x{i}_{j}"))).alias(f"sab_{i}_{j}")]
-    sums = per_mask.agg(*pair_aggs)
-    rows = []
-    for i in range(k):
-        for j in range(i, k):
-            tag = f"{i}_{j}"
-            n = F.col(f"n_{tag}").cast("decimal(20,0)")
-            sa, sb, saa, sbb, sab = (F.col(f"{c}_{tag}") for c in ("sa", "sb", "saa", "sbb", "sab"))
-            # subtracted as decimals: as doubles nearly equal products would cancel
-            cross, da, db = ((n * x - y * z).cast("double") for x, y, z in ((sab, sa, sb), (saa, sa, sa), (sbb, sb, sb)))
-            r = F.try_divide(cross, F.sqrt(da) * F.sqrt(db))
-            rows.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), r.alias("corr")))
-            if i != j:
-                rows.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(cols[i]).alias("col_b"), r.alias("corr")))
-    rounded = F.bround("corr", digits)
-    # one sign of zero, whatever the engine's rounding returns for tiny negatives
-    return (sums.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
-            .withColumn("corr_rounded", F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)))
-
-
-def weighted_histogram(rows: DataFrame, x: str, w: str, bins: int) -> DataFrame:
+    rows = moments.centred(df, cols).withColumn("_w", F.lit(1.0))
+    sums = moments.pattern_moments(rows, len(cols), range(len(cols)))
+    return moments.correlations(sums, cols, digits)
+
+
+def weighted_histogram(rows: DataFrame, x: str, w: str, bins: int, log10: bool = False) -> DataFrame:
     """G17 on weighted rows (a row standing for ``w`` identical rows): equal-width
-    bins between min and max of the rows with positive weight."""
+    bins between min and max of the rows with positive weight; ``log10`` bins log10(x) of positive x.
+
+    The weights are added up by value and written once; bounds and bins both come from that table."""
     v = rows.filter(F.col(x).isNotNull() & (F.col(w) > 0))
-    bounds = v.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
+    if log10:
+        v = v.filter(F.col(x) > 0)
+    v = materialize(v.groupBy(x).agg(F.sum(w).alias("_w")), "weights")
+    value = F.col(x).cast("double")
+    v = v.select((F.log10(value) if log10 else value).alias("_x"), "_w")
+    bounds = v.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar()
     lo, hi = bounds.getField("lo"), bounds.getField("hi")
-    width = (hi - lo) / F.lit(float(bins))
-    b = F.when(width > 0, F.least(F.floor((F.col(x) - lo) / width), F.lit(bins - 1))).otherwise(0)
+    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
+    b = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)
     return (v.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("bin", b.cast("int"))
-            .groupBy("bin", "_lo", "_hi").agg(F.sum(w).cast("bigint").alias("count"))
+            .groupBy("bin", "_lo", "_hi").agg(F.sum("_w").cast("bigint").alias("count"))
             .withColumn("bin_lo", F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / bins)
             .withColumn("bin_hi", F.col("_lo") + (F.col("bin") + 1) * (F.col("_hi") - F.col("_lo")) / bins)
             .select("bin", "bin_lo", "bin_hi", "count"))
