@@ -62,3 +62,42 @@ def test_delivery_days(spark):
     df = spark.createDataFrame([(dt.datetime(2018, 1, 1, 23), dt.datetime(2018, 1, 5, 1))],
                                "order_purchase_timestamp timestamp, order_delivered_customer_date timestamp")
     assert io.delivery_days(df).first().delivery_days == 4
+
+
+def test_rejects_are_kept_beside_the_good_rows(spark, tmp_path):
+    p = tmp_path / "orders.csv"
+    p.write_text("order_id,customer_id,order_status,order_purchase_timestamp,order_approved_at,order_delivered_carrier_date,"
+                 "order_delivered_customer_date,order_estimated_delivery_date\n"
+                 "1,10,delivered,2018-01-01 10:00:00,bad,,2018-13-40,2018-02-01\n"
+                 "x,10,delivered,2018-01-01 10:00:00,,,,\n"
+                 "2,11,shipped,2018-01-02 10:00:00,2018-01-03 00:00:00,,,too,many,columns\n", encoding="utf-8")
+    schema = ("order_id bigint, customer_id bigint, order_status string, order_purchase_timestamp timestamp, "
+              "order_approved_at timestamp, order_delivered_carrier_date timestamp, "
+              "order_delivered_customer_date timestamp, order_estimated_delivery_date timestamp")
+    good, rejects = io.read_csv_checked(spark, "orders", str(p), schema=schema)
+    one = good.collect()
+    assert [r.order_id for r in one] == [1] and one[0].order_approved_at is None and one[0].order_delivered_customer_date is None
+    assert one[0].order_estimated_delivery_date == dt.datetime(2018, 2, 1)
+    assert rejects.count() == 2 and rejects.filter("line like 'x,%'").count() == 1
+
+
+def test_written_table_comes_back_equal(spark, tmp_path):
+    rows = [(1, 'a "quoted" ; text\nwith breaks\r\nand more'), (2, ""), (3, None), (4, "  blanks  "), (5, "\\"), (6, 'end"'),
+            (7, "x" * 300_000), (8, ",;\t"), (9, "não é")]
+    schema = "review_id bigint, review_comment_message string"
+    df = spark.createDataFrame(rows, schema)
+    io.write_csv(df, str(tmp_path / "out"))
+    good, rejects = io.read_csv_checked(spark, "reviews", str(tmp_path / "out"), sep=";", schema=schema)
+    assert {r[0]: r[1] for r in good.collect()} == dict(rows) and rejects.count() == 0
+
+
+def test_order_files_are_split_and_messages_are_not(spark, tmp_path):
+    lines = "\n".join(f"{k},{k},delivered,2018-01-01 10:00:00,,,," for k in range(60_000))
+    (tmp_path / "orders.csv").write_text("a,b,c,d,e,f,g,h\n" + lines, encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        assert io.read_csv(spark, "orders", str(tmp_path / "orders.csv")).rdd.getNumPartitions() > 4
+        assert io.read_csv(spark, "orders", str(tmp_path / "orders.csv"), multiline=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

@@ -10,21 +10,23 @@ partitionings.  ``rounding`` is only for genuinely floating computations.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.functions import classify, labels
-from vitrine.operators import share
+from vitrine.operators import lineage, share
 from vitrine.oracle import VIEWS, WIDE_CTES, with_ctes
 from vitrine.operators import wide as W
 from vitrine.operators.lineage import materialize
 from vitrine.params import Params
+from vitrine.session import ensure_checkpoint_dir
 from vitrine.plans import basket, category, geo, listing, outer, payment, price, profile, text, whatif
-from vitrine.sources import fixtures
+from vitrine.sources import fixtures, io
 
 # Stand-in parameters (FIXTURES.md §2): focus = PROMO + SMALL merged into
 # "nova_casa", two of five regions, a closed price window, top 3.
@@ -62,7 +64,7 @@ DECIMAL_OUTPUTS = {
     "m17_price_quartile_class_order_grain": ["gross_sales", "min_order", "max_order"],
     "b18_price_bounds": ["min_value", "max_value"],
     "b19_payment_reconciliation": ["order_total_price", "total_payment_value", "diff"],
-    "h7_h9_state_money_labels": ["gross_sales"],
+    "h7_h9_state_money_labels": ["gross_sales"], "h6_h9_column_digits": ["gross_sales"],
 }
 
 # Integer columns that hold NULLs (missing listing attributes, outer-join keys)
@@ -73,6 +75,11 @@ NULLABLE_INT_OUTPUTS = {
     "c12_items_wide": _LISTING_INTS, "q2_description_sextiles": ["product_description_lenght"],
     "m21_sextile_class": ["min_caracters_desc", "max_caracters_desc"],
     "m22_cell_table": ["min_caracters_desc", "max_caracters_desc"],
+    "x1_x6_whatif_parts": ["fotos", "caracteres", "best_min_caracters_desc", "best_max_caracters_desc",
+                           "best_sales_min_caracters_desc", "best_sales_max_caracters_desc"],
+    "x2_cell_bounds": ["fotos", "caracteres", "min_characters", "max_characters"],
+    "u1_appended_scenarios": ["order_id", "order_item_id", "review_id", *_LISTING_INTS, "scenario_id"],
+    "h15_h18_order_times": ["delivery_days"],
     "x1_x6_whatif": ["fotos", "best_min_caracters_desc", "best_max_caracters_desc",
                      "best_sales_min_caracters_desc", "best_sales_max_caracters_desc"],
     "b16_duplicated_review_orders": ["review_score"],
@@ -139,13 +146,33 @@ def _tables(spark, sf_dir):
 _SHARED: dict[tuple, DataFrame] = {}
 
 
+def _listing(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, size and time of every file below a folder: a changed folder is a new one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.listFiles(path, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def shared(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    k = (spark.sparkContext.applicationId, *key)
+    """``key``: a name, the folder and parameters."""
+    k = (spark.sparkContext.applicationId, *key, _listing(spark, key[1]))
     if k not in _SHARED:
         _SHARED[k] = materialize(build())
     return _SHARED[k]
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes this application's shared tables and every other table that ``materialize`` wrote for it."""
+    for k in [k for k in _SHARED if k[0] == spark.sparkContext.applicationId]:
+        del _SHARED[k]
+    lineage.release(spark)
+
+
 def wide_table(spark, sf_dir, statuses=("delivered",), review_mode: str = "both_max") -> DataFrame:
     st = tuple(statuses) if statuses is not None else None
     return shared(spark, ("items_wide", sf_dir, st, review_mode),
@@ -157,7 +184,8 @@ def selected(spark, sf_dir, p: Params) -> DataFrame:
 
 
 def focus(spark, sf_dir, p: Params) -> DataFrame:
-    return classify.focus(selected(spark, sf_dir, p), p)
+    wide = wide_table(spark, sf_dir, p.statuses, p.review_mode)
+    return classify.selected(wide.filter(classify.in_focus(F.col("product_category_name"), p)), p)
 
 
 def fixtures_sql(name: str) -> str:
@@ -521,6 +549,45 @@ register("x1_x6_whatif", with_ctes(WHATIF_SQL, DASH,
     lambda spark, d: _whatif_spark(spark, d, DASH))
 
 
+register("x1_x6_whatif_parts", with_ctes(WHATIF_SQL.replace("f_scenarios", "f_part_scenarios"), DASH,
+                                         extra={**SOL_CTES, "cells": M22_SQL,
+                                                "f_part_scenarios": fixtures_sql("f_part_scenarios")}))(
+    lambda spark, d: whatif.recommend(solution(spark, d, DASH), listing.cell_table(solution(spark, d, DASH)),
+                                      fixtures.scenarios_from_parts(spark, d)))
+
+# every scenario ranked anew among all rows
+register("x2_cell_bounds", with_ctes(f"""
+select s.scenario_id, s.fotos, s.caracteres, s.frete, s.quantil_desc, s.bucket_photos,
+       least(min(r.len), max(s.caracteres)) as min_characters,
+       greatest(max(r.len), max(s.caracteres)) as max_characters
+from (select *, {_sextile_case('_q')} as quantil_desc, {PHOTO_SQL.replace('product_photos_qty', 'fotos')} as bucket_photos
+      from (select f.*, case when caracteres is null then null else
+              (10000 * (select count(*) from base where len <= f.caracteres)) // ((select count(*) from base) + 1) + 1 end as _q
+            from f_part_scenarios f) q) s
+left join (select f.scenario_id, b.len, b.bucket_photos,
+                  (10000 * (b.rank + (case when b.len > f.caracteres then 1 else 0 end) - 1))
+                  // ((select count(*) from base) + 1) + 1 as _q
+           from f_part_scenarios f cross join base b where f.caracteres is not null) r
+  on r.scenario_id = s.scenario_id and r.bucket_photos is not distinct from s.bucket_photos
+     and {_sextile_case('r._q')} = s.quantil_desc
+group by 1, 2, 3, 4, 5, 6""", DASH, extra={
+    **SOL_CTES, "f_part_scenarios": fixtures_sql("f_part_scenarios"),
+    "base": "select product_description_lenght as len, bucket_photos, row_number() over (order by "
+            "product_description_lenght, order_id, order_item_id, review_id) as rank "
+            "from sol where product_description_lenght is not null"}))(
+    lambda spark, d: whatif.cell_bounds(solution(spark, d, DASH), fixtures.scenarios_from_parts(spark, d)))
+
+register("u1_appended_scenarios", with_ctes("""
+select order_id, order_item_id, review_id, product_photos_qty, product_description_lenght, null as scenario_id from sol
+union all select null, null, null, fotos, caracteres, scenario_id from f_part_scenarios""", DASH, extra={
+    **SOL_CTES, "f_part_scenarios": fixtures_sql("f_part_scenarios")}))(
+    lambda spark, d: io.append_rows(
+        solution(spark, d, DASH).select("order_id", "order_item_id", "review_id", "product_photos_qty", "product_description_lenght"),
+        fixtures.scenarios_from_parts(spark, d).select(
+            F.col("fotos").cast("bigint").alias("product_photos_qty"),
+            F.col("caracteres").cast("bigint").alias("product_description_lenght"), "scenario_id")))
+
+
 # ---------------------------------------------------------------- G8, G16-G18 price statistics
 
 register("g8_order_total_quantiles", with_ctes("""
@@ -587,16 +654,25 @@ def c9(spark, d) -> DataFrame:
 
 HIST_BINS = 50
 _complete = " and ".join(f"{c} is not null" for c in C9_COLUMNS)
-register("g17_price_histogram", c9_sql(f"""
+for _suffix, _of in (("", "cast(price as double)"), ("_log10", "log10(cast(price as double))")):
+    register(f"g17_price_histogram{_suffix}", c9_sql(f"""
+select bin, _lo + bin * (_hi - _lo) / {HIST_BINS} as bin_lo, _lo + (bin + 1) * (_hi - _lo) / {HIST_BINS} as bin_hi,
+       count(*) as count
+from (select _lo, _hi, cast(case when _hi - _lo > 0 then least(floor((x - _lo) / ((_hi - _lo) / {float(HIST_BINS)})),
+                                                      {HIST_BINS - 1}) else 0 end as int) as bin
+      from (select {_of} as x from c9 where {_complete} and price > 0) v
+      cross join (select min({_of}) as _lo, max({_of}) as _hi
+                  from c9 where {_complete} and price > 0) b) t
+group by bin, _lo, _hi""" if _suffix else f"""
 select bin, _lo + bin * (_hi - _lo) / {HIST_BINS} as bin_lo, _lo + (bin + 1) * (_hi - _lo) / {HIST_BINS} as bin_hi,
        count(*) as count
 from (select _lo, _hi, cast(case when _hi - _lo > 0 then least(floor((x - _lo) / ((_hi - _lo) / {float(HIST_BINS)})),
                                                       {HIST_BINS - 1}) else 0 end as int) as bin
-      from (select cast(price as double) as x from c9 where {_complete}) v
-      cross join (select min(cast(price as double)) as _lo, max(cast(price as double)) as _hi
+      from (select {_of} as x from c9 where {_complete}) v
+      cross join (select min({_of}) as _lo, max({_of}) as _hi
                   from c9 where {_complete}) b) t
-group by bin, _lo, _hi"""))(
-    lambda spark, d: outer.complete_price_histogram(_tables(spark, d), HIST_BINS, C9_COLUMNS))
+group by bin, _lo, _hi"""), {"bin_lo": 9, "bin_hi": 9} if _suffix else None)(
+        lambda spark, d, log=bool(_suffix): outer.complete_price_histogram(_tables(spark, d), HIST_BINS, C9_COLUMNS, log))
 
 # ---------------------------------------------------------------- profiles, checks
 
@@ -764,30 +840,39 @@ register("n4_top_words", c9_sql("select * from wc order by count desc, word asc
     lambda spark, d: text.top_words(_word_counts(spark, d), 100))
 
 
-# the stand-in orders have one time only, so three of the extract's dates do not exist here
-N5_COLUMNS = [c for c in text.BAD_REVIEW_COLUMNS if c in C9_COLUMNS + ["review_comment_message"]]
+N5_COLUMNS = text.BAD_REVIEW_COLUMNS
 N5_KEYS = ["order_id", "order_item_id", "review_id", "payment_type", "payment_value"]
-N5_MESSAGES = {"f_messages": "select doc_id as review_id, text as review_comment_message from documents"}
+N5_VIEWS = {"f_messages": "select doc_id as review_id, text as review_comment_message from documents",
+            "f_order_times": VIEWS["f_order_times"]}
+N5_FROM = "from c9 left join f_messages using (review_id) left join f_order_times using (order_id) where review_score < 4"
 
 
-def _c9_with_messages(spark, d) -> DataFrame:
-    return c9(spark, d).join(fixtures.messages(spark, d), "review_id", "left")
+def _bad_reviews(spark, d, columns) -> DataFrame:
+    t = _tables(spark, d)
+    t = replace(t, orders=profile.coerce_dates(fixtures.orders_with_times(spark, d), fixtures.ORDER_TIMES))
+    rows = profile.bad_review_rows(t).join(fixtures.messages(spark, d), "review_id", "left")
+    return text.bad_reviews(rows, columns=columns)
 
 
-register("n5_bad_reviews", c9_sql(
-    "select " + ", ".join(N5_COLUMNS) + " from c9 left join f_messages using (review_id) where review_score < 4",
-    extra=N5_MESSAGES))(
-    lambda spark, d: text.bad_reviews(_c9_with_messages(spark, d), columns=N5_COLUMNS))
+register("n5_bad_reviews", c9_sql("select " + ", ".join(N5_COLUMNS) + f" {N5_FROM}", extra=N5_VIEWS))(
+    lambda spark, d: _bad_reviews(spark, d, N5_COLUMNS))
 
 register("n5_bad_review_sample", c9_sql(
-    "select " + ", ".join(N5_COLUMNS) + " from c9 left join f_messages using (review_id) where review_score < 4 and "
-    + " and ".join(f"{c} is not null" for c in N5_COLUMNS)
+    "select " + ", ".join(N5_COLUMNS) + f" {N5_FROM} and " + " and ".join(f"{c} is not null" for c in N5_COLUMNS)
     + f" order by md5(concat_ws('|', '42', {', '.join(N5_KEYS)})), {', '.join(N5_COLUMNS)} limit 250",
-    extra=N5_MESSAGES))(
+    extra=N5_VIEWS))(
     lambda spark, d: text.complete_sample(
-        text.bad_reviews(_c9_with_messages(spark, d), columns=list(dict.fromkeys(N5_COLUMNS + N5_KEYS)))
+        _bad_reviews(spark, d, list(dict.fromkeys(N5_COLUMNS + N5_KEYS)))
         .select(*N5_COLUMNS, *[F.col(k).alias(f"_key_{k}") for k in N5_KEYS]), [f"_key_{k}" for k in N5_KEYS]))
 
+register("h15_h18_order_times", with_ctes("""
+select order_id, order_purchase_timestamp, order_approved_at, order_delivered_carrier_date, order_delivered_customer_date,
+       order_estimated_delivery_date,
+       cast(order_delivered_customer_date as date) - cast(order_purchase_timestamp as date) as delivery_days
+from f_order_times""", views=["f_order_times"], wide=False))(
+    lambda spark, d: io.delivery_days(profile.coerce_dates(fixtures.orders_with_times(spark, d), fixtures.ORDER_TIMES))
+    .select("order_id", *fixtures.ORDER_TIMES, "delivery_days"))
+
 
 # ---------------------------------------------------------------- G2-G4, W1 building blocks
 
@@ -1030,6 +1115,118 @@ group by 1""", SCRIPT, extra={"order_totals": ORDER_TOTALS_SQL}), {"sd": 6})(
         ["total_gross_sale", "number_products"]))
 
 
+# ---------------------------------------------------------------- formatted tables and labels
+
+register("m3_category_table_formatted", with_ctes(f"""
+select product_category_name, number_products,
+       'R$' || translate(format('{{:,.0f}}', cast(round_even(total_gross_sale / 1000.0, 0) as double)), ',.', '.,') || 'k'
+         as total_gross_sale,
+       format('{{:.2f}}', round_even(alta * 100.0 / 0.01, 0) * 0.01) || '%' as alta,
+       format('{{:.2f}}', round_even(baixa * 100.0 / 0.01, 0) * 0.01) || '%' as baixa,
+       'R$' || translate(format('{{:,.2f}}', mean_price), ',.', '.,') as mean_price
+from m3""", DASH, extra={"m1": M1_SQL, "top": _top_sql(DASH.top_n), "m3": M3_SQL}))(
+    lambda spark, d: category.formatted_table(
+        category.category_table(category.category_class_summary(selected(spark, d, DASH)), DASH.top_n)))
+
+
+def _digits_sql(src: str, col: str, scale: float) -> str:
+    """Digits that a formatter takes from a whole column."""
+    return f"""
+select case when g is null or g < 1.5e-8 then 0
+            else greatest(case when bool_and(((cast(round_even(x * pow(10.0, 1 - floor(log10(g))), 0) as hugeint) % 10) + 10) % 10 = 0)
+                               then -floor(log10(g)) else 1 - floor(log10(g)) end, 0) end as digits
+from (select x, min(gap) over () as g from (
+  select x, x - lag(x) over (order by x) as gap from (
+    select distinct round(cast({col} as double) * {float(scale)}, 10) as x from {src} where {col} is not null) a) b) c
+group by g"""
+
+
+def _number_sql(x: str, digits: str, scale: float, suffix: str, marks: bool) -> str:
+    cases = []
+    for k in range(10):
+        text = f"format('{{:{',' if marks else ''}.{k}f}}', round_even(cast({x} as double) * {float(scale)}, {k}))"
+        cases.append(f"when {digits} = {k} then " + (f"translate({text}, ',.', '.,')" if marks else text))
+    return f"(case {' '.join(cases)} end) || '{suffix}'"
+
+
+# formatters without an accuracy take their digits from the whole column
+register("h6_h9_column_digits", with_ctes(f"""
+select Estado, prop, gross_sales, {_number_sql('prop', 'p.digits', 100.0, '%', False)} as prop_label,
+       {_number_sql('gross_sales', 'g.digits', 1.0, '', True)} as gross_label
+from st, ({_digits_sql('st', 'prop', 100.0)}) p, ({_digits_sql('st', 'gross_sales', 1.0)}) g""",
+    SCRIPT, extra={"st": _state_sql(None)}))(
+    lambda spark, d: _column_digits(spark, d))
+
+
+def _column_digits(spark, d) -> DataFrame:
+    st = materialize(geo.state_metrics(focus(spark, d, SCRIPT)))
+    st = labels.with_column_accuracy(st, "prop", 100.0, "_p")
+    st = labels.with_column_accuracy(st, "gross_sales", 1.0, "_g")
+    return st.select("Estado", "prop", "gross_sales",
+                     labels.number(F.col("prop"), F.col("_p"), 100.0, "%").alias("prop_label"),
+                     labels.number(F.col("gross_sales"), F.col("_g"), marks=True).alias("gross_label"))
+
+
+register("g14_payment_type_labels", c9_sql("""
+select payment_type, count, format('{:.1f}', 100.0 * count / sum(count) over ()) || '%' as percent_label,
+       format('{:.2f}', count / 1000.0) || 'k' as thousands_label
+from (select payment_type, count(*) as count from c9 where payment_type is not null group by 1) t"""))(
+    lambda spark, d: _bar_labels(materialize(outer.payment_type_counts(_tables(spark, d), c9_keys(spark, d)))))
+
+
+def _bar_labels(counts: DataFrame) -> DataFrame:
+    total = counts.agg(F.sum("count")).scalar()
+    return counts.select("payment_type", "count", labels.bar_percent(F.col("count"), total).alias("percent_label"),
+                         labels.bar_thousands(F.col("count")).alias("thousands_label"))
+
+
+# ---------------------------------------------------------------- A1, A4, A5 files; G10 by sketch
+
+CSV_ORDERS = ("order_id bigint, customer_id bigint, order_status string, "
+              + ", ".join(f"{c} string" for c in fixtures.ORDER_TIMES))
+
+
+def _csv_path(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/vitrine-tables/{name}-{uuid.uuid4().hex}"
+
+
+def _orders_through_csv(spark, d) -> DataFrame:
+    """Orders written as CSV with their dates as text, read back with the dates coerced."""
+    path = _csv_path(spark, "orders-csv")
+    io.write_csv(fixtures.orders_with_times(spark, d), path)
+    good, _ = io.read_csv_checked(spark, "orders", path, sep=";", schema=CSV_ORDERS)
+    return good
+
+
+def _messages_through_csv(spark, d) -> DataFrame:
+    """Messages with line breaks, quotes and separators written as CSV and read back whole."""
+    path = _csv_path(spark, "messages-csv")
+    io.write_csv(fixtures.messages(spark, d), path)
+    schema = "review_id bigint, review_comment_message string"
+    good, _ = io.read_csv_checked(spark, "reviews", path, sep=";", schema=schema)
+    return good
+
+
+register("a1_a5_orders_csv", with_ctes("""
+select o.order_id, o.customer_id, o.order_status, t.* exclude (order_id)
+from f_orders o join f_order_times t on t.order_id = o.order_id""", views=["f_orders", "f_order_times"], wide=False))(
+    _orders_through_csv)
+
+register("a1_a5_messages_csv", "select doc_id as review_id, text as review_comment_message from documents")(
+    _messages_through_csv)
+
+register("a4_translated_products", with_ctes("""
+select product_id, product_category_name,
+       case when product_category_name <> 'PROMO' then lower(product_category_name) end as product_category_name_english
+from f_products""", views=["f_products"], wide=False))(
+    lambda spark, d: io.translate_categories(fixtures.products(spark, d), fixtures.category_translation(spark, d))
+    .select("product_id", "product_category_name", "product_category_name_english"))
+
+# an estimate: tests hold it against the exact numbers
+register("g10_order_frequencies_sketch", None)(
+    lambda spark, d: profile.sketched_frequencies(fixtures.orders(spark, d)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q.run for name, q in REGISTRY.items()}
 

@@ -55,6 +55,13 @@ def selected(wide: DataFrame, p: Params) -> DataFrame:
                                           p.new_category_name))
 
 
+def in_focus(cat: Column, p: Params) -> Column:
+    """B9 before B8: the category as it stands in the table is merged into the focus, or is named like it.
+
+    A filter on the merged name cannot reach the scan; this one can."""
+    return cat.isin(*dict.fromkeys([*(p.merge_categories or ()), p.new_category_name]))
+
+
 def focus(sel: DataFrame, p: Params) -> DataFrame:
     """The (possibly merged) focus category."""
     return sel.filter(F.col("product_category_name") == F.lit(p.new_category_name))

@@ -50,6 +50,24 @@ select s_suppkey as seller_id, n_name as seller_state from supplier join nation
 select n_name as Sigla, lower(n_name) as Estado, r_name as Region from nation join region on n_regionkey = r_regionkey""",
     "f_state_map": """
 select n_name as nome, concat('POINT(', cast(n_nationkey as varchar(10)), ' 0)') as geometry from nation""",
+    "f_order_times": """
+select order_id, try_cast(t0 as timestamp) as order_purchase_timestamp, try_cast(t1 as timestamp) as order_approved_at,
+       try_cast(t2 as timestamp) as order_delivered_carrier_date, try_cast(t3 as timestamp) as order_delivered_customer_date,
+       try_cast(t4 as timestamp) as order_estimated_delivery_date
+from (select o_orderkey as order_id, cast(cast(o_orderdate as date) as varchar) || ' 00:00:00' as t0,
+             case when o_orderkey % 17 = 0 then 'bad'
+                  else cast(cast(o_orderdate as date) + cast(o_orderkey % 3 as int) as varchar) || ' 10:30:00' end as t1,
+             case when o_orderkey % 19 = 0 then '2020-13-45 00:00:00'
+                  else cast(cast(o_orderdate as date) + cast(1 + o_orderkey % 4 as int) as varchar) || ' 08:00:00' end as t2,
+             case when o_orderkey % 23 = 0 then '' when o_orderkey % 29 <> 0
+                  then cast(cast(o_orderdate as date) + cast(4 + o_orderkey % 10 as int) as varchar) || ' 17:45:10' end as t3,
+             cast(cast(o_orderdate as date) + cast(10 + o_orderkey % 5 as int) as varchar) as t4
+      from orders) x""",
+    "f_part_scenarios": """
+select cast(p_partkey as bigint) as scenario_id, cast(nullif(p_size % 9, 0) as int) as fotos,
+       cast(case when p_partkey % 40 <> 0 then (p_partkey * 53) % 4000 end as int) as caracteres,
+       1.0::double + cast(p_partkey % 20 as double) * 0.5 as frete
+from part""",
     "f_scenarios": """
 select * from (values (1, 3, 1000, 2.5), (2, 1, 100, 10.0), (3, 6, 500, 10.0), (4, 7, 3099, 1.0), (5, cast(null as int), 700, 1.0))
   as t(scenario_id, fotos, caracteres, frete)""",

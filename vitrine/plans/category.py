@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.functions import labels
 from vitrine.functions.aggregates import strict_sum
 from vitrine.functions.classify import BAD, GOOD
 from vitrine.operators.share import mean, ratio, share_within, top_n_with_ties
@@ -31,11 +32,9 @@ def top_categories(m1: DataFrame, n: int, drop_null_first: bool = True) -> DataF
 def category_table(m1: DataFrame, n: int, drop_null_first: bool = True) -> DataFrame:
     """M3: per top category: gross sales, items, alta/baixa shares, mean price.
 
-    The top-n list has one row per category (bounded by the category domain),
-    so the semi join against it is broadcast.
     """
     top = top_categories(m1, n, drop_null_first).select(CAT)
-    m2 = m1.join(F.broadcast(top), CAT, "left_semi")
+    m2 = m1.join(top, CAT, "left_semi")
     return (m2.groupBy(CAT).agg(
         F.sum("total_gross_sale").alias("total_gross_sale"),
         F.sum("number_products").alias("number_products"),
@@ -45,6 +44,13 @@ def category_table(m1: DataFrame, n: int, drop_null_first: bool = True) -> DataF
         .orderBy(F.desc("number_products")))
 
 
+def formatted_table(table: DataFrame) -> DataFrame:
+    """M3 as the dashboard prints it: shares to two decimals, gross sales in thousands, mean price in reais."""
+    return table.select(CAT, labels.k_reais(F.col("total_gross_sale")).alias("total_gross_sale"), "number_products",
+                        labels.percent(F.col(GOOD), 0.01).alias(GOOD), labels.percent(F.col(BAD), 0.01).alias(BAD),
+                        labels.reais(F.col("mean_price")).alias("mean_price"))
+
+
 def share_pivot(m1: DataFrame) -> DataFrame:
     """M4: percent_notas pivoted to one column per class (fixed value list)."""
     return m1.groupBy(CAT).pivot(CLS, [GOOD, BAD]).agg(F.first("percent_notas"))

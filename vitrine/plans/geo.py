@@ -1,7 +1,7 @@
 """Region and state metrics M11-M16.
 
 States and regions are fixed domains (tens of rows), so their aggregates are
-tiny; the map join (C7) broadcasts the metric side.
+tiny.
 """
 
 from __future__ import annotations
@@ -34,17 +34,15 @@ def state_metrics(foc: DataFrame, review_class: str | None = None, accuracy: flo
 
 
 def state_map_metrics(state_map: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Every map state kept, metrics NULL where a state has no rows.
-
-    The metric side has one row per state (bounded by the state domain)."""
-    return state_map.join(F.broadcast(metrics), "nome", "left")
+    """Every map state kept, metrics NULL where a state has no rows."""
+    return state_map.join(metrics, "nome", "left")
 
 
 def state_map_with_codes(state_map: DataFrame, states: DataFrame) -> DataFrame:
     """B12 (+C7 variant): map states joined to the state list on the upper-cased
     name, code renamed to ``customer_state``.  The state list is a fixed domain."""
     codes = states.select(F.upper("Estado").alias("nome"), F.col("Sigla").alias("customer_state"), "Region")
-    return state_map.join(F.broadcast(codes), "nome", "left")
+    return state_map.join(codes, "nome", "left")
 
 
 def unmatched_states(metrics: DataFrame, state_map: DataFrame) -> DataFrame:

@@ -3,8 +3,7 @@
 Messages are processed row by row (trap S15: the notebook glued them together
 without a separator and printed missing ones as "nan"; here each message is
 tokenised on its own and NULLs are skipped).  Tokenising is ``split`` +
-``explode``; stop words are removed with a left-anti join against a broadcast
-list (a fixed word list, bounded); counting is a partial/final aggregate, so
+``explode``; stop words are removed with a left-anti join; counting is a partial/final aggregate, so
 very frequent words never gather in one task.
 """
 
@@ -49,7 +48,7 @@ def kept_tokens(messages: DataFrame, stops: DataFrame, col: str = "review_commen
                 weight: str | None = None) -> DataFrame:
     """Tokens that are not stop words and do not start with ``http``."""
     t = tokens(messages, col, weight).filter(~F.col("token").startswith("http"))
-    return t.join(F.broadcast(stops.select(F.col("word").alias("token"))), "token", "left_anti")
+    return t.join(stops.select(F.col("word").alias("token")), "token", "left_anti")
 
 
 def word_counts(messages: DataFrame, stops: DataFrame, col: str = "review_comment_message",

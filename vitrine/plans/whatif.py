@@ -11,8 +11,9 @@ here a table of scenarios is placed against the focus rows in one job:
   photo buckets x sextiles, broadcast), X4 best cell (one row), X5 uplift
   with ``try_divide`` (NULL where the reference would divide by zero), X6 text.
 
-X2 (min/max characters of the re-cut cell) is computed but never displayed by
-the reference and is not produced here.
+* X2 bounds of the scenario's cell among the N+1 rows (``cell_bounds``).  The cuts depend on
+  N+1 alone, and a scenario in a cell always takes the place of the cell's last row:
+  so one table of bounds, cut at the shifted ranks, serves every scenario.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import labels
 from vitrine.operators.lineage import materialize
-from vitrine.operators.rank import label_from_index, ntile_index, prefix_before
+from vitrine.operators.rank import (boundary_rows, first_rank, join_null_safe, label_from_index, ntile_index,
+                                    prefix_before)
 from vitrine.operators.share import best_row
-from vitrine.plans.listing import SEXTILES, photo_bucket
+from vitrine.plans.listing import ROW_KEY, SEXTILES, photo_bucket
 
 LEN = "product_description_lenght"
 
@@ -49,6 +51,37 @@ def place_scenarios(sol: DataFrame, scenarios: DataFrame) -> DataFrame:
             .withColumn("bucket_photos", photo_bucket(F.col("fotos"))))
 
 
+def shifted_cells(sol: DataFrame, tie_break=ROW_KEY) -> DataFrame:
+    """(bucket_photos, quantil_desc, min_c, max_c): character bounds of each cell's rows when one more row
+    has joined the cell.
+
+    With N+1 rows sextile s spans the ranks a..b.  The rows of the N that stay in it beside the new one are
+    those of rank a to b - 1, wherever in a..b the new row falls: those after it move up by one, out of b."""
+    n, keys = len(SEXTILES), [LEN, *tie_break, "_rid"]
+    rows = materialize(sol.filter(F.col(LEN).isNotNull()).select("bucket_photos", LEN, *tie_break)
+                       .withColumn("_rid", F.monotonically_increasing_id()), "lengths")
+    starts = [first_rank("(_n + 1)", k, n, 4, "floor") for k in range(1, n)]
+    found = materialize(boundary_rows(rows, [], keys, starts + [r - 1 for r in starts]), "cuts")  # at most 2 (n - 1) rows
+    own = F.struct(*keys)
+    first = found.filter(F.col("_k") < n - 1).agg(F.collect_list(own)).scalar()
+    last = found.filter(F.col("_k") >= n - 1).agg(F.collect_list(own)).scalar()
+    placed = (rows.withColumn("_first", first).withColumn("_last", last)
+              .filter(~F.exists("_last", lambda b: b == own))
+              .withColumn("quantil_desc", label_from_index(F.size(F.filter("_first", lambda b: b <= own)), SEXTILES)))
+    return placed.groupBy("bucket_photos", "quantil_desc").agg(F.min(LEN).alias("min_c"), F.max(LEN).alias("max_c"))
+
+
+def cell_bounds(sol: DataFrame, scenarios: DataFrame, tie_break=ROW_KEY) -> DataFrame:
+    """Each scenario with the least and most characters of its cell, itself included;
+    NULL without characters."""
+    placed = place_scenarios(sol, scenarios)
+    out = join_null_safe(placed, shifted_cells(sol, tie_break), ["bucket_photos", "quantil_desc"], "left")
+    length = F.col("caracteres").cast("bigint")
+    return (out.withColumn("min_characters", F.when(length.isNotNull(), F.least("min_c", length)))
+            .withColumn("max_characters", F.when(length.isNotNull(), F.greatest("max_c", length)))
+            .drop("min_c", "max_c"))
+
+
 def _pct(x: Column) -> Column:
     # scales::percent on a single value: whole percent
     return F.concat(F.bround(x * F.lit(100.0), 0).cast("bigint").cast("string"), F.lit("%"))
@@ -61,6 +94,7 @@ def _na(c: Column) -> Column:
 def recommend(sol: DataFrame, cells: DataFrame, scenarios: DataFrame) -> DataFrame:
     """X1 + X3-X6 for every scenario."""
     placed = place_scenarios(sol, scenarios)
+    cells = materialize(cells, "cells")  # read three times
     cell_keys = ["bucket_photos", "quantil_desc"]
     cur = cells.select(*cell_keys, F.col("prop_quantity").alias("sim_prop_quantity"),
                        F.col("prop_sales").alias("sim_prop_sales"))
@@ -76,9 +110,8 @@ def recommend(sol: DataFrame, cells: DataFrame, scenarios: DataFrame) -> DataFra
         F.col("min_caracters_desc").alias("best_sales_min_caracters_desc"),
         F.col("max_caracters_desc").alias("best_sales_max_caracters_desc"),
         F.col("prop_sales").alias("best_prop_sales"))
-    # cells: one row per (bucket, sextile) cell -> broadcast; best_*: one row each,
-    # attached as scalar subqueries
-    out = placed.join(F.broadcast(cur), cell_keys, "left")
+    # best_*: one row each, attached as scalar subqueries
+    out = placed.join(cur, cell_keys, "left")
     for best in (best_q, best_s):
         row = best.select(F.struct(*best.columns)).scalar()
         for c in best.columns:

@@ -38,6 +38,30 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The five times of an order (the first is the purchase), which the source files hold as text.
+ORDER_TIMES = ["order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date",
+               "order_delivered_customer_date", "order_estimated_delivery_date"]
+
+
+def orders_with_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with all five times as text, some of them bad, as a CSV scan without types reads them."""
+    o = _read(spark, sf_dir, "orders")
+    key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+
+    def text(days: Column, clock: str = "") -> Column:
+        return F.concat(F.date_add(day, days.cast("int")).cast("string"), F.lit(clock))
+
+    return orders(spark, sf_dir).drop("order_purchase_timestamp").join(o.select(
+        key.alias("order_id"),
+        text(F.lit(0), " 00:00:00").alias("order_purchase_timestamp"),
+        F.when(key % 17 == 0, F.lit("bad")).otherwise(text(key % 3, " 10:30:00")).alias("order_approved_at"),
+        F.when(key % 19 == 0, F.lit("2020-13-45 00:00:00")).otherwise(text(1 + key % 4, " 08:00:00"))
+        .alias("order_delivered_carrier_date"),
+        F.when(key % 23 == 0, F.lit("")).when(key % 29 != 0, text(4 + key % 10, " 17:45:10"))
+        .alias("order_delivered_customer_date"),
+        text(10 + key % 5).alias("order_estimated_delivery_date")), "order_id")
+
+
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem")
     return li.select(
@@ -102,22 +126,21 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    # nation is a fixed-domain dimension (one row per country/state)
-    return (c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    return (c.join(n, c.c_nationkey == n.n_nationkey)
             .select(F.col("c_custkey").alias("customer_id"), F.col("n_name").alias("customer_state")))
 
 
 def sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     n = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return (s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
+    return (s.join(n, s.s_nationkey == n.n_nationkey)
             .select(F.col("s_suppkey").alias("seller_id"), F.col("n_name").alias("seller_state")))
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _read(spark, sf_dir, "nation")
     r = _read(spark, sf_dir, "region")
-    return (n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    return (n.join(r, n.n_regionkey == r.r_regionkey)
             .select(F.col("n_name").alias("Sigla"), F.lower("n_name").alias("Estado"),
                     F.col("r_name").alias("Region")))
 
@@ -145,6 +168,23 @@ def scenarios(spark: SparkSession) -> DataFrame:
         SCENARIOS, "scenario_id int, fotos int, caracteres int, frete double")
 
 
+def scenarios_from_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scenario for every part: photos and characters with NULLs, many equal characters."""
+    part, key = _read(spark, sf_dir, "part"), F.col("p_partkey")
+    return part.select(
+        key.cast("bigint").alias("scenario_id"),
+        F.when(F.col("p_size") % 9 != 0, F.col("p_size") % 9).cast("int").alias("fotos"),
+        F.when(key % 40 != 0, (key * 53) % 4000).cast("int").alias("caracteres"),
+        (F.lit(1.0) + (key % 20).cast("double") * F.lit(0.5)).alias("frete"))
+
+
+def category_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A translated name for every category but one."""
+    names = products(spark, sf_dir).select("product_category_name").filter(
+        F.col("product_category_name").isNotNull() & (F.col("product_category_name") != "PROMO")).distinct()
+    return names.withColumn("product_category_name_english", F.lower("product_category_name"))
+
+
 @dataclass(frozen=True)
 class Tables:
     """The canonical tables, lazily bound to one driver folder."""

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.operators.lineage import materialize
+
 # Canonical schemas of the CSV inputs (columns the analyses use, in file order).
 SCHEMAS = {
     "orders": "order_id string, customer_id string, order_status string, order_purchase_timestamp timestamp, "
@@ -36,12 +38,47 @@ SCHEMAS = {
 }
 
 
-def read_csv(spark: SparkSession, name: str, path: str, sep: str = ",") -> DataFrame:
+#: Tables whose text may hold line breaks.  Spark reads such a file in one task; the others are split.
+MULTILINE = ("reviews",)
+#: Columns that the sources hold as text dates: bad ones become NULL and reject no row.
+TEXT_DATES = {"orders": ["order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date",
+                         "order_delivered_customer_date", "order_estimated_delivery_date"]}
+
+
+#: What a quoted empty field reads as, to tell it from a missing one.
+EMPTY = "\u0001"
+
+
+def _scan(spark: SparkSession, path: str, schema: str, sep: str, multiline: bool, **options) -> DataFrame:
+    rows = (spark.read.schema(schema).option("header", True).option("sep", sep).option("multiLine", multiline)
+            .option("escape", '"').option("emptyValue", EMPTY).options(**options).csv(path))
+    return rows.withColumns({c: F.when(F.col(c) == EMPTY, F.lit("")).otherwise(F.col(c))
+                             for c, kind in rows.dtypes if kind == "string"})
+
+
+def read_csv(spark: SparkSession, name: str, path: str, sep: str = ",", schema: str | None = None,
+             multiline: bool | None = None) -> DataFrame:
     """A1 (and A2/A3 when the state tables are exported to CSV): header CSV with a fixed schema.
 
-    Multi-line quoted fields are allowed (review messages contain newlines)."""
-    return (spark.read.schema(SCHEMAS[name]).option("header", True).option("sep", sep)
-            .option("multiLine", True).option("escape", '"').csv(path))
+    Quoted line breaks are only looked for where a table may hold them (``MULTILINE``)."""
+    multiline = name in MULTILINE if multiline is None else multiline
+    return _scan(spark, path, schema or SCHEMAS[name], sep, multiline)
+
+
+def read_csv_checked(spark: SparkSession, name: str, path: str, sep: str = ",", schema: str | None = None,
+                     multiline: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """A1 with a reject table: the good rows, and (line) of rows that do not fit the schema.
+
+    Text dates (``TEXT_DATES``) are read as text and coerced (H15); only other columns reject a row.
+    Read once: both tables come from one written scan."""
+    fields = [f.strip().rsplit(" ", 1) for f in (schema or SCHEMAS[name]).split(", ")]
+    dates = TEXT_DATES.get(name, [])
+    raw = ", ".join(f"{c} {'string' if c in dates else kind}" for c, kind in fields) + ", _reject string"
+    multiline = name in MULTILINE if multiline is None else multiline
+    rows = materialize(_scan(spark, path, raw, sep, multiline, mode="PERMISSIVE", columnNameOfCorruptRecord="_reject"), "csv")
+    good = rows.filter(F.col("_reject").isNull()).drop("_reject")
+    good = good.withColumns({c: F.col(c).try_cast("timestamp_ntz") for c in dates if c in good.columns})
+    return good, rows.filter(F.col("_reject").isNotNull()).select(F.col("_reject").alias("line"))
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -50,14 +87,15 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 
 def translate_categories(products: DataFrame, translation: DataFrame) -> DataFrame:
-    """A4: add ``product_category_name_english``; the translation table has one
-    row per category (a bounded dimension), so it is broadcast."""
-    return products.join(F.broadcast(translation), "product_category_name", "left")
+    """A4: add ``product_category_name_english`` (NULL without a translation)."""
+    return products.join(translation, "product_category_name", "left")
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ";", mode: str = "overwrite") -> None:
-    """A5: ``to_csv(sep=';')`` as a Spark CSV sink (no index column)."""
-    df.write.mode(mode).option("sep", sep).option("header", True).csv(path)
+    """A5: ``to_csv(sep=';')`` as a Spark CSV sink (no index column): quotes are doubled, blanks at
+    either end and line breaks stay, an empty text is quoted and NULL is not."""
+    (df.write.mode(mode).option("sep", sep).option("header", True).option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
