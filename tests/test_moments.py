@@ -25,7 +25,7 @@ def test_ten_to_the_thirteen_rows_of_ten_to_the_five(spark):
     """An order of 10^2 items, 10^5 payments and 10^6 reviews stands for 10^13 rows."""
     rows = spark.createDataFrame([(100000.0 + k % 7, float(k % 7) + (k % 2), 1e13 / 50) for k in range(50)],
                                  "x double, y double, _w double")
-    sums = moments.pattern_moments(moments.centred(rows, ["x", "y"]), 2, [0, 1])
+    sums = moments.pattern_moments(moments.centred(rows, ["x", "y"]), [0, 1])
     got = {(r.col_a, r.col_b): r.corr for r in moments.correlations(sums, ["x", "y"]).collect()}
     x, y = np.array([k % 7 for k in range(50)]), np.array([k % 7 + k % 2 for k in range(50)])
     assert got["x", "y"] == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-12) and got["x", "x"] == 1.0

@@ -208,10 +208,10 @@ def test_interpolation_has_no_stray_digits(spark):
 
 def test_only_brackets_are_shuffled_by_value(spark):
     df = spark.range(0, 200_000, 1, 4).select((rank.F.col("id") * 7919 % 200_000).alias("v"))
-    at, sizes = rank.values_at(df, [], "v", [rank.F.lit(1), rank.F.col("_n") / 2, rank.F.col("_n")])
+    at, sizes = rank.values_at(df, [], "v", ["1", "_n div 2", "_n"])
     assert {r._k: (r.v, r._r) for r in at.collect()} == {0: (0, 1), 1: (99_999, 1), 2: (199_999, 1)}
     assert sizes.first()[0] == 200_000
-    known = rank.brackets(df, [], "v", [rank.F.col("_n") / 2])
+    known = rank.brackets(df, [], "v", ["_n div 2"])
     b = known.first()
     assert b._lo0 < 99_999 < b._hi0 and b._hi0 - b._lo0 < 0.02 * 200_000
 
@@ -220,7 +220,7 @@ def test_ranks_outside_their_brackets_are_found_without(spark, monkeypatch):
     def wrong(rows, part, value, ranks):
         out = rows.groupBy(*part).agg(rank.F.count("*").alias("_n"))
         for k, r in enumerate(ranks):
-            out = out.withColumns({f"_r{k}": r, f"_lo{k}": rank.F.lit(5.0), f"_hi{k}": rank.F.lit(6.0)})
+            out = out.withColumns({f"_r{k}": rank.F.expr(r), f"_lo{k}": rank.F.lit(5.0), f"_hi{k}": rank.F.lit(6.0)})
         return out
 
     monkeypatch.setattr(rank, "brackets", wrong)

@@ -31,22 +31,20 @@ HOT_SHARE = 0.001
 def key_counts(sides: Sequence[DataFrame], key: str) -> DataFrame:
     """(key, _n0, _n1, ...): the rows of each table with the key; NULL keys are left out."""
     many = range(len(sides))
-    rows = [side.filter(F.col(key).isNotNull()).select(
-        key, *[F.lit(int(i == j)).cast("bigint").alias(f"_n{i}") for i in many]) for j, side in enumerate(sides)]
-    return reduce(DataFrame.unionByName, rows).groupBy(key).agg(*[F.sum(f"_n{i}").alias(f"_n{i}") for i in many])
+    rows = [side.filter(f"`{key}` is not null").selectExpr(f"`{key}`", *[f"{int(i == j)}L as _n{i}" for i in many])
+            for j, side in enumerate(sides)]
+    return reduce(DataFrame.unionByName, rows).groupBy(key).agg(*[F.expr(f"sum(_n{i}) as _n{i}") for i in many])
 
 
 def hot_keys(counts: DataFrame, key: str, many: int) -> DataFrame:
     """(key, _big, _salts): keys that make HOT_SHARE of the joined rows, their largest table and its parts."""
-    made, largest, big = F.lit(1.0), F.greatest(*[F.col(f"_n{j}") for j in range(many)]), F.lit(0)
-    for j in range(many):
-        made = made * F.greatest(F.col(f"_n{j}"), F.lit(1))
-    for j in range(many - 1, -1, -1):
-        big = F.when(F.col(f"_n{j}") == largest, F.lit(j)).otherwise(big)
-    part = counts.agg(F.sum(made) * F.lit(HOT_SHARE)).scalar()
-    salts = F.least(F.ceil(made / F.col("_part")), largest).cast("int")
-    return (counts.withColumn("_part", part).filter(made >= F.col("_part"))
-            .select(key, big.alias("_big"), salts.alias("_salts")).filter("_salts > 1"))
+    made = " * ".join(f"cast(greatest(_n{j}, 1L) as double)" for j in range(many))
+    largest = f"greatest({', '.join(f'_n{j}' for j in range(many))})"
+    big = " ".join(f"when _n{j} = {largest} then {j}" for j in range(many))
+    part = counts.agg(F.expr(f"sum({made}) * {HOT_SHARE}")).scalar()
+    return (counts.withColumn("_part", part).filter(f"{made} >= _part")
+            .selectExpr(f"`{key}`", f"case {big} end as _big", f"cast(least(ceil({made} / _part), {largest}) as int) as _salts")
+            .filter("_salts > 1"))
 
 
 def outer_join(sides: Sequence[DataFrame], key: str, keep: Sequence[bool] | None = None,
@@ -59,26 +57,29 @@ def outer_join(sides: Sequence[DataFrame], key: str, keep: Sequence[bool] | None
         raise ValueError("outer_join needs two tables or more, one of which is kept")
     many = range(len(sides))
     own = [[c for c in side.columns if c != key] for side in sides]
-    kept = reduce(lambda a, b: a | b, [F.col(f"_n{j}") > 0 for j in many if keep[j]])
+    quoted = [[f"`{c}`" for c in cols] for cols in own]
+    kept = " or ".join(f"_n{j} > 0" for j in many if keep[j])
     counts = materialize(key_counts(key_rows or sides, key).filter(kept), "keys")
-    hot = F.broadcast(hot_keys(counts, key, len(sides)))
+    hot = hot_keys(counts, key, len(sides))
+    hot = hot.sparkSession.createDataFrame(hot.collect(), hot.schema)  # 1 / HOT_SHARE rows at most
 
-    def nothing(j: int) -> list:
-        return [F.lit(None).cast(sides[j].schema[c].dataType).alias(c) for c in own[j]]
+    def nothing(j: int) -> list[str]:
+        kinds = dict(sides[j].dtypes)
+        return [f"cast(null as {kinds[c]}) as `{c}`" for c in own[j]]
 
     def dealt(j: int) -> DataFrame:
-        rows = sides[j].filter(F.col(key).isNotNull()).select(key, *own[j])
+        rows = sides[j].filter(f"`{key}` is not null").select(key, *own[j])
         if any(keep[i] for i in many if i != j):  # another table may have keys that this one lacks
-            rows = rows.unionByName(counts.filter(F.col(f"_n{j}") == 0).select(key, *nothing(j)))
-        rows = rows.join(hot, key, "left")
-        mine = F.array(F.pmod(F.xxhash64(key, *own[j]), F.col("_salts")).cast("int"))
-        salts = (F.when(F.col("_salts").isNull(), F.array(F.lit(0))).when(F.col("_big") == j, mine)
-                 .otherwise(F.sequence(F.lit(0), F.col("_salts") - 1)))
-        return rows.select(key, *own[j], F.explode(salts).alias("_salt"))
+            rows = rows.unionByName(counts.filter(f"_n{j} = 0").selectExpr(f"`{key}`", *nothing(j)))
+        rows = rows.join(F.broadcast(hot), key, "left")
+        mine = f"pmod(xxhash64({', '.join([f'`{key}`', *quoted[j]])}), _salts)"
+        salts = (f"case when _salts is null then array(0) when _big = {j} then array(cast({mine} as int)) "
+                 "else sequence(0, _salts - 1) end")
+        return rows.selectExpr(f"`{key}`", *quoted[j], f"explode({salts}) as _salt")
 
     out = reduce(lambda a, b: a.join(b, [key, "_salt"]), [dealt(j) for j in many]).drop("_salt")
     for j in many:
         if keep[j]:
-            rows = sides[j].filter(F.col(key).isNull())
-            out = out.unionByName(rows.select(key, *[c for i in many for c in (own[i] if i == j else nothing(i))]))
+            rows = sides[j].filter(f"`{key}` is null")
+            out = out.unionByName(rows.selectExpr(f"`{key}`", *[c for i in many for c in (quoted[i] if i == j else nothing(i))]))
     return out

@@ -107,89 +107,86 @@ def label_from_index(idx: Column, labels: Sequence[str]) -> Column:
     return expr
 
 
-def first_rank(n_rows: str, k: int, n: int, precision: int, method: str) -> Column:
-    """The smallest rank whose ``ntile_index`` is at least ``k`` (beyond the last row if none is)."""
+def first_rank(n_rows: str, k: int, n: int, precision: int, method: str) -> str:
+    """SQL of the smallest rank whose ``ntile_index`` is at least ``k`` (beyond the last row if none is)."""
     scale = 10 ** precision
     q = (scale * k + n - 1) // n  # the bucket where label k begins
     if method == "floor":
-        return F.expr(f"1 + (CAST({q - 1} AS BIGINT) * {n_rows} + {scale - 1}) div {scale}")
+        return f"1 + (CAST({q - 1} AS BIGINT) * {n_rows} + {scale - 1}) div {scale}"
     if method == "sql":
-        return F.expr(f"CAST({q - 1} AS BIGINT) * ({n_rows} div {scale}) + least({q - 1}, {n_rows} % {scale}) + 1")
+        return f"CAST({q - 1} AS BIGINT) * ({n_rows} div {scale}) + least({q - 1}, {n_rows} % {scale}) + 1"
     raise ValueError(f"unknown ntile method {method!r}")
 
 
 def at_ranks(ranked: DataFrame, targets: DataFrame, groups: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """The row of ``ranked`` (with ``_pb`` and ``_c``) that holds each target rank ``_r``, and the rank within it."""
-    hit = (F.col("_pb") < F.col("_r")) & (F.col("_r") <= F.col("_pb") + F.col("_c"))
     if groups:
         both = join_null_safe(ranked, targets, groups)
     else:  # one group: its few targets as one array
-        few = targets.agg(F.collect_list(F.struct("_k", "_r")).alias("_t")).scalar()
-        both = ranked.withColumn("_t", few).select(*ranked.columns, F.inline("_t"))
-    return both.filter(hit).select(*keep, "_k", (F.col("_r") - F.col("_pb")).alias("_r"))
+        few = targets.agg(F.expr("collect_list(struct(_k, _r)) as _t")).scalar()
+        both = ranked.withColumn("_t", few).selectExpr(*[f"`{c}`" for c in ranked.columns], "inline(_t)")
+    return both.filter("_pb < _r and _r <= _pb + _c").selectExpr(*[f"`{c}`" for c in keep], "_k", "_r - _pb as _r")
 
 
-def brackets(rows: DataFrame, part: Sequence[str], value: str, ranks: Sequence[Column]) -> DataFrame:
-    """Per group: the row count ``_n``, each wanted rank ``_r{k}`` (of ``_n``), and values ``_lo{k}`` and
+def brackets(rows: DataFrame, part: Sequence[str], value: str, ranks: Sequence[str]) -> DataFrame:
+    """Per group: the row count ``_n``, each wanted rank ``_r{k}`` (SQL over ``_n``), and values ``_lo{k}`` and
     ``_hi{k}`` (as doubles) that enclose it.  Columns that are not numbers get no sketch: all lies inside."""
-    below, above = F.lit(float("-inf")), F.lit(float("nan"))  # NaN is the largest double
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    below, above = "double('-infinity')", "double('NaN')"  # NaN is the largest double
     numeric = isinstance(rows.schema[value].dataType, T.NumericType)
+    aggs = ["count(1) as _n"]
     if numeric:
-        steps = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-        aggs.append(F.percentile_approx(F.col(value).cast("double"), steps, ACCURACY).alias("_grid"))
-    out = rows.groupBy(*part).agg(*aggs)
-    slack = 2 * GRID / ACCURACY
-    for k, rank in enumerate(ranks):
-        out = out.withColumn(f"_r{k}", rank)
-        if not numeric:
-            out = out.withColumn(f"_lo{k}", below).withColumn(f"_hi{k}", above)
-            continue
-        first = F.floor((F.col(f"_r{k}") - 1) / F.greatest("_n", F.lit(1)) * GRID - slack).cast("int")
-        last = F.ceil(F.col(f"_r{k}") / F.greatest("_n", F.lit(1)) * GRID + slack).cast("int")
-        out = (out.withColumn(f"_lo{k}", F.when(first > 0, F.get("_grid", first)).otherwise(below))
-               .withColumn(f"_hi{k}", F.when(last < GRID, F.get("_grid", last)).otherwise(above)))
-    return out.drop("_grid")
-
-
-def values_at(rows: DataFrame, part: Sequence[str], value: str, ranks: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+        steps = ", ".join(f"{i / GRID}D" for i in range(GRID + 1))
+        aggs.append(f"percentile_approx(cast(`{value}` as double), array({steps}), {ACCURACY}) as _grid")
+    known = [f"`{c}`" for c in part]
+    out = rows.groupBy(*part).agg(*[F.expr(x) for x in aggs])
+    out = out.selectExpr("*", *[f"cast({rank} as bigint) as _r{k}" for k, rank in enumerate(ranks)])
+    ends, slack = [], 2 * GRID / ACCURACY
+    for k in range(len(ranks)):
+        first = f"cast(floor((_r{k} - 1) / greatest(_n, 1) * {GRID} - {slack}) as int)"
+        last = f"cast(ceil(_r{k} / greatest(_n, 1) * {GRID} + {slack}) as int)"
+        ends.append(f"if({first} > 0, get(_grid, {first}), {below}) as _lo{k}" if numeric else f"{below} as _lo{k}")
+        ends.append(f"if({last} < {GRID}, get(_grid, {last}), {above}) as _hi{k}" if numeric else f"{above} as _hi{k}")
+    return out.selectExpr(*known, "_n", *[f"_r{k}" for k in range(len(ranks))], *ends)
+
+
+def values_at(rows: DataFrame, part: Sequence[str], value: str, ranks: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(part, _k, value, _r) for each rank k in 1.._n: the value that holds it and the rank within that
     value; and (part, _n), the groups' row counts.
 
-    ``ranks`` are columns over ``_n``; ``rows`` must not hold NULL values.  Should a rank lie outside its
+    ``ranks`` are SQL over ``_n``; ``rows`` must not hold NULL values.  Should a rank lie outside its
     bracket, the counts are taken again without brackets."""
-    part, many = list(part), range(len(ranks))
-    known = materialize(brackets(rows.select(*part, value), part, value, ranks))  # one row per group
-    targets = known.select(*part, "_n", F.inline(F.array(*[
-        F.struct(F.lit(k).alias("_k"), F.col(f"_r{k}").cast("bigint").alias("_r")) for k in many])))
-    targets = targets.filter((F.col("_r") >= 1) & (F.col("_r") <= F.col("_n"))).drop("_n")
-    found = materialize(_found(rows, part, value, known, targets, many))
-    if not found.filter("_outside").isEmpty():
-        for k in many:
-            known = known.withColumn(f"_lo{k}", F.lit(float("-inf"))).withColumn(f"_hi{k}", F.lit(float("nan")))
-        found = materialize(_found(rows, part, value, known, targets, many))
+    part, many, value_of = list(part), range(len(ranks)), rows.select(*part, value)
+    known = materialize(brackets(value_of, part, value, ranks))  # one row per group
+    each = ", ".join(f"named_struct('_k', {k}, '_r', _r{k})" for k in many)
+    targets = known.selectExpr(*[f"`{c}`" for c in part], "_n", f"inline(array({each}))")
+    targets = targets.filter("_r >= 1 and _r <= _n").drop("_n")
+    found = materialize(_found(value_of, part, value, known, targets, many))
+    if found.filter("_outside").limit(1).count():
+        free = known.selectExpr(*[f"`{c}`" for c in part], *[x for k in many for x in (
+            f"double('-infinity') as _lo{k}", f"double('NaN') as _hi{k}")])
+        found = materialize(_found(value_of, part, value, free, targets, many))
     return found.drop("_outside"), known.select(*part, "_n")
 
 
 def _found(rows: DataFrame, part: list[str], value: str, known: DataFrame, targets: DataFrame, many) -> DataFrame:
+    ends = [f"_{side}{k}" for k in many for side in ("lo", "hi")]
     if part:
-        both = join_null_safe(rows.select(*part, value), known, part)
+        both = join_null_safe(rows, known.select(*part, *ends), part)
     else:
-        few = known.select(F.struct(*[f"_{side}{k}" for k in many for side in ("lo", "hi")])).scalar()
-        both = rows.select(value).withColumn("_few", few).select(value, "_few.*")
-    x = F.col(value).cast("double") if isinstance(rows.schema[value].dataType, T.NumericType) else F.lit(0.0)
-    inside, region = F.lit(False), F.lit(0)
-    for k in many:
-        inside = inside | ((x >= F.col(f"_lo{k}")) & (x <= F.col(f"_hi{k}")))
-        region = region + (x >= F.col(f"_lo{k}")).cast("int")
+        few = known.select(F.expr(f"struct({', '.join(ends)})")).scalar()
+        both = rows.withColumn("_few", few).selectExpr(f"`{value}`", "_few.*")
+    x = f"cast(`{value}` as double)" if isinstance(rows.schema[value].dataType, T.NumericType) else "0.0D"
+    inside = " or ".join(f"({x} >= _lo{k} and {x} <= _hi{k})" for k in many)
+    region = " + ".join(f"cast({x} >= _lo{k} as int)" for k in many)
     # outside rows of a region lie above its inside rows and below the next region's
-    placed = both.select(*part, region.alias("_region"), (~inside).alias("_outside"), F.when(inside, F.col(value)).alias(value))
+    placed = both.selectExpr(*[f"`{c}`" for c in part], f"{region} as _region", f"not ({inside}) as _outside",
+                             f"if({inside}, `{value}`, null) as `{value}`")
     order = ["_region", "_outside", value]
-    counts = placed.groupBy(*part, *order).agg(F.count(F.lit(1)).alias("_c"))
+    counts = placed.groupBy(*part, *order).agg(F.expr("count(1) as _c"))
     return at_ranks(prefix_before(counts, part, order, "_c"), targets, part, [*part, "_outside", value])
 
 
-def boundary_rows(rows: DataFrame, part: Sequence[str], keys: Sequence[str], ranks: Sequence[Column],
+def boundary_rows(rows: DataFrame, part: Sequence[str], keys: Sequence[str], ranks: Sequence[str],
                   blocks: int | None = None) -> DataFrame:
     """(part, _k, keys) of the row at each rank k: rows ordered by ``keys``, of which the first is the
     value (never NULL) and all together tell rows apart."""
@@ -236,23 +233,20 @@ def ntile_labels(df: DataFrame, value: str, tie_break: Sequence[str], labels: Se
     return labelled.drop("_idx")
 
 
-def interpolate(low: Column, high: Column, share: Column) -> Column:
-    """low (1 - share) + high share as one rounded sum: the rounding error of the first product is
+def interpolate(low: str, high: str, share: str) -> str:
+    """SQL of low (1 - share) + high share as one rounded sum: the rounding error of the first product is
     added back, so the middle of two amounts of money shows no stray last digit."""
-    part = F.lit(1.0) - share
+    def top(x: str) -> str:  # the upper half of a double's digits, by 2^27 + 1
+        return f"(134217729.0D * {x} - (134217729.0D * {x} - {x}))"
 
-    def halves(x: Column) -> tuple[Column, Column]:
-        big = x * F.lit(134217729.0)  # 2^27 + 1 splits the digits of a double
-        top = big - (big - x)
-        return top, x - top
-
-    (a, b), (c, d) = halves(low), halves(part)
-    product = low * part
-    lost = b * d - (((product - a * c) - b * c) - a * d)
-    other = high * share
-    total = product + other
-    back = total - product
-    return total + (((product - (total - back)) + (other - back)) + lost)
+    part = f"(1.0D - {share})"
+    a, c = top(low), top(part)
+    b, d = f"({low} - {a})", f"({part} - {c})"
+    product, other = f"({low} * {part})", f"({high} * {share})"
+    lost = f"({b} * {d} - ((({product} - {a} * {c}) - {b} * {c}) - {a} * {d}))"
+    total = f"({product} + {other})"
+    back = f"({total} - {product})"
+    return f"{total} + ((({product} - ({total} - {back})) + ({other} - {back})) + {lost})"
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], part: Sequence[str] = (),
@@ -268,15 +262,15 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], part: Seq
     part = list(part)
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
     rows = df.filter(F.col(value).isNotNull())
-    spots = [(F.col("_n") - 1).cast("double") * F.lit(float(p)) for p in probs]
-    ranks = [r for pos in spots for r in (F.floor(pos) + 1, F.least(F.floor(pos) + 2, F.col("_n")))]
+    spots = [f"(cast(_n - 1 as double) * {float(p)!r}D)" for p in probs]
+    ranks = [r for pos in spots for r in (f"floor({pos}) + 1", f"least(floor({pos}) + 2, _n)")]
     at, sizes = values_at(rows, part, value, ranks)
-    picked = [F.min(F.when(F.col("_k") == k, F.col(value).cast("double"))).alias(f"_x{k}") for k in range(len(ranks))]
+    picked = [F.expr(f"min(if(_k = {k}, cast(`{value}` as double), null)) as _x{k}") for k in range(len(ranks))]
     if part:
         wide = join_null_safe(sizes, at.groupBy(*part).agg(*picked), part)
     else:
         wide = at.agg(*picked).withColumn("_n", sizes.scalar())
-    return wide.select(*part, *[
-        F.when(F.col(f"_x{2 * i}") == F.col(f"_x{2 * i + 1}"), F.col(f"_x{2 * i}"))
-        .otherwise(interpolate(F.col(f"_x{2 * i}"), F.col(f"_x{2 * i + 1}"), pos - F.floor(pos))).alias(nm)
-        for i, (nm, pos) in enumerate(zip(names, spots))])
+    wide = wide.selectExpr("*", *[f"{pos} - floor({pos}) as _f{i}" for i, pos in enumerate(spots)])
+    return wide.selectExpr(*[f"`{c}`" for c in part], *[
+        f"if(_x{2 * i} = _x{2 * i + 1}, _x{2 * i}, {interpolate(f'_x{2 * i}', f'_x{2 * i + 1}', f'_f{i}')}) as `{nm}`"
+        for i, nm in enumerate(names)])

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PARTS = ("n", "a", "b", "aa", "bb", "ab")
@@ -22,55 +22,45 @@ CONSTANT = 1e-12
 
 
 def centred(df: DataFrame, cols: Sequence[str], first: int = 0) -> DataFrame:
-    """``df`` with ``_x{first}``, ``_x{first + 1}``, ...: the columns minus their medians, as doubles."""
-    middle = df.agg(F.struct(*[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(cols)])).scalar()
-    shifted = df.withColumn("_middle", middle)
-    for i, c in enumerate(cols):
-        shifted = shifted.withColumn(f"_x{first + i}", (F.col(c) - F.col("_middle").getField(f"m{i}")).cast("double"))
-    return shifted.drop("_middle")
+    """``df`` with ``_x{first}``, ``_x{first + 1}``, ...: the columns minus their medians, as doubles.
 
+    The medians are one row, fetched here, as several sums read the result."""
+    middle = df.agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    return df.withColumns({f"_x{first + i}": (F.col(c) - F.lit(middle[i]).cast(df.schema[c].dataType)).cast("double")
+                           for i, c in enumerate(cols)})
 
-def pattern_moments(rows: DataFrame, many: int, own: Sequence[int]) -> DataFrame:
-    """One row with the moments ``{part}_{i}_{j}`` of every pair i <= j of ``own`` (of columns 0..many-1),
+
+def pattern_moments(rows: DataFrame, own: Sequence[int]) -> DataFrame:
+    """One row with the moments ``{part}_{i}_{j}`` of every pair i <= j of ``own``,
     from ``_x{i}`` and the weight ``_w``: first one group for each NULL pattern, then the pairs."""
     own = list(own)
-    mask = F.lit(0)
-    for i in own:
-        mask = mask + F.when(F.col(f"_x{i}").isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
-    aggs = [F.sum("_w").alias("n")] + [F.sum(F.col("_w") * F.col(f"_x{i}")).alias(f"s{i}") for i in own]
-    aggs += [F.sum(F.col("_w") * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"x{i}_{j}")
-             for k, i in enumerate(own) for j in own[k:]]
-    groups = rows.withColumn("_mask", mask).groupBy("_mask").agg(*aggs)
-    pairs = []
-    for k, i in enumerate(own):
-        for j in own[k:]:
-            bits = 1 << i | 1 << j
-            both = F.col("_mask").bitwiseAND(F.lit(bits)) == F.lit(bits)
-            for part, c in zip(PARTS, ("n", f"s{i}", f"s{j}", f"x{i}_{i}", f"x{j}_{j}", f"x{i}_{j}")):
-                pairs.append(F.sum(F.when(both, F.col(c))).alias(f"{part}_{i}_{j}"))
-    return groups.agg(*pairs)
-
-
-def correlation(n: Column, a: Column, b: Column, aa: Column, bb: Column, ab: Column) -> Column:
-    """Pearson's r of one pair; NULL without variance."""
-    cross, va, vb = n * ab - a * b, n * aa - a * a, n * bb - b * b
-    varies = (va > F.lit(CONSTANT) * n * aa) & (vb > F.lit(CONSTANT) * n * bb)
-    r = cross / (F.sqrt(va) * F.sqrt(vb))
-    # rounding may carry a perfect correlation past one or just below it
-    r = F.when(F.abs(F.abs(r) - 1.0) < 1e-13, F.signum(r)).otherwise(r)
-    return F.when(varies, r)
+    pairs = [(i, j) for k, i in enumerate(own) for j in own[k:]]
+    mask = " + ".join(f"if(_x{i} is null, 0L, {1 << i}L)" for i in own)
+    groups = rows.withColumn("_mask", F.expr(mask)).groupBy("_mask").agg(
+        F.expr("sum(_w) as n"), *[F.expr(f"sum(_w * _x{i}) as s{i}") for i in own],
+        *[F.expr(f"sum(_w * _x{i} * _x{j}) as x{i}_{j}") for i, j in pairs])
+    sums = []
+    for i, j in pairs:
+        bits = 1 << i | 1 << j
+        for part, c in zip(PARTS, ("n", f"s{i}", f"s{j}", f"x{i}_{i}", f"x{j}_{j}", f"x{i}_{j}")):
+            sums.append(f"sum(if((_mask & {bits}L) = {bits}L, {c}, null)) as {part}_{i}_{j}")
+    return groups.agg(*[F.expr(x) for x in sums])
 
 
 def correlations(sums: DataFrame, cols: Sequence[str], digits: int = 2) -> DataFrame:
-    """One row per ordered pair of columns: col_a, col_b, corr, corr_rounded."""
-    rows = []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            r = correlation(*[F.col(f"{p}_{i}_{j}") for p in PARTS]).alias("corr")
-            rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(cols[j]).alias("col_b"), r))
-            if i != j:
-                rows.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(a).alias("col_b"), r))
+    """One row per ordered pair of columns: col_a, col_b, corr, corr_rounded; NULL without variance."""
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    each = ", ".join(f"named_struct('i', {i}, 'j', {j}, " + ", ".join(f"'{p}', {p}_{i}_{j}" for p in PARTS) + ")"
+                     for i, j in pairs)
+    one = sums.select(F.expr(f"inline(array({each}))"))
+    one = one.selectExpr("i", "j", "n", "aa", "bb", "n * ab - a * b as cross", "n * aa - a * a as va", "n * bb - b * b as vb")
+    one = one.selectExpr("i", "j", f"if(va > {CONSTANT} * n * aa and vb > {CONSTANT} * n * bb, "
+                                   "try_divide(cross, sqrt(va) * sqrt(vb)), null) as r")
+    # rounding may carry a perfect correlation past one or just below it
+    one = one.selectExpr("i", "j", "if(abs(abs(r) - 1.0D) < 1e-13, signum(r), r) as corr")
+    names = F.array(*[F.lit(c) for c in cols])
+    both = one.select(F.explode(F.expr("if(i = j, array(struct(i, j)), array(struct(i, j), struct(j as i, i as j)))")).alias("p"), "corr")
     rounded = F.bround("corr", digits)
     # one sign of zero, whatever the engine's rounding returns for tiny negatives
-    return (sums.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
-            .withColumn("corr_rounded", F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)))
+    return both.select(F.get(names, F.col("p.i")).alias("col_a"), F.get(names, F.col("p.j")).alias("col_b"), "corr",
+                       F.when(rounded == 0, F.lit(0.0)).otherwise(rounded).alias("corr_rounded"))

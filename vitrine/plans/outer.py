@@ -101,14 +101,14 @@ def order_moments(sides: list[DataFrame], cols: list[list[int]]) -> DataFrame:
     every = [i for own in cols for i in own]
     parts = []
     for j, (side, own) in enumerate(zip(sides, cols)):
-        parts.append(side.filter(F.col(KEY).isNotNull()).select(
-            KEY, *[F.lit(int(k == j)).cast("bigint").alias(f"n{k}") for k in range(len(sides))],
-            *[F.col(f"_x{i}") if i in own else F.lit(None).cast("double").alias(f"_x{i}") for i in every]))
+        parts.append(side.filter(F.col(KEY).isNotNull()).selectExpr(
+            KEY, *[f"{int(k == j)}L as n{k}" for k in range(len(sides))],
+            *[f"_x{i}" if i in own else f"cast(null as double) as _x{i}" for i in every]))
     rows = reduce(DataFrame.unionByName, parts)
     return rows.groupBy(KEY).agg(
         *[F.sum(f"n{j}").alias(f"n{j}") for j in range(len(sides))],
-        *[f(F.col(f"_x{i}")).alias(f"{name}{i}") for i in every
-          for name, f in (("c", F.count), ("s", F.sum), ("q", lambda x: F.sum(x * x)))])
+        *[F.expr(f"{call} as {name}{i}") for i in every
+          for name, call in (("c", f"count(_x{i})"), ("s", f"sum(_x{i})"), ("q", f"sum(_x{i} * _x{i})"))])
 
 
 def correlation_matrix(t, cols_a, cols_b, cols_c, digits: int = 2, items: DataFrame | None = None) -> DataFrame:
@@ -134,34 +134,34 @@ def correlation_matrix(t, cols_a, cols_b, cols_c, digits: int = 2, items: DataFr
         raw[0] = item_rows.select(KEY, *cols_a).unionByName(alone.select(
             *prod_cols, *[F.lit(None).cast(item_rows.schema[c].dataType).alias(c) for c in nothing]))
     sides = [moments.centred(rows, names, own[j][0]) if names else rows for j, (rows, names) in enumerate(zip(raw, groups))]
-    orders = materialize(order_moments(sides, own), "moments")
-
-    def many(j: int):
-        return F.greatest(F.coalesce(F.col(f"n{j}"), F.lit(0)), F.lit(1)).cast("double")
-
-    across, pairs = [], [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    side_of = {i: j for j, names in enumerate(own) for i in names}
-    value = {f"{p}{i}": F.coalesce(F.col(f"{p}{i}"), F.lit(0)).cast("double") for i in range(len(cols)) for p in "csq"}
-    for i, j in pairs:
-        a, b = side_of[i], side_of[j]
-        if a == b:
-            continue
-        beside = many(3 - a - b)  # rows of the third side
-        for part, x, y in zip(moments.PARTS, "cscqcs", "ccscqs"):
-            across.append(F.sum(beside * value[f"{x}{i}"] * value[f"{y}{j}"]).alias(f"{part}_{i}_{j}"))
+    # many: the rows that an order has on a side of the joined table, one where it has none
+    orders = order_moments(sides, own).selectExpr(
+        KEY, *[f"cast(greatest(n{j}, 1L) as double) as many{j}" for j in range(3)],
+        *[f"coalesce(cast({p}{i} as double), 0.0D) as {p}{i}" for i in range(len(cols)) for p in "csq"])
+    orders = materialize(orders, "moments")
+    across, side_of = [], {i: j for j, names in enumerate(own) for i in names}
+    for i, a in side_of.items():
+        for j, b in side_of.items():
+            if i < j and a != b:  # beside a pair of sides: the rows of the third
+                for part, x, y in zip(moments.PARTS, "cscqcs", "ccscqs"):
+                    across.append(F.expr(f"sum(many{3 - a - b} * {x}{i} * {y}{j}) as {part}_{i}_{j}"))
     sums = [orders.agg(*across)] if across else []
     for j, names in enumerate(own):
-        if names:
-            weight = orders.select(KEY, reduce(lambda a, b: a * b, [many(k) for k in range(3) if k != j]).alias("_w"))
+        if len(names) == 1:  # a column with itself
+            i, beside = names[0], " * ".join(f"many{k}" for k in range(3) if k != j)
+            alone = sides[j].filter(F.col(KEY).isNull()).selectExpr(f"count(_x{i}) as c", f"sum(_x{i}) as s", f"sum(_x{i} * _x{i}) as q")
+            both = orders.selectExpr(f"{beside} * c{i} as c", f"{beside} * s{i} as s", f"{beside} * q{i} as q").unionByName(alone)
+            sums.append(both.agg(*[F.expr(f"sum({x}) as {part}_{i}_{i}") for part, x in zip(moments.PARTS, "cssqqq")]))
+        elif names:
+            weight = orders.selectExpr(KEY, " * ".join(f"many{k}" for k in range(3) if k != j) + " as _w")
             rows = sides[j].select(KEY, *[f"_x{i}" for i in names])
-            # a row without an order, or of no other side's order, stands alone
+            # a row without an order stands alone
             weighed = (rows.filter(F.col(KEY).isNotNull()).join(weight, KEY)
                        .unionByName(rows.filter(F.col(KEY).isNull()).withColumn("_w", F.lit(1.0))))
-            sums.append(moments.pattern_moments(weighed, len(cols), names))
+            sums.append(moments.pattern_moments(weighed, names))
     one = sums[0]
     for more in sums[1:]:  # one row each
-        row = more.select(F.struct(*more.columns)).scalar()
-        one = one.withColumns({c: row.getField(c) for c in more.columns})
+        one = one.withColumn("_more", more.select(F.struct(*more.columns)).scalar()).select(*one.columns, "_more.*")
     return moments.correlations(one, cols, digits)
 
 

@@ -109,15 +109,14 @@ def payment_reconciliation(wide: DataFrame, tolerance: int = 1) -> DataFrame:
 LOOKUPS = (("products", "product_id"), ("customers", "customer_id"), ("sellers", "seller_id"))
 
 
-def order_rows(t, orders: DataFrame | None = None) -> DataFrame:
-    """Orders left items, each with its product, customer and seller: the order side of C9.
-
-    Lookups are joined here, before payments and reviews multiply the rows."""
+def order_rows(t, orders: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Orders left items (written once), and the same with each row's product, customer and seller: the order
+    side of C9.  Lookups are joined here, before payments and reviews multiply the rows."""
     base = materialize(outer_join([t.orders if orders is None else orders, t.order_items], "order_id", [True, False]), "items")
     rows = base
     for name, key in LOOKUPS:
         rows = outer_join([rows, getattr(t, name)], key, [True, False], key_rows=[base, getattr(t, name)])
-    return materialize(rows, "order-rows")
+    return base, rows
 
 
 def full_outer_wide(t) -> DataFrame:
@@ -126,10 +125,10 @@ def full_outer_wide(t) -> DataFrame:
 
     ``outer_join`` keeps NULL keys out of the shuffles and splits hot keys; products,
     customers and sellers that no order names are appended as rows of their own."""
-    rows = order_rows(t)
-    out = outer_join([rows, t.payments, t.reviews], "order_id")
+    base, rows = order_rows(t)
+    out = outer_join([rows, t.payments, t.reviews], "order_id", key_rows=[base, t.payments, t.reviews])
     for name, key in LOOKUPS:
-        named = rows.select(key).filter(F.col(key).isNotNull()).distinct()
+        named = base.select(key).filter(f"{key} is not null").distinct()
         out = out.unionByName(getattr(t, name).join(named, key, "left_anti"), allowMissingColumns=True)
     return out
 
@@ -139,7 +138,8 @@ def bad_review_rows(t, threshold: int = 4) -> DataFrame:
     such a review are dropped before any other join."""
     bad = t.reviews.filter(F.col("review_score") < threshold)
     orders = t.orders.join(bad.select("order_id").distinct(), "order_id", "left_semi")
-    return outer_join([bad, order_rows(t, orders), t.payments], "order_id", [True, False, False])
+    base, rows = order_rows(t, orders)
+    return outer_join([bad, rows, t.payments], "order_id", [True, False, False], key_rows=[bad, base, t.payments])
 
 
 # ------------------------------------------------------------------ G13
@@ -292,7 +292,7 @@ def correlation_matrix(df: DataFrame, cols, digits: int = 2) -> DataFrame:
     present columns, at most 2^k groups."""
     cols = list(cols)
     rows = moments.centred(df, cols).withColumn("_w", F.lit(1.0))
-    sums = moments.pattern_moments(rows, len(cols), range(len(cols)))
+    sums = moments.pattern_moments(rows, range(len(cols)))
     return moments.correlations(sums, cols, digits)
 
 

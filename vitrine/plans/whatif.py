@@ -61,7 +61,7 @@ def shifted_cells(sol: DataFrame, tie_break=ROW_KEY) -> DataFrame:
     rows = materialize(sol.filter(F.col(LEN).isNotNull()).select("bucket_photos", LEN, *tie_break)
                        .withColumn("_rid", F.monotonically_increasing_id()), "lengths")
     starts = [first_rank("(_n + 1)", k, n, 4, "floor") for k in range(1, n)]
-    found = materialize(boundary_rows(rows, [], keys, starts + [r - 1 for r in starts]), "cuts")  # at most 2 (n - 1) rows
+    found = materialize(boundary_rows(rows, [], keys, starts + [f"({r}) - 1" for r in starts]), "cuts")  # at most 2 (n - 1) rows
     own = F.struct(*keys)
     first = found.filter(F.col("_k") < n - 1).agg(F.collect_list(own)).scalar()
     last = found.filter(F.col("_k") >= n - 1).agg(F.collect_list(own)).scalar()
