@@ -59,3 +59,8 @@ def test_rows_that_stay_keep_all_columns(table):
     out = without_copies(df)
     assert out.columns == df.columns
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == [(2, "a"), (5, None), (None, "n")]
+
+
+def test_inner_names_may_clash(table):
+    df = table([(1, "a"), (2, "a"), (3, "b")]).withColumnsRenamed({"block": "id0_of", "word": "no_id_of", "label": "digest_of"})
+    assert sorted(r["doc_id"] for r in without_copies(df).collect()) == [2, 3]

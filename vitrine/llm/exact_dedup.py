@@ -86,13 +86,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, all columns unchanged; of rows that repeat both id and text one stays."""
     key = {"id0": F.coalesce("id", F.lit(0)), "no_id": F.col("id").isNull(), "digest": F.col("digest")}
-    stay = exact_dedup(df, id_col, text_col).filter("kept").select(*[c.alias(f"{k}_of") for k, c in key.items()])
-    names = {k: f"{k}_{uuid.uuid4().hex}" for k in key}
+    names, kept = ({k: f"{k}_{uuid.uuid4().hex}" for k in key} for _ in range(2))
+    stay = exact_dedup(df, id_col, text_col).filter("kept").select(*[c.alias(kept[k]) for k, c in key.items()])
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.withColumns({names["id0"]: F.coalesce(F.col(id_col).cast("long"), F.lit(0)),
                            names["no_id"]: F.col(id_col).isNull(), names["digest"]: F.unhex(F.sha2(text, 256))})
-    same = [F.col(names[k]) == F.col(f"{k}_of") for k in key]
-    return rows.join(stay, same, "left_semi").dropDuplicates(list(names.values())).select(*df.columns)
+    same = [F.col(names[k]) == F.col(kept[k]) for k in key]
+    return rows.join(stay, same, "left_semi").dropDuplicates(list(names.values())).select(*[f"`{c}`" for c in df.columns])
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
