@@ -16,6 +16,7 @@ separate rows; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import re
@@ -26,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.llm.workers import held
+
 #: Entries kept in each worker's memory of runs and of pre-tokens.
-CACHE_RUNS = 1_200_000
+CACHE_RUNS = 1_900_000
 #: Unicode White_Space, as the pre-token pattern reads \s.
 BLANK = "\t-\r \x85\xa0  -     　"
 _RUNS = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]").findall
@@ -165,9 +168,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-_coders: dict[tuple, ByteBpe] = {}
-
-
 def byte_bpe(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row; the ids' text is comma-separated decimals."""
@@ -175,9 +175,16 @@ def byte_bpe(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     table = df.sparkSession.sparkContext.broadcast(PerfectHash(list(ranks), list(ranks.values())))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (ranks_path, pattern) not in _coders:
-            _coders[ranks_path, pattern] = ByteBpe(table.value, pattern)
-        coder = _coders[ranks_path, pattern]
+        coder = held(("byte coder", ranks_path, pattern), lambda: ByteBpe(table.value, pattern))
+        collects = gc.isenabled()
+        gc.disable()  # millions of kept runs and no cycles: each collection would walk them all
+        try:
+            yield from coded(coder, batches)
+        finally:
+            if collects:
+                gc.enable()
+
+    def coded(coder: ByteBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count, ids_sha, decoded_sha = [], [], []
             for text in batch.column(1):

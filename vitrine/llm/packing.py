@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vitrine.llm.workers import held
 from vitrine.operators.lineage import materialize
 
 CAPACITY = 2048
@@ -81,14 +82,9 @@ class WordTokenizer:
         return b"".join([known(u) or word(u) for u in units])
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def tokenizer_of(path: str) -> WordTokenizer:
     """One per Python worker, kept for the worker's next tasks."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    return held(("word tokenizer", path), lambda: WordTokenizer(path))
 
 
 def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int]]:

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm.textops import crc_mod5, mix, powers, ragged, span_hash, text_blocks, words
+from vitrine.llm.workers import tidy
 from vitrine.operators.lineage import materialize
 
 #: Labelled texts and words that the classifier is fitted on, and landmarks.
@@ -46,6 +47,10 @@ DECAY = 0.6
 HARD_ROUNDS = 2
 #: Rows of features that fitting handles at a time.
 BLOCK = 1024
+#: Bytes of text that a worker scores at a time.
+TEXT = 1 << 20
+#: Subsequences of words that are weighed at a time; a worker's memory follows from it.
+SUBSEQUENCES = 500_000
 #: Pieces that a worker remembers with their values.
 KNOWN = 2_000_000
 #: A longer word is read as overlapping pieces of this length.
@@ -228,7 +233,7 @@ class SubsequenceSvm:
         value[seen] = values[place[seen]]
         for n in range(1, PIECE + 1):
             these = np.flatnonzero((length == n) & ~seen)
-            step = max(1, 2_000_000 // max(1, len(triples(n + 2)[1])))
+            step = max(1, SUBSEQUENCES // max(1, len(triples(n + 2)[1])))
             for k in range(0, len(these), step):
                 part = these[k:k + step]
                 value[part] = self.words(code[at[part][:, None] + np.arange(n)])
@@ -399,9 +404,10 @@ def pooled_rows(rows: DataFrame, model: SubsequenceSvm) -> DataFrame:
     """(id, toxic, pooled) of every row."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [shared.value.pooled(buf, off) for _, buf, off in text_blocks([batch], "id", "text")]
+            parts = [shared.value.pooled(buf, off) for _, buf, off in text_blocks([batch], "id", "text", TEXT)]
             value = np.concatenate(parts) if parts else np.zeros((0, 2 * len(LEVELS) + 2))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(list(value), pa.list_(pa.float64()))],
                                              ["id", "toxic", "pooled"])
@@ -414,9 +420,10 @@ def margins(df: DataFrame, model: SubsequenceSvm, id_col: str, text_col: str, ke
     """(id, margin, kept columns) of every row."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            value = [shared.value.margins(buf, off) for _, buf, off in text_blocks([batch], "id", "text")]
+            value = [shared.value.margins(buf, off) for _, buf, off in text_blocks([batch], "id", "text", TEXT)]
             value = np.concatenate(value) if value else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(value, pa.float64()),
                                               *[batch.column(k) for k in keep]], ["id", "margin", *keep])
@@ -430,8 +437,9 @@ def toxicity(docs: DataFrame, model: SubsequenceSvm, id_col: str = "doc_id", tex
     """(doc_id, held_out, score, predicted) per row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, buf, off in text_blocks(batches, "doc_id", "text"):
+        for ids, buf, off in text_blocks(batches, "doc_id", "text", TEXT):
             p = shared.value.probability(shared.value.margins(buf, off))
             held = [crc_mod5("" if k is None else k) == 0 for k in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -446,11 +454,14 @@ def without_toxic(docs: DataFrame, model: SubsequenceSvm, text_col: str = "text"
     """The rows, all columns unchanged, whose score stays below the threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [shared.value.probability(shared.value.margins(buf, off))
-                     for _, buf, off in text_blocks([batch], text_col, text_col)]
-            yield batch.filter(pa.array(np.concatenate(parts) < threshold)) if parts else batch
+            at = 0
+            for texts, buf, off in text_blocks([batch], text_col, text_col, TEXT):  # passed on block by block
+                stays = shared.value.probability(shared.value.margins(buf, off)) < threshold
+                yield batch.slice(at, len(texts)).filter(pa.array(stays))
+                at += len(texts)
 
     return docs.mapInArrow(clean, docs.schema)
 
