@@ -87,9 +87,7 @@ def mean_price_by_year_weekday(t, ts: str = "order_purchase_timestamp", value: s
     agg = d.groupBy("order_purchase_year", "order_purchase_dayofweek").agg(
         ratio(F.sum(F.col(value) * F.col("_w")), F.sum(F.when(F.col(value).isNotNull(), F.col("_w"))))
         .alias(value))
-    # Weekday names, Monday first (as profile.mean_by_year_weekday).
-    names = ["Seg", "Ter", "Qua", "Qui", "Sex", "Sab", "Dom"]
-    return agg.withColumn("weekday_name", F.element_at(F.array(*[F.lit(n) for n in names]),
+    return agg.withColumn("weekday_name", F.element_at(F.array(*[F.lit(n) for n in profile.WEEKDAYS]),
                                                        F.col("order_purchase_dayofweek") + 1))
 
 

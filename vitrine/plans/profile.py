@@ -145,18 +145,20 @@ def bad_review_rows(t, threshold: int = 4) -> DataFrame:
 # ------------------------------------------------------------------ G13
 
 
+#: Weekday names, Monday first.
+WEEKDAYS = ["Seg", "Ter", "Qua", "Qui", "Sex", "Sab", "Dom"]
+
+
 def mean_by_year_weekday(df: DataFrame, ts: str = "order_purchase_timestamp", value: str = "price") -> DataFrame:
     """Mean price per (purchase year, weekday Monday=0), NULL keys dropped.
 
     ``weekday_name`` is the correct name (trap S16: the notebook labels from Sunday)."""
-    # Weekday names, Monday first.
-    names = ["Seg", "Ter", "Qua", "Qui", "Sex", "Sab", "Dom"]
     d = (df.select(F.year(ts).alias("order_purchase_year"), F.weekday(ts).alias("order_purchase_dayofweek"),
                    value)
          .filter(F.col("order_purchase_year").isNotNull()))
     agg = d.groupBy("order_purchase_year", "order_purchase_dayofweek").agg(
         ratio(F.sum(value), F.count(value)).alias(value))
-    return agg.withColumn("weekday_name", F.element_at(F.array(*[F.lit(n) for n in names]),
+    return agg.withColumn("weekday_name", F.element_at(F.array(*[F.lit(n) for n in WEEKDAYS]),
                                                        F.col("order_purchase_dayofweek") + 1))
 
 
