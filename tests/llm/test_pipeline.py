@@ -96,5 +96,5 @@ def test_run_is_all_stages_and_registered(spark, stages):
 
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     names = {q.split("_")[0] for q in entry.queries() if q.startswith("op")}
-    assert names == {f"op{n}" for n in range(1, 11)}
+    assert names == {f"op{n}" for n in range(1, 14)}
     assert corpus_pipeline.run(spark, stages[1]).count() == stages[0][4][1].count()
