@@ -16,10 +16,11 @@ the order of its keys.  A hot word or pair reaches its part once per block, and
 parts are sized by the input, so no task grows with it.
 
 1. Texts become blocks of word numbers, written once, bucketed by block.
-2. Words: counts, vocabulary.  3. Pairs: counts; one block owns each pair.
-4. In each round the tables of each pair are drawn; its owner reports them by
+2. Words: counts, vocabulary.  3. Pairs: counts; one block owns each pair, and
+   the pairs that a block owns are written beside its texts.
+4. In each round the owner of each pair draws its tables and reports them by
    context and by word.  A pair's random numbers follow from its key and the
-   round, so every block draws the same seating.
+   round, so every block draws the same seating when it scores.
 5. Scores.
 
 All dishes of a round are drawn at once, given the round before (a synchronous
@@ -47,6 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm.textops import LOWER, crc_mod5, mix, prefix_hash, span_hash, text_blocks, words
+from vitrine.llm.workers import give_back, tidy
 from vitrine.operators.lineage import materialize
 
 KEY_BITS, PAIR_BITS = 56, 48
@@ -80,6 +82,7 @@ def spread(blob: bytes, kind) -> np.ndarray:
 def token_blocks(docs: DataFrame) -> DataFrame:
     """(block, ids, lengths, training, keys, tokens): word numbers of the texts of a block."""
 
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, buf, off in text_blocks(batches, "id", "text", BLOCK_BYTES):
             low = LOWER[buf]
@@ -102,6 +105,17 @@ def token_blocks(docs: DataFrame) -> DataFrame:
                                    "keys binary, tokens binary")
 
 
+def pair_keys(keys: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(keys[context]) + keys[word] * _U(0x9E3779B97F4A7C15)) >> _U(64 - PAIR_BITS)
+
+
+def entry_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows one by one: each is a whole block."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 class Block:
     """A block's words, word pairs and the place of each token among them."""
 
@@ -124,7 +138,7 @@ class Block:
         both = context.astype(np.int64) * len(self.keys) + self.tokens
         local, of_token = np.unique(both, return_inverse=True)
         context, word = local // len(self.keys), local % len(self.keys)
-        key = mix(mix(self.keys[context]) + self.keys[word] * _U(0x9E3779B97F4A7C15)) >> _U(64 - PAIR_BITS)
+        key = pair_keys(self.keys, context, word)
         order = np.argsort(key, kind="stable")
         self.context, self.word, self.pair_keys = context[order], word[order], key[order]
         place = np.empty(len(order), np.int64)
@@ -158,11 +172,14 @@ def exchange(reports: DataFrame, combine: Callable, kinds: list, answers: list,
         keys, first, inverse = np.unique(np.concatenate(lists), return_index=True, return_inverse=True)
         values = [np.concatenate([spread(x.as_py(), kind) for x in table.column(f"v{k}")]) for k, kind in enumerate(kinds)]
         result, numbers = combine(keys, first, inverse, values)
+        del keys, first, inverse, values
         out = {"block": table.column("block"), "part": table.column("part")}
         for k, a in enumerate(result):
             out[f"a{k}"] = pa.array([squeeze(a[i:j]) for i, j in zip(at[:-1], at[1:])], pa.binary())
         for k, n in enumerate(numbers):
             out[f"s{k}"] = pa.array([float(n)] + [0.0] * (len(lists) - 1))
+        del lists, result
+        give_back()
         return pa.table(out)
 
     schema = "block long, part long" + "".join(f", a{k} binary" for k in range(len(answers)))
@@ -234,10 +251,12 @@ def seating(count: np.ndarray, fresh: np.ndarray, key: np.ndarray, d: float, dra
     arrangements at t tables; exact up to EXACT customers, beyond with the mean and variance of the saddle point."""
     tables = (count > 0).astype(np.float64)
     weight = np.log(fresh)
-    for c in np.unique(count[(count > 1) & (count <= EXACT)]):
-        same = np.flatnonzero(count == c)
+    small = np.flatnonzero((count > 1) & (count <= EXACT))
+    small = small[np.argsort(count[small], kind="stable")]
+    for same in np.split(small, np.flatnonzero(np.diff(count[small])) + 1) if len(small) else []:
+        c = int(count[same[0]])
         t = np.arange(1, c + 1)
-        step = max(1, 1_000_000 // int(c))
+        step = max(1, 250_000 // c)
         for k in range(0, len(same), step):
             these = same[k:k + step]
             p = weight[these][:, None] * t + arrangements(d)[c, 1:c + 1]
@@ -254,7 +273,10 @@ def seating(count: np.ndarray, fresh: np.ndarray, key: np.ndarray, d: float, dra
         p = np.exp(m * np.log1p(-q) / q)
         total, found = p.copy(), np.zeros(len(few))
         for k in range(200):
-            found += total <= u[few]
+            open_ = total <= u[few]
+            if not open_.any():
+                break
+            found += open_
             p = p * np.maximum(m - k * q, 0.0) / ((k + 1) * (1 - q))
             total += p
         more[few] = found
@@ -291,11 +313,9 @@ def language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = min(1024, 1 << bits)
     blocks = kept(token_blocks(docs), buckets)
 
-    def rows(batches):
-        return (r for batch in batches for r in batch.to_pylist())
-
+    @tidy
     def count_words(batches):
-        for r in rows(batches):
+        for r in entry_rows(batches):
             b = Block(r)
             yield report_rows(b.name, b.keys, [b.training_counts(b.tokens, len(b.keys))], KEY_BITS - bits)
 
@@ -310,8 +330,9 @@ def language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     model.power = power
     word_counts = kept(gathered(counted, "words", 1), buckets)
 
+    @tidy
     def count_pairs(batches):
-        for r in rows(batches):
+        for r in entry_rows(batches):
             b = Block(r)
             b.pairs()
             yield report_rows(b.name, b.pair_keys, [b.training_counts(b.pair_of, len(b.pair_keys))], PAIR_BITS - bits)
@@ -327,32 +348,51 @@ def language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pair_counts = kept(gathered(paired, "pairs", 2), buckets)
     state = blocks.join(word_counts, "block").join(pair_counts, "block")
 
-    def context_counts(b, counts):
+    @tidy
+    def own_pairs(batches):
+        """The training pairs that a block owns, by the places of their words among its keys: no round sorts tokens."""
+        for r in entry_rows(batches):
+            b = Block(r)
+            b.pairs()
+            counts, mine = read(r["pairs"], 0, np.int64), read(r["pairs"], 1, bool)
+            mine &= counts > 0
+            place = b.context[mine] * len(b.keys) + b.word[mine]
+            order = np.argsort(place)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([b.name], pa.int64()), pa.array([squeeze(np.diff(place[order], prepend=0))], pa.binary()),
+                 pa.array([squeeze(counts[mine][order])], pa.binary())], ["block", "places", "counts"])
+
+    owned = kept(blocks.join(pair_counts, "block").mapInArrow(own_pairs, "block long, places binary, counts binary"), buckets)
+    owned = blocks.select("block", "keys").join(owned, "block")
+
+    def context_counts(keys, counts):
         """Customers of each context: a word is followed as often as it occurs, the start once per text."""
+        start, end = np.searchsorted(keys, [_U(START), _U(END)])
         out = counts.astype(np.float64)
-        out[b.start] = out[b.end]
-        out[b.end] = 0.0
+        out[start] = out[end]
+        out[end] = 0.0
         return out
 
-    def drawn(b, r, k, before, these=slice(None)):
-        """Counts of the block's pairs, and of ``these`` the tables in round ``k``, given the round before."""
-        counts, pairs = read(r["words"], 0, np.int64), read(r["pairs"], 0, np.int64)
+    def drawn(keys, context, word, pairs, names, r, k, before):
+        """The tables of pairs in round ``k``, given the round before."""
         if k == 0:
-            fresh = before.fresh(context_counts(b, counts)[b.context], counts[b.word].astype(np.float64))
+            counts = read(r["words"], 0, np.int64)
+            fresh = before.fresh(context_counts(keys, counts)[context], counts[word].astype(np.float64))
         else:
             held, customers, tables = (read(r[f"round{k - 1}"], i, np.int64) for i in range(3))
-            fresh = (STRENGTH + before.d * held[b.context]) * before.parent(customers, tables)[b.word]
-        return pairs, seating(pairs[these], fresh[these], b.pair_keys[these], before.d, k)
+            fresh = (STRENGTH + before.d * held[context]) * before.parent(customers, tables)[word]
+        return seating(pairs, fresh, names, before.d, k)
 
     def report_tables(k, before):
+        @tidy
         def send(batches):
-            for r in rows(batches):
-                b = Block(r)
-                b.pairs()
-                mine = read(r["pairs"], 1, bool)
-                _, t = drawn(b, r, k, before, mine)
-                sums = [np.rint(np.bincount(of[mine], t, len(b.keys))).astype(np.int64) for of in (b.context, b.word)]
-                yield report_rows(b.name, b.keys, sums, KEY_BITS - bits)
+            for r in entry_rows(batches):
+                keys = np.cumsum(spread(r["keys"], _U), dtype=_U)
+                place = np.cumsum(spread(r["places"], np.int64))
+                context, word = place // len(keys), place % len(keys)
+                t = drawn(keys, context, word, spread(r["counts"], np.int64), pair_keys(keys, context, word), r, k, before)
+                sums = [np.rint(np.bincount(of, t, len(keys))).astype(np.int64) for of in (context, word)]
+                yield report_rows(r["block"], keys, sums, KEY_BITS - bits)
         return send
 
     def add_tables(k, before):
@@ -366,7 +406,7 @@ def language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     models, rounds = [model], []
     for k in range(BURN_IN + SAMPLES):
-        last = state.join(rounds[-1], "block") if rounds else state  # a round reads the one before only
+        last = owned.join(rounds[-1] if rounds else word_counts, "block")  # a round reads the one before only
         sent = last.mapInArrow(report_tables(k, models[k]), report + ", v1 binary")
         seated = exchange(sent, add_tables(k, models[k]), [np.int64] * 2, [np.int64] * 3, 4)
         after = Model(model.tokens, model.vocabulary)
@@ -378,15 +418,17 @@ def language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for answers in rounds[BURN_IN - 1:]:
         state = state.join(answers, "block")
 
+    @tidy
     def score(batches):
-        for r in rows(batches):
+        for r in entry_rows(batches):
             b = Block(r)
             b.pairs()
             counts = read(r["words"], 0, np.int64)
-            followed = context_counts(b, counts)[b.context]
+            followed = context_counts(b.keys, counts)[b.context]
+            pair = read(r["pairs"], 0, np.int64)
             p = 0.0
             for k in range(BURN_IN, BURN_IN + SAMPLES):
-                pair, t = drawn(b, r, k, models[k])
+                t = drawn(b.keys, b.context, b.word, pair, b.pair_keys, r, k, models[k])
                 held, customers, tables = (read(r[f"round{k}"], i, np.int64) for i in range(3))
                 below = (STRENGTH + model.d * held[b.context]) * models[k + 1].parent(customers, tables)[b.word]
                 p += (np.maximum(pair - model.d * t, 0.0) + below) / (STRENGTH + followed) / SAMPLES

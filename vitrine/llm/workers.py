@@ -50,13 +50,18 @@ def held(name, make: Callable):
     return _held[name]
 
 
+def drop_held() -> None:
+    """Ends the kept memory.  A function of the module, as ``tidy``'s own is pickled with a copy of what it names."""
+    _held.clear()
+    give_back()
+
+
 def tidy(task: Callable) -> Callable:
     """A generator over Arrow batches that starts without other tasks' memories and gives freed memory back."""
 
     @functools.wraps(task)
     def run(batches: Iterator) -> Iterator:
-        _held.clear()
-        give_back()
+        drop_held()
         try:
             yield from task(batches)
         finally:
