@@ -73,3 +73,16 @@ def test_null_keys_are_not_shuffled(spark):
     a, b, _ = sides(spark, 6)
     plan = oj.outer_join([a, b], "k")._jdf.queryExecution().optimizedPlan().toString()
     assert "FullOuter" not in plan and plan.count("isnull(k") >= 2
+
+
+def test_a_table_under_another_counts_only_beside_its_rows(spark):
+    rnd = random.Random(11)
+    keys = [None, *range(12)]
+    a, b, c = ([(rnd.choice(keys), k) for k in range(n)] for n in (20, 30, 25))
+    c += [(99, 1000)]
+    b += [(99, 2000), (99, 2001), (98, 2002)]  # beside c or nothing, not beside a
+    tables = [spark.createDataFrame(rows, f"k int, {name} int") for rows, name in ((a, "a"), (b, "b"), (c, "c"))]
+    left = tables[0].join(tables[1], "k", "left")
+    want = left.join(tables[2], "k", "full_outer").select("k", "a", "b", "c")
+    got = oj.outer_join(tables, "k", [True, False, True], under={1: 0}).select("k", "a", "b", "c")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -649,7 +649,8 @@ def c9_items(spark, d) -> DataFrame:
 
 
 def c9(spark, d) -> DataFrame:
-    return shared(spark, ("c9", d), lambda: profile.full_outer_wide(_tables(spark, d)).select(*C9_COLUMNS))
+    """The table itself is one query's output: not written once more for others."""
+    return profile.full_outer_wide(_tables(spark, d)).select(*C9_COLUMNS)
 
 
 HIST_BINS = 50

@@ -13,6 +13,8 @@ shuffled outer join sends every NULL key to one task.  So:
   no task makes much more than ``HOT_SHARE`` of the rows for one key.
 
 A table whose ``keep`` is false adds no rows of its own, as the right side of a left join.
+A table that is ``under`` another one counts only beside rows of it, so that a left join
+need not be written before its rows meet the other tables.
 """
 
 from __future__ import annotations
@@ -48,18 +50,23 @@ def hot_keys(counts: DataFrame, key: str, many: int) -> DataFrame:
 
 
 def outer_join(sides: Sequence[DataFrame], key: str, keep: Sequence[bool] | None = None,
-               key_rows: Sequence[DataFrame] | None = None) -> DataFrame:
+               key_rows: Sequence[DataFrame] | None = None, under: dict[int, int] | None = None,
+               counts: DataFrame | None = None) -> DataFrame:
     """The tables' rows joined on ``key``, which is the only column name that they share.
 
-    ``key_rows`` may give cheaper tables with the same keys to count them from."""
+    ``key_rows`` may give cheaper tables with the same keys to count them from, ``counts`` their written
+    ``key_counts``.  ``under``: places of tables, each with that of the table whose rows it needs."""
     keep = list(keep or [True] * len(sides))
     if len(sides) < 2 or len(keep) != len(sides) or not any(keep):
         raise ValueError("outer_join needs two tables or more, one of which is kept")
-    many = range(len(sides))
+    many, under = range(len(sides)), dict(under or {})
+    marked = {*under, *under.values()}
     own = [[c for c in side.columns if c != key] for side in sides]
     quoted = [[f"`{c}`" for c in cols] for cols in own]
     kept = " or ".join(f"_n{j} > 0" for j in many if keep[j])
-    counts = materialize(key_counts(key_rows or sides, key).filter(kept), "keys")
+    if counts is None:
+        counts = materialize(key_counts(key_rows or sides, key).filter(kept), "keys")
+    counts = counts.withColumns({f"_n{j}": F.expr(f"if(_n{i} = 0, 0L, _n{j})") for j, i in under.items()}).filter(kept)
     hot = hot_keys(counts, key, len(sides))
     hot = hot.sparkSession.createDataFrame(hot.collect(), hot.schema)  # 1 / HOT_SHARE rows at most
 
@@ -68,16 +75,23 @@ def outer_join(sides: Sequence[DataFrame], key: str, keep: Sequence[bool] | None
         return [f"cast(null as {kinds[c]}) as `{c}`" for c in own[j]]
 
     def dealt(j: int) -> DataFrame:
-        rows = sides[j].filter(f"`{key}` is not null").select(key, *own[j])
+        here = (lambda real: [f"{real} as _here{j}"]) if j in marked else (lambda real: [])
+        rows = sides[j].filter(f"`{key}` is not null").selectExpr(f"`{key}`", *quoted[j], *here("true"))
         if any(keep[i] for i in many if i != j):  # another table may have keys that this one lacks
-            rows = rows.unionByName(counts.filter(f"_n{j} = 0").selectExpr(f"`{key}`", *nothing(j)))
+            rows = rows.unionByName(counts.filter(f"_n{j} = 0").selectExpr(f"`{key}`", *nothing(j), *here("false")))
         rows = rows.join(F.broadcast(hot), key, "left")
         mine = f"pmod(xxhash64({', '.join([f'`{key}`', *quoted[j]])}), _salts)"
         salts = (f"case when _salts is null then array(0) when _big = {j} then array(cast({mine} as int)) "
                  "else sequence(0, _salts - 1) end")
-        return rows.selectExpr(f"`{key}`", *quoted[j], f"explode({salts}) as _salt")
-
-    out = reduce(lambda a, b: a.join(b, [key, "_salt"]), [dealt(j) for j in many]).drop("_salt")
+        return rows.selectExpr(f"`{key}`", *quoted[j], *([f"_here{j}"] if j in marked else []), f"explode({salts}) as _salt")
+
+    out = dealt(0)
+    for k in many[1:]:
+        out = out.join(dealt(k), [key, "_salt"])
+        for j, i in under.items():
+            if k == max(i, j):  # beside a row of NULLs only the row of NULLs stays
+                out = out.filter(f"_here{i} or not _here{j}")
+    out = out.drop("_salt", *[f"_here{j}" for j in marked])
     for j in many:
         if keep[j]:
             rows = sides[j].filter(f"`{key}` is null")

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from vitrine.functions.classify import review_class_fixed
 from vitrine.functions.timeutil import micros_to_ntz, ntz_to_micros
 from vitrine.operators.lineage import materialize
-from vitrine.operators.outer_join import outer_join
+from vitrine.operators.outer_join import key_counts, outer_join
 from vitrine.operators.rank import exact_quantiles
 from vitrine.operators.share import ratio, share_of_total
 from vitrine.plans import moments
@@ -125,10 +125,17 @@ def full_outer_wide(t) -> DataFrame:
 
     ``outer_join`` keeps NULL keys out of the shuffles and splits hot keys; products,
     customers and sellers that no order names are appended as rows of their own."""
-    base, rows = order_rows(t)
-    out = outer_join([rows, t.payments, t.reviews], "order_id", key_rows=[base, t.payments, t.reviews])
+    orders = outer_join([t.orders, t.customers], "customer_id", [True, False])
+    items = t.order_items  # each table meets its lookups before the order's other rows widen and multiply it
     for name, key in LOOKUPS:
-        named = base.select(key).filter(f"{key} is not null").distinct()
+        if key in items.columns:
+            items = outer_join([items, getattr(t, name)], key, [True, False])
+    counts = materialize(key_counts([t.orders, t.order_items, t.payments, t.reviews], "order_id"), "keys")
+    out = outer_join([orders, items, t.payments, t.reviews], "order_id", [True, False, True, True], under={1: 0}, counts=counts)
+    alone = materialize(counts.filter("_n0 = 0 and _n1 > 0").select("order_id"), "alone")  # items of no order
+    used = t.order_items.filter("order_id is not null").join(alone, "order_id", "left_anti")
+    for name, key in LOOKUPS:
+        named = (used if key in used.columns else t.orders).select(key).filter(f"{key} is not null").distinct()
         out = out.unionByName(getattr(t, name).join(named, key, "left_anti"), allowMissingColumns=True)
     return out
 
