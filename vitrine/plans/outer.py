@@ -34,17 +34,21 @@ KEY = "order_id"
 
 def item_side(t) -> DataFrame:
     """Orders with their items and the items' products (the order-side rows of C9)."""
-    return t.orders.join(t.order_items, KEY, "left").join(t.products, "product_id", "left")
+    return t.orders.join(t.order_items.join(t.products, "product_id", "left"), KEY, "left")
 
 
 def side_counts(t) -> DataFrame:
-    """One row per order key with the row count of each side (1 for a missing side)."""
-    def count(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(KEY).agg(F.count(F.lit(1)).alias(name))
-
-    k = (count(item_side(t), "_na").join(count(t.payments, "_nb"), KEY, "full_outer")
-         .join(count(t.reviews, "_nc"), KEY, "full_outer"))
-    return k.select(KEY, *[F.coalesce(F.col(c), F.lit(1)).cast("bigint").alias(c) for c in ("_na", "_nb", "_nc")])
+    """One row per order key, none for NULL, with the row count of each side (1 for a missing side)."""
+    # a product that the lookup holds several times multiplies its items; written, as mostly there is none
+    repeated = materialize(t.products.groupBy("product_id").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1"), "repeated")
+    items = t.order_items.join(repeated, "product_id", "left").selectExpr(KEY, "coalesce(_many, 1L) as _rows")
+    sides = [t.orders.selectExpr(KEY, "1L as _rows"), items, *[s.selectExpr(KEY, "1L as _rows") for s in (t.payments, t.reviews)]]
+    # all sides in one aggregate: no sorts and no joins of sides hold a task's memory at once
+    k = reduce(DataFrame.unionByName, [side.filter(f"{KEY} is not null").selectExpr(
+        KEY, *[f"{'_rows' if i == j else '0L'} as _n{i}" for i in range(4)]) for j, side in enumerate(sides)])
+    k = k.groupBy(KEY).agg(*[F.sum(f"_n{i}").alias(f"_n{i}") for i in range(4)]).filter("_n0 > 0 or _n2 > 0 or _n3 > 0")
+    return k.selectExpr(KEY, "if(_n0 > 0, _n0 * greatest(_n1, 1L), 1L) as _na", "greatest(_n2, 1L) as _nb",
+                        "greatest(_n3, 1L) as _nc")
 
 
 def _weighted_counts(rows: DataFrame, col: str, weight) -> DataFrame:
