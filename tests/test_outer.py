@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from helpers import D, tables
+from vitrine import catalog
 from vitrine.plans import outer, profile
 
 
@@ -69,3 +73,38 @@ def test_complete_row_histogram_matches_materialised(spark):
            profile.weighted_histogram(complete.select(F.col("price").cast("double").alias("x"),
                                                       F.lit(1).alias("w")), "x", "w", 4).collect()}
     assert got == exp
+
+
+def test_counts_with_repeated_products_and_null_keys(spark):
+    t = _fixture(spark)
+    more = {"products": [(100, "again", 1, 1)], "orders": [(None, 10, "shipped", None), (2, 11, "shipped", None)],
+            "order_items": [(None, 1, 100, 7, None, 1, 1), (78, 1, 100, 7, None, 1, 1)], "reviews": [(9, 78, 1, None, None)]}
+    t = replace(t, **{n: getattr(t, n).unionByName(spark.createDataFrame(rows, getattr(t, n).schema)) for n, rows in {
+        k: [tuple(Decimal(x) if f.dataType.typeName() == "decimal" and x is not None else x for x, f in zip(r, getattr(t, k).schema))
+            for r in v] for k, v in more.items()}.items()})
+    c9 = (t.orders.join(t.order_items, "order_id", "left").join(t.products, "product_id", "left")
+          .join(t.payments, "order_id", "full_outer").join(t.reviews, "order_id", "full_outer"))
+    for fac, col in ((outer.payment_type_counts(t), "payment_type"), (outer.review_score_counts(t), "review_score")):
+        assert ({r[col]: r["count"] for r in fac.collect()}
+                == {r[col]: r["count"] for r in c9.filter(f"{col} is not null").groupBy(col).count().collect()})
+    wide = _c9(t)
+    assert wide.filter("order_id is not null").count() == c9.filter("order_id is not null").count()
+
+
+def test_side_counts_join_no_sides(spark):
+    plan = outer.side_counts(_fixture(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan and plan.count("Join") == 1  # the products that repeat
+
+
+def test_item_rows_meet_their_orders_sums_once(spark, monkeypatch):
+    written = {}
+    real = outer.materialize
+    monkeypatch.setattr(outer, "materialize", lambda df, name="t": written.setdefault(name, real(df, name)))
+    outer.correlation_matrix(_fixture(spark), ["price", "product_photos_qty"], ["payment_value"], ["review_score"])
+    assert set(written) == {"beside", "items", "moments"}
+    assert set(written["items"].columns) >= {"price", "product_photos_qty", "_many1", "_many2"}
+    assert "order_status" not in written["items"].columns and len(written["moments"].columns) == 10
+
+
+def test_c9_is_not_written_before_it_is_returned(spark):
+    assert any("lineitem" in f for f in catalog.c9(spark, "/root/testdata/sf0.001").inputFiles())

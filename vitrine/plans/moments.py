@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PARTS = ("n", "a", "b", "aa", "bb", "ab")
@@ -25,9 +25,14 @@ def centred(df: DataFrame, cols: Sequence[str], first: int = 0) -> DataFrame:
     """``df`` with ``_x{first}``, ``_x{first + 1}``, ...: the columns minus their medians, as doubles.
 
     The medians are one row, fetched here, as several sums read the result."""
+    return df.withColumns(centres(df, cols, first))
+
+
+def centres(df: DataFrame, cols: Sequence[str], first: int = 0) -> dict[str, Column]:
+    """The columns of ``centred`` by name."""
     middle = df.agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    return df.withColumns({f"_x{first + i}": (F.col(c) - F.lit(middle[i]).cast(df.schema[c].dataType)).cast("double")
-                           for i, c in enumerate(cols)})
+    return {f"_x{first + i}": (F.col(c) - F.lit(middle[i]).cast(df.schema[c].dataType)).cast("double")
+            for i, c in enumerate(cols)}
 
 
 def pattern_moments(rows: DataFrame, own: Sequence[int]) -> DataFrame:

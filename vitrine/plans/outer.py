@@ -97,18 +97,18 @@ def mean_price_by_year_weekday(t, ts: str = "order_purchase_timestamp", value: s
 
 # ------------------------------------------------------------------ G15 correlation over C9
 
-def order_moments(sides: list[DataFrame], cols: list[list[int]]) -> DataFrame:
+def order_moments(sides: dict[int, DataFrame], cols: list[list[int]]) -> DataFrame:
     """One row per order: the rows of each side ``n{j}``, and of each centred column ``_x{i}`` the
     count, sum and sum of squares -- all sides in one aggregate, so a hot order is added up before the shuffle."""
-    every = [i for own in cols for i in own]
+    every = [i for j in sides for i in cols[j]]
     parts = []
-    for j, (side, own) in enumerate(zip(sides, cols)):
+    for j, side in sides.items():
         parts.append(side.filter(F.col(KEY).isNotNull()).selectExpr(
-            KEY, *[f"{int(k == j)}L as n{k}" for k in range(len(sides))],
-            *[f"_x{i}" if i in own else f"cast(null as double) as _x{i}" for i in every]))
+            KEY, *[f"{int(k == j)}L as n{k}" for k in sides],
+            *[f"_x{i}" if i in cols[j] else f"cast(null as double) as _x{i}" for i in every]))
     rows = reduce(DataFrame.unionByName, parts)
     return rows.groupBy(KEY).agg(
-        *[F.sum(f"n{j}").alias(f"n{j}") for j in range(len(sides))],
+        *[F.sum(f"n{j}").alias(f"n{j}") for j in sides],
         *[F.expr(f"{call} as {name}{i}") for i in every
           for name, call in (("c", f"count(_x{i})"), ("s", f"sum(_x{i})"), ("q", f"sum(_x{i} * _x{i})"))])
 
@@ -121,46 +121,60 @@ def correlation_matrix(t, cols_a, cols_b, cols_c, digits: int = 2, items: DataFr
     Columns are centred first (``moments``).  Pairs of one side weigh each row by the rows that the
     order's other sides put beside it; a pair across sides is, per order, a product of the sides'
     sums.  Everything is a double about a median, so weights of 10^13 rows and more do no harm.
+
+    Payments and reviews are added up per order first; item rows take their order's sums along where they
+    meet their order, so they need no shuffle after that one.
     """
     groups = [list(cols_a), list(cols_b), list(cols_c)]
     cols = [c for own in groups for c in own]
     index = {c: i for i, c in enumerate(cols)}
     own = [[index[c] for c in names] for names in groups]
-    item_rows = items if items is not None else item_side(t)
+    raw = {1: t.payments, 2: t.reviews}
+    centres = {j: moments.centres(rows, groups[j], own[j][0]) if own[j] else {} for j, rows in raw.items()}
+    sides = {j: rows.withColumns(centres[j]) if own[j] else rows for j, rows in raw.items()}
+    # many: the rows that an order has on a side of the joined table, one where it has none
+    beside = materialize(order_moments(sides, own).selectExpr(
+        KEY, *[f"cast(greatest(n{j}, 1L) as double) as _many{j}" for j in raw],
+        *[f"coalesce(cast({p}{i} as double), 0.0D) as _{p}{i}" for j in raw for i in own[j] for p in "csq"]), "beside")
     prod_cols = [c for c in cols_a if c in t.products.columns and c != "product_id"]
-    raw = [item_rows, t.payments, t.reviews]
+    item_rows = items if items is not None else item_side(t)
+    needed = dict.fromkeys([KEY, *(["product_id"] if prod_cols else []), *cols_a])
+    item_rows = materialize(item_rows.select(*needed).join(beside, KEY, "left"), "items")
+    orders = beside.join(item_rows.filter(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count(F.lit(1)).alias("_n0")), KEY, "left")
+    orders = materialize(orders.withColumn("_many0", F.expr("cast(coalesce(_n0, 1L) as double)")).drop("_n0"), "moments")
     if prod_cols:  # products no item references are C9 rows of their own, beside no order
         referenced = item_rows.filter(F.col("product_id").isNotNull()).select("product_id").distinct()
         alone = t.products.join(referenced, "product_id", "left_anti")
-        nothing = [c for c in [KEY, *cols_a] if c not in prod_cols]
-        raw[0] = item_rows.select(KEY, *cols_a).unionByName(alone.select(
-            *prod_cols, *[F.lit(None).cast(item_rows.schema[c].dataType).alias(c) for c in nothing]))
-    sides = [moments.centred(rows, names, own[j][0]) if names else rows for j, (rows, names) in enumerate(zip(raw, groups))]
-    # many: the rows that an order has on a side of the joined table, one where it has none
-    orders = order_moments(sides, own).selectExpr(
-        KEY, *[f"cast(greatest(n{j}, 1L) as double) as many{j}" for j in range(3)],
-        *[f"coalesce(cast({p}{i} as double), 0.0D) as {p}{i}" for i in range(len(cols)) for p in "csq"])
-    orders = materialize(orders, "moments")
-    across, side_of = [], {i: j for j, names in enumerate(own) for i in names}
-    for i, a in side_of.items():
-        for j, b in side_of.items():
-            if i < j and a != b:  # beside a pair of sides: the rows of the third
-                for part, x, y in zip(moments.PARTS, "cscqcs", "ccscqs"):
-                    across.append(F.expr(f"sum(many{3 - a - b} * {x}{i} * {y}{j}) as {part}_{i}_{j}"))
-    sums = [orders.agg(*across)] if across else []
-    for j, names in enumerate(own):
-        if len(names) == 1:  # a column with itself
-            i, beside = names[0], " * ".join(f"many{k}" for k in range(3) if k != j)
+        item_rows = item_rows.unionByName(alone.select("product_id", *prod_cols), allowMissingColumns=True)
+    sums = []
+    if own[0]:
+        nothing = [c for c in beside.columns if c != KEY]  # an order without payments and reviews
+        rows = item_rows.withColumns(moments.centres(item_rows, groups[0], own[0][0])).withColumns(
+            {c: F.coalesce(c, F.lit(float(c.startswith("_many")))) for c in nothing})
+        sums.append(moments.pattern_moments(rows.withColumn("_w", F.expr("_many1 * _many2")), own[0]))
+        across = []
+        for i in own[0]:
+            of_row = {"c": f"if(_x{i} is null, 0.0D, 1.0D)", "s": f"coalesce(_x{i}, 0.0D)", "q": f"coalesce(_x{i} * _x{i}, 0.0D)"}
+            for j, other in ((1, 2), (2, 1)):
+                across += [F.expr(f"sum(_many{other} * {of_row[x]} * _{y}{k}) as {part}_{i}_{k}") for k in own[j]
+                           for part, x, y in zip(moments.PARTS, "cscqcs", "ccscqs")]
+        sums += [rows.agg(*across)] if across else []
+    across = [F.expr(f"sum(_many0 * _{x}{i} * _{y}{k}) as {part}_{i}_{k}") for i in own[1] for k in own[2]
+              for part, x, y in zip(moments.PARTS, "cscqcs", "ccscqs")]
+    sums += [orders.agg(*across)] if across else []
+    for j in raw:
+        weight = " * ".join(f"_many{k}" for k in range(3) if k != j)
+        if len(own[j]) == 1:  # a column with itself
+            i = own[j][0]
             alone = sides[j].filter(F.col(KEY).isNull()).selectExpr(f"count(_x{i}) as c", f"sum(_x{i}) as s", f"sum(_x{i} * _x{i}) as q")
-            both = orders.selectExpr(f"{beside} * c{i} as c", f"{beside} * s{i} as s", f"{beside} * q{i} as q").unionByName(alone)
+            both = orders.selectExpr(*[f"{weight} * _{p}{i} as {p}" for p in "csq"]).unionByName(alone)
             sums.append(both.agg(*[F.expr(f"sum({x}) as {part}_{i}_{i}") for part, x in zip(moments.PARTS, "cssqqq")]))
-        elif names:
-            weight = orders.selectExpr(KEY, " * ".join(f"many{k}" for k in range(3) if k != j) + " as _w")
-            rows = sides[j].select(KEY, *[f"_x{i}" for i in names])
+        elif own[j]:
+            rows = raw[j].select(KEY, *groups[j])  # shuffled as they are, centred after: doubles do not compress
             # a row without an order stands alone
-            weighed = (rows.filter(F.col(KEY).isNotNull()).join(weight, KEY)
-                       .unionByName(rows.filter(F.col(KEY).isNull()).withColumn("_w", F.lit(1.0))))
-            sums.append(moments.pattern_moments(weighed, names))
+            weighed = (rows.filter(F.col(KEY).isNotNull()).join(orders.selectExpr(KEY, f"{weight} as _w"), KEY)
+                       .unionByName(rows.filter(F.col(KEY).isNull()).withColumn("_w", F.lit(1.0))).withColumns(centres[j]))
+            sums.append(moments.pattern_moments(weighed, own[j]))
     one = sums[0]
     for more in sums[1:]:  # one row each
         one = one.withColumn("_more", more.select(F.struct(*more.columns)).scalar()).select(*one.columns, "_more.*")
