@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm.textops import prefix_hash, powers, mix, ragged, text_blocks
-from vitrine.operators.lineage import materialize
+from vitrine.llm.workers import tidy
 
 LENGTH, SEED = 50, 20
 #: Bytes of text per block, and per part of the seed and of the fragment exchange.
@@ -52,6 +52,7 @@ LAST = (1 << 63) - 1
 def pack_blocks(docs: DataFrame) -> DataFrame:
     """(block, ids, ends, text, bytes): texts of up to BLOCK bytes in one compressed row; longer texts alone."""
 
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(3)
         held_ids, held_text, held_len, size = [], [], [], 0
@@ -134,6 +135,7 @@ def spread(blob: bytes, kind) -> np.ndarray:
 def seeds_by_part(blocks: DataFrame, parts: int) -> DataFrame:
     """(part, block, seeds, n, local): distinct minimisers of a block, flagged if two of its documents hold them."""
 
+    @tidy
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -185,8 +187,9 @@ SPANS = "block long, row long, first long, bytes long"
 
 
 def fragments_by_part(blocks: DataFrame, common: DataFrame, parts: int) -> DataFrame:
-    """Fragments of common minimisers by part (kind 0) and ranges settled within their block (kind 1)."""
+    """Fragments of common minimisers by part (kind 0); ranges settled within their block (kind 1) go with any part."""
 
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -207,7 +210,7 @@ def fragments_by_part(blocks: DataFrame, common: DataFrame, parts: int) -> DataF
                 smallest = owner[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
                 settled = owner > smallest
                 if settled.any():
-                    yield made(1, 0, row["block"], owner[settled], doc[settled], start[settled], size[settled], b"")
+                    yield made(1, row["block"] % parts, row["block"], owner[settled], doc[settled], start[settled], size[settled], b"")
                 key, start, size, owner, doc = (v[~settled] for v in (key, start, size, owner, doc))
                 part = (key % _U(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
@@ -269,33 +272,40 @@ def previous_factors(text: np.ndarray, start: np.ndarray, doc: np.ndarray, lengt
 def covered(sent: DataFrame) -> DataFrame:
     """(block, row, first, bytes): ranges of a block's texts that a smaller document covers."""
 
-    def part(table: pa.Table) -> pa.Table:
-        owner, row, place, size = (np.concatenate([spread(x.as_py(), np.int64) for x in table.column(c)])
-                                   for c in ("owner", "row", "place", "size"))
-        block = np.repeat(table.column("block").to_numpy(), [len(spread(x.as_py(), np.int64)) for x in table.column("size")])
-        text = np.frombuffer(b"".join(zstandard.decompress(x.as_py()) for x in table.column("text")), np.uint8)
-        at = np.cumsum(size) - size
-        windows = size - LENGTH + 1
-        start = ragged(at, windows)
-        which = np.repeat(np.arange(len(size)), windows)
-        hit = np.flatnonzero(previous_factors(text, start, owner[which]))
-        which, start = which[hit], start[hit]
-        new = np.ones(len(hit), bool)  # neighbouring windows of a fragment are one range
-        new[1:] = (which[1:] != which[:-1]) | (start[1:] != start[:-1] + 1)
-        edge = np.flatnonzero(new)
-        which, first = which[edge], (place[which] + start - at[which])[edge]
-        runs = np.diff(np.append(edge, len(hit)))
-        return pa.table({"block": block[which], "row": row[which], "first": first, "bytes": runs + LENGTH - 1})
-
-    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                row, place, size = (spread(r[c], np.int64) for c in ("row", "place", "size"))
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (np.full(len(row), r["block"]), row, place, size)],
-                                                 ["block", "row", "first", "bytes"])
+    def ranges(block, row, first, size) -> pa.Table:
+        return pa.table({"block": pa.array(block, pa.int64()), "row": row, "first": first, "bytes": size})
+
+    def numbers(table: pa.Table, names: str) -> list[np.ndarray]:
+        return [np.concatenate([spread(x.as_py(), np.int64) for x in table.column(c)]) for c in names.split()]
 
-    return (sent.filter("kind = 0").groupBy("part").applyInArrow(part, SPANS)
-            .unionByName(sent.filter("kind = 1").select("block", "row", "place", "size").mapInArrow(settled, SPANS)))
+    def of_rows(table: pa.Table) -> np.ndarray:
+        return np.repeat(table.column("block").to_numpy(), [len(spread(x.as_py(), np.int64)) for x in table.column("size")])
+
+    def part(table: pa.Table) -> pa.Table:
+        kind = table.column("kind").to_numpy()
+        done, table = table.filter(pa.array(kind == 1)), table.filter(pa.array(kind == 0))
+        out = []
+        if done.num_rows:
+            out.append(ranges(of_rows(done), *numbers(done, "row place size")))
+        if table.num_rows:
+            owner, row, place, size = numbers(table, "owner row place size")
+            block = of_rows(table)
+            text = np.frombuffer(b"".join(zstandard.decompress(x.as_py()) for x in table.column("text")), np.uint8)
+            at = np.cumsum(size) - size
+            windows = size - LENGTH + 1
+            start = ragged(at, windows)
+            which = np.repeat(np.arange(len(size)), windows)
+            hit = np.flatnonzero(previous_factors(text, start, owner[which]))
+            which, start = which[hit], start[hit]
+            new = np.ones(len(hit), bool)  # neighbouring windows of a fragment are one range
+            new[1:] = (which[1:] != which[:-1]) | (start[1:] != start[:-1] + 1)
+            edge = np.flatnonzero(new)
+            which, first = which[edge], (place[which] + start - at[which])[edge]
+            runs = np.diff(np.append(edge, len(hit)))
+            out.append(ranges(block[which], row[which], first, runs + LENGTH - 1))
+        return pa.concat_tables(out)
+
+    return sent.groupBy("part").applyInArrow(part, SPANS)
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,14 +315,16 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     table = f"text_blocks_{uuid.uuid4().hex}"  # bucketed by block: answers come to the texts, which are not shuffled
-    buckets = int(min(4096, max(8, total // (8 * BLOCK))))
+    # as many as a shuffle has parts at least, else Spark shuffles the texts for more parts
+    buckets = int(min(4096, max(least, total // (8 * BLOCK))))
     pack_blocks(docs).write.format("parquet").bucketBy(buckets, "block").saveAsTable(table)
     blocks = spark.table(table)
     common = common_seeds(seeds_by_part(blocks, max(least, total // SEED_PART + 1)))
-    sent = materialize(fragments_by_part(blocks, common, max(least, total // FRAGMENT_PART + 1)), "fragments")
+    sent = fragments_by_part(blocks, common, max(least, total // FRAGMENT_PART + 1))  # one shuffle, no copy beside it
     ranges = covered(sent).groupBy("block").agg(
         F.collect_list(F.struct("first", "bytes")).alias("ranges"))  # of one block of bounded size
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int64()), ("bytes", pa.int64())]))
         for batch in batches:
