@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.components import components
 from vitrine.llm.textops import LOWER, mix, prefix_hash, span_hash, text_blocks, words
+from vitrine.llm.workers import tidy
 from vitrine.operators.lineage import materialize
 
 WORDS, PERCENT = 5, 80
@@ -46,6 +47,8 @@ SKETCH_BITS, FILTER_BITS = 18, 23
 SHARE_STEP = 32
 #: Shingles that a task counts together before it passes on the repeated ones.
 COUNTED = 1 << 22
+#: Text that a task takes up at once.
+BLOCK_BYTES = 1 << 20
 _U = np.uint64
 
 
@@ -107,24 +110,28 @@ def least_shared(n):
 def common_levels(docs: DataFrame) -> np.ndarray:
     """log2 of how often repeated shingles were seen, in 2**SKETCH_BITS cells."""
 
+    @tidy
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush():
-            h = np.sort(np.concatenate(held))
-            edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
-            count = np.diff(edge)
-            many = count > 1
-            cell, back = np.unique(h[edge[:-1]][many] >> _U(64 - SKETCH_BITS), return_inverse=True)
-            total = np.bincount(back, weights=count[many], minlength=len(cell)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total)], ["cell", "n"])
-
-        for _, buf, off in text_blocks(batches, "id", "text"):
+            h = np.concatenate(held)
+            held.clear()
+            h.sort()
+            again = h[1:][h[1:] == h[:-1]]  # every repeated shingle, once less than it was seen
+            first = np.ones(len(again), bool)
+            first[1:] = again[1:] != again[:-1]
+            total = sum(np.bincount((x >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                        for x in (again, again[first]))
+            cell = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], ["cell", "n"])
+
+        for _, buf, off in text_blocks(batches, "id", "text", BLOCK_BYTES):
             held.append(sets(buf, off)[0])
             n += len(held[-1])
             if n >= COUNTED:
                 yield flush()
-                held, n = [], 0
+                n = 0
         if n:
             yield flush()
 
@@ -138,8 +145,9 @@ def common_levels(docs: DataFrame) -> np.ndarray:
 def signatures(docs: DataFrame, level) -> DataFrame:
     """(id, n, s1, s2: the set; p1, p2: the prefix) per row."""
 
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, buf, off in text_blocks(batches, "id", "text"):
+        for ids, buf, off in text_blocks(batches, "id", "text", BLOCK_BYTES):
             h, at = sets(buf, off, level.value)
             n = np.diff(at)
             mixed = [mix(h ^ _U(salt)) for salt in (0x5BD1E995, 0x27D4EB2F)]
@@ -155,8 +163,9 @@ def prefix_tokens(docs: DataFrame, level, leaders: DataFrame) -> DataFrame:
     """(token, gid, pos): prefix shingles of the leaders (and of a few ids that the filter lets through), and their place."""
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(leaders.select(F.col("gid").alias("id"))))
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, buf, off in text_blocks(filtered(batches, bits.value), "id", "text"):
+        for ids, buf, off in text_blocks(filtered(batches, bits.value), "id", "text", BLOCK_BYTES):
             h, at = sets(buf, off, level.value)
             n = np.diff(at)
             place = np.arange(len(h)) - np.repeat(at[:-1], n)
@@ -191,8 +200,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, hashes) of the wanted ids, and a few others: 48-bit hashes of the whole set, packed."""
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
 
+    @tidy
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, buf, off in text_blocks(filtered(batches, bits.value), "id", "text"):
+        for ids, buf, off in text_blocks(filtered(batches, bits.value), "id", "text", BLOCK_BYTES):
             found, at = sets(buf, off)
             low = np.ascontiguousarray(found >> _U(16)).view(np.uint8).reshape(-1, 8)[:, :6]
             packed = low.tobytes()
@@ -211,6 +221,7 @@ def verified(pairs: DataFrame, held: DataFrame, percent: int = PERCENT) -> DataF
         out[:, :6] = raw
         return out.view(np.uint64).ravel()
 
+    @tidy
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
