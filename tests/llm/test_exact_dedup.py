@@ -54,6 +54,16 @@ def test_index_keeps_first_owner_and_appends_only_new(spark, table):
     index.drop()
 
 
+def test_index_writes_one_file_per_bucket_and_append(spark, table, monkeypatch):
+    frame = type(table([]))
+    whole = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda df, n, *keys: whole(df, max(n, 31), *keys))
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets=4)
+    index.add(digests(table([(k, f"t{k}") for k in range(400)])))
+    assert len(index.rows().inputFiles()) <= 4 and index.rows().count() == 400
+    index.drop()
+
+
 def test_rows_that_stay_keep_all_columns(table):
     df = table([(1, "a"), (2, "a"), (2, "a"), (None, "n"), (None, "n"), (5, None), (4, "")])
     out = without_copies(df)

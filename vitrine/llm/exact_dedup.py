@@ -42,7 +42,9 @@ class DigestIndex:
         if self.exists():
             new = new.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         new = materialize(new, "digests")
-        (new.repartition(self.buckets, "digest").write.format("parquet").mode("append")
+        # a bucket goes to one task, whatever their number: one file per bucket and append
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
+        (new.repartition(self.buckets, bucket).write.format("parquet").mode("append")
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table))
         return new
 
