@@ -55,6 +55,44 @@ def test_any_order_of_shingles_gives_the_same(table, monkeypatch):
         assert found(table(rows)) == want
 
 
+def test_sets_far_apart_are_no_candidates(table, monkeypatch):
+    """Sets that share a phrase but are far apart make few candidates, however many shingles and sets share it."""
+    rnd = random.Random(4)
+    phrase = " ".join(f"c{k}" for k in range(24))
+    rows = [(k, phrase + " " + " ".join(f"u{rnd.randint(0, 10**6)}" for _ in range(70))) for k in range(120)]
+    base = [f"b{k}" for k in range(100)]  # pairs at the threshold's two sides, with wider and narrower gaps
+    rows += [(500 + k, " ".join(base[:100 - k] + [f"y{k}_{j}" for j in range(k)])) for k in range(0, 30, 3)]
+    import numpy as np
+
+    level = np.zeros(1 << jaccard_join.SKETCH_BITS, np.uint8)  # as if no count had told that the phrase is common
+    monkeypatch.setattr(jaccard_join, "common_levels", lambda docs: level)
+    seen, whole = {}, jaccard_join.materialize
+    verified = jaccard_join.verified
+
+    def watched(pairs, *more):
+        pairs = whole(pairs, "pairs")
+        seen[len(seen)] = pairs.count()
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(jaccard_join, "verified", watched)
+    assert found(table(rows)) == brute.jaccard(rows)
+    assert seen[2] < 60  # the last round; the phrase has 7,140 pairs
+
+
+def test_maps_differ_in_no_more_bits_than_sets_in_shingles():
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    sets = [rnd.integers(0, 1 << 63, n).astype(np.uint64) for n in (0, 1, 7, 300, 5000)]
+    sets += [np.concatenate([sets[3][:280], sets[2]]), sets[3][:-1]]
+    at = np.cumsum([0, *map(len, sets)])
+    maps = jaccard_join.parity_maps(np.concatenate(sets), at)
+    for x, a in zip(sets, maps):
+        for y, b in zip(sets, maps):
+            bits = sum(int(v).bit_count() for v in (a ^ b).view(np.uint64))
+            assert bits <= len(np.setxor1d(x, y)) and (bits > 0) == (len(x) != len(y))
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(20, 60)] + [(1, k) for k in range(2, 15)] + [(14, 20), (70, 71), (99, 98)]
     out = components(spark.createDataFrame(links, "a long, b long"))

@@ -17,7 +17,9 @@ Links are found in three rounds.  First every set is verified against the
 leader that it shares most lists with, then against the leaders of its lists
 that are still in another component, which joins large groups of near copies
 without all their pairs; last, every remaining pair of a list whose sets are not
-yet in one component is verified.  No link between components is lost, and no
+yet in one component is verified.  Lists of the same groups count as one there, and
+pairs are told apart by parity maps of their sets: sets that differ in d
+shingles differ in at most d bits.  No link between components is lost, and no
 list, pair or set is capped.
 
 Defined cases: null and empty texts, and texts without words, have no shingles
@@ -45,6 +47,8 @@ WORDS, PERCENT = 5, 80
 SKETCH_BITS, FILTER_BITS = 18, 23
 #: One more shared prefix shingle is asked for per so many shingles of a set.
 SHARE_STEP = 32
+#: 64-bit words of a set's parity map.
+MAP_WORDS = 16
 #: Shingles that a task counts together before it passes on the repeated ones.
 COUNTED = 1 << 22
 #: Text that a task takes up at once.
@@ -196,8 +200,21 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def parity_maps(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """MAP_WORDS words per row: bit b tells whether the row has an odd number of the shingles that fall on b."""
+    bits = 64 * MAP_WORDS
+    out = np.zeros((len(at) - 1, MAP_WORDS), np.int64)
+    for i in range(0, len(out), 1024):
+        ends = at[i:i + 1025]
+        row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        cell = ((h[ends[0]:ends[-1]] >> _U(16)) % _U(bits)).astype(np.int64)
+        odd = np.bincount(row * bits + cell, minlength=(len(ends) - 1) * bits) & 1
+        out[i:i + 1024] = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, MAP_WORDS)
+    return out
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, hashes) of the wanted ids, and a few others: 48-bit hashes of the whole set, packed."""
+    """(id, hashes, map) of the wanted ids, and a few others: 48-bit hashes of the whole set, packed, and its parity map."""
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
 
     @tidy
@@ -207,9 +224,21 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             low = np.ascontiguousarray(found >> _U(16)).view(np.uint8).reshape(-1, 8)[:, :6]
             packed = low.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([packed[6 * i:6 * j] for i, j in zip(at[:-1], at[1:])], pa.binary())], ["id", "hashes"])
+                [ids, pa.array([packed[6 * i:6 * j] for i, j in zip(at[:-1], at[1:])], pa.binary()),
+                 pa.array(list(parity_maps(found, at)), pa.list_(pa.int64()))], ["id", "hashes", "map"])
+
+    return materialize(docs.withColumn("h", filter_place())
+                       .mapInArrow(collect, "id long, hashes binary, map array<long>"), "sets")
+
+
+def near(percent: int):
+    """Whether sets of the places x and y may meet the threshold: the bits that differ in all their pairs are few enough."""
+    def differ(a: str, b: str):
+        sure = F.zip_with(f"{a}.all", f"{b}.any", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.aggregate(sure, F.lit(0), lambda total, n: total + n)
 
-    return materialize(docs.withColumn("h", filter_place()).mapInArrow(collect, "id long, hashes binary"), "sets")
+    bits = differ("x", "y") + differ("y", "x")
+    return (100 + percent) * bits <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
 
 
 def verified(pairs: DataFrame, held: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -295,8 +324,18 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # third round: all pairs on one list, or in one group, whose sets are still apart
     part = members.join(labels, "id", "left").select("id", "gid", "n", F.coalesce("component", "id").alias("component"))
     part = materialize(part.join(wanted, "id", "left_semi"), "parts")
-    places = part.select("gid", "n", "component").distinct()
-    rows_on = shared.select("token", "gid", "pos").join(places, "gid")
+    # the bits that all sets of a group and component have, and those that any has
+    maps = part.join(held.select("id", "map"), "id").select("gid", "n", "component", *[F.get("map", F.lit(k)).alias(f"m{k}")
+                                                                                       for k in range(MAP_WORDS)])
+    maps = maps.groupBy("gid", "n", "component").agg(*[f(f"m{k}").alias(f"{f.__name__}{k}")
+                                                       for f in (F.bit_and, F.bit_or) for k in range(MAP_WORDS)])
+    places = materialize(maps.select("gid", "n", "component", *[F.array(*[f"{f}{k}" for k in range(MAP_WORDS)]).alias(name)
+                                                                for f, name in (("bit_and", "all"), ("bit_or", "any"))]), "places")
+    # lists of the same groups are one, with the first of their shingles (the groups of a list are distinct)
+    same = shared.groupBy("token").agg(F.bit_xor(F.xxhash64("gid")).alias("list"), F.count(F.lit(1)).alias("length"))
+    once = (shared.join(same.filter("length > 1"), "token").groupBy("list", "gid").agg(F.min("pos").alias("pos"))
+            .withColumnRenamed("list", "token"))
+    rows_on = materialize(once, "lists").join(places, "gid")
     split = (rows_on.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .filter("low <> high").select("token"))
     rows_on = materialize(rows_on.join(split, "token", "left_semi"), "split")
@@ -306,9 +345,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component"))
                     & fits(F.col("x.n"), F.col("y.n"))
-                    & ((100 + percent) * room >= percent * (F.col("x.n") + F.col("y.n"))))
+                    & ((100 + percent) * room >= percent * (F.col("x.n") + F.col("y.n"))) & near(percent))
     x, y = places.alias("x"), places.alias("y")
-    inside = x.join(y, (F.col("x.gid") == F.col("y.gid")) & (F.col("x.component") < F.col("y.component")))
+    inside = x.join(y, (F.col("x.gid") == F.col("y.gid")) & (F.col("x.component") < F.col("y.component")) & near(percent))
     blocks = across.select(*ends).unionByName(inside.select(*ends)).distinct()
     px = part.select(F.col("gid").alias("gid_x"), F.col("component").alias("component_x"), F.col("id").alias("ix"))
     py = part.select(F.col("gid").alias("gid_y"), F.col("component").alias("component_y"), F.col("id").alias("iy"))
