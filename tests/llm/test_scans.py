@@ -109,6 +109,22 @@ def test_own_and_inherited_licenses(table):
     assert licenses.license_scan(table([]), F.lit("a/b")).count() == 0
 
 
+def test_wrapped_and_buried_grants_and_full_texts(table):
+    """Headers over two lines or inside a paragraph, and whole licence files, against whole-corpus cosines."""
+    filler = [f"word{k}" for k in range(700)]
+    apache, mpl = licenses.TEMPLATES[0][1].split(), licenses.TEMPLATES[7][1].split()
+    mit = "Copyright (c) 2019 Some Body\n\n" + licenses.TEXTS[0][1].replace(", ", ",\n")
+    bsd = licenses.TEXTS[1][1].replace(". ", ".\n * ")
+    rows = [(1, "\n".join([" ".join(filler[:60] + apache[:3]), " ".join(apache[3:] + filler[60:90])])),
+            (2, " ".join(filler[:509] + mpl + filler[509:])), (3, mit), (4, bsd), (5, " ".join(filler)),
+            (6, " ".join(filler[:80] + ["license"]))]
+    df = table(rows).withColumn("path", F.concat(F.col("doc_id").cast("string"), F.lit("/LICENSE")))
+    own = {r["id"]: r for r in licenses.own_licenses(df.select(F.col("doc_id").alias("id"), "text")).collect()}
+    assert {k: (r["license"], r["is_file"]) for k, r in own.items()} == {
+        1: ("Apache-2.0", False), 2: ("MPL-2.0", False), 3: ("MIT", True), 4: ("BSD-3-Clause", True)}
+    assert own[1]["score"] == own[2]["score"] == 1.0
+
+
 def test_deciding_terms_lose_no_line():
     """No mix of terms without a deciding one reaches the threshold."""
     vectors = {"x": {"a": 1.0, "b": 1.5, "c": 4.0, "d": 0.5}, "y": {"a": 1.0, "e": 1.0}}
