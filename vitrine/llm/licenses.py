@@ -153,7 +153,8 @@ def runs(docs: DataFrame, grants: dict, threshold: float, idf: dict[str, float])
     n, p = F.size("piece"), F.col("p")
 
     def around(size: int, vectors: dict) -> Column:
-        starts = F.when(n >= size, F.sequence(F.greatest(F.lit(0), p - size + 1), F.least(p, n - size)))
+        deciding = F.col("term").isin(deciding_terms(vectors, threshold, idf))
+        starts = F.when((n >= size) & deciding, F.sequence(F.greatest(F.lit(0), p - size + 1), F.least(p, n - size)))
         found = F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda k: F.slice("piece", k + 1, size))
         return F.filter(found, lambda run: may_reach(run, vectors, threshold))
 
