@@ -79,6 +79,24 @@ def test_sets_far_apart_are_no_candidates(table, monkeypatch):
     assert seen[2] < 60  # the last round; the phrase has 7,140 pairs
 
 
+def test_near_copies_without_a_hub_meet_before_all_pairs_do(table, monkeypatch):
+    """The smallest ids lead every list and are far from all; the near copies still leave few pairs for the last round."""
+    base = [f"b{k}" for k in range(150)]
+    rows = [(k, " ".join(base[k:k + 5])) for k in range(146)]
+    rows += [(200 + k, " ".join([*base[:2 * k + 5], f"y{k}", *base[2 * k + 6:]])) for k in range(60)]
+    seen, whole = [], jaccard_join.materialize
+    verified = jaccard_join.verified
+
+    def watched(pairs, *more):
+        pairs = whole(pairs, "pairs")
+        seen.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(jaccard_join, "verified", watched)
+    assert found(table(rows)) == brute.jaccard(rows)
+    assert seen[-1] < 100  # 60 near copies have 1,770 pairs
+
+
 def test_maps_differ_in_no_more_bits_than_sets_in_shingles():
     import numpy as np
 

@@ -13,11 +13,12 @@ The order puts shingles that many documents hold last.  What is common is told
 by a count sketch of fixed size; any sketch gives right results, because any
 order does -- it only decides how short the lists of candidates are.
 
-Links are found in three rounds.  First every set is verified against the
+Links are found in rounds.  First every set is verified against the
 leader that it shares most lists with, then against the leaders of its lists
-that are still in another component, which joins large groups of near copies
-without all their pairs; last, every remaining pair of a list whose sets are not
-yet in one component is verified.  Lists of the same groups count as one there, and
+that are still in another component, then against pivots, a few sets of each
+list taken by hash, which joins large groups of near copies without all their
+pairs, whether or not one set is near all others; last, every remaining pair of
+a list whose sets are not yet in one component is verified.  Lists of the same groups count as one there, and
 pairs are told apart by parity maps of their sets: sets that differ in d
 shingles differ in at most d bits.  No link between components is lost, and no
 list, pair or set is capped.
@@ -47,6 +48,8 @@ WORDS, PERCENT = 5, 80
 SKETCH_BITS, FILTER_BITS = 18, 23
 #: One more shared prefix shingle is asked for per so many shingles of a set.
 SHARE_STEP = 32
+#: Sets of every list that its other sets are verified against before all pairs are.
+PIVOTS = 4
 #: 64-bit words of a set's parity map.
 MAP_WORDS = 16
 #: Shingles that a task counts together before it passes on the repeated ones.
@@ -321,31 +324,60 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         links = links.unionByName(more)
         labels = components(links)
 
-    # third round: all pairs on one list, or in one group, whose sets are still apart
-    part = members.join(labels, "id", "left").select("id", "gid", "n", F.coalesce("component", "id").alias("component"))
-    part = materialize(part.join(wanted, "id", "left_semi"), "parts")
-    # the bits that all sets of a group and component have, and those that any has
-    maps = part.join(held.select("id", "map"), "id").select("gid", "n", "component", *[F.get("map", F.lit(k)).alias(f"m{k}")
-                                                                                       for k in range(MAP_WORDS)])
-    maps = maps.groupBy("gid", "n", "component").agg(*[f(f"m{k}").alias(f"{f.__name__}{k}")
-                                                       for f in (F.bit_and, F.bit_or) for k in range(MAP_WORDS)])
-    places = materialize(maps.select("gid", "n", "component", *[F.array(*[f"{f}{k}" for k in range(MAP_WORDS)]).alias(name)
-                                                                for f, name in (("bit_and", "all"), ("bit_or", "any"))]), "places")
     # lists of the same groups are one, with the first of their shingles (the groups of a list are distinct)
     same = shared.groupBy("token").agg(F.bit_xor(F.xxhash64("gid")).alias("list"), F.count(F.lit(1)).alias("length"))
     once = (shared.join(same.filter("length > 1"), "token").groupBy("list", "gid").agg(F.min("pos").alias("pos"))
             .withColumnRenamed("list", "token"))
-    rows_on = materialize(once, "lists").join(places, "gid")
-    split = (rows_on.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-             .filter("low <> high").select("token"))
-    rows_on = materialize(rows_on.join(split, "token", "left_semi"), "split")
-    x, y = rows_on.alias("x"), rows_on.alias("y")
-    ends = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("gid", "component")]
+    once = materialize(once, "lists")
+
+    def placed(labels):
+        """The sets that are still wanted with their components; the places, groups in a component; and the split lists."""
+        part = members.join(labels, "id", "left").select("id", "gid", "n", F.coalesce("component", "id").alias("component"))
+        part = materialize(part.join(wanted, "id", "left_semi"), "parts")
+        # the bits that all sets of a group and component have, and those that any has
+        maps = part.join(held.select("id", "map"), "id").select(
+            "gid", "n", "component", *[F.get("map", F.lit(k)).alias(f"m{k}") for k in range(MAP_WORDS)])
+        maps = maps.groupBy("gid", "n", "component").agg(*[f(f"m{k}").alias(f"{f.__name__}{k}")
+                                                           for f in (F.bit_and, F.bit_or) for k in range(MAP_WORDS)])
+        words_of = [F.array(*[f"{f}{k}" for k in range(MAP_WORDS)]).alias(name) for f, name in (("bit_and", "all"), ("bit_or", "any"))]
+        places = materialize(maps.select("gid", "n", "component", *words_of), "places")
+        rows_on = once.join(places, "gid")
+        split = (rows_on.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+                 .filter("low <> high").select("token"))
+        return part, places, materialize(rows_on.join(split, "token", "left_semi"), "split")
+
     # the first shingle that two sets share leaves room for the overlap that the threshold asks for
     room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    able = (fits(F.col("x.n"), F.col("y.n")) & ((100 + percent) * room >= percent * (F.col("x.n") + F.col("y.n"))))
+
+    # third round: the groups of each list against a few pivots of their list, where they are still apart
+    part, places, rows_on = placed(labels)
+    pivots = rows_on.groupBy("token").agg(*[
+        F.min_by(F.struct("gid", "n", "pos", "component", "all", "any"), F.xxhash64("token", "gid", "component", F.lit(k)))
+        .alias(f"pivot{k}") for k in range(PIVOTS)])
+    pivots = pivots.select("token", F.explode(F.array_distinct(F.array(*[f"pivot{k}" for k in range(PIVOTS)]))).alias("pivot"))
+    x, y = rows_on.alias("x"), pivots.select("token", "pivot.*").alias("y")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component"))
+                 & able & near(percent))
+    one = part.groupBy("gid", "component").agg(F.min("id").alias("id"))  # a set of each place
+    met = (met.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("gid", "component")]).distinct()
+           .join(one.toDF("gid_x", "component_x", "ix"), ["gid_x", "component_x"])
+           .join(one.toDF("gid_y", "component_y", "iy"), ["gid_y", "component_y"])
+           .select(F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b")).distinct()
+           .join(tested, ["a", "b"], "left_anti"))
+    met = materialize(met, "met")
+    tested = tested.unionByName(met)
+    more = materialize(verified(met, held, percent), "pivoted")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links)
+        part, places, rows_on = placed(labels)
+
+    # last: all pairs on one list, or in one group, whose sets are still apart
+    x, y = rows_on.alias("x"), rows_on.alias("y")
+    ends = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("gid", "component")]
     across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component"))
-                    & fits(F.col("x.n"), F.col("y.n"))
-                    & ((100 + percent) * room >= percent * (F.col("x.n") + F.col("y.n"))) & near(percent))
+                    & able & near(percent))
     x, y = places.alias("x"), places.alias("y")
     inside = x.join(y, (F.col("x.gid") == F.col("y.gid")) & (F.col("x.component") < F.col("y.component")) & near(percent))
     blocks = across.select(*ends).unionByName(inside.select(*ends)).distinct()
