@@ -158,3 +158,20 @@ def test_empty_and_no_training(table):
 def test_byte_planes_round_trip():
     for v in (np.array([], np.int64), np.arange(1000, dtype=np.uint64) ** np.uint64(3), np.array([True, False]), np.array([1.5, -2.0])):
         assert (spread(squeeze(v), v.dtype) == v).all() and len(spread(squeeze(v), v.dtype)) == len(v)
+
+
+def test_words_are_hashed_a_few_texts_at_a_time(monkeypatch):
+    """Sums over the text, 32 bytes for each of its bytes, never cover a whole block, and keys do not tell."""
+    import numpy as np
+
+    from vitrine.llm import language_model as lm
+
+    texts = [b"one two", b"", b"three  one", b" ", b"two " * 50, b"four"]
+    low, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole, seen, sums = lm.word_keys(low, off), [], lm.prefix_hash
+    monkeypatch.setattr(lm, "HASHED_BYTES", 20)
+    monkeypatch.setattr(lm, "prefix_hash", lambda piece: seen.append(len(piece)) or sums(piece))
+    for got, want in zip(lm.word_keys(low, off), whole):
+        assert got.tolist() == want.tolist()
+    assert len(whole[0]) == 55 and max(seen) == 200 and sorted(seen)[-2] <= 20  # a longer text alone
+    assert whole[0][0] == whole[0][3] and whole[1].tolist() == [0, 0, 2, 2] + [4] * 50 + [5]

@@ -47,7 +47,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.textops import LOWER, crc_mod5, mix, prefix_hash, span_hash, text_blocks, words
+from vitrine.llm.textops import LOWER, blocks as text_ranges, crc_mod5, mix, prefix_hash, span_hash, text_blocks, words
 from vitrine.llm.workers import give_back, tidy
 from vitrine.operators.lineage import materialize
 
@@ -61,6 +61,8 @@ EXACT = 256
 GROWTH = 0.75
 #: Text of a block, and of a part of the key space.
 BLOCK_BYTES, PART_BYTES = 1 << 22, 1 << 25
+#: Text whose words are hashed at once.
+HASHED_BYTES = 1 << 18
 #: Keys of a text's start and end.
 START, END = 1, 2
 _U = np.uint64
@@ -79,15 +81,24 @@ def spread(blob: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def word_keys(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key and row of every word.  Few texts are hashed at a time: the sums take many times the text, a key is the same."""
+    keys, rows = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    for i, j in text_ranges(off, HASHED_BYTES):
+        start, end, row = words(low[off[i]:off[j]], off[i:j + 1] - off[i])
+        if len(start):
+            keys.append(span_hash(prefix_hash(low[off[i]:off[j]]), start, end) >> _U(64 - KEY_BITS))
+            rows.append(row + i)
+    return np.concatenate(keys), np.concatenate(rows)
+
+
 def token_blocks(docs: DataFrame) -> DataFrame:
     """(block, ids, lengths, training, keys, tokens): word numbers of the texts of a block."""
 
     @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, buf, off in text_blocks(batches, "id", "text", BLOCK_BYTES):
-            low = LOWER[buf]
-            start, end, row = words(low, off)
-            key = (span_hash(prefix_hash(low), start, end) >> _U(64 - KEY_BITS)) if len(start) else np.zeros(0, _U)
+            key, row = word_keys(LOWER[buf], off)
             n = np.bincount(row, minlength=len(off) - 1) + 1  # and one end
             stream = np.full(int(n.sum()), END, _U)
             stream[np.arange(len(key)) + row] = key
@@ -139,7 +150,7 @@ class Block:
         local, of_token = np.unique(both, return_inverse=True)
         context, word = local // len(self.keys), local % len(self.keys)
         key = pair_keys(self.keys, context, word)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         self.context, self.word, self.pair_keys = context[order], word[order], key[order]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -373,15 +384,23 @@ def language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out[end] = 0.0
         return out
 
-    def drawn(keys, context, word, pairs, names, r, k, before):
-        """The tables of pairs in round ``k``, given the round before."""
+    def seats(r, k):
+        """Customers of each context, customers and tables of each word after round ``k``."""
+        return [read(r[f"round{k}"], i, np.int64) for i in range(3)]
+
+    def drawn(keys, context, word, pairs, r, k, before, last=None):
+        """The tables of pairs in round ``k``, given the round before; one customer has one table without a draw."""
+        many = np.flatnonzero(pairs > 1)
+        context, word = context[many], word[many]
         if k == 0:
             counts = read(r["words"], 0, np.int64)
             fresh = before.fresh(context_counts(keys, counts)[context], counts[word].astype(np.float64))
         else:
-            held, customers, tables = (read(r[f"round{k - 1}"], i, np.int64) for i in range(3))
+            held, customers, tables = last or seats(r, k - 1)
             fresh = (STRENGTH + before.d * held[context]) * before.parent(customers, tables)[word]
-        return seating(pairs, fresh, names, before.d, k)
+        out = (pairs > 0).astype(np.float64)
+        out[many] = seating(pairs[many], fresh, pair_keys(keys, context, word), before.d, k)
+        return out
 
     def report_tables(k, before):
         @tidy
@@ -390,7 +409,7 @@ def language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 keys = np.cumsum(spread(r["keys"], _U), dtype=_U)
                 place = np.cumsum(spread(r["places"], np.int64))
                 context, word = place // len(keys), place % len(keys)
-                t = drawn(keys, context, word, spread(r["counts"], np.int64), pair_keys(keys, context, word), r, k, before)
+                t = drawn(keys, context, word, spread(r["counts"], np.int64), r, k, before)
                 sums = [np.rint(np.bincount(of, t, len(keys))).astype(np.int64) for of in (context, word)]
                 yield report_rows(r["block"], keys, sums, KEY_BITS - bits)
         return send
@@ -426,10 +445,10 @@ def language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             counts = read(r["words"], 0, np.int64)
             followed = context_counts(b.keys, counts)[b.context]
             pair = read(r["pairs"], 0, np.int64)
-            p = 0.0
+            p, last = 0.0, seats(r, BURN_IN - 1)
             for k in range(BURN_IN, BURN_IN + SAMPLES):
-                t = drawn(b.keys, b.context, b.word, pair, b.pair_keys, r, k, models[k])
-                held, customers, tables = (read(r[f"round{k}"], i, np.int64) for i in range(3))
+                t = drawn(b.keys, b.context, b.word, pair, r, k, models[k], last)
+                held, customers, tables = last = seats(r, k)
                 below = (STRENGTH + model.d * held[b.context]) * models[k + 1].parent(customers, tables)[b.word]
                 p += (np.maximum(pair - model.d * t, 0.0) + below) / (STRENGTH + followed) / SAMPLES
             first = np.cumsum(b.lengths) - b.lengths
