@@ -125,6 +125,23 @@ def test_wrapped_and_buried_grants_and_full_texts(table):
     assert own[1]["score"] == own[2]["score"] == 1.0
 
 
+def test_texts_are_split_into_terms_once(table, monkeypatch):
+    """Only texts that may be near a template are split again, beside the one pass that counts the templates' words."""
+    seen, whole = {}, licenses.materialize
+
+    def watched(df, name):
+        seen[name] = whole(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(licenses, "materialize", watched)
+    rows = [(k, f"licensed under word{k}") for k in range(30)] + [(90, licenses.TEMPLATES[1][1]), (91, None), (92, "plain words")]
+    docs = table(rows).select(F.col("doc_id").alias("id"), "text")
+    assert {r["id"]: r["license"] for r in licenses.own_licenses(docs).collect()} == {90: "MIT"}
+    held = {r["id"]: sorted(r["held"]) for r in seen["license-terms"].collect()}
+    assert held == {k: ["licensed", "under"] for k in range(30)} | {90: ["license", "mit", "released", "the", "under"]}
+    assert [r["id"] for r in seen["license-texts"].collect()] == [90]
+
+
 def test_deciding_terms_lose_no_line():
     """No mix of terms without a deciding one reaches the threshold."""
     vectors = {"x": {"a": 1.0, "b": 1.5, "c": 4.0, "d": 0.5}, "y": {"a": 1.0, "e": 1.0}}

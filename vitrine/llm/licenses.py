@@ -95,8 +95,12 @@ FILE_WORDS = 40
 PIECE = 512
 
 
+def pieces_of(text: Column) -> Column:
+    return F.split(F.lower(text), r"[^a-z0-9.\-]+|[.]+(?=\s|$)")
+
+
 def terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9.\-]+|[.]+(?=\s|$)"), lambda t: t != "")
+    return F.filter(pieces_of(text), lambda t: t != "")
 
 
 def fixed_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
@@ -105,11 +109,17 @@ def fixed_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> Dat
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def document_frequency(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+def held_terms(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(id, held): the words of the templates that each text holds, written once; texts without any have no row."""
+    known = F.array_distinct(F.filter(pieces_of(F.col("text")), lambda t: t.isin(vocabulary)))
+    held = docs.select("id", F.explode(F.array(known)).alias("held"))  # made once, not again in the filter
+    return materialize(held.filter(F.size("held") > 0), "license-terms")
+
+
+def document_frequency(held: DataFrame) -> dict[str, int]:
     """Number of documents that hold each word of the templates; a row per template word."""
-    words = F.array(*[F.lit(w) for w in vocabulary])
-    held = docs.select(F.explode(F.array_intersect(terms(F.col("text")), words)).alias("term"))
-    return {r["term"]: r["n"] for r in held.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    words = held.select(F.explode("held").alias("term"))
+    return {r["term"]: r["n"] for r in words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def deciding_terms(vectors: dict, threshold: float, idf: dict[str, float] | None = None) -> list[str]:
@@ -170,7 +180,8 @@ def own_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         "template", F.explode(terms(F.col("wording"))).alias("term")).groupBy("template", "term").agg(
         F.count(F.lit(1)).alias("tf")).collect()  # the fixed table
     vocabulary = sorted({r["term"] for r in counted})
-    total, df = docs.count(), document_frequency(docs, vocabulary)
+    held = held_terms(docs, vocabulary)
+    total, df = docs.count(), document_frequency(held)
     idf = {w: math.log((total + 1.0) / (df.get(w, 0) + 1.0)) + 1.0 for w in vocabulary}
     rarest = math.log(total + 1.0) + 1.0  # weight of a term that no template knows: it counts in a line's length
     vectors: dict[int, dict[str, float]] = {}
@@ -180,12 +191,9 @@ def own_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     norm = {k: math.sqrt(sum(w * w for w in v.values())) for k, v in vectors.items()}
     side = fixed_table(spark, [(k, numbered[k][1], t, w / norm[k]) for k, v in vectors.items() for t, w in v.items()],
                        ["template", "license", "term", "template_w"])
-    # a text that holds no deciding term as letters is not split into terms a second time
-    deciding = deciding_terms(vectors, threshold, idf)
-    spelt = F.exists(F.array(F.lower("text")), lambda low: F.exists(F.array(*[F.lit(t) for t in deciding]),
-                                                                    lambda t: F.contains(low, t)))
-    able = F.exists(F.array(terms(F.col("text"))), lambda held: may_reach(held, vectors, threshold))
-    wholes = docs.filter(spelt).filter(able).select(
+    # only texts that may reach the threshold are split into terms a second time
+    able = materialize(held.filter(may_reach(F.col("held"), vectors, threshold)).select("id").distinct(), "license-able")
+    wholes = docs.join(able, "id", "left_semi").select(
         "id", "text", F.size(F.split(F.trim("text"), r"\s+")).alias("doc_words"), terms(F.col("text")).alias("terms"))
     wholes = materialize(wholes, "license-texts")
     lines = (wholes.select("id", "doc_words", F.explode(F.split("text", r"\n")).alias("line"))
