@@ -1,6 +1,8 @@
 import random
 
 import brute
+from pyspark.sql import functions as F
+
 from vitrine.llm import jaccard_join
 from vitrine.llm.components import components
 from vitrine.llm.jaccard_join import jaccard_components
@@ -116,3 +118,41 @@ def test_components_of_chains_and_stars(spark):
     out = components(spark.createDataFrame(links, "a long, b long"))
     want = brute.smallest(links, {x for link in links for x in link})
     assert {r["id"]: r["component"] for r in out.collect()} == want
+
+
+def test_components_of_many_links_meet_by_one_pair(table, monkeypatch):
+    """Two groups whose sets are near each other, though not their leaders, are joined without all pairs."""
+    base = [f"b{k}" for k in range(300)]
+
+    def changed(**places):
+        return " ".join(next((f"{name}{k}" for name, at in places.items() if k in at), w) for k, w in enumerate(base))
+
+    rows = [(k, " ".join(base[k:k + 5])) for k in range(296)]  # lead the lists of what both groups have
+    rows += [(1001, changed(a=(10, 20, 30, 40))), (1002, changed(c=(60, 70, 80, 90)))]
+    rows += [(1010 + k, changed(a=(10, 20), **{f"x{k}y": (105 + 6 * k,)})) for k in range(30)]
+    rows += [(1050 + k, changed(c=(60, 70), **{f"z{k}y": (108 + 6 * k,)})) for k in range(30)]
+    seen, whole = [], jaccard_join.materialize
+    verified, near, calls = jaccard_join.verified, jaccard_join.near, []
+
+    def watched(pairs, *more):
+        pairs = whole(pairs, "pairs")
+        seen.append(pairs.count())
+        return verified(pairs, *more)
+
+    def without_pivots(percent):
+        calls.append(percent)
+        return F.lit(False) if len(calls) == 1 else near(percent)
+
+    monkeypatch.setattr(jaccard_join, "verified", watched)
+    monkeypatch.setattr(jaccard_join, "near", without_pivots)
+    assert found(table(rows)) == brute.jaccard(rows)
+    assert max(seen[2:]) < 10  # the groups have 900 linked pairs
+
+
+def test_new_links_join_labels(spark):
+    from vitrine.llm.components import components, joined
+
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first, more = [(2, 3), (3, 4), (6, 7), (9, 10)], [(4, 7), (1, 10), (11, 12), (2, 4)]
+    labels = joined(components(frame(first)), frame(more))
+    assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, components(frame(first + more)).collect()))

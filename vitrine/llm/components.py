@@ -35,3 +35,17 @@ def components(links: DataFrame) -> DataFrame:
         jump = hooked.select(F.col("id").alias("next"), F.col("next").alias("jump"))
         labels = materialize(hooked.join(jump, "next", "left")
                              .select("id", F.least("next", F.coalesce("jump", "next")).alias("component")), "labels")
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` with the components that ``links`` (a, b) connect made one: only links between components are followed."""
+    def of(column: str) -> DataFrame:
+        return labels.select(F.col("id").alias(column), F.col("component").alias(f"{column}_component"))
+
+    between = (links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+               .select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
+               .filter("a <> b").distinct())
+    roots = components(between)
+    moved = (labels.join(roots.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")
+             .select("id", F.coalesce("root", "component").alias("component")))
+    return materialize(moved.unionByName(roots.join(labels, "id", "left_anti").select("id", "component")), "labels")

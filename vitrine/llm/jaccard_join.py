@@ -17,11 +17,12 @@ Links are found in rounds.  First every set is verified against the
 leader that it shares most lists with, then against the leaders of its lists
 that are still in another component, then against pivots, a few sets of each
 list taken by hash, which joins large groups of near copies without all their
-pairs, whether or not one set is near all others; last, every remaining pair of
-a list whose sets are not yet in one component is verified.  Lists of the same groups count as one there, and
+pairs, whether or not one set is near all others; then, of the remaining pairs
+of a list between two components, the one whose sets seem closest; last, every
+remaining pair whose sets are not yet in one component.  Lists of the same groups count as one there, and
 pairs are told apart by parity maps of their sets: sets that differ in d
 shingles differ in at most d bits.  No link between components is lost, and no
-list, pair or set is capped.
+list, pair or set is capped.  New links join components, not all links again.
 
 Defined cases: null and empty texts, and texts without words, have no shingles
 and link with nothing; fewer than five words are one shingle; rows that repeat
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.components import components
+from vitrine.llm.components import components, joined
 from vitrine.llm.textops import LOWER, mix, prefix_hash, span_hash, text_blocks, words
 from vitrine.llm.workers import tidy
 from vitrine.operators.lineage import materialize
@@ -234,14 +235,18 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                        .mapInArrow(collect, "id long, hashes binary, map array<long>"), "sets")
 
 
-def near(percent: int):
-    """Whether sets of the places x and y may meet the threshold: the bits that differ in all their pairs are few enough."""
+def differing():
+    """The bits that differ in all pairs of sets of the places x and y."""
     def differ(a: str, b: str):
         sure = F.zip_with(f"{a}.all", f"{b}.any", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
         return F.aggregate(sure, F.lit(0), lambda total, n: total + n)
 
-    bits = differ("x", "y") + differ("y", "x")
-    return (100 + percent) * bits <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    return differ("x", "y") + differ("y", "x")
+
+
+def near(percent: int):
+    """Whether sets of the places x and y may meet the threshold: the bits that differ in all their pairs are few enough."""
+    return (100 + percent) * differing() <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
 
 
 def verified(pairs: DataFrame, held: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -321,8 +326,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tested = tested.unionByName(apart)
     more = materialize(verified(apart, held, percent), "more")
     if not more.isEmpty():
-        links = links.unionByName(more)
-        labels = components(links)
+        labels = joined(labels, more)
 
     # lists of the same groups are one, with the first of their shingles (the groups of a list are distinct)
     same = shared.groupBy("token").agg(F.bit_xor(F.xxhash64("gid")).alias("list"), F.count(F.lit(1)).alias("length"))
@@ -346,6 +350,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                  .filter("low <> high").select("token"))
         return part, places, materialize(rows_on.join(split, "token", "left_semi"), "split")
 
+    def a_set_of(part):
+        """A set of each place."""
+        return part.groupBy("gid", "component").agg(F.min("id").alias("id"))
+
     # the first shingle that two sets share leaves room for the overlap that the threshold asks for
     room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     able = (fits(F.col("x.n"), F.col("y.n")) & ((100 + percent) * room >= percent * (F.col("x.n") + F.col("y.n"))))
@@ -359,7 +367,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     x, y = rows_on.alias("x"), pivots.select("token", "pivot.*").alias("y")
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component"))
                  & able & near(percent))
-    one = part.groupBy("gid", "component").agg(F.min("id").alias("id"))  # a set of each place
+    one = a_set_of(part)
     met = (met.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("gid", "component")]).distinct()
            .join(one.toDF("gid_x", "component_x", "ix"), ["gid_x", "component_x"])
            .join(one.toDF("gid_y", "component_y", "iy"), ["gid_y", "component_y"])
@@ -369,26 +377,46 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tested = tested.unionByName(met)
     more = materialize(verified(met, held, percent), "pivoted")
     if not more.isEmpty():
-        links = links.unionByName(more)
-        labels = components(links)
+        labels = joined(labels, more)
         part, places, rows_on = placed(labels)
 
-    # last: all pairs on one list, or in one group, whose sets are still apart
+    # the pairs of places on one list, or in one group, that are still apart
     x, y = rows_on.alias("x"), rows_on.alias("y")
     ends = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("gid", "component")]
+    ends.append((differing() / (F.col("x.n") + F.col("y.n"))).alias("far"))
     across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component"))
                     & able & near(percent))
     x, y = places.alias("x"), places.alias("y")
     inside = x.join(y, (F.col("x.gid") == F.col("y.gid")) & (F.col("x.component") < F.col("y.component")) & near(percent))
-    blocks = across.select(*ends).unionByName(inside.select(*ends)).distinct()
+    blocks = materialize(across.select(*ends).unionByName(inside.select(*ends)).distinct(), "blocks")
+
+    # fourth round: of the pairs between two components, the one that seems closest
+    one = a_set_of(part)
+    sides = ["gid_x", "component_x", "gid_y", "component_y"]
+    closest = (blocks.groupBy("component_x", "component_y").agg(F.min_by(F.struct("gid_x", "gid_y"), F.struct("far", "gid_x", "gid_y")).alias("at"))
+               .select("at.gid_x", "component_x", "at.gid_y", "component_y")
+               .join(one.toDF("gid_x", "component_x", "ix"), ["gid_x", "component_x"])
+               .join(one.toDF("gid_y", "component_y", "iy"), ["gid_y", "component_y"])
+               .select(F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b")).distinct()
+               .join(tested, ["a", "b"], "left_anti"))
+    closest = materialize(closest, "closest")
+    tested = tested.unionByName(closest)
+    more = materialize(verified(closest, held, percent), "bridges")
+    if not more.isEmpty():
+        labels = joined(labels, more)
+        roots = [labels.select(F.col("id").alias(f"component_{s}"), F.col("component").alias(f"root_{s}")) for s in "xy"]
+        blocks = (blocks.join(roots[0], "component_x", "left").join(roots[1], "component_y", "left")
+                  .filter(F.coalesce("root_x", "component_x") != F.coalesce("root_y", "component_y")))
+
+    # last: all pairs of sets that are still apart
     px = part.select(F.col("gid").alias("gid_x"), F.col("component").alias("component_x"), F.col("id").alias("ix"))
     py = part.select(F.col("gid").alias("gid_y"), F.col("component").alias("component_y"), F.col("id").alias("iy"))
-    pairs = (blocks.join(px, ["gid_x", "component_x"]).join(py, ["gid_y", "component_y"])
+    pairs = (blocks.select(*sides).join(px, ["gid_x", "component_x"]).join(py, ["gid_y", "component_y"])
              .select(F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b")).distinct()
              .join(tested, ["a", "b"], "left_anti"))
     rest = materialize(verified(pairs, held, percent), "rest")
     if not rest.isEmpty():
-        labels = components(links.unionByName(rest))
+        labels = joined(labels, rest)
 
     found = classes.join(labels, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component_id"))
     return (rows.join(found, ["n", "s1", "s2"], "left")
