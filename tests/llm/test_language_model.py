@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 import brute
 from vitrine.llm.language_model import EXACT, arrangements, language_model, many_tables, seating, spread, squeeze
@@ -175,3 +176,25 @@ def test_words_are_hashed_a_few_texts_at_a_time(monkeypatch):
         assert got.tolist() == want.tolist()
     assert len(whole[0]) == 55 and max(seen) == 200 and sorted(seen)[-2] <= 20  # a longer text alone
     assert whole[0][0] == whole[0][3] and whole[1].tolist() == [0, 0, 2, 2] + [4] * 50 + [5]
+
+
+def test_seating_draws_what_all_numbers_of_tables_give():
+    """What is left out and the order of the work change no draw, and little more than the likely tables is worked out."""
+    from vitrine.llm import language_model
+
+    rnd = np.random.default_rng(5)
+    count = rnd.integers(2, EXACT + 1, 4000)
+    fresh, key = np.exp(rnd.normal(-1, 3, 4000)), rnd.integers(0, 1 << 62, 4000).astype(np.uint64)
+    worked, exp = [], np.exp
+    ways = arrangements(0.6)
+    whole = []
+    for c, f, u in zip(count, fresh, language_model.uniform(key, 5)):
+        p = np.log(f) * np.arange(1, c + 1) + ways[c, 1:c + 1]
+        p = np.cumsum(np.exp(p - p.max()))
+        whole.append(min(1 + (p <= u * p[-1]).sum(), c))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language_model.np, "exp", lambda x: worked.append(np.size(x)) or exp(x))
+        assert (seating(count, fresh, key, 0.6, 2) == np.array(whole)).all()
+        worked.clear()
+        seating(np.full(4000, EXACT), np.full(4000, 0.01), key, 0.6, 2)
+    assert sum(worked) < 4000 * EXACT / 4

@@ -57,6 +57,11 @@ STRENGTH = 1.0
 BURN_IN, SAMPLES = 2, 4
 #: Customers of a dish up to which the distribution of their tables is exact.
 EXACT = 256
+#: Customers of a dish from which on tables of no weight are left out, and how far below the top (a logarithm) weights
+#: are less than the rounding of a sum.
+FEW, NOTHING = 12, 40.0
+#: Weights that are worked out together: they stay in a core's cache.
+AT_ONCE = 1 << 14
 #: Tables grow as customers to this power, in the weights of the first round only.
 GROWTH = 0.75
 #: Text of a block, and of a part of the key space.
@@ -140,21 +145,22 @@ class Block:
         self.start = int(np.searchsorted(self.keys, _U(START)))
         self.end = int(np.searchsorted(self.keys, _U(END)))
 
-    def pairs(self) -> None:
-        """Distinct (context, word) in key order, and the pair of every token."""
+    def pairs(self, of_tokens: bool = True) -> None:
+        """Distinct (context, word) in key order, and the pair of every token unless that is not asked for."""
         first = np.cumsum(self.lengths) - self.lengths
         context = np.empty_like(self.tokens)
         context[1:] = self.tokens[:-1]
         context[first] = self.start
         both = context.astype(np.int64) * len(self.keys) + self.tokens
-        local, of_token = np.unique(both, return_inverse=True)
+        local, of_token = np.unique(both, return_inverse=True) if of_tokens else (np.unique(both), None)
         context, word = local // len(self.keys), local % len(self.keys)
         key = pair_keys(self.keys, context, word)
         order = np.argsort(key)
         self.context, self.word, self.pair_keys = context[order], word[order], key[order]
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.pair_of = place[of_token]
+        if of_tokens:
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            self.pair_of = place[of_token]
 
     def training_counts(self, of_token: np.ndarray, size: int) -> np.ndarray:
         return np.bincount(of_token[self.in_training], minlength=size).astype(np.int64)
@@ -263,16 +269,23 @@ def seating(count: np.ndarray, fresh: np.ndarray, key: np.ndarray, d: float, dra
     tables = (count > 0).astype(np.float64)
     weight = np.log(fresh)
     small = np.flatnonzero((count > 1) & (count <= EXACT))
-    small = small[np.argsort(count[small], kind="stable")]
-    for same in np.split(small, np.flatnonzero(np.diff(count[small])) + 1) if len(small) else []:
-        c = int(count[same[0]])
-        t = np.arange(1, c + 1)
-        step = max(1, 250_000 // c)
+    small = small[np.argsort(count[small].astype(np.uint16), kind="stable")]
+    chance = uniform(key[small], 2 * draw + 1)
+    ends = np.flatnonzero(np.diff(count[small], append=EXACT + 1)) + 1
+    for begin, end in zip([0, *ends[:-1]], ends):
+        c = int(count[small[begin]])
+        t, ways = np.arange(1, c + 1)[:, None], arrangements(d)[c, 1:c + 1][:, None]
+        same = begin + np.argsort(weight[small[begin:end]]) if c > FEW else np.arange(begin, end)
+        step = max(64, AT_ONCE // c)
         for k in range(0, len(same), step):
-            these = same[k:k + step]
-            p = weight[these][:, None] * t + arrangements(d)[c, 1:c + 1]
-            p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
-            tables[these] = np.minimum(1 + (p <= (uniform(key[these], 2 * draw + 1) * p[:, -1])[:, None]).sum(axis=1), c)
+            at = same[k:k + step]
+            these, last = small[at], c
+            if c > FEW:  # the heaviest: weights fall on both sides of their top, what is left out changes no sum
+                p = weight[these[-1]] * t + ways
+                last = np.flatnonzero(p >= p.max() - NOTHING)[-1] + 1
+            p = weight[these] * t[:last] + ways[:last]  # a row per number of tables
+            p = np.cumsum(np.exp(p - p.max(axis=0)), axis=0)
+            tables[these] = np.minimum(1 + np.count_nonzero(p <= chance[at] * p[-1], axis=0), c)
     large = np.flatnonzero(count > EXACT)
     if len(large):
         n = count[large].astype(np.float64)
@@ -364,7 +377,7 @@ def language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """The training pairs that a block owns, by the places of their words among its keys: no round sorts tokens."""
         for r in entry_rows(batches):
             b = Block(r)
-            b.pairs()
+            b.pairs(of_tokens=False)
             counts, mine = read(r["pairs"], 0, np.int64), read(r["pairs"], 1, bool)
             mine &= counts > 0
             place = b.context[mine] * len(b.keys) + b.word[mine]
